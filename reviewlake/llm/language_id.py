@@ -29,14 +29,18 @@ CENTROIDS = 4
 PIECE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+_ASCII_LETTER = np.array([chr(i).isalpha() for i in range(0x80)])
 
 
 def ngram_counts(text: str) -> np.ndarray:
-    """Hashed counts of character n-grams of the whole lower-cased text, in pieces of bounded size."""
+    """Hashed counts of character n-grams of the whole lower-cased text, other ASCII than letters as one space, in pieces of bounded size."""
     out = np.zeros(DIMENSIONS, dtype=np.float32)
     for start in range(0, len(text), PIECE):
         piece = text[max(0, start - 2) : start + PIECE].lower()
         codes = np.frombuffer(piece.encode("utf-32-le", "replace"), dtype=np.uint32)
+        codes = np.where((codes >= 0x80) | _ASCII_LETTER[np.minimum(codes, 0x7F)], codes, np.uint32(0x20))
+        space = codes == 0x20
+        codes = codes[~(space & np.roll(space, 1))]
         h = np.zeros(len(codes), dtype=np.uint32)
         for n in range(1, 1 + max(ORDERS)):
             if len(codes) < n:
