@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated_windows
+from .jaccard_join import jaccard_digest
 from .language_id import language_digest
 from .line_dedup import line_dedup_digest
 from .mixing import mixing_digest
@@ -33,6 +34,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bp
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_mixing": op5_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,
 }
 
