@@ -173,10 +173,10 @@ def _sign(k: int, percent: int):
                 ids.append(f)
                 waiting += len(found[-1])
                 if waiting > 500_000:
-                    yield _signature_rows(found, ids, sizes)
+                    yield _signature_rows(found, ids)
                     found, ids, waiting = [], [], 0
             if found:
-                yield _signature_rows(found, ids, sizes)
+                yield _signature_rows(found, ids)
 
     return run
 
