@@ -9,6 +9,7 @@ from .jaccard_join import jaccard_digest
 from .language_id import language_digest
 from .line_dedup import line_dedup_digest
 from .mixing import mixing_digest
+from .substring_dedup import substring_digest
 from .token_counts import token_counts
 
 
@@ -28,6 +29,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_language_id": op10_language_id,
