@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contaminated_windows
+from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_digest
 from .language_id import language_digest
 from .line_dedup import line_dedup_digest
@@ -43,6 +44,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
 
