@@ -9,6 +9,7 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_digest
 from .language_id import language_digest
 from .line_dedup import line_dedup_digest
+from .lm_scoring import scored_documents
 from .mixing import mixing_digest
 from .substring_dedup import substring_digest
 from .token_counts import token_counts
@@ -26,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_windows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
