@@ -8,6 +8,7 @@ from .decontamination import contaminated_windows
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_digest
 from .language_id import language_digest
+from .licenses import license_paragraphs
 from .line_dedup import line_dedup_digest
 from .lm_scoring import scored_documents
 from .mixing import mixing_digest
@@ -23,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_windows(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_mixing": op5_mixing,
