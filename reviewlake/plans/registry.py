@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from . import review_queries
+
+MODULES = [review_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+
 
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status, confidence and escalation of every finding."""
+    from ..operators.review import review
+    from .synthetic import findings
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return review(findings(spark, sf_dir)).select("finding_id", "review_status", "classification.label", "confidence.score", "confidence.level", "escalation.required", "escalation.reviewer")
