@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import review_queries
+from . import review_queries, table_queries
 
-MODULES = [review_queries]
+MODULES = [review_queries, table_queries]
 
 
 def queries() -> dict:
