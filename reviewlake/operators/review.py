@@ -30,6 +30,12 @@ def comment(when: Column, code: str, field: str, severity: str, message: Column
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a one-row generator. Without it the optimizer merges the steps' projections and copies
+    each expression into all its later uses, which makes plans grow without bound; this stays in the JVM."""
+    return df.select(F.inline(F.array(F.struct(*[c(name) for name in df.columns]))))
+
+
 def _blank(name: str) -> Column:
     return F.coalesce(c(name), F.lit("")) == ""
 
@@ -288,10 +294,12 @@ def numbered_comments(df: DataFrame) -> DataFrame:
 
 def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False) -> DataFrame:
     """Every check of every finding; working columns are dropped."""
-    df = prepared(findings)
-    for step in (completeness, evidence, classification, severity, cvss, cwe, impact, recommendation, retest, consistency, confidence):
-        df = step(df)
-    df = numbered_comments(status(escalation(df, strict_conflict)))
+    df = settled(prepared(findings))
+    for steps in ((completeness, evidence), (classification, severity, cvss, cwe, impact, recommendation, retest), (consistency,), (confidence,)):
+        for step in steps:
+            df = step(df)
+        df = settled(df)
+    df = settled(numbered_comments(status(settled(escalation(df, strict_conflict)))))
     review_id = F.format_string("REV-%06d", F.pmod(F.xxhash64("finding_id", F.lit(ruleset)), F.lit(1000000)))
     return df.withColumn("review_id", review_id).drop(*[x for x in df.columns if x.startswith("_")])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bands, text
+from ..functions.values import CODE_TO_KB as text_map
 from ..operators import quality, retrieval, segmentation
+from .review_queries import KW
 from .synthetic import WITH, findings, flat_findings, quoted, table
 
 c = F.col
@@ -73,8 +75,6 @@ def _gold_values() -> str:
     return ", ".join(rows)
 
 
-from ..functions.values import CODE_TO_KB as text_map  # noqa: E402
-
 KB_SQL = f"""WITH kb(kb_id, category, severity, applicable_to) AS (VALUES {_kb_values()}), gold(query_id, wanted, domain, cats, expected, relevant) AS (VALUES {_gold_values()}),
 hits AS (SELECT query_id, kb_id, category, severity, expected, relevant, row_number() OVER (PARTITION BY query_id ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, kb_id) AS rank
  FROM gold, kb WHERE (wanted IS NULL OR list_contains(wanted, category)) AND (domain = 'all' OR list_contains(applicable_to, 'all') OR list_contains(applicable_to, domain)) AND (cats IS NULL OR list_contains(cats, category)))"""
@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "parse_cvss": f"{WITH} SELECT finding_id, CASE WHEN score IS NOT NULL THEN round(score, 2) END AS score, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN substring(vector, 6, 3) END AS version, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN substring(vector, 10) END AS vector, CASE WHEN score IS NOT NULL THEN coalesce(vector LIKE 'CVSS%', false) WHEN score IS NULL THEN false END AS parse_successful FROM findings",
     "extract_url": "SELECT page_id, url, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages",
     "target_type": f"{WITH} SELECT finding_id, CASE WHEN lower(title) LIKE '%android%' OR lower(title) LIKE '%apk%' THEN 'android_application' WHEN lower(title) LIKE '%ios%' THEN 'ios_application' WHEN lower(title) LIKE '%web%' OR lower(title) LIKE '%url%' THEN 'web_application' WHEN lower(title) LIKE '%api%' THEN 'api' WHEN lower(title) LIKE '%jwt%' OR lower(title) LIKE '%token%' THEN 'cryptographic_component' WHEN lower(title) LIKE '%network%' THEN 'network' WHEN lower(title) LIKE '%cloud%' THEN 'cloud_resource' ELSE 'unknown' END AS target_type FROM findings",
-    "keywords": None,
+    "keywords": f"{WITH} SELECT finding_id, array_to_string({KW % 'title'}, ' ') AS words, length(list_distinct({KW % 'observation'})) AS n_observation FROM findings",
     "truncate_snippet": "SELECT doc_id, sha256(CASE WHEN length(text) <= 120 THEN text ELSE rtrim(left(text, 120), ' ') || '...' END) AS digest FROM documents",
     "content_hash": f"{WITH} SELECT finding_id, sha256(finding_id || chr(31) || title || chr(31) || coalesce(severity, chr(0)))[1:16] AS hash FROM findings",
     "json_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
