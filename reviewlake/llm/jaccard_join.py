@@ -10,13 +10,14 @@ set signs a prefix of the parts that grows with its size. A set with too few par
 signs its empty parts, told apart by its signatures under another hash.
 
 Sets, not documents, are joined: documents with equal sets share a fingerprint, and each Arrow
-batch sends a set's signatures once, so groups of copies cost no more than one text. Signatures
-are range-partitioned, sorted and streamed; only groups of at least two sets go on, joined with
-128-bit sketches (one bit of the least hash in each of 128 bins), which rule out most chance pairs
-before any set is fetched: a pair at the similarity passes with more than six standard deviations
-to spare. Members of a group meet one centre after another; pairs of a group that are still in
-different components after verification are all compared in a second round, in tiles of bounded
-size. So no link that joins components is left out, and no group's pairs are all sent.
+batch sends a set's signatures once, so groups of copies cost no more than one text. Texts are
+read once for sets, sketches and signatures. Signatures are range-partitioned, sorted and
+streamed; only groups of at least two sets go on, joined with 128-bit sketches (one bit of the least hash in
+each of 128 bins). Sets of a group with close sketches (a pair at the similarity passes with six
+standard deviations to spare) are one family; a task sends each set's family root, not pairs.
+Families get their sets, in tiles of bounded size, and pairs within a family that are not connected yet are compared
+exactly; again roots are sent, not pairs. So no link that joins components is left out, and
+no group's pairs are sent.
 
 Defined results: null or empty texts have no set and link with nothing; fewer words than
 the shingle length are one shingle; rows with equal doc_id each count as holders of that id; null ids
@@ -39,12 +40,12 @@ _U = np.uint64
 _MASK = (1 << 64) - 1
 _BINS = np.arange(128, dtype=np.uint64) << _U(57)
 TILE = 4096
+FAMILY_TILE = 1024
 BAND_STEP = 3
-SETS = "doc_id long, n_shingles long, set_id long, s1 long, s2 long"
-SIGNATURES = "signature long, set_id long"
+SETS = "doc_id long, n_shingles long, set_id long, s1 long, s2 long, signatures binary"
 ELEMENTS = "set_id long, elements binary"
 MEMBERS = "signature long, set_id long"
-PAIRS = "a long, b long"
+EDGES = "a long, b long"
 
 
 class PartEnum:
@@ -143,47 +144,44 @@ def _rolling() -> Rolling:
     return Rolling(20240801, fold_case=True)
 
 
-def _document_sets(k: int):
-    def run(batches):
-        rolling = _rolling()
-        for batch in batches:
-            sizes, prints, sketches = [], [], []
-            for raw in text_bytes(column_of(batch, "text")):
-                s = shingle_set(word_hashes(raw or b"", rolling), k)
-                sizes.append(len(s))
-                prints.append(set_fingerprint(s) if len(s) else None)
-                sketches.append(sketch(s))
-            yield batch_of(SETS, [column_of(batch, "doc_id"), sizes, prints, [x for x, _ in sketches], [y for _, y in sketches]])
+def _document_sets(k: int, percent: int):
+    """One row per document; the first of a batch with a set brings the set's signatures."""
 
-    return run
-
-
-def _sign(k: int, percent: int):
     def run(batches):
         rolling, join = _rolling(), PartEnum(percent)
         for batch in batches:
             seen: set[int] = set()
-            found, ids, waiting = [], [], 0
-            for raw in text_bytes(column_of(batch, "text")):
+            ids, rows, held = column_of(batch, "doc_id").to_pylist(), [], 0
+            for doc, raw in zip(ids, text_bytes(column_of(batch, "text"))):
                 s = shingle_set(word_hashes(raw or b"", rolling), k)
-                if not len(s) or (f := set_fingerprint(s)) in seen:
-                    continue
-                seen.add(f)
-                found.append(np.unique(join.signatures(s)))
-                ids.append(f)
-                waiting += len(found[-1])
-                if waiting > 500_000:
-                    yield _signature_rows(found, ids)
-                    found, ids, waiting = [], [], 0
-            if found:
-                yield _signature_rows(found, ids)
+                found, signs = None, None
+                if len(s):
+                    found = set_fingerprint(s)
+                    if found not in seen:
+                        seen.add(found)
+                        signs = signed(np.unique(join.signatures(s))).tobytes()
+                        held += len(signs)
+                rows.append((doc, len(s), found, *sketch(s), signs))
+                if held > 8_000_000:
+                    yield batch_of(SETS, list(zip(*rows)))
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(SETS, list(zip(*rows)))
 
     return run
 
 
-def _signature_rows(found, ids):
-    n = [len(x) for x in found]
-    return batch_of(SIGNATURES, [signed(np.concatenate(found)), np.repeat(np.array(ids, dtype=np.int64), n)])
+MEMBER_ROWS = "signature long, set_id long"
+
+
+def _unpacked(batches):
+    """One row per signature of a set."""
+    for batch in batches:
+        ids = column_of(batch, "set_id").to_numpy()
+        packed = [np.frombuffer(x.as_py(), dtype=np.int64) for x in column_of(batch, "signatures")]
+        for start in range(0, len(packed), 2000):
+            part = packed[start : start + 2000]
+            yield batch_of(MEMBER_ROWS, [np.concatenate(part), np.repeat(ids[start : start + 2000], [len(x) for x in part])])
 
 
 def _elements(k: int):
@@ -250,131 +248,135 @@ def allowed_mismatches(percent: int) -> int:
     return math.ceil(128 * p + 6 * math.sqrt(128 * p * (1 - p)))
 
 
-def _tile_pairs(percent: int, every_pair: bool):
-    """Candidate pairs within tiles of rows sorted by (signature, tile): sizes fit and sketches are close.
+def _union(root: np.ndarray, i: int, j: int) -> None:
+    a, b = root[i], root[j]
+    if a != b:
+        root[root == max(a, b)] = min(a, b)
 
-    First round: the members meet one centre after another; who is near a centre waits for its
-    verification. Second round (``every_pair``): all near pairs of different components.
-    """
-    most = allowed_mismatches(percent)
 
-    def near(i, sizes, s1, s2, rest):
-        low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-        apart = np.bitwise_count(s1[rest] ^ s1[i]).astype(np.int64) + np.bitwise_count(s2[rest] ^ s2[i])
-        return rest[(apart <= most) & (100 * low >= percent * high)]
-
-    def of_tile(ids, sizes, s1, s2, component, side):
-        a, b = [], []
-        rest = np.arange(len(ids))
-        if every_pair:
-            for i in range(len(ids) - 1):
-                found = near(i, sizes, s1, s2, rest[i + 1 :])
-                found = found[(component[found] != component[i]) & ((side[found] != side[i]) | (side[i] == 2))]
-                a.append(np.full(len(found), i))
-                b.append(found)
-        else:
-            while len(rest) > 1:
-                found = near(rest[0], sizes, s1, s2, rest[1:])
-                a.append(np.full(len(found), rest[0]))
-                b.append(found)
-                rest = np.setdiff1d(rest[1:], found, assume_unique=True)
-        if not a:
-            return None
-        x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-        return np.minimum(x, y), np.maximum(x, y)
+def _tiles(names: tuple[str, ...], work):
+    """Streams rows sorted by (group, tile) and calls ``work`` on the columns of each tile."""
 
     def run(batches):
-        key, held, out, waiting = None, [], [], 0
-        names = ("set_id", "n", "s1", "s2", "component", "side")
+        key, held = None, []
+
+        def done():
+            cols = [[x for h in held for x in h[i]] if isinstance(held[0][i], list) else np.concatenate([h[i] for h in held]) for i in range(len(names))]
+            return work(*cols)
+
+        out, waiting = [], 0
         for batch in batches:
-            keys = list(zip(column_of(batch, "signature").to_pylist(), column_of(batch, "tile").to_pylist()))
-            values = [column_of(batch, c).to_numpy() for c in names]
+            keys = list(zip(column_of(batch, "group").to_pylist(), column_of(batch, "tile").to_pylist()))
+            values = [column_of(batch, c).to_pylist() if c == "elements" else column_of(batch, c).to_numpy() for c in names]
             start = 0
             for end in range(1, len(keys) + 1):
                 if end < len(keys) and keys[end] == keys[start]:
                     continue
                 if keys[start] != key:
-                    if held and (found := of_tile(*(np.concatenate(c) for c in zip(*held)))):
-                        out.append(found)
-                        waiting += len(found[0])
+                    if held:
+                        out.append(done())
+                        waiting += len(out[-1][0])
                     key, held = keys[start], []
                 held.append([v[start:end] for v in values])
                 start = end
             if waiting > 100_000:
-                yield batch_of(PAIRS, [np.concatenate(c) for c in zip(*out)])
+                yield batch_of(EDGES, [np.concatenate(c) for c in zip(*out)])
                 out, waiting = [], 0
-        if held and (found := of_tile(*(np.concatenate(c) for c in zip(*held)))):
-            out.append(found)
+        if held:
+            out.append(done())
         if out:
-            yield batch_of(PAIRS, [np.concatenate(c) for c in zip(*out)])
+            yield batch_of(EDGES, [np.concatenate(c) for c in zip(*out)])
 
     return run
 
 
-def _similar(percent: int):
-    schema = "a long, b long"
+def _near(i, rest, sizes, s1, s2, percent, most):
+    low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
+    apart = np.bitwise_count(s1[rest] ^ s1[i]).astype(np.int64) + np.bitwise_count(s2[rest] ^ s2[i])
+    return rest[(apart <= most) & (100 * low >= percent * high)]
 
-    def run(batches):
-        for batch in batches:
-            a, b = column_of(batch, "a").to_numpy(), column_of(batch, "b").to_numpy()
-            keep = np.zeros(len(a), dtype=bool)
-            for i, (x, y) in enumerate(zip(column_of(batch, "a_elements"), column_of(batch, "b_elements"))):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch_of(schema, [a[keep], b[keep]])
-
-    return run, schema
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, percent: int, name: str) -> DataFrame:
-    """Pairs whose sets reach the similarity; the sets of candidates only are made and moved."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    sets = docs.select("text").mapInArrow(_elements(k), ELEMENTS).join(wanted, "set_id", "left_semi")
-    sets = scratch.keep(sets.dropDuplicates(["set_id"]), f"{name}-elements")
-    run, schema = _similar(percent)
-    both = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("b_elements")), "b")
-    both = both.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("a_elements")), "a")
-    found = scratch.keep(both.mapInArrow(run, schema), f"{name}-verified")
-    scratch.drop(f"{name}-elements")
-    return found
+
+def _roots(ids, root):
+    some = root != np.arange(len(ids))
+    return ids[some], ids[root[some]]
+
+
+def _across(i, side):
+    """Rows that row i of a tile meets: later ones, and of a tile of two sides only the other side's."""
+    rest = np.arange(i + 1, len(side))
+    return rest if side[i] == 2 else rest[side[rest] != side[i]]
+
+
+def _families(percent: int):
+    """(set, family root) of sets whose sketches are close, in each tile; nothing is sent twice for a set."""
+    most = allowed_mismatches(percent)
+
+    def work(ids, sizes, s1, s2, side):
+        root = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            rest = _across(i, side)
+            rest = rest[root[rest] != root[i]]
+            for label in np.unique(root[_near(i, rest, sizes, s1, s2, percent, most)]):
+                _union(root, i, label)
+        return _roots(ids, root)
+
+    return _tiles(("set_id", "n", "s1", "s2", "side"), work)
+
+
+def _linked(percent: int):
+    """(set, component root) of sets that reach the similarity, in each tile, by exact counts."""
+    most = allowed_mismatches(percent)
+
+    def work(ids, sizes, s1, s2, side, elements):
+        root = np.arange(len(ids))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in elements]
+        for i in range(len(ids) - 1):
+            rest = _across(i, side)
+            rest = rest[root[rest] != root[i]]
+            rest = _near(i, rest, sizes, s1, s2, percent, most) if len(rest) else rest
+            while len(rest):
+                j, rest = rest[0], rest[1:]
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    _union(root, i, j)
+                    rest = rest[root[rest] != root[i]]
+        return _roots(ids, root)
+
+    return _tiles(("set_id", "n", "s1", "s2", "side", "elements"), work)
+
+
+def _tiled(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of ``group`` dealt to tiles of about ``size`` by a hash, each tile with itself and with every other of its group."""
+    counts = rows.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").withColumn("tiles", F.expr(f"cast((m - 1) div {size} as int) + 1")).drop("m")
+    placed = rows.join(counts, "group").withColumn("t", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("u", F.explode(F.expr("sequence(0, tiles - 1)")))
+    tile = F.least("t", "u").cast("long") * F.col("tiles") + F.greatest("t", "u")
+    side = F.when(F.col("t") == F.col("u"), 2).otherwise(F.when(F.col("t") < F.col("u"), 0).otherwise(1))
+    return placed.withColumns({"tile": tile, "side": side}).drop("t", "u", "tiles")
 
 
 def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id): component_id is the smallest doc_id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.keep(docs.mapInArrow(_document_sets(k), SETS), "sets")
-    signatures = docs.select("text").mapInArrow(_sign(k, percent), SIGNATURES)
+    signed_sets = scratch.keep(docs.mapInArrow(_document_sets(k, percent), SETS), "sets")
+    sets = signed_sets.drop("signatures")
+    signatures = signed_sets.where("signatures is not null").select("set_id", "signatures").mapInArrow(_unpacked, MEMBER_ROWS)
     ordered = signatures.repartitionByRange("signature", "set_id").sortWithinPartitions("signature", "set_id")
     shared = scratch.keep(ordered.mapInArrow(_shared, MEMBERS), "shared")
     of_set = sets.where("set_id is not null").dropDuplicates(["set_id"]).select("set_id", F.col("n_shingles").alias("n"), "s1", "s2")
-    members = scratch.keep(shared.join(of_set, "set_id"), "members")
-    scratch.drop("shared")
-
-    # Tiles of a group: by a hash of the set, so that a tile holds about TILE sets however large the group is.
-    sizes = members.groupBy("signature").agg(F.count("*").alias("m")).where("m > 1").withColumn("tiles", F.expr(f"cast((m - 1) div {TILE} as int) + 1")).drop("m")
-    tiled = members.join(sizes, "signature").withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("string"))
-    tiled = tiled.withColumns({"component": F.lit(0).cast("long"), "side": F.lit(2)})
-    order = ["signature", "tile", "set_id"]
-    pairs = tiled.repartition("signature", "tile").sortWithinPartitions(*order).mapInArrow(_tile_pairs(percent, False), PAIRS)
-    pairs = scratch.keep(pairs.distinct(), "pairs")
-    links = _verified(docs, pairs, scratch, k, percent, "first")
-    parts = connected_components(scratch, links, "first-components")
-
-    # Second round: groups whose members are not in one component yet, every tile with every other.
-    placed = members.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    still_open = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("signature")
-    placed = placed.join(still_open, "signature").join(sizes, "signature").withColumn("t", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
-    placed = placed.select("*", F.explode(F.expr("sequence(0, tiles - 1)")).alias("u"))
-    tile = F.concat_ws("-", F.least("t", "u"), F.greatest("t", "u"))
-    side = F.when(F.col("t") == F.col("u"), 2).otherwise(F.when(F.col("t") < F.col("u"), 0).otherwise(1))
-    placed = placed.withColumns({"tile": tile, "side": side}).drop("t", "u", "tiles")
-    more = placed.repartition("signature", "tile").sortWithinPartitions(*order).mapInArrow(_tile_pairs(percent, True), PAIRS)
-    more = scratch.keep(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_verified(docs, more, scratch, k, percent, "second"))
-        parts = connected_components(scratch, links, "second-components")
+    members = shared.withColumnRenamed("signature", "group").join(of_set, "set_id")
+    tiles = _tiled(scratch.keep(members, "members"), TILE).repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
+    families = connected_components(scratch, tiles.mapInArrow(_families(percent), EDGES), "families")
+    families = scratch.keep(families.select(F.col("node").alias("set_id"), F.col("component").alias("group")).join(of_set, "set_id"), "families")
+    scratch.drop("shared", "members")
+
+    # The sets themselves, only of families, from a second reading of the texts.
+    elements = docs.select("text").mapInArrow(_elements(k), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
+    elements = scratch.keep(elements.dropDuplicates(["set_id"]), "elements")
+    tiles = _tiled(families, FAMILY_TILE).join(elements, "set_id").repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
+    parts = connected_components(scratch, tiles.mapInArrow(_linked(percent), EDGES), "components")
+    scratch.drop("elements")
 
     of_set = sets.where("set_id is not null").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
