@@ -190,6 +190,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node either points at one smaller node or is pointed at."""
+    edges = edges.where("hi <> lo")
+    ends = edges.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component): component is the smallest node reachable over ``edges(a, b)``.
 
@@ -201,8 +208,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -
     cur = scratch.keep(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{name}0"
     )
-    previous, turn = None, 0
-    while True:
+    turn = 0
+    while not _only_stars(cur):
         both = cur.where("hi <> lo").select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(
             cur.where("hi <> lo").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -214,16 +221,12 @@ def connected_components(scratch: Scratch, edges: DataFrame, name: str = "cc") -
             small.select("hi", F.col("m").alias("lo"))
         ).where("hi <> lo").distinct()
         turn += 1
-        nxt = scratch.keep(small_star, f"{name}{turn}")
-        state = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if previous == state:
-            break
+        cur = scratch.keep(small_star, f"{name}{turn}")
         if turn > 1:
             scratch.drop(f"{name}{turn - 1}")
-        previous, cur = state, nxt
     nodes = scratch.spark.read.schema(cur.schema).parquet(scratch.paths[f"{name}0"])
     every = nodes.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-    return every.join(cur.withColumnRenamed("hi", "node"), "node", "left").select(
+    return every.join(cur.where("hi <> lo").withColumnRenamed("hi", "node"), "node", "left").select(
         "node", F.coalesce("lo", "node").alias("component")
     )
 

@@ -41,6 +41,7 @@ _MASK = (1 << 64) - 1
 _BINS = np.arange(128, dtype=np.uint64) << _U(57)
 TILE = 4096
 FAMILY_TILE = 1024
+FILTER_BITS = 1 << 24
 BAND_STEP = 3
 SETS = "doc_id long, n_shingles long, set_id long, s1 long, s2 long, signatures binary"
 ELEMENTS = "set_id long, elements binary"
@@ -81,6 +82,11 @@ class PartEnum:
         """Parts of which usually more than k are in use."""
         return k + 1 + k // 5 + 4
 
+    @staticmethod
+    def prefix(size: int, own: int, parts: int) -> int:
+        """Parts that a set of ``size`` signs: so many that usually more than ``own`` are in use; grows with the size."""
+        return min(parts, math.ceil(1.12 * (own + 1) / (1 - math.exp(-size / parts))) + 4)
+
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         size = len(elements)
         if not size:
@@ -109,7 +115,7 @@ class PartEnum:
             label = np.arange(parts, dtype=np.uint64)
             found = mix(mix(content) + label * _U(0x9E3779B97F4A7C15) + tag)
             own = min(k, len(elements) * (100 - self.percent) // self.percent)
-            prefix = min(parts, self.enough(own))
+            prefix = self.prefix(len(elements), own, parts)
             if k == 0 or np.count_nonzero(count[:prefix]) > own:
                 return found[:prefix][count[:prefix] > 0]
         else:
@@ -184,15 +190,32 @@ def _unpacked(batches):
             yield batch_of(MEMBER_ROWS, [np.concatenate(part), np.repeat(ids[start : start + 2000], [len(x) for x in part])])
 
 
-def _elements(k: int):
+def _filter(sets: DataFrame) -> np.ndarray:
+    """Bits of the hashes of ``set_id``: a filter of FILTER_BITS bits, whatever the number of sets.
+
+    It is summed on the executors; at most FILTER_BITS / 64 words reach the driver. A set outside may pass by
+    chance and is dropped by the join that follows; none of the sets is held back.
+    """
+    bit = F.pmod("set_id", F.lit(FILTER_BITS))
+    words = sets.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(set_id, {FILTER_BITS}), 64) as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+
+
+def _elements(k: int, wanted: np.ndarray):
+    packed = np.packbits(wanted)
+
     def run(batches):
+        wanted = np.unpackbits(packed).astype(bool)
         rolling = _rolling()
         for batch in batches:
             rows: dict[int, bytes] = {}
             for raw in text_bytes(column_of(batch, "text")):
                 s = shingle_set(word_hashes(raw or b"", rolling), k)
-                if len(s):
-                    rows.setdefault(set_fingerprint(s), s.tobytes())
+                if len(s) and wanted[(found := set_fingerprint(s)) % FILTER_BITS]:
+                    rows.setdefault(found, s.tobytes())
                 if len(rows) >= 2000:
                     yield batch_of(ELEMENTS, list(zip(*rows.items())))
                     rows = {}
@@ -371,8 +394,8 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     families = scratch.keep(families.select(F.col("node").alias("set_id"), F.col("component").alias("group")).join(of_set, "set_id"), "families")
     scratch.drop("shared", "members")
 
-    # The sets themselves, only of families, from a second reading of the texts.
-    elements = docs.select("text").mapInArrow(_elements(k), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
+    # The sets themselves, only of families, from a second reading of the texts; others do not travel.
+    elements = docs.select("text").mapInArrow(_elements(k, _filter(families)), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
     elements = scratch.keep(elements.dropDuplicates(["set_id"]), "elements")
     tiles = _tiled(families, FAMILY_TILE).join(elements, "set_id").repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
     parts = connected_components(scratch, tiles.mapInArrow(_linked(percent), EDGES), "components")
