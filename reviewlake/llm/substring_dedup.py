@@ -38,7 +38,7 @@ from .common import Rolling, Scratch, batch_of, column_of, mix, signed, text_byt
 _U = np.uint64
 LENGTH = 100
 GRAM = 20
-MANY = 5000
+MANY = 1000
 LAST = (1 << 63) - 1
 PIECE = 1 << 20
 MEMBERS = "bucket long, run long, doc long, text_hash long, lo int, span int, gram int, decided boolean"
@@ -98,20 +98,25 @@ def _members(batches):
             yield _member_rows(found)
 
 
-def _member_rows(found):
+def _judged(found):
+    """Columns of members, and marks: an equal run comes before it among these; it is a repeated row of the table."""
     bucket, run, lo, span, gram, doc, th = (np.concatenate(c) for c in zip(*found))
-    # Equal runs within the batch: all but the first in order are decided here.
     order = np.lexsort((lo, th, doc, run, bucket))
     b, r, d, t, p = (x[order] for x in (bucket, run, doc, th, lo))
     head = np.ones(len(order), dtype=bool)
     head[1:] = (b[1:] != b[:-1]) | (r[1:] != r[:-1])
     of = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    same_place = (d == d[of]) & (t == t[of]) & (p == p[of])  # a repeated row of the table
-    again = np.zeros(len(order), dtype=bool)
+    same_place = (d == d[of]) & (t == t[of]) & (p == p[of])
+    again, twice = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
     again[order] = ~head & ~same_place
-    keep = np.ones(len(order), dtype=bool)
-    keep[order] = head | ~same_place
-    return batch_of(MEMBERS, [x[keep] for x in (signed(bucket), signed(run), doc, th, lo, span, gram, again)])
+    twice[order] = ~head & same_place
+    return (signed(bucket), signed(run), doc, th, lo, span, gram), again, twice
+
+
+def _member_rows(found):
+    """Within a batch, all but the first of equal runs are decided here."""
+    cols, again, twice = _judged(found)
+    return batch_of(MEMBERS, [*(x[~twice] for x in cols), again[~twice]])
 
 
 def _split_buckets(batches):
@@ -176,7 +181,17 @@ def _window_rows(batches):
             zero = np.zeros(n, dtype=np.int64)
             found.append((w, v, lo[i] + np.arange(n), zero, zero, np.full(n, doc[i]), np.full(n, th[i])))
         if found:
-            yield _member_rows(found)
+            cols, again, twice = _judged(found)
+            yield batch_of(MEMBERS, [*(x[~again & ~twice] for x in cols), np.zeros(np.count_nonzero(~again & ~twice), dtype=bool)])
+            # Decided windows next to one another are one row.
+            order = np.flatnonzero(again)
+            order = order[np.lexsort((cols[4][order], cols[3][order], cols[2][order]))]
+            if len(order):
+                _, _, d, t, p, zero, _ = (x[order] for x in cols)
+                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)]))
+                last = np.append(first[1:], len(order)) - 1
+                none = zero[first]
+                yield batch_of(MEMBERS, [none, none, d[first], t[first], p[first], p[last] - p[first], none, np.ones(len(first), dtype=bool)])
 
 
 def _shared(key: np.ndarray) -> np.ndarray:
