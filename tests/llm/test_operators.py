@@ -324,3 +324,38 @@ def test_pipeline_stages(spark, tmp_path):
         if name != "mixing":
             assert docs.columns == corpus_pipeline.COLUMNS
     assert counts[-1] > 0 and all(a >= b for a, b in zip(counts, counts[1:])) and counts[0] > counts[3]
+
+
+def test_lm_scoring_predicts_each_word_and_spells_rare_ones(spark):
+    """Pairs of 120 equally frequent words: the right partner is likelier. Rare words are not other words' slots."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(1500):
+        texts.append(" ".join(f"a{i} b{i}" for i in (rng.randrange(60) for _ in range(40))))
+    right = [f"a{i} b{i}" for i in range(60)]
+    wrong = [f"a{i} b{(i + 7) % 60}" for i in range(60)]
+    odd = ["".join(rng.choice("lmno") for _ in range(6)) for _ in range(300)] + ["lmnolm", "zqxkjw"]
+    rows = list(enumerate(texts + right + wrong + odd))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_scoring.scored_documents(docs).collect()}
+    n = len(texts)
+    better = sum(got[n + i] > got[n + 60 + i] + 0.1 for i in range(60))
+    assert better >= 57
+    assert got[len(rows) - 2] > got[len(rows) - 1] + 1
+
+
+def test_lm_vocabulary_is_counted_and_the_model_adds_up_to_one(spark):
+    rows = [(i, " ".join(["often"] * 5 + ["Mid"] + [f"once{i}"])) for i in range(lm_scoring.LEAST)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm_scoring.slot_counts(docs)
+    least = lm_scoring.LEAST
+    assert sorted(counts.n.tolist()) == [least, least, 5 * least]
+    tree = lm_scoring.slot_classes(counts)
+    net = lm_scoring.train_network(docs, tree)
+    around = np.tile(np.array([[0, 1, 2, 3]], dtype=np.int32), (3, 1))
+    logs = net.log_likelihoods(around, np.arange(3), np.arange(3), 3)
+    assert abs(np.exp(logs).sum() - 1) < 1e-4
+    _, log_p = lm_scoring.within_class(counts, tree).table()
+    unseen = lm_scoring.EDGE + 1 - (log_p.shape[2] - 1)
+    total = np.exp(log_p[:, :, :-1]).sum(axis=2) + unseen * np.exp(log_p[:, :, -1])
+    assert np.allclose(total, 1)
