@@ -1,7 +1,7 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Windows as long as a benchmark item are cut from documents where a shingle of the item occurs
-(a window at or above the threshold shares at least one), aligned with it. Windows and items get a
+Every window as long as a benchmark item is cut from a document, at whatever start, if it holds as many
+shingle places of the item as a window at the threshold must. Windows and items get a
 64-bit SimHash of their weighted shingles; fingerprints are cut into radius + 1 blocks and joined
 on (item length, block number, block value), which finds every pair within the radius; pairs
 within it are verified by exact weighted Jaccard similarity of their shingle counts.
@@ -64,6 +64,19 @@ def _blocks(radius: int) -> Column:
     ])
 
 
+def _starts(similarity: float) -> Column:
+    """Starts of all windows that hold enough of the sorted ``places`` to reach ``similarity``.
+
+    Shared weight c must be at least s (a + b) / (1 + s) for totals a and b, and a window shares at most
+    as much as it holds places. A window with so many holds a run of that many neighbouring places.
+    """
+    size = f"greatest(1, least(n_words, doc_words) - {SHINGLE - 1})"
+    need = f"greatest(1, cast(ceil({similarity} * ({size} + greatest(1, n_words - {SHINGLE - 1})) / (1 + {similarity}) - 1e-6) as int))"
+    low, high = f"greatest(0, places[i + {need} - 1] - {size} + 1)", "least(places[i], greatest(0, doc_words - n_words))"
+    runs = f"transform(sequence(0, size(places) - {need}), i -> CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE cast(array() as array<int>) END)"
+    return F.expr(f"CASE WHEN size(places) >= {need} THEN array_distinct(flatten({runs})) END")
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of the best window of each pair at or above ``similarity``."""
     spark = docs.sparkSession
@@ -73,21 +86,20 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     items = scratch.keep(items, "items")
     of_items = items.select("item_id", "version", "n_words", F.posexplode("shingles").alias("place", "shingle"))
     window = ["doc_id", "text_hash", "start", "n_words"]
-    hashed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), word_hash_array(F.col("text")).alias("words"))
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("item_place"), F.col("doc_words") - F.col("n_words")))
-    piece = F.expr("slice(words, start + 1, n_words)").alias("piece")
-    of_place = of_items.withColumnRenamed("place", "item_place")
-    exploded = hashed.select("doc_id", "text_hash", "words", F.size("words").alias("doc_words"), F.posexplode(shingles_of("words")).alias("place", "shingle"))
-    if of_items.count() <= BROADCAST_SHINGLES:
-        # Whole texts once: each shingle that an item holds yields its aligned window's word hashes at once.
-        hits = exploded.join(F.broadcast(of_place), "shingle").withColumn("start", start)
-        cut = hits.select(*window, piece).dropDuplicates(window)
-    else:
-        # Places only travel to the items; the windows found come back to their texts.
-        hits = exploded.drop("words").join(of_place, "shingle").withColumn("start", start).select(*window).distinct()
-        cuts = hits.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "start", "n_words")
-        same = hashed["doc_id"].eqNullSafe(F.col("c_doc")) & (hashed["text_hash"] == F.col("c_hash"))
-        cut = hashed.join(cuts, same).select(*window, piece).dropDuplicates(window)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    hashed = texts.select("doc_id", "text_hash", word_hash_array(F.col("text")).alias("words"))
+    exploded = hashed.select("doc_id", "text_hash", F.size("words").alias("doc_words"), F.posexplode(shingles_of("words")).alias("place", "shingle"))
+    sought = of_items.groupBy("item_id", "version", "n_words", "shingle").agg(F.lit(1).alias("one")).drop("one")
+    n_sought = of_items.count()
+    hits = exploded.join(F.broadcast(sought) if n_sought <= BROADCAST_SHINGLES else sought, "shingle")
+    places = hits.groupBy("doc_id", "text_hash", "doc_words", "item_id", "version", "n_words").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    cuts = scratch.keep(places.select("doc_id", "text_hash", "n_words", F.explode(_starts(similarity)).alias("start")).distinct(), "cuts")
+    # Only places travel to the items; the windows found come back to their texts.
+    spans = cuts.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    same = texts["doc_id"].eqNullSafe(F.col("c_doc")) & (texts["text_hash"] == F.col("c_hash"))
+    held = texts.join(F.broadcast(spans) if cuts.count() <= BROADCAST_SHINGLES and n_sought <= BROADCAST_SHINGLES else spans, same)
+    held = held.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", word_hash_array(F.col("text")).alias("words"), "spans")
+    cut = held.select("doc_id", "text_hash", "words", F.explode("spans").alias("span")).select("doc_id", "text_hash", "span.*", F.expr("slice(words, span.start + 1, span.n_words)").alias("piece"))
     pieces = cut.select(*window, F.explode(shingles_of("piece")).alias("shingle"))
     of_windows = scratch.keep(pieces.groupBy(*window, "shingle").agg(F.count("*").alias("weight")), "windows")
     prints = of_windows.groupBy(*window).agg(*_simhash(), F.sum("weight").alias("total")).select(*window, "total", _fingerprint().alias("fingerprint"))

@@ -359,3 +359,46 @@ def test_lm_vocabulary_is_counted_and_the_model_adds_up_to_one(spark):
     unseen = lm_scoring.EDGE + 1 - (log_p.shape[2] - 1)
     total = np.exp(log_p[:, :, :-1]).sum(axis=2) + unseen * np.exp(log_p[:, :, -1])
     assert np.allclose(total, 1)
+
+
+def _best_windows(rows, items):
+    """Brute force: (doc, item) to (similarity, start) of the best item-sized window at 0.8 or more."""
+    def shingles(w):
+        out = {}
+        for s in [tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))] if w else []:
+            out[s] = out.get(s, 0) + 1
+        return out
+
+    want = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        for item, body in items:
+            b = body.lower().split()
+            y = shingles(b)
+            for s in range(max(1, len(w) - len(b) + 1)) if w else []:
+                x = shingles(w[s : s + len(b)])
+                both = sum(min(v, y.get(k, 0)) for k, v in x.items())
+                score = both / (sum(x.values()) + sum(y.values()) - both)
+                if score >= 0.8 and score > want.get((i, item), (0, 0))[0]:
+                    want[i, item] = (score, s)
+    return want
+
+
+def test_decontamination_of_inserts_and_edited_ends(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([80, 80, 60, 100])] + [(4, " ".join(["tick", "tock"] * 20))]
+    rows = []
+    for i in range(120):
+        item, body = items[i % 4]
+        leak = body.split()
+        ends, inserts = (2, 3) if i < 4 else (rng.randint(0, 3), rng.randint(0, 8))
+        leak[:ends], leak[len(leak) - ends :] = [word() for _ in range(ends)], [word() for _ in range(ends)]
+        at = 34 if i < 4 else rng.randrange(len(leak))
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 30))] + leak[:at] + [word() for _ in range(inserts)] + leak[at:] + [word() for _ in range(rng.randint(0, 30))])))
+    rows += [(200, " ".join(["tock"] + ["tick", "tock"] * 25)), (201, " ".join(items[0][1].split()[:75])), (202, items[2][1].upper())]
+    want = _best_windows(rows, items)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontamination.contaminated_windows(d, b).collect()}
+    assert got == want and (0, 0) in want and len(want) > 40
