@@ -7,7 +7,8 @@ on (item length, block number, block value), which finds every pair within the r
 within it are verified by exact weighted Jaccard similarity of their shingle counts.
 
 Words are runs of characters other than space and 09-0D, lower-cased. Shingles have five words; shorter items and
-documents are one shingle. A shingle's weight is how often it occurs. A document shorter than the
+documents are one shingle. For items of fewer than five words, documents are cut into shingles of their length as
+well, of which the first match is the best window. A shingle's weight is how often it occurs. A document shorter than the
 item is one window. Null or empty texts, items and documents, match nothing; null ids are kept as
 ids; repeated rows of a document or an item give one row a pair. Extra columns are ignored.
 """
@@ -88,11 +89,18 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     window = ["doc_id", "text_hash", "start", "n_words"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     hashed = texts.select("doc_id", "text_hash", word_hash_array(F.col("text")).alias("words"))
-    exploded = hashed.select("doc_id", "text_hash", F.size("words").alias("doc_words"), F.posexplode(shingles_of("words")).alias("place", "shingle"))
     sought = of_items.groupBy("item_id", "version", "n_words", "shingle").agg(F.lit(1).alias("one")).drop("one")
     n_sought = of_items.count()
-    hits = exploded.join(F.broadcast(sought) if n_sought <= BROADCAST_SHINGLES else sought, "shingle")
-    places = hits.groupBy("doc_id", "text_hash", "doc_words", "item_id", "version", "n_words").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    group = ["doc_id", "text_hash", "doc_words", "item_id", "version", "n_words"]
+
+    def shared(k: int, wanted: DataFrame) -> DataFrame:
+        exploded = hashed.select("doc_id", "text_hash", F.size("words").alias("doc_words"), F.posexplode(shingles_of("words", k)).alias("place", "shingle"))
+        return exploded.join(F.broadcast(wanted) if n_sought <= BROADCAST_SHINGLES else wanted, "shingle").groupBy(*group)
+
+    places = shared(SHINGLE, sought.where(F.col("n_words") >= SHINGLE)).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    for r in items.where(F.col("n_words") < SHINGLE).select("n_words").distinct().collect():
+        first = shared(r["n_words"], sought.where(F.col("n_words") == r["n_words"])).agg(F.array(F.min("place")).alias("places"))
+        places = places.unionByName(first)
     cuts = scratch.keep(places.select("doc_id", "text_hash", "n_words", F.explode(_starts(similarity)).alias("start")).distinct(), "cuts")
     # Only places travel to the items; the windows found come back to their texts.
     spans = cuts.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))

@@ -402,3 +402,17 @@ def test_decontamination_of_inserts_and_edited_ends(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontamination.contaminated_windows(d, b).collect()}
     assert got == want and (0, 0) in want and len(want) > 40
+
+
+def test_decontamination_of_short_items(spark):
+    """Items of one to five words inside long, short and equal documents."""
+    items = [(1, "Zeta"), (2, "blue moon"), (3, "alpha beta gamma"), (4, "one two three four"), (5, "five words are one shingle"), (6, "six words are two shingles here")]
+    filler = " ".join(f"w{i}" for i in range(40))
+    rows = [(0, filler)] + [(i, f"{filler} {body.upper()} {filler} {body}") for i, body in items]
+    rows += [(10 + i, body) for i, body in items] + [(20 + i, f"x {body}") for i, body in items]
+    rows += [(30, "alpha beta"), (31, "alpha beta x gamma"), (32, "one two three"), (33, ""), (34, None)]
+    want = _best_windows(rows, items)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontamination.contaminated_windows(d, b).collect()}
+    assert got == want and len(want) == 18
