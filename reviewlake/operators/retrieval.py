@@ -103,14 +103,24 @@ BROADCAST_QUERIES = 10_000
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact inner-product top-k of a stated, bounded query set against all rows.
+    """(query_id, id, score, rank): exact inner-product top-k of a query set of any size against all rows.
 
-    Queries are broadcast (at most ``BROADCAST_QUERIES``); ranks are cut within tasks before the shuffle.
+    Up to ``BROADCAST_QUERIES`` queries are one broadcast. More are dealt by hash into blocks of about
+    that many, and each block meets each part of the rows in a task of its own, so no task holds all
+    queries. Ranks are cut within tasks before the shuffle.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} query vectors; send them in parts")
     q = queries.select(c(id_col).alias("query_id"), c(vector_col).alias("_q"))
-    scored = vectors.join(F.broadcast(q), c(id_col) != c("query_id")).select("query_id", c(id_col).alias("id"), inner_product(c(vector_col), c("_q")).alias("score"))
+    v = vectors.select(c(id_col).alias("id"), c(vector_col).alias("_v"))
+    other = c("id") != c("query_id")
+    n = q.count()
+    if n <= BROADCAST_QUERIES:
+        met = v.join(F.broadcast(q), other)
+    else:
+        blocks, parts = -(-n // BROADCAST_QUERIES), max(1, -(-v.count() // BROADCAST_QUERIES))
+        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        v = v.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = v.join(q, ["block", "part"]).where(other)
+    scored = met.select("query_id", "id", inner_product(c("_v"), c("_q")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 

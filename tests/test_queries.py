@@ -161,3 +161,10 @@ def test_catalogue_files(spark, tmp_path):
 def test_settled_keeps_rows(spark):
     df = spark.createDataFrame([(1, None), (2, "b")], "a int, b string")
     assert sorted(settled(df).collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_top_k_of_more_queries_than_one_block(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5) - 2.0, i / 50]) for i in range(50)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, retrieval.top_k(vectors, vectors, 3).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 7)
+    assert sorted(map(tuple, retrieval.top_k(vectors, vectors, 3).collect())) == want and len(want) == 150
