@@ -4,7 +4,8 @@ A source's words are laid end to end (documents in a fixed order) and packed int
 fixed length per source; a source whose target asks for N block slots sends each slot to a
 pseudorandom output shard, so the shard counts of a source are one multinomial draw that sums to
 N exactly; slot j maps to block perm(j) of its epoch by a keyed swap-or-not permutation of the
-block indexes, and slots meet blocks in a join on (source, block).
+block indexes, and slots meet the packed blocks in a join on (source, block): ``mixed_shards`` is
+the mix itself, and the figures of the documents are counted from the words in its blocks.
 
 Running sums are taken in two levels (within a hashed chunk of a source, then over the chunk
 sums), so a source that holds a third of all rows is spread over many tasks.
@@ -97,7 +98,11 @@ def drawn_slots(plan: DataFrame, seed: int) -> DataFrame:
 
 def _sized(docs: DataFrame) -> DataFrame:
     """A key that is never null stands for the source, so that joins and groups share one partitioning."""
-    return docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"))
+    return docs.select(F.col("doc_id"), _key(), word_count(F.col("text")).alias("size"))
+
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source_key")
 
 
 def _source() -> Column:
@@ -111,30 +116,52 @@ def shard_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return drawn.groupBy("source_key", "shard").agg(F.count("*").alias("slots")).select(_source(), "shard", "slots")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken."""
-    rows = _sized(docs).withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CHUNKS)).cast("int"))
-    by_chunk = Window.partitionBy("source_key", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.repartition("source_key", "chunk").withColumn("before", F.coalesce(F.sum("size").over(by_chunk), F.lit(0)))
-
+def _laid_out(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their text and the place of their first word in their source, and the plan of the sources."""
+    rows = docs.select(F.col("doc_id"), "text", _key(), word_count(F.col("text")).alias("size"))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CHUNKS)).cast("int"))
+    by_chunk = Window.partitionBy("source_key", "chunk").orderBy("doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy("source_key", "chunk").agg(F.sum("size").alias("chunk_size"))
+    rows = rows.repartition("source_key", "chunk").withColumn("before", F.coalesce(F.sum("size").over(by_chunk), F.lit(0)))
     over_chunks = Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(over_chunks), F.lit(0)))
     plan = _plan(chunks.groupBy("source_key").agg(F.sum("chunk_size").alias("source_size")), weights, share)
-    drawn = drawn_slots(plan, seed).groupBy("source_key", "block").agg(F.count("*").alias("times"))
-
-    starts = chunks.join(plan.select("source_key", "source_size", "target", "length"), "source_key").drop("chunk_size")
+    starts = chunks.join(plan.select("source_key", "length"), "source_key").drop("chunk_size")
     placed = rows.join(starts, ["source_key", "chunk"]).withColumn("start", F.col("chunk_start") + F.col("before"))
-    placed = placed.select("doc_id", "source_key", "size", "source_size", "target", "length", "start")
-    parts = placed.where("size > 0").select("*", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest(F.col("start"), F.col("block") * F.col("length"))
-    joined = parts.withColumn("overlap", overlap).join(drawn, ["source_key", "block"], "left")
+    return placed.select("doc_id", "text", "source_key", "size", "length", "start"), plan
+
+
+def _slots_with_blocks(placed: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """(source_key, block, pieces, shard, slot): every block once for each slot that takes it, or once with null slot."""
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "").alias("words")
+    spread = placed.where("size > 0").select("doc_id", "source_key", "size", "length", "start", words)
+    spread = spread.select("*", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
+    first = "greatest(start, block * length)"
+    piece = F.expr(f"array_join(slice(words, int({first} - start) + 1, int(least(start + size, (block + 1) * length) - {first})), ' ')")
+    spread = spread.select("source_key", "block", F.struct(F.expr(first).alias("at"), "start", "doc_id", "size", piece.alias("words")).alias("piece"))
+    packed = spread.groupBy("source_key", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    return packed.join(drawn_slots(plan, seed), ["source_key", "block"], "left")
+
+
+def mixed_shards(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
+    """The mix: (shard, slot, source, block, n_words, text), one row per slot with the words of its block."""
+    out = _slots_with_blocks(*_laid_out(docs, weights, share, seed), seed).where("slot is not null")
+    text = F.array_join(F.col("pieces.words"), " ")
+    return out.select("shard", "slot", _source(), "block", word_count(text).alias("n_words"), text.alias("text"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    ``taken`` counts the words of the row that stand in the blocks of the mix.
+    """
+    placed, plan = _laid_out(docs, weights, share, seed)
+    pieces = _slots_with_blocks(placed, plan, seed).select("source_key", "slot", F.explode("pieces").alias("piece")).select("source_key", "slot", "piece.*")
     # A row's place in its source tells repeated rows apart.
-    taken = joined.groupBy("doc_id", "source_key", "size", "source_size", "target", "start").agg(
-        F.sum(F.coalesce(F.col("overlap") * F.col("times"), F.lit(0))).cast("long").alias("taken")
-    )
-    rest = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.drop("start").unionByName(rest.drop("length", "start")).select("doc_id", _source(), "size", "source_size", "target", "taken")
+    taken = pieces.groupBy("doc_id", "source_key", "size", "start").agg(F.sum(F.when(F.col("slot").isNotNull(), word_count(F.col("words"))).otherwise(F.lit(0))).cast("long").alias("taken"))
+    rest = placed.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken"))
+    every = taken.drop("start").unionByName(rest).join(F.broadcast(plan.select("source_key", "source_size", "target")), "source_key")
+    return every.select("doc_id", _source(), "size", "source_size", "target", "taken")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:

@@ -416,3 +416,27 @@ def test_decontamination_of_short_items(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontamination.contaminated_windows(d, b).collect()}
     assert got == want and len(want) == 18
+
+
+def test_mixed_shards_hold_the_words(docs, rows, nothing):
+    """The blocks drawn hold the sources' own words, each shard has its drawn slots, and documents' figures follow."""
+    out = mixing.mixed_shards(docs).collect()
+    drawn = {(r["source"], r["shard"]): r["slots"] for r in mixing.shard_counts(docs).collect()}
+    got, taken, blocks = {}, {}, {}
+    for r in out:
+        got[r["source"], r["shard"]] = got.get((r["source"], r["shard"]), 0) + 1
+        words = r["text"].split(" ")
+        assert len(words) == r["n_words"] > 0
+        assert blocks.setdefault((r["source"], r["block"]), words) == words
+        for w in words:
+            taken[r["source"], w] = taken.get((r["source"], w), 0) + 1
+    assert got == drawn and len({(r["source"], r["slot"]) for r in out}) == len(out)
+    # Laid end to end, each source's blocks are its words; every block is drawn here or another time.
+    all_words = {}
+    for _, text, _, source, _ in rows:
+        for w in WORD.findall(text or ""):
+            all_words[source, w] = all_words.get((source, w), 0) + 1
+    assert set(taken) <= set(all_words) and all(n <= 2 * all_words[k] for k, n in taken.items())
+    figures = {r["source"]: r["n"] for r in mixing.mixed_documents(docs).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert figures == {s: sum(n for (t, _), n in taken.items() if t == s) for s in figures}
+    assert mixing.mixed_shards(nothing).count() == 0
