@@ -6,6 +6,7 @@ unset, as in tests), so losing an executor never loses intermediate data.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -22,13 +23,15 @@ ASCII_SPACE_CLASS = "[^\\x20\\x09-\\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where none is configured."""
+    """Folder shared by driver and executors; a temporary one only where none is configured and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -40,10 +43,12 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts lineage and survives lost executors."""
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        path = f"{self.base}/{name}-{self.made}"
+        self.made += 1
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
@@ -56,6 +61,38 @@ class Scratch:
                 jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row`` beside ``columns``, so that no name of theirs can clash."""
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(None).alias("none"))
+    return docs.select(row.alias("row"), *[value.alias(name) for name, value in columns.items()])
+
+
+def small_enough(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows: the check before a broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def released(work):
+    """``work`` for mapInArrow that hands freed memory back when its rows end: idle workers of earlier stages stay small."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library: nothing to trim
+
+    return run
+
+
+def arrow_map(df: DataFrame, work, schema: str) -> DataFrame:
+    return df.mapInArrow(released(work), schema)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
