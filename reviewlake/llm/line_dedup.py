@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, column_of, text_bytes
+from .common import Scratch, arrow_map, batch_of, column_of, packed, text_bytes
 
 LAST = (1 << 63) - 1
 _LINES = "h1 long, h2 long, doc long, text_hash long, pos int, decided boolean"
@@ -121,10 +121,10 @@ def _addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 10) -> DataFrame:
     """(doc, text_hash, n_dropped, bitmap) of each document that loses a line; others keep all lines."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(_addressed(docs, id_col, text_col).mapInArrow(_hash_lines(least_length), _LINES), "hashes")
+    lines = scratch.keep(arrow_map(_addressed(docs, id_col, text_col), _hash_lines(least_length), _LINES), "hashes")
     ordered = lines.where("not decided").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "doc", "pos")
-    drops = ordered.mapInArrow(_stream_first, _DROPS).unionAll(lines.where("decided").select("doc", "text_hash", "pos"))
-    return drops.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "pos").mapInArrow(_bitmaps, BITMAPS)
+    drops = arrow_map(ordered, _stream_first, _DROPS).unionAll(lines.where("decided").select("doc", "text_hash", "pos"))
+    return arrow_map(drops.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "pos"), _bitmaps, BITMAPS)
 
 
 def dropped_lines(bitmap: bytes | None) -> frozenset[int]:
@@ -142,12 +142,10 @@ def kept_text(raw: bytes | None, bitmap: bytes | None) -> bytes:
 
 
 def with_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 10) -> DataFrame:
-    """``docs`` with ``_n_dropped`` and ``_keep_bitmap`` (null where every line stays)."""
-    maps = line_keep_bitmaps(docs, id_col, text_col, least_length).select(
-        F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash"), F.col("n_dropped").alias("_n_dropped"), F.col("bitmap").alias("_keep_bitmap")
-    )
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_text_hash": F.xxhash64(text_col)})
-    return keyed.join(maps, ["_doc", "_text_hash"], "left").drop("_doc", "_text_hash")
+    """(row, n_dropped, bitmap): each row of ``docs`` as a struct, the other two null where every line stays."""
+    maps = line_keep_bitmaps(docs, id_col, text_col, least_length)
+    keyed = packed(docs, doc=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_hash=F.xxhash64(text_col))
+    return keyed.join(maps, ["doc", "text_hash"], "left").select("row", "n_dropped", "bitmap")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 10) -> DataFrame:
@@ -158,8 +156,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def apply(text, bitmap):
         return text.combine(bitmap, lambda t, b: t if t is None or b is None else kept_text(t.encode(), b).decode())
 
-    gone = F.col("_keep_bitmap").isNotNull()
-    return marked.withColumn(text_col, F.when(gone, apply(F.col(text_col), F.col("_keep_bitmap"))).otherwise(F.col(text_col))).select(docs.columns)
+    text = F.col("row")[text_col]
+    kept = F.when(F.col("bitmap").isNotNull(), apply(text, F.col("bitmap"))).otherwise(text)
+    return marked.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 _DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
@@ -169,7 +168,7 @@ def _digests(batches):
     for batch in batches:
         rows = []
         for doc, raw, bitmap, gone in zip(
-            column_of(batch, "doc_id").to_pylist(), text_bytes(column_of(batch, "text")), column_of(batch, "_keep_bitmap").to_pylist(), column_of(batch, "_n_dropped").to_pylist()
+            column_of(batch, "doc_id").to_pylist(), text_bytes(column_of(batch, "text")), column_of(batch, "bitmap").to_pylist(), column_of(batch, "n_dropped").to_pylist()
         ):
             rows.append((doc, (raw or b"").count(b"\n") + 1, gone or 0, hashlib.sha256(kept_text(raw, bitmap)).hexdigest()))
         if rows:
@@ -178,4 +177,5 @@ def _digests(batches):
 
 def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """Contract columns per document: lines before, lines dropped, SHA-256 of what stays."""
-    return with_bitmaps(docs.select("doc_id", "text")).mapInArrow(_digests, _DIGEST)
+    marked = with_bitmaps(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text", "n_dropped", "bitmap")
+    return arrow_map(marked, _digests, _DIGEST)
