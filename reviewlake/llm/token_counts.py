@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, column_of
+from .common import arrow_map, batch_of, column_of
 
 REMEMBERED = 400_000
 PIECE = 1 << 20
@@ -36,6 +36,9 @@ def byte_symbols() -> list[str]:
 
 #: Outside ASCII and the Latin letters up to U+024F, which are composed already and have no special lower case.
 _UNUSUAL = re.compile("[^\\t-\\r -\x7eÀ-ÖØ-öø-\u012f\u0131-\u024f]")
+#: The steps of a file that the counter understands, and the pattern of the fast path below.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+USUAL_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-\u024f]+|[0-9]|[^\\sa-zß-öø-\u024f0-9]+")
 _POSITION = (1 << 40) - 1
 
@@ -53,12 +56,18 @@ class Chunks(dict):
 
 
 class WordCounter:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: str):
+        spec = json.loads(content)
         model = spec["model"]
-        if model["type"] != "BPE" or spec["pre_tokenizer"]["pretokenizers"][0]["type"] != "Split":
-            raise ValueError("only a BPE file with a Split pre-tokenizer is understood")
+        split, *others = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        understood = (
+            model["type"] == "BPE" and not model.get("unk_token") and not model.get("ignore_merges") and not model.get("dropout") and not model.get("continuing_subword_prefix")
+            and spec["normalizer"].get("normalizers") == NORMALIZERS
+            and split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"]
+            and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in others] == [("ByteLevel", False, False)]
+        )
+        if not understood:
+            raise ValueError("only lower-casing BPE files with a Split pattern over bytes are understood")
         vocabulary = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.symbols = byte_symbols()
@@ -75,8 +84,9 @@ class WordCounter:
             self.joined.append(self.number[left + right])
         self.inner = [self.number[s] for s in self.symbols]
         self.final = [self.number[s + self.suffix] for s in self.symbols]
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.space = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"]
+        self.word, self.usual = regex.compile(pattern), pattern == USUAL_WORD
+        self.space = regex.compile(r"\s+")
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.known: dict[str, int] = {}
@@ -130,7 +140,7 @@ class WordCounter:
         return total
 
     def plain(self, text: str) -> int:
-        if _UNUSUAL.search(text):
+        if not self.usual or _UNUSUAL.search(text):
             return self.of_words(self.words(text))
         if len(self.chunks) >= REMEMBERED:
             self.chunks.clear()
@@ -138,7 +148,7 @@ class WordCounter:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; long texts go piece by piece, cut at a space."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or not self.special.search(text):
             parts, total = [text], 0
         else:
             parts, total = self.special.split(text), len(self.special.findall(text))
@@ -154,15 +164,22 @@ class WordCounter:
 
 
 @lru_cache(maxsize=2)
+def counter_of(content: str) -> WordCounter:
+    return WordCounter(content)
+
+
 def counter(path: str) -> WordCounter:
-    return WordCounter(path)
+    with open(path, encoding="utf-8") as f:
+        return counter_of(f.read())
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of each whole text. The file must be at ``tokenizer_path`` on every machine."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of each whole text. The driver reads the file and sends its content."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        content = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        count = counter(tokenizer_path).count
+        count = counter_of(content.value).count
         for batch in batches:
             rows = []
             for doc, value in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "text")):
@@ -172,4 +189,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
             if rows:
                 yield batch_of(COUNTS, list(zip(*rows)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, COUNTS)
