@@ -14,8 +14,12 @@ offsets, until buckets hold equal windows:
    edits). Their runs of bytes are fetched and refined by bucket pointers: windows are bucketed
    by their first quarter, then sorted by (own bucket, bucket of a quarter further), giving
    buckets of halves, whose new numbers are used to refine again by the bucket half a window
-   further. Buckets of one window are dropped as they appear. Buckets with very many members are split
-   by window fingerprint instead, so none is gathered in one task.
+   further. Buckets of one window are dropped as they appear.
+4. A bucket too large for one task is refined by bucket pointers as well, across tasks: a window that
+   holds the q-gram holds half of what it lacks of the window's length on the gram's left or on its right, so each
+   member becomes at most two, in the buckets of (own bucket, what lies at that offset). They are
+   sorted and streamed like step 2, and what is left goes on to step 3, or again here with the longer
+   gram. Members travel, not windows; once the gram is as long as a window nothing is left.
 
 Copies cost little: within an Arrow batch equal runs after the first are decided at once, so a
 text held by a third of all rows sends one member per batch to the sort.
@@ -33,17 +37,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, batch_of, column_of, mix, signed, text_bytes
+from .common import Rolling, Scratch, arrow_map, batch_of, column_of, mix, packed, signed, text_bytes
 
 _U = np.uint64
 LENGTH = 100
 GRAM = 20
+#: Members of a bucket that one task gathers; larger buckets are refined across tasks first.
 MANY = 1000
 LAST = (1 << 63) - 1
 PIECE = 1 << 20
 MEMBERS = "bucket long, run long, doc long, text_hash long, lo int, span int, gram int, decided boolean"
 RANGES = "doc long, text_hash long, lo int, hi int"
 OPEN = "bucket long, doc long, text_hash long, lo int, span int, gram int, decided boolean"
+HALVES = "bucket long, run long, doc long, text_hash long, lo int, span int, gram int, decided boolean, bytes binary"
+OPEN_HALVES = "bucket long, doc long, text_hash long, lo int, span int, gram int, decided boolean, bytes binary"
 
 
 def _rolling() -> Rolling:
@@ -119,7 +126,7 @@ def _member_rows(found):
     return batch_of(MEMBERS, [*(x[~twice] for x in cols), again[~twice]])
 
 
-def _split_buckets(batches):
+def _split_buckets(batches, with_bytes: bool = False):
     """Rows sorted by bucket, run, document, offset: repeats of a run, and first members of runs whose bucket has others.
 
     A bucket that touches a partition's ends may go on elsewhere, so its first member is told too.
@@ -132,6 +139,8 @@ def _split_buckets(batches):
         n = len(cols[0])
         if not n:
             continue
+        if with_bytes:
+            cols.append(column_of(batch, "bytes").to_numpy(zero_copy_only=False))
         bucket, run, doc, th, lo = cols[:5]
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = bucket[1:] != bucket[:-1]
@@ -164,34 +173,49 @@ def _split_buckets(batches):
 
 
 def _open_rows(cols, decided: bool):
-    return batch_of(OPEN, [cols[0], *cols[2:], np.full(len(cols[0]), decided)])
-
-
-def _window_rows(batches):
-    """Every window of members of a very large bucket as a member of its own: bucket and run are its fingerprint."""
-    rolling, other = _rolling(), Rolling(77002)
-    for batch in batches:
-        found = []
-        doc, th, lo = (column_of(batch, c).to_numpy() for c in ("doc", "text_hash", "lo"))
-        for i, raw in enumerate(text_bytes(column_of(batch, "bytes"))):
-            data = np.frombuffer(raw, dtype=np.uint8)
-            w = rolling.windows(rolling.prefix(data), LENGTH)
-            v = other.windows(other.prefix(data), LENGTH)
-            n = len(w)
-            zero = np.zeros(n, dtype=np.int64)
-            found.append((w, v, lo[i] + np.arange(n), zero, zero, np.full(n, doc[i]), np.full(n, th[i])))
-        if found:
-            cols, again, twice = _judged(found)
-            yield batch_of(MEMBERS, [*(x[~again & ~twice] for x in cols), np.zeros(np.count_nonzero(~again & ~twice), dtype=bool)])
-            # Decided windows next to one another are one row.
-            order = np.flatnonzero(again)
-            order = order[np.lexsort((cols[4][order], cols[3][order], cols[2][order]))]
-            if len(order):
-                _, _, d, t, p, zero, _ = (x[order] for x in cols)
-                first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)]))
-                last = np.append(first[1:], len(order)) - 1
-                none = zero[first]
-                yield batch_of(MEMBERS, [none, none, d[first], t[first], p[first], p[last] - p[first], none, np.ones(len(first), dtype=bool)])
+    out = [cols[0], *cols[2:7], np.full(len(cols[0]), decided)]
+    return batch_of(OPEN, out) if len(cols) == 7 else batch_of(OPEN_HALVES, [*out, [None] * len(cols[0]) if decided else list(cols[7])])
+
+
+def _split_halves(batches):
+    return _split_buckets(batches, with_bytes=True)
+
+
+def deeper(depth: int) -> int:
+    """Length of the gram after the next refinement across tasks."""
+    return depth + (LENGTH - depth + 1) // 2
+
+
+def _halves(depth: int):
+    """Members of large buckets, whose gram has ``depth`` bytes, as members of the buckets of longer grams."""
+    step = deeper(depth) - depth
+
+    def run(batches):
+        rolling = _rolling()
+        for batch in batches:
+            rows, pieces = [], []
+            cols = [column_of(batch, c).to_pylist() for c in ("bucket", "doc", "text_hash", "lo", "span", "gram")]
+            for bucket, doc, th, lo, span, gram, raw in zip(*cols, text_bytes(column_of(batch, "bytes"))):
+                prefix = rolling.prefix(np.frombuffer(raw, dtype=np.uint8))
+                # Windows 0 .. gram - step have ``step`` bytes on the gram's left, the others on its right.
+                for side, first, last, at in ((0, 0, min(span, gram - step), gram - step), (1, max(0, gram - step + 1), span, gram)):
+                    if first <= last:
+                        ends = np.array([at + deeper(depth), last + LENGTH])
+                        part, whole = rolling.ranges(prefix, np.array([at, first]), ends)
+                        rows.append((bucket, side, part, whole, lo + first, last - first, at - first, doc, th))
+                        pieces.append(raw[first : last + LENGTH])
+            if not rows:
+                continue
+            own, side, part, whole, lo, span, gram, doc, th = (np.array(c) for c in zip(*rows))
+            key = mix(mix(own.view(np.uint64) + side.astype(np.uint64)) + part * _U(0xC2B2AE3D27D4EB4F))
+            same = mix(whole + gram.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + span.astype(np.uint64) * _U(0x165667B19E3779F9))
+            found = (key, same, lo, span, gram, doc, th)
+            cols, again, twice = _judged([found])
+            kept = ~twice
+            none = [None if gone else piece for piece, gone in zip(pieces, again)]  # decided ones need no bytes
+            yield batch_of(HALVES, [*(x[kept] for x in cols), again[kept], [x for x, k in zip(none, kept) if k]])
+
+    return run
 
 
 def _shared(key: np.ndarray) -> np.ndarray:
@@ -284,25 +308,31 @@ def _decided_ranges(rows: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, lo, hi): byte ranges to remove of ``docs(doc, text_hash, text)``; they may overlap."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    members = scratch.keep(docs.mapInArrow(_members, MEMBERS), "members")
+    members = scratch.keep(arrow_map(docs, _members, MEMBERS), "members")
     decided = [scratch.keep(_decided_ranges(members), "decided")]
     ordered = members.where("not decided").repartitionByRange("bucket", "run").sortWithinPartitions("bucket", "run", "doc", "text_hash", "lo")
-    split = scratch.keep(ordered.mapInArrow(_split_buckets, OPEN), "split")
+    split = scratch.keep(arrow_map(ordered, _split_buckets, OPEN), "split")
     scratch.drop("members")
     decided.append(_decided_ranges(split))
 
-    open_rows = split.where("not decided").drop("decided")
-    counts = open_rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = open_rows.join(counts, "bucket").withColumnRenamed("doc", "o_doc").withColumnRenamed("text_hash", "o_hash")
+    wanted = split.where("not decided").drop("decided").withColumnsRenamed({"doc": "o_doc", "text_hash": "o_hash"})
     piece = F.expr(f"substring(cast(text as binary), lo + 1, span + {LENGTH})").alias("bytes")
     fetched = docs.join(wanted, (F.col("doc") == F.col("o_doc")) & (F.col("text_hash") == F.col("o_hash")))
-    fetched = scratch.keep(fetched.select("bucket", "doc", "text_hash", "lo", "span", "gram", "n", piece), "open")
-    usual = fetched.where(f"n <= {MANY}").repartition("bucket").sortWithinPartitions("bucket", "doc", "text_hash", "lo")
-    decided.append(usual.mapInArrow(_refined, RANGES))
-    windows = scratch.keep(fetched.where(f"n > {MANY}").mapInArrow(_window_rows, MEMBERS), "windows")
-    decided.append(_decided_ranges(windows))
-    each = windows.where("not decided").repartitionByRange("bucket", "run").sortWithinPartitions("bucket", "run", "doc", "text_hash", "lo")
-    decided.append(_decided_ranges(each.mapInArrow(_split_buckets, OPEN)))
+    rest = scratch.keep(fetched.select("bucket", "doc", "text_hash", "lo", "span", "gram", piece), "open")
+    depth = GRAM
+    while True:
+        large = scratch.keep(rest.groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {MANY}").select("bucket"), "large")
+        some = depth < LENGTH and not large.isEmpty()
+        usual = rest.join(large, "bucket", "left_anti") if some else rest
+        decided.append(arrow_map(usual.repartition("bucket").sortWithinPartitions("bucket", "doc", "text_hash", "lo"), _refined, RANGES))
+        if not some:
+            break
+        halves = scratch.keep(arrow_map(rest.join(large, "bucket", "left_semi"), _halves(depth), HALVES), "halves")
+        depth = deeper(depth)
+        ordered = halves.where("not decided").repartitionByRange("bucket", "run").sortWithinPartitions("bucket", "run", "doc", "text_hash", "lo")
+        split = scratch.keep(arrow_map(ordered, _split_halves, OPEN_HALVES), "split_halves")
+        decided += [_decided_ranges(halves), _decided_ranges(split)]
+        rest = split.where("not decided").drop("decided")
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
@@ -321,11 +351,11 @@ def merged_spans(ranges) -> list[tuple[int, int]]:
 
 
 def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_spans``: array of (lo, hi) byte ranges of the text, unmerged, null where nothing repeats."""
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_text_hash": F.xxhash64(text_col)})
-    ranges = repeated_ranges(keyed.select(F.col("_doc").alias("doc"), F.col("_text_hash").alias("text_hash"), F.col(text_col).alias("text")))
-    grouped = ranges.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_text_hash")).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return keyed.join(grouped, ["_doc", "_text_hash"], "left").drop("_doc", "_text_hash")
+    """(row, spans): each row of ``docs`` as a struct, and (lo, hi) byte ranges of its text, unmerged, null where nothing repeats."""
+    keyed = packed(docs, doc=F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), text_hash=F.xxhash64(text_col), text=F.col(text_col))
+    ranges = repeated_ranges(keyed.select("doc", "text_hash", "text"))
+    grouped = ranges.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return keyed.drop("text").join(grouped, ["doc", "text_hash"], "left").select("row", "spans")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -334,7 +364,7 @@ _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _digests(batches):
     for batch in batches:
         rows = []
-        for doc, raw, spans in zip(column_of(batch, "doc_id").to_pylist(), text_bytes(column_of(batch, "text")), column_of(batch, "_spans")):
+        for doc, raw, spans in zip(column_of(batch, "doc_id").to_pylist(), text_bytes(column_of(batch, "text")), column_of(batch, "spans")):
             raw, spans = raw or b"", merged_spans((x["lo"], x["hi"]) for x in spans.as_py() or ())
             digest, start = hashlib.sha256(), 0
             for lo, hi in spans:
@@ -348,4 +378,4 @@ def _digests(batches):
 
 def substring_digest(docs: DataFrame) -> DataFrame:
     """Contract columns per document."""
-    return removal_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_digests, _DIGEST)
+    return arrow_map(removal_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("row.*", "spans"), _digests, _DIGEST)
