@@ -3,11 +3,11 @@
 Sizes are cut into bands. Two sets that reach the similarity lie in one band or in neighbouring
 ones (then both sign for the upper band) and differ in at most k elements. A hash cuts the element
 domain into n1 parts, each into n2 subparts; every choice of n2 - k2 subparts of a part is one
-signature. Small k: one part, enumerated subsets, k2 = k. Larger k: whole parts (n2 = 1, k2 = 0),
-the choice with the fewest signatures; differences touch at most k parts, so sets with more than k
-parts in use share a part that holds the same elements in both. k follows the smaller set, so a
-set signs a prefix of the parts that grows with its size. A set with too few parts in use also
-signs its empty parts, told apart by its signatures under another hash.
+signature. Small k: one part, k2 = k. Larger k: n2 = 3 and k2 = 1; of more than k / 2 parts one has at most
+one difference, so two of its three subparts hold the same elements in both sets. The number of differences
+follows the smaller set, so a set signs a prefix of the parts, never a shorter one than a smaller set of
+the band. A set with too many empty choices in its prefix signs all parts, and tells the empty choices apart
+by its signatures under another hash.
 
 Sets, not documents, are joined: documents with equal sets share a fingerprint, and each Arrow
 batch sends a set's signatures once, so groups of copies cost no more than one text. Texts are
@@ -29,19 +29,23 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, batch_of, column_of, connected_components, mix, shingle_set, signed, text_bytes, word_hashes
+from .common import Rolling, Scratch, arrow_map, batch_of, column_of, connected_components, mix, shingle_set, signed, text_bytes, word_hashes
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _BINS = np.arange(128, dtype=np.uint64) << _U(57)
 TILE = 4096
 FAMILY_TILE = 1024
-FILTER_BITS = 1 << 24
+#: Bits of the filter for each set in a family, and the most bits that are sent (16 MB). A fuller filter lets
+#: more sets pass to the join that drops them; results do not change.
+BITS_A_SET = 16
+MOST_BITS = 1 << 27
 BAND_STEP = 3
 SETS = "doc_id long, n_shingles long, set_id long, s1 long, s2 long, signatures binary"
 ELEMENTS = "set_id long, elements binary"
@@ -70,35 +74,36 @@ class PartEnum:
 
     @staticmethod
     def numbers(k: int) -> tuple[int, int, int]:
-        """(n1, n2, k2): parts, subparts of a part, and differences that a part may have."""
-        if k == 0:
-            return 1, 1, 0
+        """(n1, n2, k2): parts, subparts of a part, and differences that a part may have.
+
+        k <= 3: one part. Beyond: three subparts a part, of which one may differ, and parts enough that k differences
+        leave one part with one difference at most, some to spare for parts with empty choices.
+        """
         if k <= 3:
-            return 1, k + 2, k
-        return PartEnum.enough(k), 1, 0
+            return 1, k + 2 if k else 1, k
+        return k // 2 + 1 + k // 20 + 3, 3, 1
 
-    @staticmethod
-    def enough(k: int) -> int:
-        """Parts of which usually more than k are in use."""
-        return k + 1 + k // 5 + 4
+    def prefix(self, size: int, low: int, parts: int) -> int:
+        """Parts that a set of ``size`` signs in the band from ``low``; never fewer than a smaller set of the band does.
 
-    @staticmethod
-    def prefix(size: int, own: int, parts: int) -> int:
-        """Parts that a set of ``size`` signs: so many that usually more than ``own`` are in use; grows with the size."""
-        return min(parts, math.ceil(1.12 * (own + 1) / (1 - math.exp(-size / parts))) + 4)
+        So many that usually more than half of the most differences have no empty choice, as seen from the least set that signs there.
+        """
+        own = size * (100 - self.percent) // self.percent
+        full = max(0.05, 1 - 3 * math.exp(-2 * low * self.percent / (300 * parts)))
+        return min(parts, math.ceil((own // 2 + 1) / full) + 2)
 
     def signatures(self, elements: np.ndarray) -> np.ndarray:
         size = len(elements)
         if not size:
             return np.empty(0, dtype=np.uint64)
-        number, _, high = self.band(size)
-        out = [self._signed(elements, number, high, 0)]
-        _, low, top = self.band(high + 1)
-        if 100 * size >= self.percent * low:
-            out.append(self._signed(elements, number + 1, top, 0))
+        number, low, high = self.band(size)
+        out = [self._signed(elements, number, low, high, 0)]
+        _, above, top = self.band(high + 1)
+        if 100 * size >= self.percent * above:
+            out.append(self._signed(elements, number + 1, above, top, 0))
         return np.concatenate(out)
 
-    def _signed(self, elements: np.ndarray, band: int, largest: int, depth: int) -> np.ndarray:
+    def _signed(self, elements: np.ndarray, band: int, low: int, largest: int, depth: int) -> np.ndarray:
         k = self.differences(largest)
         n1, n2, k2 = self.numbers(k)
         parts = n1 * n2
@@ -108,30 +113,33 @@ class PartEnum:
         count = np.bincount(part, minlength=parts)
         ends = np.cumsum(count)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h[order]))])
-        content = sums[ends] - sums[ends - count]
+        content = mix(sums[ends] - sums[ends - count]).reshape(n1, n2)
         tag = np.array([(8 * band + depth) * 0xC2B2AE3D27D4EB4F & _MASK], dtype=np.uint64)
-        if n2 == 1:
-            held = count
-            label = np.arange(parts, dtype=np.uint64)
-            found = mix(mix(content) + label * _U(0x9E3779B97F4A7C15) + tag)
+        choices = _choices(n2, k2)
+        held = count.reshape(n1, n2)[:, choices].sum(axis=2)
+        chosen = mix(content[:, choices] + choices.astype(np.uint64) * _U(0x9E3779B97F4A7C15)).sum(axis=2, dtype=np.uint64)
+        label = np.arange(n1 * len(choices), dtype=np.uint64)
+        found = mix(chosen.ravel() + label * _U(0x165667B19E3779F9) + tag)
+        if n1 > 1:
+            signs = self.prefix(len(elements), low, n1)
             own = min(k, len(elements) * (100 - self.percent) // self.percent)
-            prefix = self.prefix(len(elements), own, parts)
-            if k == 0 or np.count_nonzero(count[:prefix]) > own:
-                return found[:prefix][count[:prefix] > 0]
-        else:
-            choices = np.array(list(itertools.combinations(range(n2), n2 - k2)))
-            held = count[choices].sum(axis=1)
-            chosen = mix(content[choices] + choices.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-            label = np.arange(len(choices), dtype=np.uint64)
-            found = mix(chosen.sum(axis=1, dtype=np.uint64) + label * _U(0x165667B19E3779F9) + tag)
-        empty = held == 0
+            if np.count_nonzero((held[:signs] > 0).all(axis=1)) > own // 2:
+                keep = np.zeros(held.shape, dtype=bool)
+                keep[:signs] = held[:signs] > 0
+                return found[keep.ravel()]
+        empty = held.ravel() == 0
         if empty.any() and depth < 2:
-            again = self._signed(elements, band, largest, depth + 1)
+            again = self._signed(elements, band, low, largest, depth + 1)
             refined = mix(again[None, :] + mix(label[empty] + _U(1))[:, None] * _U(0x27D4EB2F165667C5)).ravel()
             found = np.concatenate([found[~empty], refined])
         return found
 
 
+@lru_cache(maxsize=None)
+def _choices(n2: int, k2: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n2), n2 - k2)))
+
+
 def sketch(elements: np.ndarray) -> tuple[int, int]:
     """128 bits: for each bin of the hash's leading bits, one bit of the least hash in it (0 if none)."""
     at = np.searchsorted(elements, _BINS)
@@ -190,31 +198,29 @@ def _unpacked(batches):
             yield batch_of(MEMBER_ROWS, [np.concatenate(part), np.repeat(ids[start : start + 2000], [len(x) for x in part])])
 
 
-def _filter(sets: DataFrame) -> np.ndarray:
-    """Bits of the hashes of ``set_id``: a filter of FILTER_BITS bits, whatever the number of sets.
+def _filter(sets: DataFrame) -> tuple[int, bytes]:
+    """A filter of the hashes of ``set_id``: its number of bits, and the bits.
 
-    It is summed on the executors; at most FILTER_BITS / 64 words reach the driver. A set outside may pass by
+    It is summed on the executors; at most MOST_BITS / 64 words reach the driver. A set outside may pass by
     chance and is dropped by the join that follows; none of the sets is held back.
     """
-    bit = F.pmod("set_id", F.lit(FILTER_BITS))
-    words = sets.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(set_id, {FILTER_BITS}), 64) as int))").alias("bit"))
+    bits = min(MOST_BITS, 1 << max(16, (BITS_A_SET * sets.count()).bit_length()))
+    bit = F.pmod("set_id", F.lit(bits))
+    words = sets.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(set_id, {bits}), 64) as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(bits // 64, dtype=np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
+    return bits, out.tobytes()
 
-def _elements(k: int, wanted: np.ndarray):
-    packed = np.packbits(wanted)
 
+def _elements(k: int, bits: int, held: bytes):
     def run(batches):
-        wanted = np.unpackbits(packed).astype(bool)
         rolling = _rolling()
         for batch in batches:
             rows: dict[int, bytes] = {}
             for raw in text_bytes(column_of(batch, "text")):
                 s = shingle_set(word_hashes(raw or b"", rolling), k)
-                if len(s) and wanted[(found := set_fingerprint(s)) % FILTER_BITS]:
+                if len(s) and held[(bit := (found := set_fingerprint(s)) % bits) >> 3] >> (bit & 7) & 1:
                     rows.setdefault(found, s.tobytes())
                 if len(rows) >= 2000:
                     yield batch_of(ELEMENTS, list(zip(*rows.items())))
@@ -382,23 +388,23 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     """(doc_id, n_shingles, set_id, component_id): component_id is the smallest doc_id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
-    signed_sets = scratch.keep(docs.mapInArrow(_document_sets(k, percent), SETS), "sets")
+    signed_sets = scratch.keep(arrow_map(docs, _document_sets(k, percent), SETS), "sets")
     sets = signed_sets.drop("signatures")
-    signatures = signed_sets.where("signatures is not null").select("set_id", "signatures").mapInArrow(_unpacked, MEMBER_ROWS)
+    signatures = arrow_map(signed_sets.where("signatures is not null").select("set_id", "signatures"), _unpacked, MEMBER_ROWS)
     ordered = signatures.repartitionByRange("signature", "set_id").sortWithinPartitions("signature", "set_id")
-    shared = scratch.keep(ordered.mapInArrow(_shared, MEMBERS), "shared")
+    shared = scratch.keep(arrow_map(ordered, _shared, MEMBERS), "shared")
     of_set = sets.where("set_id is not null").dropDuplicates(["set_id"]).select("set_id", F.col("n_shingles").alias("n"), "s1", "s2")
     members = shared.withColumnRenamed("signature", "group").join(of_set, "set_id")
     tiles = _tiled(scratch.keep(members, "members"), TILE).repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
-    families = connected_components(scratch, tiles.mapInArrow(_families(percent), EDGES), "families")
+    families = connected_components(scratch, arrow_map(tiles, _families(percent), EDGES), "families")
     families = scratch.keep(families.select(F.col("node").alias("set_id"), F.col("component").alias("group")).join(of_set, "set_id"), "families")
     scratch.drop("shared", "members")
 
     # The sets themselves, only of families, from a second reading of the texts; others do not travel.
-    elements = docs.select("text").mapInArrow(_elements(k, _filter(families)), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
+    elements = arrow_map(docs.select("text"), _elements(k, *_filter(families)), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
     elements = scratch.keep(elements.dropDuplicates(["set_id"]), "elements")
     tiles = _tiled(families, FAMILY_TILE).join(elements, "set_id").repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
-    parts = connected_components(scratch, tiles.mapInArrow(_linked(percent), EDGES), "components")
+    parts = connected_components(scratch, arrow_map(tiles, _linked(percent), EDGES), "components")
     scratch.drop("elements")
 
     of_set = sets.where("set_id is not null").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
