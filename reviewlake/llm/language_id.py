@@ -13,20 +13,24 @@ Ties go to the language that sorts first. Extra columns are ignored. Empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, column_of
+from .common import Scratch, arrow_map, batch_of, column_of, small_enough
 
 DIMENSIONS = 1 << 13
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 300
 CENTROIDS = 4
 PIECE = 1 << 18
+#: Languages up to which their counts and the chosen ids are broadcast; beyond, the joins are left to Spark.
+MOST_LANGUAGES = 1000
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 _ASCII_LETTER = np.array([chr(i).isalpha() for i in range(0x80)])
@@ -127,18 +131,22 @@ def fit_model(rows: list[tuple[str, str]], centroids: int = CENTROIDS, slack: fl
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` rows of each language: those with the smallest id hashes.
+    """At most ``per_language`` rows of each language: those with the smallest id hashes, of equal ids the least text.
 
-    Counting comes first, so only about that many rows of a language reach the window.
+    Ids are chosen without their texts. Languages are counted first, so only about twice that many ids of
+    a language reach the window; the texts come from a second scan, of the chosen ids alone.
     """
-    rows = docs.where("lang is not null and text is not null and doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0").select(
-        "lang", "text", "doc_id", (F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 11) / float(1 << 53)).alias("u")
-    )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = rows.join(counts, "lang").where(F.col("u") * F.col("n") <= 2.0 * per_language + 20)
-    order = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
-    top = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    return [(r["lang"], r["text"]) for r in top.select("lang", "text", "u", "doc_id").orderBy("lang", "u", "doc_id", "text").collect()]
+    fit = docs.where("lang is not null and text is not null and doc_id is not null and pmod(crc32(cast(doc_id as string)), 5) <> 0")
+    ids = fit.select("lang", "doc_id", (F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 11) / float(1 << 53)).alias("u"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    few = small_enough(counts, MOST_LANGUAGES)
+    near = ids.join(F.broadcast(counts) if few else counts, "lang").where(F.col("u") * F.col("n") <= 2.0 * per_language + 20).select("lang", "doc_id", "u").distinct()
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    chosen = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select(F.col("lang").alias("c_lang"), F.col("doc_id").alias("c_id"), "u")
+    chosen = Scratch(docs.sparkSession, "language").keep(chosen, "chosen")
+    texts = fit.join(F.broadcast(chosen) if few else chosen, (F.col("lang") == F.col("c_lang")) & (F.col("doc_id") == F.col("c_id")))
+    texts = texts.groupBy("lang", "u", "doc_id").agg(F.min("text").alias("text"))
+    return [(r["lang"], r["text"]) for r in texts.orderBy("lang", "u", "doc_id").collect()]
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, text_hash long"
@@ -181,7 +189,7 @@ def predict_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, model:
         F.col("text"),
         F.xxhash64("text").alias("text_hash"),
     )
-    return rows.mapInArrow(_predict(model), PREDICTED)
+    return arrow_map(rows, _predict(model), PREDICTED)
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
@@ -190,32 +198,24 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Rows of ``docs`` that are not rejected, all columns unchanged; one pass, no join."""
+    """Rows of ``docs`` that are not rejected, all columns unchanged; one pass, no join. Only texts go to Python."""
     model = fit_model(training_rows(docs, per_language))
-    schema = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            counts, slots = [], []
-            for i, value in enumerate(column_of(batch, "text")):
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            keep, counts, slots = [False] * len(column), [], []
+            for i, value in enumerate(column):
                 text = value.as_py()
-                keep.append(False)
                 if model is not None and text and _LETTER.search(text):
                     counts.append(ngram_counts(text))
                     slots.append((i, len(text)))
                 if len(counts) == 64:
                     _mark(model, counts, slots, keep)
             _mark(model, counts, slots, keep)
-            yield batch.filter(_mask(keep))
-
-    return docs.mapInArrow(run, schema)
-
-
-def _mask(keep: list[bool]):
-    import pyarrow as pa
+            yield pa.array(keep, type=pa.bool_())
 
-    return pa.array(keep, type=pa.bool_())
+    return docs.where(accepted(F.col("text")))
 
 
 def _mark(model: Model | None, counts: list, slots: list, keep: list[bool]) -> None:
