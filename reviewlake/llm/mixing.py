@@ -3,9 +3,10 @@
 A source's words are laid end to end (documents in a fixed order) and packed into blocks of one
 fixed length per source; a source whose target asks for N block slots sends each slot to a
 pseudorandom output shard, so the shard counts of a source are one multinomial draw that sums to
-N exactly; slot j maps to block perm(j) of its epoch by a keyed swap-or-not permutation of the
-block indexes, and slots meet the packed blocks in a join on (source, block): ``mixed_shards`` is
-the mix itself, and the figures of the documents are counted from the words in its blocks.
+N exactly. A shard's slots of a source are numbered after those of the shards before it; slot j maps to block
+perm(j) of its epoch by a keyed swap-or-not permutation of the block indexes, and slots meet the blocks in a join
+on (source, block): ``mixed_shards`` is the mix itself, with its words; the documents' figures count the
+words of each block by the same join, without texts.
 
 Running sums are taken in two levels (within a hashed chunk of a source, then over the chunk
 sums), so a source that holds a third of all rows is spread over many tasks.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE_CLASS
+from .common import ASCII_SPACE_CLASS, Scratch
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 256
@@ -76,32 +77,39 @@ def _plan(sizes: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame
     return targets.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
 
 
-def drawn_slots(plan: DataFrame, seed: int) -> DataFrame:
-    """(source_key, shard, slot, block): every block slot, the shard it falls in, the block it takes.
+def shard_draws(plan: DataFrame, seed: int) -> DataFrame:
+    """(source_key, blocks, shard, drawn, first_slot): how many of a source's slots each output shard draws, and its first.
 
-    Slots are made in groups, so that no task makes all slots of a hot source.
+    Each slot of a source falls in one of the shards at random; the counts are one multinomial draw with the
+    source's slots as its sum. Draws are made in groups and counted before they travel.
     """
     group = 1 << 14
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shards = F.greatest(F.lit(1), F.ceil(F.sum("target").over(every) / WORDS_PER_SHARD)).cast("long")
-    slots = plan.withColumn("shards", shards).where("slots > 0")
-    slots = slots.select("source_key", "blocks", "slots", "shards", F.explode(F.expr(f"sequence(0L, (slots - 1) div {group}L)")).alias("g"))
-    slots = slots.repartition("source_key", "g").select("source_key", "blocks", "shards", F.explode(F.expr(f"sequence(g * {group}L, least(slots, (g + 1) * {group}L) - 1)")).alias("slot"))
-    key = F.xxhash64(F.lit(seed), F.col("source_key"), F.expr("slot div blocks"))
-    return slots.select(
-        "source_key",
-        F.pmod(F.xxhash64(F.lit(seed + 1), "source_key", "slot"), "shards").alias("shard"),
-        "slot",
-        permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"),
-    )
+    draws = plan.withColumn("shards", shards).where("slots > 0")
+    draws = draws.select("source_key", "blocks", "slots", "shards", F.explode(F.expr(f"sequence(0L, (slots - 1) div {group}L)")).alias("g"))
+    draws = draws.repartition(_tasks(plan), "source_key", "g").select("source_key", "blocks", "shards", F.explode(F.expr(f"sequence(g * {group}L, least(slots, (g + 1) * {group}L) - 1)")).alias("draw"))
+    draws = draws.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "source_key", "draw"), "shards"))
+    counts = draws.groupBy("source_key", "blocks", "shard").agg(F.count("*").alias("drawn"))
+    before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first_slot", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+
 
+def _tasks(df: DataFrame) -> int:
+    """A stated number of partitions, which adaptive execution does not merge: a few rows become many in these tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """A key that is never null stands for the source, so that joins and groups share one partitioning."""
-    return docs.select(F.col("doc_id"), _key(), word_count(F.col("text")).alias("size"))
+
+def drawn_slots(plan: DataFrame, seed: int) -> DataFrame:
+    """(source_key, shard, slot, block): a shard's slots of a source follow those of the shards before; each takes a block."""
+    draws = shard_draws(plan, seed).repartition(_tasks(plan), "source_key", "shard")
+    slots = draws.select("source_key", "blocks", "shard", F.explode(F.expr("sequence(first_slot, first_slot + drawn - 1)")).alias("slot"))
+    key = F.xxhash64(F.lit(seed), F.col("source_key"), F.expr("slot div blocks"))
+    return slots.select("source_key", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
 
 
 def _key() -> Column:
+    """Never null, so that joins and groups share one partitioning."""
     return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("source_key")
 
 
@@ -109,58 +117,60 @@ def _source() -> Column:
     return F.when(F.col("source_key") != "", F.expr("substring(source_key, 2)")).alias("source")
 
 
-def shard_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
-    """(source, shard, slots): the multinomial draw of each source's slots over the output shards."""
-    sizes = _sized(docs).groupBy("source_key").agg(F.sum("size").alias("source_size"))
-    drawn = drawn_slots(_plan(sizes, weights, share), seed)
-    return drawn.groupBy("source_key", "shard").agg(F.count("*").alias("slots")).select(_source(), "shard", "slots")
-
-
 def _laid_out(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their text and the place of their first word in their source, and the plan of the sources."""
-    rows = docs.select(F.col("doc_id"), "text", _key(), word_count(F.col("text")).alias("size"))
+    """Rows with the place of their first word in their source, and the plan of the sources. Texts are read once, for their sizes."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _key(), word_count(F.col("text")).alias("size"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(CHUNKS)).cast("int"))
-    by_chunk = Window.partitionBy("source_key", "chunk").orderBy("doc_id", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = scratch.keep(rows, "sizes")
+    by_chunk = Window.partitionBy("source_key", "chunk").orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     chunks = rows.groupBy("source_key", "chunk").agg(F.sum("size").alias("chunk_size"))
-    rows = rows.repartition("source_key", "chunk").withColumn("before", F.coalesce(F.sum("size").over(by_chunk), F.lit(0)))
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(by_chunk), F.lit(0)))
     over_chunks = Window.partitionBy("source_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("chunk_start", F.coalesce(F.sum("chunk_size").over(over_chunks), F.lit(0)))
-    plan = _plan(chunks.groupBy("source_key").agg(F.sum("chunk_size").alias("source_size")), weights, share)
+    plan = scratch.keep(_plan(chunks.groupBy("source_key").agg(F.sum("chunk_size").alias("source_size")), weights, share), "plan")
     starts = chunks.join(plan.select("source_key", "length"), "source_key").drop("chunk_size")
     placed = rows.join(starts, ["source_key", "chunk"]).withColumn("start", F.col("chunk_start") + F.col("before"))
-    return placed.select("doc_id", "text", "source_key", "size", "length", "start"), plan
+    return scratch.keep(placed.select("doc_id", "text_hash", "source_key", "size", "length", "start"), "placed"), plan
 
 
-def _slots_with_blocks(placed: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """(source_key, block, pieces, shard, slot): every block once for each slot that takes it, or once with null slot."""
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "").alias("words")
-    spread = placed.where("size > 0").select("doc_id", "source_key", "size", "length", "start", words)
-    spread = spread.select("*", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
+def _pieces(placed: DataFrame) -> DataFrame:
+    """The blocks' contents by place: (source_key, block, first, n) with the row's columns; words first .. first + n - 1 of the source."""
+    spread = placed.where("size > 0").select("*", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")).alias("block"))
     first = "greatest(start, block * length)"
-    piece = F.expr(f"array_join(slice(words, int({first} - start) + 1, int(least(start + size, (block + 1) * length) - {first})), ' ')")
-    spread = spread.select("source_key", "block", F.struct(F.expr(first).alias("at"), "start", "doc_id", "size", piece.alias("words")).alias("piece"))
-    packed = spread.groupBy("source_key", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    return packed.join(drawn_slots(plan, seed), ["source_key", "block"], "left")
+    return spread.select("*", F.expr(first).alias("first"), F.expr(f"least(start + size, (block + 1) * length) - {first}").alias("n")).drop("length")
+
+
+def shard_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
+    """(source, shard, slots): the multinomial draw of each source's slots over the output shards."""
+    return shard_draws(_laid_out(docs, weights, share, seed)[1], seed).select(_source(), "shard", F.col("drawn").alias("slots"))
 
 
 def mixed_shards(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
     """The mix: (shard, slot, source, block, n_words, text), one row per slot with the words of its block."""
-    out = _slots_with_blocks(*_laid_out(docs, weights, share, seed), seed).where("slot is not null")
-    text = F.array_join(F.col("pieces.words"), " ")
-    return out.select("shard", "slot", _source(), "block", word_count(text).alias("n_words"), text.alias("text"))
+    placed, plan = _laid_out(docs, weights, share, seed)
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_hash"), "text").dropDuplicates(["t_id", "t_hash"])
+    held = _pieces(placed).join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_hash") == F.col("t_hash")))
+    words = "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+    held = held.select("source_key", "block", F.struct("first", F.expr(f"array_join(slice({words}, int(first - start) + 1, int(n)), ' ')").alias("words"), "n").alias("piece"))
+    blocks = held.groupBy("source_key", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    out = drawn_slots(plan, seed).join(blocks, ["source_key", "block"])
+    return out.select("shard", "slot", _source(), "block", F.aggregate("pieces.n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_words"), F.array_join(F.col("pieces.words"), " ").alias("text"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
 
-    ``taken`` counts the words of the row that stand in the blocks of the mix.
+    ``taken`` counts the words of the row that stand in the blocks of the mix: slots and blocks meet by index, as in
+    ``mixed_shards``, and no text travels.
     """
     placed, plan = _laid_out(docs, weights, share, seed)
-    pieces = _slots_with_blocks(placed, plan, seed).select("source_key", "slot", F.explode("pieces").alias("piece")).select("source_key", "slot", "piece.*")
+    times = drawn_slots(plan, seed).groupBy("source_key", "block").agg(F.count("*").alias("times"))
+    pieces = _pieces(placed).join(times, ["source_key", "block"], "left")
     # A row's place in its source tells repeated rows apart.
-    taken = pieces.groupBy("doc_id", "source_key", "size", "start").agg(F.sum(F.when(F.col("slot").isNotNull(), word_count(F.col("words"))).otherwise(F.lit(0))).cast("long").alias("taken"))
+    taken = pieces.groupBy("doc_id", "source_key", "size", "start").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
     rest = placed.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken"))
-    every = taken.drop("start").unionByName(rest).join(F.broadcast(plan.select("source_key", "source_size", "target")), "source_key")
+    every = taken.drop("start").unionByName(rest).join(plan.select("source_key", "source_size", "target"), "source_key")
     return every.select("doc_id", _source(), "size", "source_size", "target", "taken")
 
 
