@@ -1,8 +1,8 @@
 """Embedding near-duplicates by collision counting over sorted one-dimensional projections.
 
 Unit vectors are projected on ``PROJECTIONS`` random directions. Rows of a label are ordered by
-their first projection and cut into tiles; a pair of tiles is looked at only if, on every
-projection, their ranges come within the window. Within a pair of tiles each projection is
+their first projection and cut into tiles; a pair of tiles is looked at only if their ranges of it come
+within reach, and by the rows that are within reach of the other tile. Within a pair of tiles each projection is
 sorted, every row opens a window of half width W around its own value, and a pair's collisions
 are the projections in whose window it falls. Pairs with at least T collisions are verified by
 cosine in double precision. For cosine c the projections of a pair differ by a normal value of
@@ -10,7 +10,9 @@ deviation sqrt(2 (1 - c)); W and T follow from that, so that a pair at the thres
 with probability under ``MISS``.
 
 Equal vectors of a label are one row with a multiplicity. Tile tasks send, for each row, its
-number of verified links and the root of its component within the pair of tiles, never pairs.
+number of verified links and the root of its component within the pair of tiles, never pairs. Work still
+grows with the square of a label's distinct rows, at a few dozen byte operations a pair: windows wide enough for
+the cosine hold a good part of the rows on any one projection.
 
 Defined results: null labels, null or zero vectors, and vectors with null or non-finite
 components link with nothing; vectors of different lengths do not link; repeated vec_ids count
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, column_of, connected_components
+from .common import Scratch, arrow_map, batch_of, column_of, connected_components
 
 COSINE = 0.93
 PROJECTIONS = 24
@@ -83,18 +85,21 @@ def directions_of(size: int) -> np.ndarray:
 
 
 def collisions(p: np.ndarray, q: np.ndarray, w: float) -> np.ndarray:
-    """For each row of p and of q: on how many projections q's value lies in the window around p's."""
-    out = np.zeros((len(p), len(q)), dtype=np.int16)
+    """For each row of p and of q: on how many projections q's value lies in the window around p's.
+
+    q's values are sorted and p's windows are runs of ranks in that order, so a collision is one comparison of small integers.
+    """
+    kind = np.uint16 if len(q) < 1 << 16 else np.uint32
+    out = np.zeros((len(p), len(q)), dtype=np.uint8)
+    rank = np.empty(len(q), dtype=kind)
     for j in range(p.shape[1]):
         order = np.argsort(q[:, j])
         values = q[order, j]
-        lo, hi = np.searchsorted(values, p[:, j] - w, "left"), np.searchsorted(values, p[:, j] + w, "right")
-        # +1 where a row's window opens and -1 where it closes, summed along the sorted values.
-        step = np.zeros((len(p), len(q) + 1), dtype=np.int16)
-        rows = np.arange(len(p))
-        np.add.at(step, (rows, lo), 1)
-        np.add.at(step, (rows, hi), -1)
-        out[:, order] += np.cumsum(step[:, :-1], axis=1, dtype=np.int16)
+        rank[order] = np.arange(len(q), dtype=kind)
+        first = np.searchsorted(values, p[:, j] - w, "left").astype(kind)
+        size = np.searchsorted(values, p[:, j] + w, "right").astype(kind) - first
+        # Ranks below the first wrap around to large numbers.
+        out += (rank[None, :] - first[:, None]) < size[:, None]
     return out
 
 
@@ -181,7 +186,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         F.count("*").alias("times"), F.min("vec_id").alias("least_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
     distinct = scratch.keep(distinct, "distinct")
-    projected = distinct.select("set_id", "label", "embedding").mapInArrow(_projected, ROWS)
+    projected = arrow_map(distinct.select("set_id", "label", "embedding"), _projected, ROWS)
     sizes = distinct.select("set_id", "times", "least_id")
     projected = scratch.keep(projected.join(sizes, "set_id"), "projected")
 
@@ -198,13 +203,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     x, y = spans.toDF("label", "size", "t", "t_lo", "t_hi"), spans.toDF("label", "size", "u", "u_lo", "u_hi")
     reach = projected_reach(w)
     pairs = x.join(y, ["label", "size"]).where((F.col("t") <= F.col("u")) & (F.col("u_lo") - F.col("t_hi") <= reach) & (F.col("t_lo") - F.col("u_hi") <= reach))
-    pairs = pairs.select("label", "size", "t", "u")
-    ends = pairs.select("label", "size", F.col("t").alias("tile"), "t", "u", F.when(F.col("t") == F.col("u"), 2).otherwise(0).alias("side")).unionAll(
-        pairs.where("t < u").select("label", "size", F.col("u").alias("tile"), "t", "u", F.lit(1).alias("side"))
+    # A row goes to a pair of tiles only if its first projection is within reach of the other tile.
+    ends = pairs.select("label", "size", F.col("t").alias("tile"), "t", "u", F.when(F.col("t") == F.col("u"), 2).otherwise(0).alias("side"), F.col("u_lo").alias("lo"), F.col("u_hi").alias("hi")).unionAll(
+        pairs.where("t < u").select("label", "size", F.col("u").alias("tile"), "t", "u", F.lit(1).alias("side"), F.col("t_lo").alias("lo"), F.col("t_hi").alias("hi"))
     )
-    sent = tiled.join(ends, ["label", "size", "tile"]).withColumn("tile_pair", F.xxhash64("label", "size", "t", "u"))
-    sent = sent.select("tile_pair", "set_id", "side", "times", "unit", "projections")
-    found = scratch.keep(sent.repartition("tile_pair").sortWithinPartitions("tile_pair", "set_id").mapInArrow(_tile_links(cosine), LINKS), "links")
+    sent = tiled.join(ends, ["label", "size", "tile"]).where(F.col("p0").between(F.col("lo") - reach, F.col("hi") + reach))
+    sent = sent.select(F.xxhash64("label", "size", "t", "u").alias("tile_pair"), "set_id", "side", "times", "unit", "projections")
+    found = scratch.keep(arrow_map(sent.repartition("tile_pair").sortWithinPartitions("tile_pair", "set_id"), _tile_links(cosine), LINKS), "links")
 
     parts = connected_components(scratch, found.select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
@@ -218,5 +223,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
 
 def projected_reach(w: float) -> float:
-    """How far two tiles may lie apart on the first projection: 2.5 windows, five deviations of a pair at the threshold."""
-    return 2.5 * w
+    """How far two tiles may lie apart on the first projection: 1.75 windows, 3.5 deviations of a pair at the threshold."""
+    return 1.75 * w
