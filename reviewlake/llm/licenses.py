@@ -1,16 +1,21 @@
 """License scans: a trained paragraph classifier, with an unknown class and template confirmation.
 
-Paragraphs are the non-empty lines of a text. Presence of hashed word 1- and 2-grams feeds a
-sparse multinomial logistic regression over licence families and ``unknown``. It is trained in
-numpy on variants of notice templates (words dropped, prose around them) and on prose without a
-notice. The probability a family must reach is calibrated on held-out prose, of which at most
-``FALSE_ALARMS`` may pass; the rest is unknown. A prediction is confirmed if one template of
-the family has enough of its word pairs in the paragraph. Words outside the trained features
-weigh nothing, so texts are scanned as arrays and only lines with trained words are scored.
-
-Defined results: null and empty texts have no paragraphs; one row per identified paragraph;
-repeated rows give their rows each; equal probabilities go to the family that sorts first; null
-ids are kept; extra columns are ignored; empty tables stay empty.
+Presence of hashed word 1- and 2-grams feeds a sparse multinomial logistic regression over licence families and
+``unknown``. It is trained in numpy on variants of notice templates (words dropped, prose around them, pieces as
+line breaks leave them) and on prose without a notice: built-in sentences, and lines of a bounded sample of the corpus
+itself (``SAMPLE`` rows with the smallest id hashes; lines that share a fifth of a template's word pairs are left
+out). The probability a family must reach is calibrated on held-out prose of both kinds, of which at most
+``FALSE_ALARMS`` may pass.
+
+Lines are scored first. A line that a family claims is a seed: the notice may be wrapped, so up to ``AROUND`` neighbouring
+lines of the same block of non-blank lines are joined, the family's closest template is sought in the joined
+text, and the lines that hold its word pairs are the paragraph. The paragraph as a whole is classified again. The
+template decides: with enough of its pairs found the family is confirmed; else the paragraph is ``unknown``, and
+``nearest`` tells the family that the classifier named. Words outside the trained features weigh nothing.
+
+Defined results: null and empty texts have no paragraphs; one row per identified paragraph, its lines counted from 0;
+repeated rows give their rows each; equal probabilities go to the family that sorts first, equal similarities to
+the earlier template; null ids are kept and not sampled; extra columns are ignored; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -22,14 +27,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, batch_of, column_of, mix, segments, text_bytes
+from .common import Rolling, arrow_map, batch_of, column_of, mix, segments, text_bytes
 
 UNKNOWN = "unknown"
 BITS = 18
 FALSE_ALARMS = 0.001
 CONFIRMED_AT = 0.6
 VARIANTS = 24
-SCAN = "doc_id long, paragraph int, family string, probability double, template_similarity double, confirmed boolean"
+AROUND = 12
+#: Rows of the corpus whose lines serve as prose, and lines taken of them at most.
+SAMPLE = 400
+SAMPLE_LINES = 4000
+SCAN = "doc_id long, paragraph int, last_line int, family string, nearest string, probability double, template_similarity double, confirmed boolean"
 
 # Notices of public licences, one or more per family.
 TEMPLATES = {
@@ -118,6 +127,14 @@ class Model:
         return line[first], z / z.sum(axis=1, keepdims=True)
 
 
+def _pieces_of(notice: str, rng) -> str:
+    """A run of the notice's words, as a line of a wrapped notice holds them."""
+    words = notice.split()
+    n = int(rng.integers(6, 14))
+    start = int(rng.integers(0, max(1, len(words) - n + 1)))
+    return " ".join(words[start : start + n])
+
+
 def _examples(rng, variants: int) -> list[tuple[str, str]]:
     filler = [w for s in PROSE for w in s.split()]
     rows = []
@@ -127,14 +144,31 @@ def _examples(rng, variants: int) -> list[tuple[str, str]]:
                 words = [w for w in notice.split() if i == 0 or rng.random() > 0.08]
                 before, after = rng.integers(0, 12, 2) if i % 2 else (0, 0)
                 rows.append((family, " ".join([*rng.choice(filler, before), *words, *rng.choice(filler, after)])))
+            if len(notice.split()) > 14:
+                rows += [(family, _pieces_of(notice, rng)) for _ in range(variants)]
     total = len(rows)
     for i in range(total):
         rows.append((UNKNOWN, PROSE[i % len(PROSE)] if i < len(PROSE) else " ".join(rng.choice(filler, rng.integers(2, 40)))))
     return rows
 
 
-def train_model(seed: int = 5, variants: int = VARIANTS, rounds: int = 120, penalty: float = 1e-4) -> Model:
-    """Fitted on every second example, calibrated on the others."""
+_TEMPLATE_PAIRS = {family: [word_pairs(t) for t in notices] for family, notices in TEMPLATES.items()}
+
+
+def corpus_prose(docs: DataFrame, rows: int = SAMPLE, lines: int = SAMPLE_LINES) -> list[str]:
+    """Lines of a bounded sample of ``docs`` that are far from all templates."""
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    ids = [r[0] for r in ids.collect()]
+    if not ids:
+        return []
+    found = docs.where(F.col("doc_id").isin(ids)).select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 20 and 2000")
+    found = [r[0] for r in found.distinct().orderBy(F.xxhash64("line"), "line").limit(lines).collect()]
+    every = [t for templates in _TEMPLATE_PAIRS.values() for t in templates]
+    return [line for line in found if (pairs := word_pairs(line)) is not None and all(len(pairs & t) < 0.2 * len(t) for t in every)]
+
+
+def train_model(prose: list[str] = (), seed: int = 5, variants: int = VARIANTS, rounds: int = 120, penalty: float = 1e-4) -> Model:
+    """Fitted on every second example and line of ``prose``, calibrated on the others."""
     rng, rolling = np.random.Generator(np.random.PCG64(seed)), _rolling()
     rows = _examples(rng, variants)
     families = sorted({f for f, _ in rows})
@@ -142,9 +176,12 @@ def train_model(seed: int = 5, variants: int = VARIANTS, rounds: int = 120, pena
     used = np.unique(np.concatenate(found))
     place = np.full(1 << BITS, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
+    rows += [(UNKNOWN, line) for line in prose]
+    found += [np.unique(line_features(line.encode(), rolling)[1]) for line in prose]
     x = np.zeros((len(rows), len(used)), dtype=np.float32)
     for i, f in enumerate(found):
-        x[i, place[f]] = 1
+        at = place[f]
+        x[i, at[at >= 0]] = 1
     y = np.array([families.index(f) for f, _ in rows])
     fit, held = np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)
     w, b = np.zeros((len(used), len(families)), dtype=np.float32), np.zeros(len(families), dtype=np.float32)
@@ -166,36 +203,68 @@ def train_model(seed: int = 5, variants: int = VARIANTS, rounds: int = 120, pena
     return Model(families, place, w.astype(np.float64), b.astype(np.float64), max(0.5, least))
 
 
+def _notice(lines: list[bytes], seed: int, family: str) -> tuple[float, int, int]:
+    """(similarity, first line, last line) of the family's closest template around the seed line."""
+    low = high = seed
+    while low > 0 and seed - low < AROUND and lines[low - 1].strip():
+        low -= 1
+    while high + 1 < len(lines) and high - seed < AROUND and lines[high + 1].strip():
+        high += 1
+    words = [_PAIRS.findall(line.decode("utf-8", "replace").lower()) for line in lines[low : high + 1]]
+    flat = [(w, i + low) for i, line in enumerate(words) for w in line]
+    pairs = [((a, b), i, j) for (a, i), (b, j) in zip(flat, flat[1:])]
+    best = (0.0, seed, seed)
+    for t in _TEMPLATE_PAIRS[family]:
+        hits = [(p, i, j) for p, i, j in pairs if p in t]
+        similarity = len({p for p, _, _ in hits}) / len(t)
+        if similarity > best[0]:
+            best = (similarity, min(seed, *(i for _, i, _ in hits)), max(seed, *(j for _, _, j in hits)))
+    if best[0] < CONFIRMED_AT:
+        return best[0], seed, seed
+    return best
+
+
 def classify(raw: bytes, model: Model, rolling: Rolling):
-    """(line, family, probability, similarity to the family's closest template) of identified paragraphs."""
+    """(first line, last line, family, nearest family, probability, similarity to its closest template) of identified paragraphs."""
     lines_done = 0
     unknown = model.families.index(UNKNOWN)
     for piece in segments(raw):
-        text_lines = None
+        text_lines, taken = None, -1
         line, p = model.probabilities(*line_features(piece, rolling))
         best = p.argmax(axis=1) if len(p) else np.empty(0, dtype=np.int64)
         for i in np.flatnonzero((best != unknown) & (p.max(axis=1, initial=0) >= model.least)):
+            if line[i] <= taken:
+                continue  # inside the paragraph before
             if text_lines is None:
                 text_lines = piece.split(b"\n")
-            pairs = word_pairs(text_lines[line[i]].decode("utf-8", "replace"))
             family = model.families[best[i]]
-            similarity = max(len(pairs & t) / len(t) for t in map(word_pairs, TEMPLATES[family]))
-            yield lines_done + int(line[i]), family, float(p[i, best[i]]), similarity
+            similarity, first, last = _notice(text_lines, int(line[i]), family)
+            first, probability = max(first, taken + 1), float(p[i, best[i]])
+            if last > first:
+                _, whole = model.probabilities(*(x for x in _joined(text_lines[first : last + 1], rolling)))
+                probability = max(probability, float(whole[0, best[i]]))
+            taken = last
+            yield lines_done + first, lines_done + last, family if similarity >= CONFIRMED_AT else UNKNOWN, family, probability, similarity
         lines_done += piece.count(b"\n")
 
 
+def _joined(lines: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    line, features = line_features(b" ".join(lines), rolling)
+    return np.zeros_like(line), features
+
+
 def license_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row per paragraph in which a licence family is identified; ``paragraph`` is the line's number from 0."""
-    model = model or train_model()
+    """One row per paragraph that looks like a licence notice: its lines, its family or ``unknown``, the nearest family."""
+    model = model or train_model(corpus_prose(docs))
 
     def run(batches):
         rolling = _rolling()
         for batch in batches:
             rows = []
             for doc, raw in zip(column_of(batch, "doc_id").to_pylist(), text_bytes(column_of(batch, "text"))):
-                for line, family, p, similarity in classify(raw or b"", model, rolling):
-                    rows.append((doc, line, family, p, similarity, similarity >= CONFIRMED_AT))
+                for first, last, family, nearest, p, similarity in classify(raw or b"", model, rolling):
+                    rows.append((doc, first, last, family, nearest, p, similarity, similarity >= CONFIRMED_AT))
             if rows:
                 yield batch_of(SCAN, list(zip(*rows)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCAN)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCAN)
