@@ -63,7 +63,7 @@ def _kb(spark, sf_dir):
 
 
 def _kb_values() -> str:
-    return ", ".join(f"({quoted(i)}, {quoted(cat)}, {quoted(s)}, {[*a]!r})" for i, cat, s, a in retrieval.catalogue_rows())
+    return ", ".join(f"({quoted(i)}, {quoted(cat)}, {quoted(s)}, {[*a]!r})" for i, cat, s, a in retrieval.CATALOGUE)
 
 
 def _gold_values() -> str:

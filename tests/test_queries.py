@@ -121,7 +121,7 @@ def test_redaction(spark):
 
 
 def test_catalogue_and_gold(spark):
-    assert len(retrieval.catalogue_rows()) == 91
+    assert len(retrieval.CATALOGUE) == 91
     got = retrieval.retrieval_metrics(retrieval.retrieve(retrieval.catalogue(spark), retrieval.gold_queries(spark)), retrieval.gold_queries(spark)).collect()
     found = {r["query_id"]: (r["retrieved"], r["recall"], r["precision"]) for r in got}
     counts = [11, 12, 10, 19, 17, 23, 17, 19, 19, 13]
