@@ -48,17 +48,25 @@ def cwe_description(value: Column) -> Column:
     return F.when(cwe_id(value).isNotNull(), F.nullif(F.trim(F.ltrim(rest, F.lit(" :-"))), F.lit("")))
 
 
+#: Fixed value: a complete vector of base metrics.
+_VECTOR = r"(?i)CVSS:(\d\.\d)/(AV:[NALP]/AC:[LH]/PR:[NLH]/UI:[NR]/S:[UC]/C:[NLH]/I:[NLH]/A:[NLH])"
+
+
 def cvss(value: Column) -> Column:
-    """struct(score, version, vector, parse_successful, notes) of text such as ``9.8 (CVSS:3.1/AV:N/...)``."""
+    """What is reported in text such as ``9.8 (CVSS:3.1/AV:N/...)``: score, version, vector, both in one form, notes on what differs.
+
+    An incomplete vector is none, and without a vector there is no version. Nothing is recalculated.
+    """
     score = F.regexp_extract(value, r"^\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
-    version = F.nullif(F.regexp_extract(value, r"(?i)CVSS:(\d\.\d)", 1), F.lit(""))
-    vector = F.upper(F.nullif(F.regexp_extract(value, r"(?i)CVSS:\d\.\d((?:/[A-Z]{1,3}:[A-Z])+)", 1), F.lit("")))
-    vector = F.ltrim(vector, F.lit("/"))
+    version = F.nullif(F.regexp_extract(value, _VECTOR, 1), F.lit(""))
+    vector = F.concat(F.lit("CVSS:"), version, F.lit("/"), F.upper(F.regexp_extract(value, _VECTOR, 2)))
+    rendering = F.concat(score.cast("string"), F.lit(" ("), vector, F.lit(")"))
     notes = F.array_compact(F.array(
-        F.when(score.isNull(), "score missing"), F.when(version.isNull(), "version missing"), F.when(vector.isNull(), "vector missing")))
+        F.when(score.isNull(), "score not parsed"), F.when(vector.isNull(), "vector not parsed"), F.when(rendering != normalize_whitespace(value), "source formatting differs")))
     return F.struct(
-        score.alias("score"), version.alias("version"), vector.alias("vector"), (score.isNotNull() & vector.isNotNull()).alias("parse_successful"), notes.alias("notes")
-    )
+        value.alias("reported_value"), score.alias("score"), version.alias("version"), vector.alias("vector"), rendering.alias("normalized_rendering"),
+        (score.isNotNull() & vector.isNotNull()).alias("parse_successful"), notes.alias("notes"),
+    )
 
 
 def unescape_html(text: Column) -> Column:
@@ -85,6 +93,15 @@ def target_type(text: Column) -> Column:
     return rules.otherwise("unknown")
 
 
+def affected_target(value: Column) -> Column:
+    """struct(target_type, reported_value, normalized_value, notes): the URL if there is one, else the text with single spaces."""
+    url = first_url(value)
+    host = F.try_parse_url(url, F.lit("HOST"))
+    notes = F.array_compact(F.array(
+        F.when(F.contains(value, F.lit("<")) & F.contains(value, F.lit(">")), "contains markup"), F.when(url.isNotNull() & host.isNull(), "URL without a host")))
+    return F.struct(target_type(value).alias("target_type"), value.alias("reported_value"), F.coalesce(url, normalize_whitespace(value)).alias("normalized_value"), notes.alias("notes"))
+
+
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) <= n, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(n))), F.lit("...")))
 
@@ -92,7 +109,8 @@ def truncated(text: Column, n: int) -> Column:
 def keywords(text: Column) -> Column:
     """Distinct words of three or more characters that are no stop words, in order of first occurrence."""
     words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " ")), r"\s+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(strings(STOP_WORDS), w)))
+    # array_except hashes its right side, drops repeats and keeps the order of first occurrence.
+    return F.array_except(F.filter(words, lambda w: F.length(w) >= 3), strings(STOP_WORDS))
 
 
 def hits(text: Column, words: Column) -> Column:

@@ -1,6 +1,7 @@
 """The review of findings: nine rule checks, cross-field consistency, confidence, escalation, status.
 
-``review(findings)`` adds struct columns; nothing shuffles, so it also runs on a stream. Expected
+``review(findings)`` adds struct columns; nothing shuffles, so it also runs on a stream. A query that needs some of
+them names them, and only the rules they rest on are planned. Expected
 columns: finding_id, title, severity, cvss struct<score, vector>, cwe_id, impact, observation,
 evidence array<struct<evidence_id, evidence_type, description, content>>, recommendation
 array<string>, retest struct<applicable, status, evidence>. Booleans have three states: null is unknown.
@@ -292,16 +293,80 @@ def numbered_comments(df: DataFrame) -> DataFrame:
     return df.withColumn("review_comments", numbered)
 
 
-def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False) -> DataFrame:
-    """Every check of every finding; working columns are dropped."""
-    df = settled(prepared(findings))
-    for steps in ((completeness, evidence), (classification, severity, cvss, cwe, impact, recommendation, retest), (consistency,), (confidence,)):
-        for step in steps:
-            df = step(df)
-        df = settled(df)
-    df = settled(numbered_comments(status(settled(escalation(df, strict_conflict)))))
+#: Output column of each step, the outputs and the working columns that it reads, in the order of the steps.
+STEPS = [
+    ("completeness", completeness, [], ["_evidence", "_recommendation"]),
+    ("evidence_review", evidence, [], ["_items"]),
+    ("classification", classification, ["evidence_review"], []),
+    ("severity_review", severity, [], ["_band"]),
+    ("cvss_review", cvss, [], ["_band"]),
+    ("cwe_review", cwe, [], ["_title"]),
+    ("impact_review", impact, [], ["_impact", "_evidence_text"]),
+    ("recommendation_review", recommendation, [], ["_recommendation", "_rec_text"]),
+    ("retest_review", retest, [], []),
+    ("consistency", consistency, ["evidence_review", "classification"], ["_band", "_title", "_observation", "_impact", "_items", "_recommendation", "_evidence_text", "_rec_text", "_title_words", "_source_words"]),
+    ("confidence", confidence, ["completeness", "evidence_review", "classification", "severity_review", "retest_review"], []),
+    ("escalation", None, ["confidence", "evidence_review", "classification", "severity_review"], []),
+    ("review_status", status, ["escalation", "completeness", "evidence_review"], []),
+]
+OUTPUTS = [name for name, *_ in STEPS] + ["review_comments"]
+NOTES = [name for name, *_ in STEPS[:10]]
+#: Steps after which the rows are settled: later ones read their results more than once.
+GROUPS = [["completeness", "evidence_review"], OUTPUTS[2:9], ["consistency"], ["confidence"], ["escalation"], ["review_status"]]
+#: Working columns that are not settled: they cost no more than reading them.
+CHEAP = {"_band", "_title", "_observation", "_impact", "_evidence", "_recommendation"}
+INPUT = ["finding_id", "title", "severity", "cvss", "cwe_id", "impact", "observation", "evidence", "recommendation", "retest"]
+
+
+def needed(only: list[str]) -> set[str]:
+    """The outputs asked for and all that they rest on."""
+    reads = {name: outputs for name, _, outputs, _ in STEPS} | {"review_comments": NOTES}
+    found: set[str] = set()
+    waiting = list(only)
+    while waiting:
+        name = waiting.pop()
+        if name not in found:
+            found.add(name)
+            waiting += reads[name]
+    return found
+
+
+def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False, only: list[str] | None = None) -> DataFrame:
+    """Checks of every finding; working columns are dropped.
+
+    ``only`` names the outputs wanted: then just the rules that they rest on are built, beside the
+    ``INPUT`` columns. Without it all outputs stand beside all columns of ``findings``.
+    """
+    wanted = needed(OUTPUTS if only is None else only)
+    base = findings.columns if only is None else INPUT
+    steps = {name: (step, reads, work) for name, step, reads, work in STEPS if name in wanted}
+    made: list[str] = []
+
+    def rested(df: DataFrame, later: list[str]) -> DataFrame:
+        """Settled, with the columns that are still needed."""
+        work = {x for name in later for x in steps[name][2]}
+        notes = [f"_c{NOTES.index(name) + 1}" for name in made if name in NOTES and "review_comments" in wanted]
+        kept = [*base, *made, *(["factors"] if "confidence" in made else []), *notes, *sorted(work)]
+        return settled(df.select(*[F.col(f"`{x}`") for x in kept]))
+
+    df = prepared(findings)
+    todo = [name for group in GROUPS for name in group if name in steps]
+    if any(x not in CHEAP for name in todo for x in steps[name][2]):
+        df = rested(df, todo)
+    for group in GROUPS:
+        now = [name for name in group if name in steps]
+        for name in now:
+            df = escalation(df, strict_conflict) if name == "escalation" else steps[name][0](df)
+            made.append(name)
+        todo = [name for name in todo if name not in now]
+        if now and (any(x in now for name in todo for x in steps[name][1]) or (not todo and "review_comments" in wanted)):
+            df = rested(df, todo)
+    if "review_comments" in wanted:
+        df = settled(numbered_comments(df))
     review_id = F.format_string("REV-%06d", F.pmod(F.xxhash64("finding_id", F.lit(ruleset)), F.lit(1000000)))
-    return df.withColumn("review_id", review_id).drop(*[x for x in df.columns if x.startswith("_")])
+    asked = [name for name in OUTPUTS if name in (wanted if only is None else only)]
+    extra = ["factors"] if "confidence" in asked else []
+    return df.withColumn("review_id", review_id).select(*[F.col(f"`{x}`") for x in [*base, *asked, *extra, "review_id"]])
 
 
 #: Codes and severities as the output schema spells them.

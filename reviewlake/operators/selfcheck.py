@@ -13,6 +13,10 @@ c = F.col
 PRIORITY = {"escalate": 4, "pending": 3, "request_data": 2, "re-check": 1, "pass": 0}
 
 
+#: Outputs of the review that the items read.
+READS = ["completeness", "evidence_review", "classification", "severity_review", "cvss_review", "consistency", "confidence", "escalation"]
+
+
 def _true(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 

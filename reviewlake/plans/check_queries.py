@@ -14,7 +14,7 @@ c = F.col
 
 
 def _checked(s, d):
-    return selfcheck.checklist(review(findings(s, d)))
+    return selfcheck.checklist(review(findings(s, d), only=selfcheck.READS))
 
 
 RAW = f"""CASE doc_id % 9 WHEN 0 THEN '{{"finding_id": "FND-000001", "title": "x", "severity": "low", "score": 3.5}}' WHEN 1 THEN '{{"finding_id": "F-1", "title": "x", "severity": "bad", "score": 11}}'
@@ -42,7 +42,9 @@ def _streamed(s, d):
     import uuid
 
     batch = findings(s, d)
-    root = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     batch.write.parquet(f"{base}/in")
     stream = review_stream.review_stream(review_stream.files_as_stream(s, f"{base}/in", batch)).select("finding_id", "review_status", "confidence.score")
@@ -53,7 +55,7 @@ def _streamed(s, d):
 QUERIES = {
     "selfcheck_items": lambda s, d: _checked(s, d).select("finding_id", F.explode("checklist").alias("x")).select("finding_id", "x.item", "x.action"),
     "response_action": lambda s, d: _checked(s, d).select("finding_id", "overall_action", c("failed").cast("long").alias("failed")),
-    "false_positive_probability": lambda s, d: review(findings(s, d)).select("finding_id", selfcheck.false_positive_probability().alias("probability")),
+    "false_positive_probability": lambda s, d: review(findings(s, d), only=["evidence_review", "consistency"]).select("finding_id", selfcheck.false_positive_probability().alias("probability")),
     "schema_errors": lambda s, d: validation.errors(_records(s, d), "doc_id", "raw", validation.FINDING_SCHEMA),
     "schema_first_error": lambda s, d: validation.first_error(_records(s, d), "doc_id", "raw", validation.FINDING_SCHEMA),
     "vulnerability_type": lambda s, d: flat_findings(s, d).select("finding_id", migration.vulnerability_type(c("title")).alias("kind")),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, dataset_queries, review_queries, table_queries
+from . import check_queries, dataset_queries, finding_queries, review_queries, table_queries
 
-MODULES = [review_queries, table_queries, dataset_queries, check_queries]
+MODULES = [review_queries, table_queries, finding_queries, dataset_queries, check_queries]
 
 
 def queries() -> dict:
@@ -22,4 +22,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.review import review
     from .synthetic import findings
 
-    return review(findings(spark, sf_dir)).select("finding_id", "review_status", "classification.label", "confidence.score", "confidence.level", "escalation.required", "escalation.reviewer")
+    return review(findings(spark, sf_dir), only=["review_status", "classification", "confidence", "escalation"]).select("finding_id", "review_status", "classification.label", "confidence.score", "confidence.level", "escalation.required", "escalation.reviewer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -68,12 +70,14 @@ ESCALATED = f"{SCORED}, escalated AS (SELECT *, concat_ws(',', {', '.join(f'CASE
 STATUS = "CASE WHEN reasons <> '' THEN 'human_review' WHEN severity IS NULL OR observation = '' OR n = 0 OR sufficient = false THEN 'needs_revision' ELSE 'pass' END"
 
 
-def _reviewed(spark, sf_dir):
-    return R.review(findings(spark, sf_dir))
+def _reviewed(spark, sf_dir, only=None):
+    return R.review(findings(spark, sf_dir), only=only)
 
 
 def _pick(**columns):
-    return lambda spark, sf_dir: _reviewed(spark, sf_dir).select("finding_id", *[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in columns.items()])
+    """Expressions over outputs of the review; only the rules that they name are built."""
+    only = [x for x in R.OUTPUTS if any(re.search(rf"\b{x}\b", v) for v in columns.values())]
+    return lambda spark, sf_dir: _reviewed(spark, sf_dir, only).select("finding_id", *[F.expr(v).alias(k) for k, v in columns.items()])
 
 
 def _codes(prefix: str) -> str:
@@ -98,9 +102,9 @@ QUERIES = {
     "review_confidence": _pick(score="confidence.score", level="confidence.level"),
     "review_escalation": _pick(required="escalation.required", reasons="array_join(escalation.reasons, ',')", reviewer="escalation.reviewer"),
     "review_status": _pick(review_status="review_status"),
-    "review_stats": lambda spark, sf_dir: R.review_stats(_reviewed(spark, sf_dir)),
-    "review_comments": lambda spark, sf_dir: _reviewed(spark, sf_dir).select("finding_id", F.explode("review_comments").alias("x")).select("finding_id", "x.comment_id", "x.taxonomy_code", "x.category", "x.severity"),
-    "review_comment_counts": lambda spark, sf_dir: _reviewed(spark, sf_dir).select(F.explode("review_comments").alias("x")).groupBy("x.taxonomy_code", "x.category").agg(F.count("*").alias("n")),
+    "review_stats": lambda spark, sf_dir: R.review_stats(_reviewed(spark, sf_dir, ["review_status"])),
+    "review_comments": lambda spark, sf_dir: _reviewed(spark, sf_dir, ["review_comments"]).select("finding_id", F.explode("review_comments").alias("x")).select("finding_id", "x.comment_id", "x.taxonomy_code", "x.category", "x.severity"),
+    "review_comment_counts": lambda spark, sf_dir: _reviewed(spark, sf_dir, ["review_comments"]).select(F.explode("review_comments").alias("x")).groupBy("x.taxonomy_code", "x.category").agg(F.count("*").alias("n")),
 }
 
 _COMP = [("severity IS NULL", "severity"), ("observation = ''", "observation"), ("n = 0", "evidence")]

@@ -138,7 +138,7 @@ ORACLE_SQL = {
     "normalize_whitespace": f"SELECT doc_id, sha256(trim(regexp_replace(text, '{WS}', ' ', 'g'))) AS digest FROM documents",
     "parse_severity": f"{WITH} SELECT finding_id, severity FROM findings",
     "parse_cwe": f"{WITH} SELECT finding_id, CASE WHEN regexp_matches(cwe_id, '^CWE-') THEN cwe_id END AS cwe, CASE WHEN regexp_matches(cwe_id, '^CWE-') THEN title END AS description FROM findings",
-    "parse_cvss": f"{WITH} SELECT finding_id, CASE WHEN score IS NOT NULL THEN round(score, 2) END AS score, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN substring(vector, 6, 3) END AS version, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN substring(vector, 10) END AS vector, CASE WHEN score IS NOT NULL THEN coalesce(vector LIKE 'CVSS%', false) WHEN score IS NULL THEN false END AS parse_successful FROM findings",
+    "parse_cvss": f"{WITH} SELECT finding_id, CASE WHEN score IS NOT NULL THEN round(score, 2) END AS score, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN substring(vector, 6, 3) END AS version, CASE WHEN score IS NOT NULL AND vector LIKE 'CVSS%' THEN vector END AS vector, CASE WHEN score IS NOT NULL THEN coalesce(vector LIKE 'CVSS%', false) WHEN score IS NULL THEN false END AS parse_successful FROM findings",
     "extract_url": "SELECT page_id, url, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages",
     "target_type": f"{WITH} SELECT finding_id, CASE WHEN lower(title) LIKE '%android%' OR lower(title) LIKE '%apk%' THEN 'android_application' WHEN lower(title) LIKE '%ios%' THEN 'ios_application' WHEN lower(title) LIKE '%web%' OR lower(title) LIKE '%url%' THEN 'web_application' WHEN lower(title) LIKE '%api%' THEN 'api' WHEN lower(title) LIKE '%jwt%' OR lower(title) LIKE '%token%' THEN 'cryptographic_component' WHEN lower(title) LIKE '%network%' THEN 'network' WHEN lower(title) LIKE '%cloud%' THEN 'cloud_resource' ELSE 'unknown' END AS target_type FROM findings",
     "keywords": f"{WITH} SELECT finding_id, array_to_string({KW % 'title'}, ' ') AS words, length(list_distinct({KW % 'observation'})) AS n_observation FROM findings",
