@@ -62,15 +62,89 @@ def expand_tasks(findings: DataFrame) -> DataFrame:
 def case_ids(cases: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """``BMC-<task>-%04d`` per task in order of finding_id, after a task's offset if given as (task_type, offset).
 
-    A task's numbers need its whole order, so each task is one sort; use hashes as keys where that is too much.
+    Rows are range-partitioned by task and finding, numbered within partitions, and shifted by how many rows of the
+    task lie in earlier partitions: no task orders a whole task type.
     """
-    w = Window.partitionBy("task_type").orderBy("finding_id")
-    numbered = cases.withColumn("n", F.row_number().over(w))
+    placed = cases.repartitionByRange("task_type", "finding_id").withColumn("part", F.spark_partition_id())
+    before = Window.partitionBy("task_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("task_type", "part").agg(F.count("*").alias("rows")).select(c("task_type").alias("s_task"), c("part").alias("s_part"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
+    w = Window.partitionBy("task_type", "part").orderBy("finding_id")
+    numbered = placed.withColumn("n", F.row_number().over(w)).join(starts, (c("task_type") == c("s_task")) & (c("part") == c("s_part"))).withColumn("n", c("n") + c("start")).drop("s_task", "s_part", "start", "part")
     if offsets is not None:
-        numbered = numbered.join(F.broadcast(offsets), "task_type", "left").withColumn("n", c("n") + F.coalesce("offset", F.lit(0))).drop("offset")
+        numbered = numbered.join(offsets, "task_type", "left").withColumn("n", c("n") + F.coalesce("offset", F.lit(0))).drop("offset")
     return numbered.withColumn("case_id", F.format_string("BMC-%s-%04d", "task_type", "n")).drop("n")
 
 
+def eligible_tasks(findings: DataFrame) -> DataFrame:
+    """(finding_id, task_type) of the tasks that a finding has the parts for."""
+    df = markers(findings)
+    some = lambda name: F.coalesce(F.size(name), F.lit(0)) > 0
+    told = lambda x: F.coalesce(x, F.lit("")) != ""
+    rules = {
+        "finding_review": told(c("observation")) & some("evidence") & some("recommendation"), "severity_review": told(c("severity")) & c("cvss.score").isNotNull() & told(c("cvss.vector")),
+        "evidence_check": some("evidence"), "remediation_review": some("recommendation"), "client_qa": F.lit(True), "hard_negative_potential_issue": c("negative"),
+    }
+    return df.select("finding_id", F.explode(F.array_compact(F.array(*[F.when(when, task) for task, when in rules.items()]))).alias("task_type"))
+
+
+def task_inventory(findings: DataFrame) -> DataFrame:
+    """Findings by severity and by eligible task: (kind, value, n)."""
+    severities = findings.groupBy(F.coalesce("severity", F.lit("missing")).alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("severity"))
+    tasks = eligible_tasks(findings).groupBy(c("task_type").alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("task"))
+    return severities.unionByName(tasks)
+
+
+def envelope(cases: DataFrame) -> DataFrame:
+    """Cases as dataset examples: gold_output becomes output, the hash is made of task and input."""
+    return cases.select("task_type", "instruction", "input", c("gold_output").alias("output"), content_hash(c("task_type"), c("input")).alias("content_hash"))
+
+
+def repeated_hashes(examples: DataFrame, hash_col: str = "content_hash") -> DataFrame:
+    return examples.groupBy(hash_col).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def unsupported_questions(findings: DataFrame, questions: DataFrame) -> DataFrame:
+    """Questions that a finding cannot answer, as cases whose gold answer is a refusal. ``questions(finding_id, question, refusal_reason)``."""
+    gold = F.to_json(F.struct(F.lit(None).cast("string").alias("answer"), F.lit(True).alias("refuses"), F.array().cast("array<string>").alias("source_references")), {"ignoreNullFields": "false"})
+    joined = findings.select("finding_id", "title", "observation").join(questions, "finding_id")
+    return joined.select(
+        "finding_id", F.lit("client_qa").alias("task_type"), "question", "refusal_reason", gold.alias("gold_output"), F.lit("hard").alias("difficulty"), F.lit(True).alias("is_hard_negative"),
+        F.lit("unsupported_question").alias("hard_negative_type"), content_hash(c("finding_id"), c("title"), c("observation"), c("question")).alias("content_hash"),
+    )
+
+
+def hard_negative_faults(cases: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """(fault, subject, n): types whose number is not the expected one, ids that stand twice, cases that are not flagged."""
+    spark = cases.sparkSession
+    wanted = spark.createDataFrame(list(expected.items()), "subject string, wanted long")
+    counts = cases.groupBy(c("hard_negative_type").alias("subject")).agg(F.count("*").alias("n"))
+    number = wanted.join(counts, "subject", "full").fillna(0, ["n", "wanted"]).where("n <> wanted").select(F.lit("number").alias("fault"), "subject", "n")
+    twice = cases.groupBy(c("case_id").alias("subject")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("fault"), "subject", "n")
+    unflagged = cases.where(~c("is_hard_negative").eqNullSafe(True)).select(F.lit("not_flagged").alias("fault"), c("case_id").alias("subject"), F.lit(1).cast("long").alias("n"))
+    return number.unionByName(twice).unionByName(unflagged)
+
+
+def count_deltas(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, n_old, n_new, delta) of the values of a column in two versions of a table."""
+    sides = [df.groupBy(F.coalesce(key, F.lit("unknown")).alias(key)).agg(F.count("*").alias(name)) for df, name in ((old, "n_old"), (new, "n_new"))]
+    return sides[0].join(sides[1], key, "full").fillna(0, ["n_old", "n_new"]).withColumn("delta", c("n_new") - c("n_old"))
+
+
+def count_ranks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, rank): values by how often they occur, ties by value. Ranks one row a value."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(c("n").desc(), key)))
+
+
+def freeze_manifest(buckets: DataFrame, examples: DataFrame, group: str) -> DataFrame:
+    """One row: whether the test set can be frozen (two groups or more), its groups and number of examples."""
+    test = buckets.where("bucket = 'test'").select(group)
+    size = examples.withColumn(group, F.coalesce(group, F.lit("UNKNOWN"))).join(test, group, "left_semi").agg(F.count("*").alias("test_examples"))
+    status = F.when(F.count("*") < 2, "NOT_FROZEN").otherwise("FROZEN")
+    summary = buckets.agg(status.alias("status"), F.count("*").alias("groups"), F.count_if(c("bucket") == "test").alias("test_groups"))
+    return summary.crossJoin(size)  # one row by one row
+
+
 def manifest(cases: DataFrame) -> DataFrame:
     """Counts by task, by difficulty and in all, in one pass of grouping sets."""
     return cases.groupingSets([["task_type"], ["difficulty"], []], "task_type", "difficulty").agg(F.count("*").alias("n"), F.count_if("is_hard_negative").alias("hard_negatives"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import json_text, parse_error
+from ..functions.text import json_text, parse_error, strings
 from ..functions.values import ERROR_CODES
 
 c = F.col
@@ -80,14 +80,108 @@ def passes_by_task(scores: DataFrame) -> DataFrame:
     return scores.groupBy("task_type").agg(F.count("*").alias("cases"), F.count_if(F.size("errors") == 0).alias("passed"))
 
 
-def structure_match(pairs: DataFrame, gold: str, predicted: str) -> Column:
-    """Share of the gold object's keys that the prediction has; null if either is no object."""
+def unfenced(output: Column) -> Column:
+    """An answer without its Markdown fence: only if it begins with one; the first line and a closing fence go."""
+    text = F.btrim(output, F.lit(" \t\n\r"))
+    inner = F.btrim(F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"```$", ""), F.lit(" \t\n\r"))
+    return F.when(text.startswith("```"), inner).otherwise(text)
+
+
+def structure_match(gold: Column, predicted: Column) -> Column:
+    """Share of the gold object's keys that the prediction has; 0 if that is no object, null if gold is none."""
     g, p = F.json_object_keys(gold), F.json_object_keys(predicted)
-    return F.try_divide(F.size(F.array_intersect(g, p)), F.size(g))
+    return F.try_divide(F.coalesce(F.size(F.array_intersect(g, p)), F.lit(0)), F.size(g))
+
 
+#: Fields compared for every task, and more of them by task or by what the gold answer holds.
+FIELDS = ["classification", "label", "severity", "suggested_severity", "review_status", "rationale"]
+EVIDENCE_FIELDS = ["evidence_review.is_sufficient", "evidence_review.supported_claims", "evidence_review.unsupported_claims", "evidence_review.missing_evidence"]
+CONFIDENCE_FIELDS = ["confidence.overall_score", "confidence.level"]
+SEVERITY_FIELDS = ["suggested_cvss_score", "suggested_cvss_vector"]
 
-def tier(valid: Column, exact: Column, structure: Column, label_matches: Column) -> Column:
-    return F.when(~valid, "MISMATCH").when(exact, "PASS").when(label_matches & (structure >= 0.8), "GOOD").when(structure >= 0.5, "PARTIAL").when(label_matches, "WEAK").otherwise("MISMATCH")
+
+def compared(cases: DataFrame) -> DataFrame:
+    """(case_id, task_type, json_valid, exact_match, structure, field_matches, classification_match, tier) of predictions beside gold.
+
+    Values are compared as canonical JSON (keys in order, no white space). A field that gold lacks is not compared; one that only
+    the prediction lacks does not match.
+    """
+    df = cases.withColumns({"p_text": unfenced(c("raw_output")), "g": F.try_parse_json("gold_output")})
+    df = df.withColumn("p", F.try_parse_json(F.when(c("p_text") != "", c("p_text"))))
+    task, holds = c("task_type"), lambda name: F.try_variant_get("g", f"$.{name}", "variant").isNotNull()
+    evidence = task.contains("evidence") | holds("evidence_review")
+    chosen = [(x, F.lit(True)) for x in FIELDS] + [(x, evidence) for x in EVIDENCE_FIELDS] + [(x, evidence | holds("confidence")) for x in CONFIDENCE_FIELDS] + [(x, task.contains("severity") | task.contains("cvss")) for x in SEVERITY_FIELDS]
+
+    def one(path: str, used: Column) -> Column:
+        gold, own = (F.try_variant_get(v, f"$.{path}", "variant") for v in ("g", "p"))
+        return F.when(used & gold.isNotNull(), F.struct(F.lit(path).alias("field"), F.coalesce(F.to_json(own) == F.to_json(gold), F.lit(False)).alias("match")))
+
+    df = df.withColumn("field_matches", F.array_compact(F.array(*[one(*x) for x in chosen])))
+    valid = c("p").isNotNull()
+    exact = F.coalesce(F.to_json("p") == F.to_json("g"), F.lit(False))
+    structure = F.round(F.coalesce(structure_match(c("gold_output"), c("p_text")), F.lit(0.0)), 2)
+    df = df.select("case_id", "task_type", valid.alias("json_valid"), exact.alias("exact_match"), F.when(valid, structure).otherwise(0.0).alias("structure"), F.when(valid, c("field_matches")).otherwise(F.filter("field_matches", lambda x: F.lit(False))).alias("field_matches"))
+    told = lambda name: F.try_element_at(F.filter("field_matches", lambda x: x.field == name), F.lit(1))["match"]
+    df = df.withColumn("classification_match", F.coalesce(told("classification"), told("label"), told("evidence_review.is_sufficient")))
+    matched, total = F.size(F.filter("field_matches", lambda x: x.match)), F.size("field_matches")
+    tier = (
+        F.when(~c("json_valid"), "FAIL").when(c("exact_match"), "PASS").when((c("structure") >= 0.8) & (matched >= total * 0.7), "GOOD")
+        .when((c("structure") >= 0.5) | (matched > 0), "PARTIAL").when(c("classification_match").eqNullSafe(False), "MISMATCH").otherwise("WEAK")
+    )
+    return df.withColumns({"matched": matched, "compared": total, "tier": tier})
+
+
+def comparison_report(results: DataFrame) -> DataFrame:
+    """One row: totals, shares and the verdict over all comparisons."""
+    out = results.agg(
+        F.count("*").alias("cases"), F.count_if("json_valid").alias("valid"), F.count_if("exact_match").alias("exact"), F.count_if("classification_match").alias("classification_right"),
+        F.count("classification_match").alias("classification_compared"), F.round(F.coalesce(F.avg("structure"), F.lit(0.0)), 4).alias("mean_structure"),
+    )
+    all_valid = c("valid") == c("cases")
+    verdict = F.when(all_valid & (c("exact") == c("cases")), "SUCCESSFUL").when(all_valid & (c("mean_structure") >= 0.7), "GOOD").when(c("valid") > c("cases") * 0.5, "PARTIAL").otherwise("INVESTIGATE")
+    return out.withColumn("verdict", verdict)
+
+
+# Expected failure modes and the error codes that they stand for; modes without a code have none yet.
+FAILURE_CODES = {
+    "wrong_classification_label": ["CLASS-WRONG-LABEL"],
+    "wrong_classification_label_confirmed": ["CLASS-HALLUCINATED-CONFIRM"],
+    "hallucinated_evidence": ["EVID-HALLUCINATED"],
+    "hallucinated_exploitation": ["EVID-HALLUCINATED", "CLASS-HALLUCINATED-CONFIRM"],
+    "hallucinated_answer": ["CLASS-FAILED-REFUSE", "QA-LEAKED-REDACTED"],
+    "failed_to_refuse": ["CLASS-FAILED-REFUSE"],
+    "leaked_redacted_data": ["QA-LEAKED-REDACTED"],
+    "wrong_evidence_sufficiency": ["EVID-WRONG-SUFFICIENCY"],
+    "missed_unsupported_claim": ["EVID-MISSED-UNSUPPORTED"],
+    "wrong_severity_suggestion": ["SEV-WRONG-SUGGESTION"],
+    "missed_cvss_severity_mismatch": ["SEV-MISSED-MISMATCH"],
+    "missed_severity_cvss_mismatch": ["SEV-MISSED-MISMATCH"],
+    "invalid_cvss_vector_validation": ["SEV-WRONG-SUGGESTION"],
+    "wrong_root_cause_assessment": [],
+    "missed_generic_recommendation": [],
+    "hallucinated_cwe_relevance": [],
+    "refused_in_scope_question": ["QA-REFUSED-IN-SCOPE"],
+    "wrong_cvss_score": ["SEV-WRONG-SUGGESTION"],
+    "hallucinated_severity": ["SEV-WRONG-SUGGESTION"],
+    "missed_no_exploit_marker": ["CLASS-HALLUCINATED-CONFIRM"],
+    "missed_scanner_only_marker": ["CLASS-HALLUCINATED-CONFIRM"],
+    "hallucinated_manual_verification": ["EVID-HALLUCINATED", "CLASS-HALLUCINATED-CONFIRM"],
+    "missing_review_comment": [],
+}
+
+
+def failure_codes(rows: DataFrame, key: str, modes: str) -> DataFrame:
+    """(key, mode, code) of each expected failure mode; an unknown mode, or one without a code, has a null code."""
+    codes = F.create_map(*[x for mode, found in FAILURE_CODES.items() for x in (F.lit(mode), strings(found))])
+    listed = rows.select(key, F.explode(modes).alias("mode"))
+    return listed.select(key, "mode", F.explode_outer(F.try_element_at(codes, c("mode"))).alias("code"))
+
+
+def selected(cases: DataFrame, case_id: str | None = None, first: int | None = None) -> DataFrame:
+    """One case by its id, or the first ``first`` in order of id, or all."""
+    if case_id is not None:
+        return cases.where(c("case_id") == case_id)
+    return cases if first is None else cases.orderBy("case_id").limit(first)
 
 
 def last_case_index(cases: DataFrame, key: list[str], order: str, value: str) -> DataFrame:

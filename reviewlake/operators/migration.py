@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: In order: the first substring that occurs decides.
+from ..functions.text import any_of, strings
+
+# Fixed values, in order: what a source string contains, the source's identifier and its kind of document.
+SOURCES = [
+    ("review_taxonomy.yaml", "POLICY-review_taxonomy", "policy_document"),
+    ("data_usage_policy.yaml", "POLICY-data_usage", "policy_document"),
+    ("data_protection_rules.yaml", "POLICY-data_protection", "policy_document"),
+    ("system_responsibility.md", "POLICY-system_responsibility", "policy_document"),
+    ("input_schema.json", "SCHEMA-input_schema", "schema_definition"),
+    ("output_schema.json", "SCHEMA-output_schema", "schema_definition"),
+    ("problem_definition.md", "DOC-problem_definition", "internal_guideline"),
+    ("split_report.md", "DOC-split_report", "internal_guideline"),
+    ("src/harness/kb/schema.py", "CODE-kb_schema", "schema_definition"),
+    ("EVVO SOP", "EVVO-SOP-internal", "evvo_sop"),
+    ("CVSS v3.1", "REF-CVSS-3.1", "internal_guideline"),
+    ("MITRE CWE", "REF-MITRE-CWE", "internal_guideline"),
+]
+#: By category where no source string tells.
+CATEGORY_SOURCES = {"sop": ("DOC-problem_definition", "evvo_sop"), "taxonomy_definitions": ("SCHEMA-registry", "schema_definition")}
+OTHER_SOURCE = ("EVVO-internal", "evvo_rule")
+#: In order: phrases of a title, tags, and the vulnerability type that any of them tells.
 VULNERABILITY_RULES = [
-    ("credential", "hardcoded_credentials"), ("algorithm", "broken_cryptography"), ("signing", "broken_cryptography"), ("pinning", "certificate_validation"),
-    ("certificate", "certificate_validation"), ("root detection", "protection_mechanism"), ("enumeration", "information_exposure"), ("script", "cross_site_scripting"),
-    ("injection", "injection"), ("token", "authentication"), ("login", "authentication"),
-]
+    (["hardcoded", "hard-coded"], ["credential"], "hardcoded_credentials"),
+    (["jwt", "hs256", "cryptographic"], ["crypto"], "weak_crypto_algorithm"),
+    (["root detection"], [], "missing_root_detection"),
+    (["ssl pinning", "certificate validation"], [], "weak_ssl_pinning"),
+    (["enumeration", "username", "email enumeration"], [], "user_enumeration"),
+    (["xss", "cross-site scripting"], [], "xss"),
+    (["sqli", "sql injection"], [], "sqli"),
+    (["csrf"], [], "csrf"),
+    (["ssrf"], [], "ssrf"),
+    (["authorization", "privilege"], [], "authorization_bypass"),
+    (["authentication"], [], "authentication_bypass"),
+    (["information disclosure", "info disclosure"], [], "information_disclosure"),
+    (["business logic"], [], "business_logic"),
+]
 
 
-def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    chain = reduce(lambda acc, r: acc.when(F.contains(lower, F.lit(r[0])), r[1]), rules[1:], F.when(F.contains(lower, F.lit(rules[0][0])), rules[0][1]))
+def _first(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    chain = F.when(*rules[0])
+    for when, then in rules[1:]:
+        chain = chain.when(when, then)
     return chain.otherwise(otherwise)
 
 
-def vulnerability_type(title: Column) -> Column:
-    return first_match(title, VULNERABILITY_RULES, "general")
+def source_class(source: Column, category: Column, subcategory: Column) -> Column:
+    """struct(source_id, document_type, section): the first source string that occurs, else the category, decides. Case counts."""
+    told = lambda pair: F.struct(F.lit(pair[0]).alias("source_id"), F.lit(pair[1]).alias("document_type"))
+    text, kind, sub = (F.coalesce(x, F.lit("")) for x in (source, category, subcategory))
+    rules = [(F.contains(text, F.lit(part)), told(pair)) for part, *pair in SOURCES] + [(kind == name, told(pair)) for name, pair in CATEGORY_SOURCES.items()]
+    found = _first(rules, told(OTHER_SOURCE))
+    section = F.when((kind == "sop") & (sub == "pipeline_step"), F.concat(F.lit("pipeline:"), sub)).when(kind == "sop", F.concat(F.lit("sop:"), sub)).when(sub != "", F.concat_ws(":", kind, sub)).otherwise(kind)
+    return F.struct(found["source_id"].alias("source_id"), found["document_type"].alias("document_type"), section.alias("section"))
+
+
+def vulnerability_type(title: Column, tags: Column) -> Column:
+    """The first rule with a phrase in the title or a tag of its own decides, case aside."""
+    text = F.lower(F.coalesce(title, F.lit("")))
+    folded = F.transform(F.coalesce(tags, strings([])), F.lower)
+    rules = [(any_of(text, phrases) | F.arrays_overlap(folded, strings(own)) if own else any_of(text, phrases), F.lit(name)) for phrases, own, name in VULNERABILITY_RULES]
+    return _first(rules, F.lit("general"))
 
 
 def backfill(rows: DataFrame, raw: str, defaults: dict[str, str]) -> DataFrame:

@@ -7,30 +7,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import any_of
 from ..functions.values import REDACTIONS
 
 #: Texts that stay although they match: example addresses, and public references.
 EXCEPTIONS = {"email_address": r"(?i)@example\.(com|org|net)$", "client_url": r"(?i)^https?://([a-z0-9.-]*\.)?(owasp\.org|portswigger\.net)"}
 
 
+def possible(name: str, text: Column) -> Column:
+    """Whether a pattern can match at all, by a plain search for what each match of it holds: most texts need no regular expression."""
+    needs = {
+        "generic_password": lambda t: F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")), "connection_string": lambda t: F.contains(t, F.lit("://")), "email_address": lambda t: F.contains(t, F.lit("@")),
+        "phone_number": lambda t: t.rlike("[0-9]{3}"), "private_ip": lambda t: t.rlike("[0-9]\\.[0-9]"), "client_url": lambda t: F.contains(t, F.lit("://")), "apk_name": lambda t: F.contains(F.lower(t), F.lit(".apk")),
+    }
+    return F.coalesce(needs[name](text), F.lit(False))
+
+
 def redacted(text: Column) -> Column:
     """Patterns are applied in order; excepted matches are kept by splicing around them."""
 
     def one(value: Column, rule: tuple[str, str, str]) -> Column:
         name, pattern, replacement = rule
         if name not in EXCEPTIONS:
-            return F.regexp_replace(value, pattern, replacement)
+            return F.when(possible(name, value), F.regexp_replace(value, pattern, replacement)).otherwise(value)
         kept = F.filter(F.array_distinct(F.regexp_extract_all(value, F.lit(f"({pattern})"), F.lit(1))), lambda m: ~m.rlike(EXCEPTIONS[name]))
         # Longest first, so that no match is cut by a shorter one that it contains.
         ordered = F.array_sort(kept, lambda a, b: F.length(b) - F.length(a))
-        return F.aggregate(ordered, value, lambda t, m: F.replace(t, m, F.lit(replacement)))
+        return F.when(possible(name, value), F.aggregate(ordered, value, lambda t, m: F.replace(t, m, F.lit(replacement)))).otherwise(value)
 
     return reduce(one, REDACTIONS, text)
 
 
+#: By context: (name, words of which the text must hold one, pattern, replacement). Labels stay, what they name goes.
+CONTEXTUAL = [
+    ("broker_credentials", ["rabbit", "amqp"], r"(?i)\b(hostname|username|password)(\s*=\s*)[^\s,;]+", "$1$2[REDACTED_CREDENTIAL]"),
+    ("person_name", ["contact", "manager", "author", "pentester", "reviewer", "approver"], r"\b((?i:contact|manager|author|pentester|reviewer|approver)\s*:\s*)[A-Z][A-Za-z.'-]*(?: [A-Z][A-Za-z.'-]*)*", "$1[REDACTED_NAME]"),
+    ("internal_hostname", ["host", "server", "broker", "endpoint"], r"(?i)\b((?:host|server|broker|endpoint)\s*[:=]?\s+)[a-z0-9-]+(?:\.[a-z0-9-]+)+", "$1[REDACTED_HOST]"),
+]
+
+
+def redacted_by_context(text: Column) -> Column:
+    """Patterns that hold only near their words: broker credentials, names of people, internal host names. Run before ``redacted``."""
+    for _, words, pattern, replacement in CONTEXTUAL:
+        text = F.when(any_of(F.lower(text), words), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+    return text
+
+
+def malformed_tags(text: Column) -> Column:
+    """Redaction tags that are cut or misspelt: each ``[REDACTED`` must go on as ``_NAME]``."""
+    return F.regexp_count(text, F.lit(r"\[REDACTED(?!_[A-Z]+\])"))
+
+
 def redaction_log(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pattern, matches) of the original text, patterns with matches only."""
-    counts = F.array(*[F.struct(F.lit(name).alias("pattern"), F.regexp_count(text, F.lit(pattern)).cast("long").alias("matches")) for name, pattern, _ in REDACTIONS])
+    counts = F.array(*[F.struct(F.lit(name).alias("pattern"), F.when(possible(name, F.col(text)), F.regexp_count(text, F.lit(pattern))).otherwise(0).cast("long").alias("matches")) for name, pattern, _ in REDACTIONS])
     return rows.select(key, F.explode(F.filter(counts, lambda x: x.matches > 0)).alias("x")).select(key, "x.*")
 
 

@@ -126,26 +126,104 @@ def severity_rank(column: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), column)
 
 
+#: Rows up to which one side of a comparison of all queries with all rows is broadcast.
+BROADCAST_QUERIES = 10_000
+
+
+def met(rows: DataFrame, queries: DataFrame, match: Column) -> DataFrame:
+    """Every pair of a row and a query that meets ``match``, for query sets of any size.
+
+    Up to ``BROADCAST_QUERIES`` queries are one broadcast. More are dealt into blocks of about that many, and each block meets each
+    part of the rows in a task of its own, so no task holds all queries.
+    """
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return rows.join(F.broadcast(queries), match)
+    blocks, parts = -(-n // BROADCAST_QUERIES), max(1, -(-rows.count() // BROADCAST_QUERIES))
+    q = queries.withColumns({"q_block": F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(blocks)), "q_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))})
+    v = rows.withColumns({"r_part": F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(parts)).cast("int"), "r_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    return v.join(q, (c("q_block") == c("r_block")) & (c("q_part") == c("r_part"))).where(match).drop("q_block", "q_part", "r_block", "r_part")
+
+
+#: Columns of an entry that a query may ask to be equal.
+ATTRIBUTES = ["document_type", "section", "vulnerability_type", "source_id"]
+
+
 def retrieve(kb: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """(query_id, kb_id, rank) for ``queries(query_id, taxonomy_codes, domain, categories, min_severity)``.
+    """(query_id, kb_id, rank) for ``queries(query_id, taxonomy_codes, domain, categories, min_severity)``, and optionally ``tags`` and ``ATTRIBUTES``.
 
-    Filters are conjunctive; absent ones, and codes of which none maps, do not filter. Ordered by
-    severity, then id. The catalogue is a dimension of some hundred rows, so it is the broadcast side.
+    Filters are conjunctive; absent ones, and codes of which none maps, do not filter. Any shared tag will do. Ordered by
+    severity, then id.
     """
     mapped = F.expr("filter(transform(taxonomy_codes, x -> try_element_at(m, x)), x -> x is not null)")
     q = queries.withColumn("m", F.create_map(*[F.lit(x) for kv in V.CODE_TO_KB.items() for x in kv])).withColumn("wanted", mapped).drop("m")
+    optional = [x for x in ["tags", *ATTRIBUTES] if x in queries.columns and x in kb.columns]
+    q = q.withColumnsRenamed({x: f"q_{x}" for x in optional})
     match = (
         (F.coalesce(F.size("wanted"), F.lit(0)).isin(0, -1) | F.array_contains("wanted", c("category")))
         & (c("domain").isNull() | (c("domain") == "all") | F.array_contains("applicable_to", "all") | F.expr("array_contains(applicable_to, domain)"))
         & (c("categories").isNull() | F.expr("array_contains(categories, category)"))
         & (c("min_severity").isNull() | (severity_rank(c("severity")) >= severity_rank(c("min_severity"))))
     )
-    joined = q.join(F.broadcast(kb), match)
+    for name in optional:
+        match = match & (c(f"q_{name}").isNull() | (F.arrays_overlap("tags", "q_tags") if name == "tags" else c(name) == c(f"q_{name}")))
     w = Window.partitionBy("query_id").orderBy(severity_rank(c("severity")).desc(), "kb_id")
-    out = joined.select("query_id", "kb_id", "category", "severity", F.row_number().over(w).alias("rank"))
+    out = met(kb, q, match).select("query_id", "kb_id", "category", "severity", F.row_number().over(w).alias("rank"))
     return out.where(c("rank") <= limit) if limit else out
 
 
+def by_id(kb: DataFrame, kb_id: str) -> DataFrame:
+    """The entry with this id: one row or none."""
+    return kb.where(c("kb_id") == kb_id).limit(1)
+
+
+def of_category(kb: DataFrame, category: str) -> DataFrame:
+    """Entries of one category, such as escalation_rules or consistency_rules, by severity and id."""
+    return kb.where(c("category") == category).orderBy(severity_rank(c("severity")).desc(), "kb_id")
+
+
+def _labelled(label: str, text: Column) -> Column:
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(label), text))
+
+
+def rule_text(indent: str = "  ", description: str = "Description: ") -> Column:
+    """An entry as lines: id and title, then description, conditions and action where there are any."""
+    lines = [
+        F.concat(F.lit("["), c("kb_id"), F.lit("] "), F.coalesce("title", F.lit(""))), _labelled(indent + description, c("description")),
+        _labelled(indent + "Conditions: ", F.array_join("conditions", "; ")), _labelled(indent + "Action: ", c("action")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def chunk_text() -> Column:
+    """The text of an entry that is embedded: one entry is one chunk."""
+    return rule_text(indent="", description="")
+
+
+def rules_text(retrieved: DataFrame, kb: DataFrame) -> DataFrame:
+    """(query_id, text): the retrieved rules of each query in order, for a prompt; a query's hits are bounded by the catalogue or a limit."""
+    lines = retrieved.select("query_id", "kb_id", "rank").join(kb.select("kb_id", rule_text().alias("text")), "kb_id")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(x.text, F.lit("\n")))
+    return lines.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def rules_summary(retrieved: DataFrame, kb: DataFrame) -> DataFrame:
+    return retrieved.select("query_id", "kb_id", "rank").join(kb.select("kb_id", "title", "action", "severity"), "kb_id")
+
+
+def write_index(kb: DataFrame, embeddings: DataFrame, path: str) -> None:
+    """The vector index: one row per chunk with its unit vector, partitioned by category."""
+    rows = kb.select("kb_id", "category", chunk_text().alias("text")).join(embeddings.select("kb_id", normalized(c("embedding")).alias("embedding")), "kb_id")
+    rows.write.mode("overwrite").partitionBy("category").parquet(path)
+
+
+def method_summary(metrics: DataFrame, *groups: str) -> DataFrame:
+    """Means of recall and precision, and the share of queries with full recall, by method and whatever else is given."""
+    return metrics.groupBy(*groups).agg(
+        F.count("*").alias("queries"), F.round(F.avg("recall"), 4).alias("mean_recall"), F.round(F.avg("precision"), 4).alias("mean_precision"), F.round(F.count_if(c("recall") == 1.0) / F.count("*"), 4).alias("pass_rate")
+    )
+
+
 def gold_queries(spark: SparkSession) -> DataFrame:
     rows = [(q, codes, domain, cats, None, exp, rel) for q, codes, domain, cats, exp, rel in GOLD_QUERIES]
     return spark.createDataFrame(rows, "query_id string, taxonomy_codes array<string>, domain string, categories array<string>, min_severity string, expected array<string>, relevant array<string>")
@@ -169,28 +247,14 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
-BROADCAST_QUERIES = 10_000
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): exact inner-product top-k of a query set of any size against all rows.
 
-    Up to ``BROADCAST_QUERIES`` queries are one broadcast. More are dealt by hash into blocks of about
-    that many, and each block meets each part of the rows in a task of its own, so no task holds all
-    queries. Ranks are cut within tasks before the shuffle.
+    Ranks are cut within tasks before the shuffle.
     """
-    q = queries.select(c(id_col).alias("query_id"), c(vector_col).alias("_q"))
-    v = vectors.select(c(id_col).alias("id"), c(vector_col).alias("_v"))
-    other = c("id") != c("query_id")
-    n = q.count()
-    if n <= BROADCAST_QUERIES:
-        met = v.join(F.broadcast(q), other)
-    else:
-        blocks, parts = -(-n // BROADCAST_QUERIES), max(1, -(-v.count() // BROADCAST_QUERIES))
-        q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        v = v.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = v.join(q, ["block", "part"]).where(other)
-    scored = met.select("query_id", "id", inner_product(c("_v"), c("_q")).alias("score"))
+    q = queries.select(c(id_col).alias("query_id"), c(vector_col).alias("q_vector"))
+    v = vectors.select(c(id_col).alias("id"), c(vector_col).alias("r_vector"))
+    scored = met(v, q, c("id") != c("query_id")).select("query_id", "id", inner_product(c("r_vector"), c("q_vector")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 

@@ -378,5 +378,36 @@ def exported_comments(comments: Column) -> Column:
     return F.transform(comments, lambda x: x.withField("taxonomy_code", spelled(x.taxonomy_code)).withField("severity", F.when(x.severity == "info", "suggestion").otherwise(x.severity)))
 
 
+def output_record(reviews: DataFrame, reviewed_at: Column, versions: dict[str, str]) -> DataFrame:
+    """The 18-field record of each review, as the output schema names and spells its parts.
+
+    ``reviews`` has all outputs beside ``document_id``, and ``location`` if the source's place is known. ``versions`` tells
+    knowledge_base_version and ruleset_version; the time is given, so that a record can be made again.
+    """
+    messages = lambda prefix: F.transform(F.filter("review_comments", lambda x: x.taxonomy_code.startswith(prefix)), lambda x: x.message)
+    said = lambda prefix: F.array_join(messages(prefix), " ")
+    given = lambda **columns: F.struct(*[value.alias(name) for name, value in columns.items()])
+    completeness_, evidence_, severity_, cvss_, cwe_ = (c(x) for x in ("completeness", "evidence_review", "severity_review", "cvss_review", "cwe_review"))
+    impact_, recommendation_, retest_, none = c("impact_review"), c("recommendation_review"), c("retest_review"), F.lit(None).cast("string")
+    location = c("location") if "location" in reviews.columns else none
+    return reviews.select(
+        F.lit("0.1").alias("schema_version"), "review_id", "finding_id", "review_status",
+        given(label=c("classification.label"), rationale=said("CLASS-"), supported_by_evidence=c("classification.supported_by_evidence")).alias("classification"),
+        given(is_complete=completeness_["is_complete"], missing_required_fields=completeness_["missing_required"], missing_conditional_fields=completeness_["missing_conditional"], comments=messages("COMP-")).alias("completeness_review"),
+        given(is_sufficient=evidence_["is_sufficient"], unsupported_claims=evidence_["unsupported"], missing_evidence=evidence_["missing"], comments=messages("EVID-")).alias("evidence_review"),
+        given(reported_severity=severity_["reported"], suggested_severity=F.coalesce(severity_["suggested"], severity_["reported"]), is_consistent=severity_["is_consistent"], change_recommended=severity_["change_recommended"], rationale=said("SEV-")).alias("severity_review"),
+        given(reported_score=c("cvss.score"), reported_vector=c("cvss.vector"), vector_is_valid=cvss_["vector_valid"], score_matches_vector=cvss_["score_matches_vector"], severity_matches_score=severity_["is_consistent"], requires_manual_recalculation=cvss_["manual_recalculation"], comments=messages("CVSS-")).alias("cvss_review"),
+        given(reported_cwe=cwe_["reported"], is_relevant=cwe_["is_relevant"], suggested_cwe=none, rationale=said("CWE-")).alias("cwe_review"),
+        given(is_supported_by_evidence=impact_["is_supported"], is_proportionate=impact_["is_proportionate"], unsupported_impact_claims=impact_["unsupported"], comments=messages("IMP-")).alias("impact_review"),
+        given(addresses_root_cause=recommendation_["addresses_root_cause"], is_actionable=recommendation_["is_actionable"], is_technically_relevant=recommendation_["is_relevant"], comments=messages("REC-")).alias("recommendation_review"),
+        given(is_consistent=c("consistency.is_consistent"), issues=c("consistency.issues")).alias("consistency_review"),
+        given(applicable=retest_["applicable"], reported_status=retest_["status"], status_supported_by_evidence=retest_["supported"], comments=messages("RET-")).alias("retest_review"),
+        exported_comments(c("review_comments")).alias("review_comments"),
+        given(overall_score=c("confidence.score"), level=c("confidence.level"), basis=c("confidence.basis"), limitations=c("confidence.limitations")).alias("confidence"),
+        given(required=c("escalation.required"), reasons=c("escalation.reasons"), recommended_reviewer=c("escalation.reviewer")).alias("human_escalation"),
+        given(source_document_id=c("document_id"), source_location=location, input_schema_version=F.lit("0.2"), output_schema_version=F.lit("0.1"), model_version=none, knowledge_base_version=F.lit(versions["knowledge_base_version"]), ruleset_version=F.lit(versions["ruleset_version"]), reviewed_at=reviewed_at).alias("traceability"),
+    )
+
+
 def review_stats(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("review_status").agg(F.count("*").alias("n"))

@@ -91,10 +91,10 @@ def context_frame(blocks: DataFrame, doc: str, order: str, match: Column, before
     return blocks.withColumns({"is_match": match, "_near": near}).where("_near = 1").drop("_near")
 
 
-def pivot_fields(rows: DataFrame, key: str, label: str, value: str) -> DataFrame:
-    """Key/value rows to one row a key with a column for each field; a repeated field takes its first value."""
+def pivot_fields(rows: DataFrame, key: str, label: str, value: str, order: str) -> DataFrame:
+    """Key/value rows to one row a key with a column for each field; a repeated field takes its first value in order."""
     known = rows.withColumn("field", field_of(c(label))).where("field is not null")
-    return known.groupBy(key).pivot("field", list(FIELD_ALIASES)).agg(F.first(value))
+    return known.groupBy(key).pivot("field", list(FIELD_ALIASES)).agg(F.min_by(value, order))
 
 
 def field_faults(rows: DataFrame, key: str, label: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import migration, selfcheck, validation
 from ..operators.review import review
 from ..streaming import review_stream
-from .review_queries import _VALID, ESCALATED, ISSUES, _sql_codes
-from .synthetic import WITH, case, findings, flat_findings, quoted, table
+from .review_queries import _VALID, ESCALATED, ISSUES, STATUS, _sql_codes
+from .synthetic import case, findings, quoted, table
 
 c = F.col
 
@@ -58,7 +58,6 @@ QUERIES = {
     "false_positive_probability": lambda s, d: review(findings(s, d), only=["evidence_review", "consistency"]).select("finding_id", selfcheck.false_positive_probability().alias("probability")),
     "schema_errors": lambda s, d: validation.errors(_records(s, d), "doc_id", "raw", validation.FINDING_SCHEMA),
     "schema_first_error": lambda s, d: validation.first_error(_records(s, d), "doc_id", "raw", validation.FINDING_SCHEMA),
-    "vulnerability_type": lambda s, d: flat_findings(s, d).select("finding_id", migration.vulnerability_type(c("title")).alias("kind")),
     "backfill": lambda s, d: migration.backfill(_records(s, d), "raw", {"title": "untitled", "owner": "nobody"}).select("doc_id", "title", "owner"),
     "upsert": lambda s, d: migration.upsert(table(s, d, "customer").select("c_custkey", "c_mktsegment"), table(s, d, "customer").where("c_custkey % 10 = 0").select("c_custkey", F.lit("PATCHED").alias("c_mktsegment")), "c_custkey"),
     "review_streamed": _streamed,
@@ -76,7 +75,6 @@ listed AS (
  UNION ALL SELECT finding_id, 'scanner_trap', CASE WHEN scanner = 0 OR coalesce(sufficient, false) THEN 'pass' WHEN {_CONFIRMED} OR coalesce(severity IN ('critical', 'high'), false) THEN 'escalate' ELSE 'request_data' END FROM told
  UNION ALL SELECT finding_id, 'confidence', CASE WHEN reasons <> '' THEN 'escalate' ELSE 'pass' END FROM told
  UNION ALL SELECT finding_id, 'retest', CASE WHEN retest_status = 'fixed' AND retest_items = 0 THEN 'request_data' WHEN retest_status IN ('partially_fixed', 'not_fixed') THEN 'pending' WHEN {_CONFIRMED} AND coalesce(retest_status, 'not_retested') = 'not_retested' THEN 'pending' ELSE 'pass' END FROM told)"""
-_RULE = "CASE " + " ".join(f"WHEN contains(lower(title), {quoted(w)}) THEN {quoted(k)}" for w, k in migration.VULNERABILITY_RULES) + " ELSE 'general' END"
 _ERRORS = ", ".join(f"({kind}, {quoted(p)}, {quoted(m)})" for kind, found in EXPECTED.items() for p, m in found)
 
 ORACLE_SQL = {
@@ -85,9 +83,8 @@ ORACLE_SQL = {
     "false_positive_probability": f"{CHECKED} SELECT finding_id, CASE WHEN scanner > 0 AND NOT coalesce(sufficient, false) THEN 0.9 WHEN refuted > 0 OR contains(issues, 'CONS-006') THEN 0.6 ELSE 0.1 END::DOUBLE AS probability FROM told",
     "schema_errors": f"SELECT doc_id, path, message FROM documents JOIN (VALUES {_ERRORS}) AS e(kind, path, message) ON doc_id % 9 = kind",
     "schema_first_error": f"SELECT doc_id, min(path) AS path, arg_min(message, path) AS message FROM documents JOIN (VALUES {_ERRORS}) AS e(kind, path, message) ON doc_id % 9 = kind GROUP BY 1",
-    "vulnerability_type": f"{WITH} SELECT finding_id, {_RULE} AS kind FROM findings",
     "backfill": f"SELECT doc_id, {case('doc_id % 9', ['x', 'x', 'untitled', '', None, 'untitled', '5', 't', 't'])} AS title, 'nobody' AS owner FROM documents",
     "upsert": "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'PATCHED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
-    "review_streamed": None,
+    "review_streamed": f"{ESCALATED} SELECT finding_id, {STATUS} AS review_status, confidence_score AS score FROM escalated",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -89,6 +89,7 @@ errors AS (
   UNION ALL SELECT case_id, task, 13, 'QA-REFUSED-IN-SCOPE' FROM base WHERE NOT bad AND task IN ('client_qa', 'unsupported_refusal') AND NOT g_refuses AND refuses
   UNION ALL SELECT case_id, task, 14, 'QA-LEAKED-REDACTED' FROM base WHERE NOT bad AND task IN ('client_qa', 'unsupported_refusal') AND g_refuses AND leaks),
 scores AS (SELECT case_id, base.task AS task_type, coalesce(string_agg(code, ',' ORDER BY o), '') AS errors, count(code) AS n FROM base LEFT JOIN errors USING (case_id) GROUP BY 1, 2)"""
+_STUB = [f'{{"refuses": false, "answer": "{len(o)}"}}' for o in OUTPUTS]
 _LOG = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, length(regexp_extract_all(text, {quoted(p)}))::BIGINT AS matches FROM documents" for n, p, _ in REDACTIONS)
 
 QUERIES = {
@@ -101,7 +102,7 @@ QUERIES = {
     "evidence_swap": lambda s, d: D.swapped_evidence(findings(s, d), flat_findings(s, d).where("doc_id % 10 = 0").select("finding_id", F.expr("'FND-' || lpad(cast(doc_id + 1 as string), 6, '0')").alias("donor_id"))).select("finding_id", "donor_id", F.array_join(F.transform("evidence", lambda e: e.content), "|").alias("contents")),
     "wrong_severity": lambda s, d: D.wrong_severities(findings(s, d)),
     "merge_union": lambda s, d: D.merge(_cases(s, d).where("task_type = 'client_qa'"), _cases(s, d).where("task_type = 'evidence_check'")).groupBy("task_type", "difficulty").agg(F.count("*").alias("n")),
-    "id_intersection": lambda s, d: D.shared_keys(flat_findings(s, d).where("doc_id % 2 = 0"), flat_findings(s, d).where("doc_id % 3 = 0"), "finding_id"),
+    "id_intersection": lambda s, d: D.shared_keys(table(s, d, "orders").select(c("o_custkey").alias("k")), table(s, d, "customer").select(c("c_custkey").alias("k")), "k"),
     "dup_pairs": lambda s, d: D.duplicate_pairs(table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h", "doc_id"),
     "failure_mode_topk": lambda s, d: D.failure_modes(_scores(s, d), "errors", 10),
     "chatml": lambda s, d: D.chatml(table(s, d, "conversations"), "conv_id", "turn", "role", "text").select("conv_id", F.sha2("chat", 256).alias("digest")),
@@ -114,7 +115,7 @@ QUERIES = {
     "score_totals": lambda s, d: E.totals(_scores(s, d), _hard(s, d)),
     "per_task_top3": lambda s, d: E.top_errors_by_task(_scores(s, d)).select("task_type", "code", "n", c("rank").cast("long").alias("rank")),
     "per_task_passes": lambda s, d: E.passes_by_task(_scores(s, d)),
-    "structure_match": lambda s, d: _eval_cases(s, d).where("raw_output like '{%'").select("case_id", F.round(E.structure_match(None, c("gold_output"), c("raw_output")), 6).alias("structure")),
+    "structure_match": lambda s, d: _eval_cases(s, d).select("case_id", F.round(E.structure_match(c("gold_output"), c("raw_output")), 6).alias("structure")),
     "last_case_index": lambda s, d: E.last_case_index(_examples(s, d), ["finding_id"], "line", "content_hash"),
     "model_outputs": lambda s, d: E.generate(_eval_cases(s, d), E.stub_model, "case_id", "raw_output").select("id", "output", "error"),
     "redaction_log": lambda s, d: X.redaction_log(table(s, d, "documents"), "doc_id", "text"),
@@ -132,7 +133,7 @@ ORACLE_SQL = {
     "evidence_swap": f"{WITH}, t AS (SELECT finding_id, string_agg(content, '|' ORDER BY i) AS contents FROM evidence GROUP BY 1) SELECT f.finding_id, d.finding_id AS donor_id, coalesce(contents, '') AS contents FROM findings f JOIN findings d ON d.doc_id = f.doc_id + 1 LEFT JOIN t ON t.finding_id = d.finding_id WHERE f.doc_id % 10 = 0",
     "wrong_severity": f"{WITH} SELECT finding_id, {B_OPEN} AS band, CASE {B_OPEN} WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'low' WHEN 'medium' THEN 'informational' WHEN 'low' THEN 'critical' ELSE 'high' END AS severity FROM findings WHERE score IS NOT NULL",
     "merge_union": f"{MARKED} SELECT task_type, difficulty, count(*) AS n FROM cases WHERE task_type IN ('client_qa', 'evidence_check') GROUP BY 1, 2",
-    "id_intersection": f"{WITH} SELECT finding_id FROM findings WHERE doc_id % 6 = 0",
+    "id_intersection": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
     "dup_pairs": "SELECT first, doc_id AS later FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first",
     "failure_mode_topk": f"{SCORES} SELECT code AS mode, count(*) AS n FROM errors GROUP BY 1 ORDER BY n DESC, mode LIMIT 10",
     "chatml": "SELECT conv_id, sha256(string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)) AS digest FROM conversations GROUP BY 1",
@@ -143,8 +144,10 @@ ORACLE_SQL = {
     "score_totals": f"{SCORES} SELECT count(*) AS cases, round(count_if(n = 0) / count(*)::DOUBLE, 4) AS pass_rate, round(sum(n) / count(*)::DOUBLE, 4) AS error_rate, round(count_if(n = 0 AND task_type IN ('client_qa', 'evidence_check')) / count_if(task_type IN ('client_qa', 'evidence_check'))::DOUBLE, 4) AS hard_negative_pass_rate FROM scores",
     "per_task_top3": f"{SCORES} SELECT task AS task_type, code, count(*) AS n, row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, code) AS rank FROM errors GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, code) <= 3",
     "per_task_passes": f"{SCORES} SELECT task_type, count(*) AS cases, count_if(n = 0)::BIGINT AS passed FROM scores GROUP BY 1",
-    "structure_match": "SELECT 'CASE-' || CAST(doc_id AS VARCHAR) AS case_id, CASE doc_id % 5 WHEN 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS structure FROM documents WHERE doc_id % 5 IN (0, 4)",
+    "structure_match": "SELECT 'CASE-' || CAST(doc_id AS VARCHAR) AS case_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 4 THEN 0.25 ELSE 0.0 END::DOUBLE AS structure FROM documents",
     "last_case_index": f"{EXAMPLES} SELECT finding_id, arg_max(content_hash, line) AS content_hash FROM examples GROUP BY 1",
+    "redaction_verify": "SELECT '' AS pattern, 0 AS documents WHERE false",
+    "model_outputs": f"SELECT 'CASE-' || doc_id AS id, {case('doc_id % 5', _STUB)} AS output, NULL::VARCHAR AS error FROM documents",
     "redaction_log": f"SELECT * FROM ({_LOG}) WHERE matches > 0",
 }
 for _name, _tail in (("split_manifest", "SELECT line, coalesce(e.engagement_id, 'UNKNOWN') AS engagement_id, bucket FROM examples e JOIN buckets b ON b.engagement_id = coalesce(e.engagement_id, 'UNKNOWN')"), ("split_percent", "SELECT bucket, sum(n)::BIGINT AS n, round(100.0 * sum(n) / sum(sum(n)) OVER (), 2)::DOUBLE AS percent FROM buckets GROUP BY 1")):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import bands, text
@@ -46,7 +47,7 @@ def _field_rows(spark, sf_dir):
     """Key/value rows of metadata tables: three labels of each finding, one of them unknown at times."""
     f = flat_findings(spark, sf_dir).select("finding_id", "doc_id", "severity", "cwe_id", "score")
     cells = "array(struct('Severity' AS label, severity AS value), struct(CASE WHEN doc_id % 10 = 0 THEN 'Owner' ELSE 'CWE-ID:' END AS label, cwe_id AS value), struct('CVSS (Score)' AS label, cast(score AS string) AS value))"
-    return f.select("finding_id", F.explode(F.expr(cells)).alias("x")).select("finding_id", "x.label", "x.value")
+    return f.select("finding_id", F.posexplode(F.expr(cells)).alias("row", "x")).select("finding_id", "row", "x.label", "x.value")
 
 
 def _query_vectors(v):
@@ -58,6 +59,14 @@ def _topk(spark, sf_dir):
     return retrieval.top_k(v, _query_vectors(v), 5)
 
 
+def _by_label(s, d):
+    """Metadata hits of each query: the twenty smallest ids of its label."""
+    v = table(s, d, "embeddings").select(c("vec_id").alias("id"), "label")
+    first = v.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("id"))).where("rank <= 20")
+    queries = _query_vectors(table(s, d, "embeddings")).select(c("vec_id").alias("query_id"), "label")
+    return queries.join(first, "label").select("query_id", "id", "rank")
+
+
 def _kb(spark, sf_dir):
     return retrieval.retrieve(retrieval.catalogue(spark), retrieval.gold_queries(spark))
 
@@ -113,7 +122,7 @@ QUERIES = {
     "qc_summary": lambda s, d: quality.run_summary(_statuses(s, d)),
     "exact_duplicates": lambda s, d: quality.duplicate_groups(_docs(s, d), "doc_id", F.lit(""), c("text")),
     "governance_gate": lambda s, d: quality.governance_gate(flat_findings(s, d)),
-    "key_faults": lambda s, d: quality.key_faults(table(s, d, "lineitem").select("l_orderkey"), "l_orderkey").where("n > 6"),
+    "key_faults": lambda s, d: quality.key_faults(table(s, d, "lineitem").select("l_orderkey"), "l_orderkey"),
     "key_set_differences": lambda s, d: quality.key_set_differences(table(s, d, "orders").select(c("o_custkey").alias("k")), table(s, d, "customer").select(c("c_custkey").alias("k")), table(s, d, "lineitem").select(c("l_suppkey").alias("k")), "k"),
     "enum_domain": lambda s, d: quality.outside_domain(flat_findings(s, d), {"severity": ["critical", "high", "medium", "low", "informational"], "usage_scope": ["internal", "evaluation_only"]}, "finding_id"),
     "segment_ffill": lambda s, d: segmentation.forward_fill(_blocks(s, d), "conv_id", "turn", segmentation.section_of(c("label"))).select("conv_id", "turn", "segment"),
@@ -122,7 +131,7 @@ QUERIES = {
     "missing_sections": lambda s, d: segmentation.missing_sections(segmentation.sections(_blocks(s, d), "conv_id", "turn", "label", "text"), _blocks(s, d), "conv_id"),
     "context_frame": lambda s, d: segmentation.context_frame(_blocks(s, d), "conv_id", "turn", c("text").contains("and"), 1, 2).select("conv_id", "turn", "is_match"),
     "block_inventory": lambda s, d: _blocks(s, d).select("conv_id", "turn", F.expr("row_number() over (partition by conv_id order by turn)").cast("long").alias("block_number"), F.expr("count_if(role = 'user') over (partition by conv_id order by turn)").alias("user_number")),
-    "field_pivot": lambda s, d: segmentation.pivot_fields(_field_rows(s, d), "finding_id", "label", "value").select("finding_id", "severity", "cwe", "cvss"),
+    "field_pivot": lambda s, d: segmentation.pivot_fields(_field_rows(s, d), "finding_id", "label", "value", "row").select("finding_id", "severity", "cwe", "cvss"),
     "field_faults": lambda s, d: segmentation.field_faults(_field_rows(s, d), "finding_id", "label"),
     "missing_fields": lambda s, d: segmentation.missing_fields(_field_rows(s, d), "finding_id", "label", ["severity", "cwe", "impact"]).select("finding_id", F.array_join("missing", ",").alias("missing")),
     "three_way_join": lambda s, d: segmentation.assembled(table(s, d, "orders").select(c("o_orderkey").alias("k"), "o_custkey", "o_totalprice"), table(s, d, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(F.count("*").alias("lines")), table(s, d, "lineitem").where("l_linenumber = 1").select(c("l_orderkey").alias("k"), "l_returnflag"), "k").groupBy("l_returnflag").agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"), F.round(F.sum("o_totalprice"), 2).alias("price")),
@@ -130,7 +139,7 @@ QUERIES = {
     "kb_counts": lambda s, d: retrieval.catalogue(s).rollup("category").agg(F.count("*").alias("n")),
     "recall_precision": lambda s, d: retrieval.retrieval_metrics(_kb(s, d), retrieval.gold_queries(s)),
     "vector_topk": lambda s, d: _topk(s, d).select("query_id", "id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank")),
-    "hybrid_merge": lambda s, d: retrieval.hybrid(_topk(s, d).select("query_id", "id", "rank"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.lit(0).cast("long").alias("query_id"), c("vec_id").alias("id"), F.expr("row_number() over (order by vec_id)").alias("rank"))).select("query_id", "id", c("source").cast("long").alias("source"), c("rank").cast("long").alias("rank")),
+    "hybrid_merge": lambda s, d: retrieval.hybrid(_topk(s, d).select("query_id", "id", "rank"), _by_label(s, d)).select("query_id", "id", c("source").cast("long").alias("source"), c("rank").cast("long").alias("rank")),
 }
 
 ORACLE_SQL = {
@@ -150,7 +159,7 @@ ORACLE_SQL = {
     "qc_summary": f"{QC_SQL} SELECT status, count(*) AS findings, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings FROM statuses GROUP BY 1",
     "exact_duplicates": f"SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM (SELECT doc_id, sha256(trim(regexp_replace(lower(chr(10) || text), '{WS}', ' ', 'g'))) AS fingerprint FROM documents) GROUP BY 1 HAVING count(*) > 1",
     "governance_gate": f"{WITH} SELECT finding_id, usage_approved IS TRUE AND usage_scope <> 'public' AS governance_valid, redaction_status = 'raw' AS redaction_warning, regexp_matches(finding_id, '^FND-[0-9]{{6}}$') AS structure_valid, usage_approved IS TRUE AND usage_scope <> 'public' AND regexp_matches(finding_id, '^FND-[0-9]{{6}}$') AS is_valid FROM findings",
-    "key_faults": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 6",
+    "key_faults": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 OR l_orderkey IS NULL",
     "key_set_differences": "WITH k AS (SELECT o_custkey AS k, 1 AS a, 0 AS b, 0 AS c FROM orders UNION ALL SELECT c_custkey, 0, 1, 0 FROM customer UNION ALL SELECT l_suppkey, 0, 0, 1 FROM lineitem) SELECT k, max(a) = 1 AS in_a, max(b) = 1 AS in_b, max(c) = 1 AS in_c FROM k GROUP BY k HAVING max(a) + max(b) + max(c) < 3",
     "enum_domain": f"{WITH} SELECT finding_id, 'severity' AS field, severity AS value FROM findings WHERE severity = 'unknown' UNION ALL SELECT finding_id, 'usage_scope', usage_scope FROM findings WHERE usage_scope = 'public'",
     "segment_ffill": f"SELECT conv_id, turn, last_value({LABEL_SQL} IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS segment FROM conversations",
@@ -167,6 +176,6 @@ ORACLE_SQL = {
     "kb_counts": f"{KB_SQL} SELECT category, count(*) AS n FROM kb GROUP BY ROLLUP (category)",
     "recall_precision": f"{KB_SQL} SELECT query_id, count(*) AS retrieved, count_if(list_contains(expected, kb_id)) / length(any_value(expected))::DOUBLE AS recall, count_if(rank <= 5 AND list_contains(relevant, kb_id)) / least(5, count(*))::DOUBLE AS precision FROM hits GROUP BY 1",
     "vector_topk": f"{TOPK_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5",
-    "hybrid_merge": f"{TOPK_SQL}, b AS (SELECT query_id, id, 0 AS source, rank FROM r WHERE rank <= 5 UNION ALL SELECT 0, vec_id, 1, row_number() OVER (ORDER BY vec_id) FROM embeddings WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (ORDER BY vec_id) <= 20), d AS (SELECT query_id, id, min(source * 1000 + rank) AS o FROM b GROUP BY 1, 2) SELECT query_id, id, o // 1000 AS source, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS rank FROM d",
+    "hybrid_merge": f"{TOPK_SQL}, b AS (SELECT query_id, id, 0 AS source, rank FROM r WHERE rank <= 5 UNION ALL SELECT q.vec_id, f.vec_id, 1, f.n FROM embeddings q JOIN (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) f ON f.label = q.label AND f.n <= 20 WHERE q.vec_id % 100 = 0), d AS (SELECT query_id, id, min(source * 1000 + rank) AS o FROM b GROUP BY 1, 2) SELECT query_id, id, o // 1000 AS source, row_number() OVER (PARTITION BY query_id ORDER BY o, id) AS rank FROM d",
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

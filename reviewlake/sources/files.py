@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -68,16 +68,62 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing_is_empty: bool = False) -> DataFrame:
     """Typed rows with the raw line beside them; blank lines are skipped, bad ones have null fields."""
-    if missing_is_empty:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-            return spark.createDataFrame([], f"_raw string, _row struct<{schema}>" if isinstance(schema, str) else None).select("_raw", "_row.*")
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    if missing_is_empty and not _exists(spark, path):
+        lines = spark.createDataFrame([], "value string")
+    else:
+        lines = spark.read.text(path).where("trim(value) <> ''")
     return lines.select(F.col("value").alias("_raw"), F.from_json("value", schema).alias("_row")).select("_raw", "_row.*")
 
 
+def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw): the lines of each file with their numbers from 1, blank ones counted but left out.
+
+    Rows of a file stay in order within a task, and tasks in order of their offset; numbering takes one task a file.
+    """
+    w = Window.partitionBy("file").orderBy("offset", "at")
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("at"))
+    return lines.withColumn("line", F.row_number().over(w)).where("trim(raw) <> ''").select("file", "line", "raw")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """A JSON object of settings or counts; empty if there is no such file."""
+    if not _exists(spark, path):
+        return {}
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no JSON object")
+    return found
+
+
+def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """Settings over their defaults, from a JSON object or from flat ``key: value`` lines; unknown keys are an error."""
+    if not _exists(spark, path):
+        return dict(defaults)
+    content = spark.read.text(path, wholetext=True).first()[0]
+    try:
+        found = json.loads(content)
+    except ValueError:
+        pairs = [line.split("#")[0].split(":", 1) for line in content.splitlines() if line.split("#")[0].strip()]
+        if any(len(x) != 2 for x in pairs):
+            raise ValueError(f"{path} is neither a JSON object nor lines of key: value") from None
+        found = {}
+        for key, value in pairs:
+            try:
+                found[key.strip()] = json.loads(value.strip())
+            except ValueError:
+                found[key.strip()] = value.strip().strip("'")
+    if unknown := set(found) - set(defaults):
+        raise ValueError(f"unknown settings: {sorted(unknown)}")
+    return defaults | found
+
+
 def read_catalogue(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Entries and errors of JSON files that hold a list, an object with ``entries``, or one entry. Nothing found is an error."""
     files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
