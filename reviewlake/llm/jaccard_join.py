@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, arrow_map, batch_of, column_of, connected_components, mix, shingle_set, signed, text_bytes, word_hashes
+from .common import Rolling, Scratch, arrow_map, batch_of, column_of, connected_components, mix, packed, shingle_set, signed, text_bytes, word_hashes
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
@@ -47,7 +47,7 @@ FAMILY_TILE = 1024
 BITS_A_SET = 16
 MOST_BITS = 1 << 27
 BAND_STEP = 3
-SETS = "doc_id long, n_shingles long, set_id long, s1 long, s2 long, signatures binary"
+SETS = "doc_id long, text_hash long, n_shingles long, set_id long, s1 long, s2 long, signatures binary"
 ELEMENTS = "set_id long, elements binary"
 MEMBERS = "signature long, set_id long"
 EDGES = "a long, b long"
@@ -165,8 +165,8 @@ def _document_sets(k: int, percent: int):
         rolling, join = _rolling(), PartEnum(percent)
         for batch in batches:
             seen: set[int] = set()
-            ids, rows, held = column_of(batch, "doc_id").to_pylist(), [], 0
-            for doc, raw in zip(ids, text_bytes(column_of(batch, "text"))):
+            ids, hashes, rows, held = column_of(batch, "doc_id").to_pylist(), column_of(batch, "text_hash").to_pylist(), [], 0
+            for doc, th, raw in zip(ids, hashes, text_bytes(column_of(batch, "text"))):
                 s = shingle_set(word_hashes(raw or b"", rolling), k)
                 found, signs = None, None
                 if len(s):
@@ -175,7 +175,7 @@ def _document_sets(k: int, percent: int):
                         seen.add(found)
                         signs = signed(np.unique(join.signatures(s))).tobytes()
                         held += len(signs)
-                rows.append((doc, len(s), found, *sketch(s), signs))
+                rows.append((doc, th, len(s), found, *sketch(s), signs))
                 if held > 8_000_000:
                     yield batch_of(SETS, list(zip(*rows)))
                     rows, held = [], 0
@@ -385,8 +385,11 @@ def _tiled(rows: DataFrame, size: int) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id): component_id is the smallest doc_id reachable by links."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, text_hash, n_shingles, set_id, group_id, component_id) of each row.
+
+    component_id is the smallest doc_id reachable by links, group_id a set of the component: equal for linked rows, null without words.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "jaccard")
     signed_sets = scratch.keep(arrow_map(docs, _document_sets(k, percent), SETS), "sets")
     sets = signed_sets.drop("signatures")
@@ -409,15 +412,32 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     of_set = sets.where("set_id is not null").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    component_of = of_set.groupBy("set_id").agg(F.first("component").alias("component")).join(smallest, "component").select("set_id", "component_id")
-    return sets.join(component_of, "set_id", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component_of = of_set.groupBy("set_id").agg(F.first("component").alias("group_id")).join(smallest.withColumnRenamed("component", "group_id"), "group_id").select("set_id", "group_id", "component_id")
+    return sets.join(component_of, "set_id", "left").select("doc_id", "text_hash", "n_shingles", "set_id", "group_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its group, all columns unchanged; rows with null ids stay."""
-    groups = linked_documents(docs, k, percent)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group, all columns unchanged; rows without words stay.
+
+    It is the one with the smallest id, null ids last, of these the one with the smallest hash of its text; of rows that
+    have both in common any one.
+    """
+    scratch = Scratch(docs.sparkSession, "groups")
+    rows = scratch.keep(linked_documents(docs, k, percent, id_col, text_col).where("group_id is not null").groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("n")), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
+    kept = rows.groupBy("group_id").agg(F.min(key).alias("kept"))
+    judged = rows.join(kept, "group_id").withColumn("stays", key.eqNullSafe(F.col("kept")))
+    gone = judged.where("not stays or n > 1").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+    several = judged.where("stays and n > 1").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+
+    def of(side: DataFrame):
+        return docs[id_col].cast("long").eqNullSafe(side["g_id"]) & (F.xxhash64(docs[text_col]) == side["g_hash"])
+
+    out = docs.join(gone, of(gone), "left_anti")
+    if several.isEmpty():
+        return out
+    repeated = packed(docs.join(several, of(several), "left_semi"), key=F.struct(F.col(id_col), F.xxhash64(text_col)))
+    return out.unionByName(repeated.dropDuplicates(["key"]).select("row.*"))
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
