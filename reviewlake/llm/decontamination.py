@@ -30,9 +30,9 @@ SIMILARITY = 0.8
 RADIUS = 19
 BITS = 64
 BLOCKS = 5
-#: Distinct shingles of items, and windows cut, up to which they are broadcast (16 to 24 bytes each); beyond, joins shuffle.
+#: Distinct shingles of items, and keys of documents with windows, up to which they are broadcast (16 bytes each); beyond, joins shuffle.
 BROADCAST_SHINGLES = 500_000
-BROADCAST_WINDOWS = 200_000
+BROADCAST_KEYS = 500_000
 
 
 def word_hash_array(text: Column) -> Column:
@@ -144,11 +144,13 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     cuts = candidate_windows(texts, of_items, scratch, similarity)
 
-    # Only places have travelled so far; the windows come back to their texts.
-    spans = cuts.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash")).agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    same = texts["doc_id"].eqNullSafe(F.col("c_doc")) & (texts["text_hash"] == F.col("c_hash"))
-    held = texts.join(F.broadcast(spans) if small_enough(cuts, BROADCAST_WINDOWS) else spans, same)
-    held = held.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", word_hash_array(F.col("text")).alias("words"), "spans")
+    # Only places have travelled so far. Texts with windows are fetched by their keys, and meet their windows then.
+    spans = cuts.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
+    spans = scratch.keep(spans.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "spans"), "spans")
+    keys = spans.select("c_doc", "c_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash"))
+    fetched = texts.join(F.broadcast(keys) if small_enough(keys, BROADCAST_KEYS) else keys, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    held = fetched.select("doc_id", "text_hash", word_hash_array(F.col("text")).alias("words")).join(spans, same).drop("c_doc", "c_hash")
     cut = held.select("doc_id", "text_hash", "words", F.explode("spans").alias("span")).select("doc_id", "text_hash", "span.*", F.expr("slice(words, span.start + 1, span.n_words)").alias("piece"))
     pieces = cut.select(*window, F.explode(shingles_of("piece")).alias("shingle"))
     of_windows = scratch.keep(pieces.groupBy(*window, "shingle").agg(F.count("*").alias("weight")), "windows")

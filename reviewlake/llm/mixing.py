@@ -166,7 +166,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """
     placed, plan = _laid_out(docs, weights, share, seed)
     times = drawn_slots(plan, seed).groupBy("source_key", "block").agg(F.count("*").alias("times"))
-    pieces = _pieces(placed).join(times, ["source_key", "block"], "left")
+    pieces = _pieces(placed).hint("merge").join(times, ["source_key", "block"], "left")  # both grow with the table
     # A row's place in its source tells repeated rows apart.
     taken = pieces.groupBy("doc_id", "source_key", "size", "start").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
     rest = placed.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken"))

@@ -315,7 +315,7 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = [docs.count()]
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf).write.parquet(str(tmp_path / name))
