@@ -220,6 +220,20 @@ def leakage_risks(examples: DataFrame) -> DataFrame:
     return single.unionByName(repeated).unionByName(equal).unionByName(always)
 
 
+def repeated_lines(examples: DataFrame) -> DataFrame:
+    """(content_hash, line, first_line) of every example whose hash occurs more than once: the line list of the risk, a row a line."""
+    first = examples.groupBy("content_hash").agg(F.min("line").alias("first_line"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return examples.select("content_hash", "line").join(first, "content_hash")
+
+
+def engagement_report(findings: DataFrame, engagement: str = "engagement_id") -> DataFrame:
+    """Findings by engagement and severity, with each engagement's share of all in percent."""
+    counts = findings.groupBy(F.coalesce(engagement, F.lit("UNKNOWN")).alias(engagement)).pivot("severity", ["critical", "high", "medium", "low", "informational"]).agg(F.count(F.lit(1))).fillna(0)
+    sizes = findings.groupBy(F.coalesce(engagement, F.lit("UNKNOWN")).alias(engagement)).agg(F.count("*").alias("findings"))
+    total = findings.agg(F.count("*").alias("total"))
+    return sizes.join(counts, engagement).crossJoin(total).withColumn("percent", F.round(100.0 * c("findings") / c("total"), 2)).drop("total")  # one row beside each
+
+
 def group_split(examples: DataFrame, group: str, train_share: float = 0.8) -> DataFrame:
     """(group, n, bucket): whole groups only. The smallest group is the test set; of the rest, in order of size, groups
     train until their share is reached, then validate. A single group is held back."""

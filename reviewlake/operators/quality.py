@@ -34,6 +34,7 @@ def issues(findings: DataFrame) -> DataFrame:
         (status.isNull() & verified.isNull(), "QC-RETEST-001", "warning", "retest"),
         (status.isNotNull() & verified.isNull(), "QC-RETEST-002", "warning", "retest.verification_result"),
         (F.coalesce(c("document_id"), F.lit("")) == "", "QC-SOURCE-001", "error", "source.document_id"),
+        (F.coalesce(c("source_reference"), F.lit("")) == "" if "source_reference" in findings.columns else F.lit(False), "QC-SOURCE-002", "error", "source.source_reference"),
         (~c("usage_approved").eqNullSafe(True), "QC-GOV-001", "error", "governance.usage_approved"),
         (~c("usage_scope").eqNullSafe("internal"), "QC-GOV-002", "warning", "governance.usage_scope"),
     ]
@@ -55,6 +56,16 @@ def run_summary(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("findings"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))
 
 
+def run_report(statuses: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """(kind, value, n): findings by status, issues by severity, duplicate groups and the rows in them; what does not occur is 0."""
+    counts = statuses.agg(
+        *[F.count_if(c("status") == x).alias(f"status {x}") for x in ("passed", "needs_review", "blocked")], F.coalesce(F.sum("errors"), F.lit(0)).alias("issues error"), F.coalesce(F.sum("warnings"), F.lit(0)).alias("issues warning")
+    )
+    groups = duplicates.agg(F.count("*").alias("duplicates groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicates findings"))
+    long = [df.unpivot([], df.columns, "name", "n") for df in (counts, groups)]
+    return long[0].unionByName(long[1]).select(F.split_part("name", F.lit(" "), F.lit(1)).alias("kind"), F.split_part("name", F.lit(" "), F.lit(2)).alias("value"), "n")
+
+
 def duplicate_groups(rows: DataFrame, id_col: str, title: Column, body: Column) -> DataFrame:
     """(fingerprint, n, first_id, last_id) of texts that occur more than once, case and white space aside.
 

@@ -79,10 +79,10 @@ CATALOGUE = [
     ("KB-WRITE-002", "writing_guidelines", "warning", ["web_application", "api"]),
     ("KB-WRITE-003", "writing_guidelines", "warning", ["all"]),
     ("KB-WRITE-004", "writing_guidelines", "warning", ["all"]),
-    ("KB-SCH-001", "taxonomy", "critical", ["all"]),
-    ("KB-SCH-002", "taxonomy", "critical", ["all"]),
-    ("KB-SCH-003", "taxonomy", "info", ["all"]),
-    ("KB-SCH-004", "taxonomy", "info", ["all"]),
+    ("KB-SCH-001", "taxonomy_definitions", "critical", ["all"]),
+    ("KB-SCH-002", "taxonomy_definitions", "critical", ["all"]),
+    ("KB-SCH-003", "taxonomy_definitions", "info", ["all"]),
+    ("KB-SCH-004", "taxonomy_definitions", "info", ["all"]),
     ("KB-SOP-ESC-001", "sop", "critical", ["all"]),
     ("KB-SOP-ESC-002", "sop", "warning", ["all"]),
     ("KB-SOP-ESC-003", "sop", "info", ["all"]),

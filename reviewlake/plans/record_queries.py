@@ -11,12 +11,16 @@ from ..operators import dataset as D
 from ..operators import evaluation as E
 from ..operators import migration as M
 from ..operators import redaction as X
+from ..operators import normalization as N_
+from ..operators import quality, validation
 from ..operators import retrieval as N
+from ..operators.dataset import POSITIVE, SCANNERS
 from ..operators.review import output_record, review
-from .dataset_queries import MARKED, _cases, _eval_cases
-from .review_queries import _COMMENTS, ESCALATED, ISSUES, STATUS, _sql_codes
+from .dataset_queries import EXAMPLES, MARKED, _cases, _eval_cases, _examples
+from .finding_queries import DOCS, _raw
+from .review_queries import _COMMENTS, ESCALATED, ISSUES, STATUS, _like, _sql_codes
 from .synthetic import WITH, case, findings, flat_findings, quoted, table
-from .table_queries import KB_SQL, _kb
+from .table_queries import KB_SQL, QC_SQL, WS, _kb
 
 c = F.col
 
@@ -140,7 +144,46 @@ def _lines(s, d):
 
 CONTEXT = ["RabbitMQ at hostname = [REDACTED_CREDENTIAL], username=[REDACTED_CREDENTIAL]; password = [REDACTED_CREDENTIAL]", "hostname = mq1", "Author: [REDACTED_NAME] wrote it", "author of the story", "The server: [REDACTED_HOST] answers", "see app.internal.test"]
 
+def _faulty_records(s, d):
+    """Normalized records as JSON with one fault each by their id: what breaks is known by hand."""
+    raw = N_.normalized_findings(_raw(s, d))
+    number = F.substring("document_id", 5, 6).cast("int")
+    record = F.to_json(F.struct(*[c(x) for x in raw.columns if x != "document_id"]), {"ignoreNullFields": "false"})
+    changed = F.when(number % 6 == 0, F.replace(record, F.lit('"schema_version":"0.2"'), F.lit('"schema_version":"0.1","more":1')))
+    changed = changed.when(number % 6 == 1, F.replace(record, F.lit('"usage_scope":"internal"'), F.lit('"usage_scope":"anyone"'))).when(number % 6 == 2, F.replace(record, F.lit('"page_start":null'), F.lit('"page_start":0')))
+    changed = changed.when(number % 6 == 3, F.replace(record, F.lit('"Remove it"'), F.lit('""'))).when(number % 6 == 4, F.replace(record, F.lit('"description":null'), F.lit('"note":null')))
+    return raw.select(F.concat_ws("/", "document_id", "finding_id").alias("key"), changed.otherwise(record).alias("raw"))
+
+
+def _catalogue_entries(s, d):
+    x = table(s, d, "part").select("p_partkey")
+    return x.select(
+        F.expr("concat('KB-', p_partkey)").alias("kb_id"), F.expr(case("p_partkey % 3", ["sop", "taxonomy", "severity_guidance"])).alias("category"), F.expr(case("p_partkey % 4", ["info", "warning", "critical", "high"])).alias("severity"),
+        F.expr("CASE WHEN p_partkey % 5 = 0 THEN array('all', 'mars') ELSE array('api') END").alias("applicable_to"), F.expr(case("p_partkey % 2", ["evvo_rule", None])).alias("document_type"),
+        F.expr(case("p_partkey % 7", ["internal"] * 6 + ["secret"])).alias("access_scope"), F.expr(case("p_partkey % 8", ["general"] * 7 + ["voodoo"])).alias("vulnerability_type"),
+    )
+
+
+def _told(s, d):
+    """Findings with placeholders and blank fields."""
+    f = findings(s, d)
+    return f.withColumns({
+        "title": F.when(F.expr("doc_id % 10 = 1"), " TBD: ").otherwise(c("title")), "impact": F.when(F.expr("doc_id % 10 = 2"), "To be  determined.").otherwise(c("impact")),
+        "recommendation": F.when(F.expr("doc_id % 10 = 3"), F.array(F.lit("Fix it"), F.lit("todo"), F.lit("placeholder."))).otherwise(c("recommendation")), "source_reference": F.when(F.expr("doc_id % 10 <> 4"), "blocks:1-2"),
+        "evidence": F.when(F.expr("doc_id % 10 = 5"), F.transform("evidence", lambda e: e.withField("description", F.lit("Was not verified, automated SCAN")).withField("content", F.lit(None).cast("string")))).otherwise(c("evidence")),
+    })
+
+
 QUERIES = {
+    "schema_errors_full": lambda s, d: validation.errors(_faulty_records(s, d), "key", "raw", validation.NORMALIZED_SCHEMA),
+    "structural_issues": lambda s, d: validation.structural_issues(findings(s, d)),
+    "gated_reviews": lambda s, d: validation.gated_reviews(flat_findings(s, d), quality.governance_gate(flat_findings(s, d)), review(findings(s, d), only=["review_status"])),
+    "entry_faults": lambda s, d: validation.entry_faults(_catalogue_entries(s, d)),
+    "qc_placeholders": lambda s, d: quality.issues(_told(s, d)).where("check_id in ('QC-CONTENT-002', 'QC-SOURCE-002')"),
+    "marker_order": lambda s, d: D.markers(_told(s, d)).select("finding_id", "positive", "negative", "scanner_only"),
+    "qc_report": lambda s, d: quality.run_report(quality.status_of(findings(s, d), quality.issues(findings(s, d))), quality.duplicate_groups(table(s, d, "documents"), "doc_id", F.lit(""), c("text"))),
+    "repeated_lines": lambda s, d: D.repeated_lines(_examples(s, d)),
+    "engagement_report": lambda s, d: D.engagement_report(flat_findings(s, d)),
     "output_record": _record,
     "source_class": lambda s, d: _entries(s, d).select("doc_id", M.source_class(c("source"), c("category"), c("subcategory")).alias("x")).select("doc_id", "x.*"),
     "vulnerability_type": lambda s, d: _entries(s, d).select("doc_id", M.vulnerability_type(c("title"), c("tags")).alias("kind")),
@@ -170,6 +213,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "schema_errors_full": f"""{DOCS}, kept AS (SELECT document_id || '/' || finding_id AS key, doc_id, CASE WHEN doc_id % 5 = 2 THEN true ELSE false END AS fixed FROM m SEMI JOIN s USING (document_id, finding_id))
+        SELECT key, '<root>' AS path, 'has additional properties' AS message FROM kept WHERE doc_id % 6 = 0 UNION ALL SELECT key, 'schema_version', 'is not the constant' FROM kept WHERE doc_id % 6 = 0
+        UNION ALL SELECT key, 'governance.usage_scope', 'is not one of the listed values' FROM kept WHERE doc_id % 6 = 1 UNION ALL SELECT key, 'source.location.page_start', 'is under the minimum' FROM kept WHERE doc_id % 6 = 2
+        UNION ALL SELECT key, 'recommendation[0]', 'is too short' FROM kept WHERE doc_id % 6 = 3 UNION ALL SELECT key, 'affected_targets[0]', 'has additional properties' FROM kept WHERE doc_id % 6 = 4
+        UNION ALL SELECT key, 'retest.status', 'is not one of the listed values' FROM kept WHERE fixed""",
+    "structural_issues": f"""{WITH} SELECT finding_id, 'cvss.vector' AS field, 'warning' AS severity FROM findings WHERE doc_id % 4 = 2 UNION ALL SELECT finding_id, 'cwe_id', 'warning' FROM findings WHERE doc_id % 8 = 6
+        UNION ALL SELECT finding_id, 'observation', 'warning' FROM findings WHERE length(trim(coalesce(observation, ''), ' ')) < 10 UNION ALL SELECT finding_id, 'finding_id', 'error' FROM findings WHERE length(finding_id) <> 10""",
+    "gated_reviews": f"{ESCALATED} SELECT finding_id, CASE WHEN usage_approved IS TRUE AND usage_scope <> 'public' AND length(finding_id) = 10 THEN {STATUS} ELSE 'human_review' END AS review_status, coalesce(usage_approved IS TRUE AND usage_scope <> 'public' AND length(finding_id) = 10, false) AS reviewed FROM escalated",
+    "entry_faults": "SELECT 'KB-' || p_partkey AS kb_id, 'category' AS field, 'taxonomy' AS value FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'KB-' || p_partkey, 'severity', 'high' FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT 'KB-' || p_partkey, 'applicable_to', 'mars' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'KB-' || p_partkey, 'access_scope', 'secret' FROM part WHERE p_partkey % 7 = 6 UNION ALL SELECT 'KB-' || p_partkey, 'vulnerability_type', 'voodoo' FROM part WHERE p_partkey % 8 = 7",
+    "qc_placeholders": f"""{WITH} SELECT finding_id, 'QC-CONTENT-002' AS check_id, 'warning' AS severity, 'title' AS field FROM findings WHERE doc_id % 10 = 1 UNION ALL SELECT finding_id, 'QC-CONTENT-002', 'warning', 'impact' FROM findings WHERE doc_id % 10 = 2
+        UNION ALL SELECT finding_id, 'QC-CONTENT-002', 'warning', 'recommendation[' || i || ']' FROM findings, (SELECT unnest([1, 2]) AS i) WHERE doc_id % 10 = 3 UNION ALL SELECT finding_id, 'QC-SOURCE-002', 'error', 'source.source_reference' FROM findings WHERE doc_id % 10 = 4""",
+    "marker_order": f"{MARKED} SELECT finding_id, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN {_like(chr(39) + 'was not verified, automated scan ' + chr(39) + ' || lower(coalesce(observation, ' + chr(39) * 2 + '))', POSITIVE)} ELSE positive END AS positive, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN true WHEN doc_id % 10 = 5 THEN negative ELSE negative END AS negative, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN NOT {_like('lower(coalesce(observation, ' + chr(39) * 2 + '))', POSITIVE)} ELSE {_like('ev', SCANNERS)} AND NOT positive END AS scanner_only FROM flagged",
+    "qc_report": f"""{QC_SQL}, dups AS (SELECT count(*) AS n FROM (SELECT regexp_replace(lower(chr(10) || coalesce(text, '')), '{WS}', ' ', 'g') AS t FROM documents) GROUP BY trim(t) HAVING count(*) > 1)
+        SELECT 'status' AS kind, 'passed' AS value, count_if(status = 'passed')::BIGINT AS n FROM statuses UNION ALL SELECT 'status', 'needs_review', count_if(status = 'needs_review') FROM statuses UNION ALL SELECT 'status', 'blocked', count_if(status = 'blocked') FROM statuses
+        UNION ALL SELECT 'issues', 'error', sum(errors) FROM statuses UNION ALL SELECT 'issues', 'warning', sum(warnings) FROM statuses UNION ALL SELECT 'duplicates', 'groups', count(*) FROM dups UNION ALL SELECT 'duplicates', 'findings', coalesce(sum(n), 0) FROM dups""",
+    "repeated_lines": f"{EXAMPLES} SELECT content_hash, line, min(line) OVER (PARTITION BY content_hash) AS first_line FROM examples QUALIFY count(*) OVER (PARTITION BY content_hash) > 1",
+    "engagement_report": f"{WITH} SELECT coalesce(engagement_id, 'UNKNOWN') AS engagement_id, count(*) AS findings, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high, count_if(severity = 'medium')::BIGINT AS medium, count_if(severity = 'low')::BIGINT AS low, count_if(severity = 'informational')::BIGINT AS informational, round(100.0 * count(*) / sum(count(*)) OVER (), 2)::DOUBLE AS percent FROM findings GROUP BY 1",
     "output_record": f"""{ESCALATED} SELECT '0.1' AS schema_version, finding_id, {STATUS} AS review_status, CASE WHEN severity <> band THEN band ELSE severity END AS suggested_severity, severity AS reported_severity, severity = band AS severity_matches_score, {_COMPLETE}::BIGINT AS n_completeness,
         {_sql_codes([(cond, code) for cond, code, _ in _LISTED])} AS codes, array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'coalesce({cond}, false)' for cond, _, sev in _LISTED if sev == kind)} THEN {quoted(kind)} END" for kind in ("error", "suggestion", "warning"))}], lambda x: x IS NOT NULL), ',') AS kinds,
         confidence_score AS overall_score, CASE WHEN severity IN ('critical', 'high') THEN 'senior_pentester' WHEN coalesce(severity <> band, false) THEN 'report_reviewer' END AS recommended_reviewer, {_sql_codes([(v.replace("judged.finding_id", "escalated.finding_id"), k) for k, v in ISSUES.items()])} AS issues,

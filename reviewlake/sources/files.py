@@ -124,6 +124,11 @@ def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
     return defaults | found
 
 
+def read_schema(spark: SparkSession, path: str) -> dict:
+    """A JSON Schema file."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 def read_catalogue(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Entries and errors of JSON files that hold a list, an object with ``entries``, or one entry. Nothing found is an error."""
     files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
