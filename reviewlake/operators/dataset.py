@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import benchmark_band, hard_negative_band
-from ..functions.text import any_of, content_hash, message
+from ..functions.text import any_of, content_hash, message, truncated
 
 c = F.col
 TASKS = ["finding_review", "severity_review", "evidence_check", "remediation_review", "client_qa", "hard_negative_potential_issue"]
@@ -34,29 +34,87 @@ def markers(findings: DataFrame) -> DataFrame:
     return df.select("*", positive.alias("positive"), any_of(c("_blob"), NEGATIVE).alias("negative"), (any_of(c("_evidence"), SCANNERS) & ~positive).alias("scanner_only")).drop("_evidence", "_blob")
 
 
-def expand_tasks(findings: DataFrame) -> DataFrame:
-    """One case per finding and task (the potential-issue negative only where denied): exploded from a literal array, so nothing shuffles.
+#: What a model may get wrong in each task.
+FAILURE_MODES = {
+    "finding_review": ["wrong_classification_label", "missed_severity_cvss_mismatch", "hallucinated_evidence", "missing_review_comment"],
+    "severity_review": ["wrong_severity_suggestion", "missed_cvss_severity_mismatch", "invalid_cvss_vector_validation"],
+    "evidence_check": ["wrong_evidence_sufficiency", "hallucinated_evidence", "missed_unsupported_claim"],
+    "remediation_review": ["wrong_root_cause_assessment", "missed_generic_recommendation", "hallucinated_cwe_relevance"],
+    "client_qa": ["hallucinated_severity", "wrong_cvss_score", "refused_in_scope_question"],
+    "hard_negative_potential_issue": ["wrong_classification_label_confirmed", "missed_no_exploit_marker", "hallucinated_exploitation"],
+}
 
-    case_id numbers a task's cases in order of finding_id; gold holds the fields the metrics read.
-    """
-    df = markers(findings)
+
+def _confidence(score: Column) -> Column:
+    level = F.when(score >= 0.85, "high").when(score >= 0.65, "medium").otherwise("low")
+    return F.struct(F.round(score, 2).alias("overall_score"), level.alias("level"))
+
+
+def _named(**columns: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in columns.items()])
+
+
+def _some(when: Column, text: Column | str) -> Column:
+    return F.filter(F.array(text if isinstance(text, Column) else F.lit(text)), lambda x: when)
+
+
+def gold_answers() -> dict[str, Column]:
+    """The gold answer of each task over ``markers(findings)`` with ``band``, ``matches`` and ``shown``, each in its own form."""
+    title, shown, matches = F.coalesce("title", F.lit("")), c("shown"), c("matches")
+    severity, score, vector = F.coalesce("severity", F.lit("")), c("cvss.score"), c("cvss.vector")
+    items = F.transform("evidence", lambda e: e.evidence_id)
+    untested = c("retest.status").isNull()
+    label = F.when(shown, "confirmed_vulnerability").otherwise("potential_issue")
+    evidence = _named(is_sufficient=shown, evidence_items_reviewed=items, supported_claims=_some(shown, title), unsupported_claims=_some(~shown, title), missing_evidence=_some(~shown, "Reproducible exploitation proof"))
+    banded = _named(reported_severity=severity, suggested_severity=c("band"), is_consistent=matches, change_recommended=~matches)
+    scored = _named(reported_score=score, reported_vector=vector, severity_matches_score=matches, requires_manual_recalculation=~matches)
+    codes = F.concat(_some(~shown, "EVID-001"), _some(~matches, "SEV-001"), _some(untested, "RETEST-001"))
+    escalates = ~shown & ~matches
+    steps = F.coalesce(F.size("recommendation"), F.lit(0))
+    answer = F.concat(
+        F.lit("The finding '"), title, F.lit("' is reported with severity '"), severity, F.lit("' and CVSS score "), F.coalesce(score.cast("string"), F.lit("none")), F.lit(" (vector: "), F.coalesce(vector, F.lit("")), F.lit(").")
+    )
+    return {
+        "finding_review": _named(
+            finding_id=c("finding_id"), review_status=F.when(F.size(codes) > 0, "needs_revision").otherwise("pass"), classification=_named(label=label, supported_by_evidence=shown),
+            completeness_review=_named(is_complete=F.lit(True), missing_conditional_fields=_some(untested, "retest.status")), evidence_review=evidence, severity_review=banded, cvss_review=scored,
+            cwe_review=_named(reported_cwe=c("cwe_id")), consistency_review=_named(is_consistent=matches & shown, issues=_some(~matches, "severity-cvss-mismatch")),
+            retest_review=_named(status_supported_by_evidence=~untested, missing_retest_evidence=_some(untested, "Retest not performed")), review_comments=codes,
+            confidence=_confidence(F.when(shown & matches, 0.85).otherwise(0.65)), human_escalation=_named(required=escalates, reasons=F.concat(_some(escalates, "evidence_insufficient"), _some(escalates, "severity_mismatch"))),
+        ),
+        "severity_review": _named(severity_review=banded, cvss_review=scored, confidence=_confidence(F.when(matches, 0.9).otherwise(0.75))),
+        "evidence_check": _named(evidence_review=evidence, review_comments=_some(~shown, "EVID-001"), confidence=_confidence(F.lit(0.85))),
+        "remediation_review": _named(
+            recommendation_review=_named(addresses_root_cause=steps >= 3, is_actionable=steps >= 2, is_technically_relevant=F.lit(True), missing_recommendations=_some(steps < 3, "Add specific remediation steps.")), confidence=_confidence(F.lit(0.85))
+        ),
+        "client_qa": _named(answer=answer, refuses=F.lit(False), source_references=F.array(_named(field=F.lit("observation"), snippet=truncated(F.coalesce("observation", F.lit("")), 120))), confidence=_confidence(F.lit(0.9))),
+        "hard_negative_potential_issue": _named(
+            classification=_named(label=F.lit("potential_issue"), supported_by_evidence=F.lit(False)),
+            evidence_review=_named(is_sufficient=F.lit(False), evidence_items_reviewed=items, supported_claims=F.array().cast("array<string>"), unsupported_claims=F.array(title), missing_evidence=F.array(F.lit("Reproducible exploitation proof"))), confidence=_confidence(F.lit(0.7)),
+        ),
+    }
+
+
+def expand_tasks(findings: DataFrame) -> DataFrame:
+    """One case per finding and task (the potential-issue negative only where denied): exploded from a literal array, so nothing shuffles."""
     band = benchmark_band(c("cvss.score"))
-    label = F.when(c("positive") & ~c("negative"), "confirmed_vulnerability").otherwise("potential_issue")
+    df = markers(findings).withColumns({"band": band, "matches": F.coalesce(F.lower(F.coalesce("severity", F.lit(""))) == band, F.lit(False)), "shown": c("positive") & ~c("negative")})
     tasks = F.filter(F.array(*[F.lit(t) for t in TASKS]), lambda t: (t != TASKS[-1]) | c("negative"))
     df = df.select("*", F.explode(tasks).alias("task_type"))
-    n_rec = F.size("recommendation")
-    difficulty = F.when(c("task_type") == TASKS[-1], "hard").when(c("negative"), "hard").when(c("severity") == band, "easy").otherwise("medium")
-    gold = F.to_json(
-        F.struct(
-            F.struct(label.alias("label")).alias("classification"),
-            F.struct((c("positive") & ~c("negative")).alias("is_sufficient"), F.when(c("negative"), F.array(F.lit("not demonstrated"))).otherwise(F.array().cast("array<string>")).alias("unsupported_claims")).alias("evidence_review"),
-            F.struct(band.alias("suggested_severity"), F.coalesce(c("severity") != band, F.lit(True)).alias("change_recommended")).alias("severity_review"),
-            F.struct((n_rec >= 3).alias("addresses_root_cause"), (n_rec >= 2).alias("is_actionable")).alias("remediation_review"),
-            F.lit(False).alias("refuses"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-    return df.select("finding_id", "task_type", difficulty.alias("difficulty"), (c("task_type") == TASKS[-1]).alias("is_hard_negative"), gold.alias("gold_output"), content_hash(c("task_type"), c("finding_id"), c("title"), c("observation")).alias("content_hash"))
+    task, gold, modes = c("task_type"), F.lit(None).cast("string"), F.array().cast("array<string>")
+    for name, answer in gold_answers().items():
+        gold = F.when(task == name, F.to_json(answer, {"ignoreNullFields": "false"})).otherwise(gold)
+        modes = F.when(task == name, F.array(*[F.lit(x) for x in FAILURE_MODES[name]])).otherwise(modes)
+    easy = F.when(task == "finding_review", c("shown")).when(task == "severity_review", c("matches")).when(task == "evidence_check", False).otherwise(True)
+    difficulty = F.when(task == TASKS[-1], "hard").when(easy, "easy").otherwise("medium")
+    return df.select("finding_id", "task_type", difficulty.alias("difficulty"), (task == TASKS[-1]).alias("is_hard_negative"), gold.alias("gold_output"), modes.alias("expected_failure_modes"), content_hash(task, c("finding_id"), c("title"), c("observation")).alias("content_hash"))
+
+
+def all_cases(derived: DataFrame, hand_crafted: DataFrame) -> DataFrame:
+    """Derived and hand-crafted cases in one table with their ids: hand-crafted ones are numbered after the derived ones of their task."""
+    offsets = derived.groupBy("task_type").agg(F.count("*").alias("offset"))
+    columns = ["finding_id", "task_type", "difficulty", "is_hard_negative", "gold_output", "content_hash"]
+    return case_ids(derived.select(columns)).unionByName(case_ids(hand_crafted.select(columns), offsets))
 
 
 def case_ids(cases: DataFrame, offsets: DataFrame | None = None) -> DataFrame:

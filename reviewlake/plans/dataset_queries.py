@@ -18,7 +18,7 @@ MARKED = f"""{WITH}, text AS (SELECT finding_id, string_agg(lower(content) || '
 marked AS (SELECT f.*, coalesce(ev, '') AS ev, coalesce(ev, '') || ' ' || lower(coalesce(observation, '')) AS blob FROM findings f LEFT JOIN text USING (finding_id)),
 flagged AS (SELECT *, {_like('blob', D.POSITIVE)} AS positive, {_like('blob', D.NEGATIVE)} AS negative, CASE WHEN score IS NULL OR score = 0 THEN 'informational' ELSE coalesce({B_CLOSED}, 'low') END AS band FROM marked),
 cases AS (SELECT finding_id, task_type, title, observation, task_type = 'hard_negative_potential_issue' AS is_hard_negative,
-  CASE WHEN task_type = 'hard_negative_potential_issue' OR negative THEN 'hard' WHEN severity = band THEN 'easy' ELSE 'medium' END AS difficulty,
+  CASE task_type WHEN 'hard_negative_potential_issue' THEN 'hard' WHEN 'finding_review' THEN CASE WHEN positive AND NOT negative THEN 'easy' ELSE 'medium' END WHEN 'severity_review' THEN CASE WHEN severity = band THEN 'easy' ELSE 'medium' END WHEN 'evidence_check' THEN 'medium' ELSE 'easy' END AS difficulty,
   sha256(task_type || chr(31) || finding_id || chr(31) || title || chr(31) || coalesce(observation, chr(0)))[1:16] AS content_hash
   FROM flagged, (SELECT unnest({D.TASKS!r}) AS task_type) WHERE task_type <> 'hard_negative_potential_issue' OR negative)"""
 
@@ -27,6 +27,33 @@ def _cases(s, d):
     return D.expand_tasks(findings(s, d))
 
 
+def _crafted(s, d):
+    """Hand-crafted cases: every twenty-fifth finding, of a task that the derived cases have and of one that they lack."""
+    f = flat_findings(s, d).where("doc_id % 25 = 0")
+    return f.select("finding_id", F.expr(case("doc_id % 2", ["client_qa", "unsupported_refusal"])).alias("task_type"), F.lit("hard").alias("difficulty"), F.lit(True).alias("is_hard_negative"), F.lit("{}").alias("gold_output"), c("finding_id").alias("content_hash"))
+
+
+GOLD_FIELDS = {
+    "label": "classification.label", "status": "review_status", "sufficient": "evidence_review.is_sufficient", "unsupported": "evidence_review.unsupported_claims[0]", "band": "severity_review.suggested_severity", "change": "severity_review.change_recommended",
+    "root": "recommendation_review.addresses_root_cause", "actionable": "recommendation_review.is_actionable", "answer": "answer", "snippet": "source_references[0].snippet", "score": "confidence.overall_score", "level": "confidence.level",
+    "escalates": "human_escalation.required", "comments": "review_comments",
+}
+_N_REC = "CASE WHEN recommendation_text = '' THEN 0 ELSE length(string_split(recommendation_text, '|')) END"
+_HN = "'hard_negative_potential_issue'"
+_GOLD_SQL = f"""SELECT finding_id, task_type, CASE task_type WHEN 'finding_review' THEN CASE WHEN shown THEN 'confirmed_vulnerability' ELSE 'potential_issue' END WHEN {_HN} THEN 'potential_issue' END AS label,
+ CASE WHEN task_type = 'finding_review' THEN CASE WHEN shown AND same AND retest_status IS NOT NULL THEN 'pass' ELSE 'needs_revision' END END AS status, CASE WHEN task_type IN ('finding_review', 'evidence_check') THEN CAST(shown AS VARCHAR) WHEN task_type = {_HN} THEN 'false' END AS sufficient,
+ CASE WHEN (task_type IN ('finding_review', 'evidence_check') AND NOT shown) OR task_type = {_HN} THEN title END AS unsupported, CASE WHEN task_type IN ('finding_review', 'severity_review') THEN band END AS band, CASE WHEN task_type IN ('finding_review', 'severity_review') THEN CAST(NOT same AS VARCHAR) END AS change,
+ CASE WHEN task_type = 'remediation_review' THEN CAST({_N_REC} >= 3 AS VARCHAR) END AS root, CASE WHEN task_type = 'remediation_review' THEN CAST({_N_REC} >= 2 AS VARCHAR) END AS actionable,
+ CASE WHEN task_type = 'client_qa' THEN 'The finding ''' || title || ''' is reported with severity ''' || coalesce(severity, '') || ''' and CVSS score ' || coalesce(CAST(score AS VARCHAR), 'none') || ' (vector: ' || coalesce(vector, '') || ').' END AS answer,
+ CASE WHEN task_type = 'client_qa' THEN CASE WHEN length(coalesce(observation, '')) <= 120 THEN coalesce(observation, '') ELSE rtrim(left(observation, 120), ' ') || '...' END END AS snippet,
+ CASE task_type WHEN 'finding_review' THEN CASE WHEN shown AND same THEN '0.85' ELSE '0.65' END WHEN 'severity_review' THEN CASE WHEN same THEN '0.9' ELSE '0.75' END WHEN 'client_qa' THEN '0.9' WHEN {_HN} THEN '0.7' ELSE '0.85' END AS score,
+ CASE task_type WHEN 'finding_review' THEN CASE WHEN shown AND same THEN 'high' ELSE 'medium' END WHEN 'severity_review' THEN CASE WHEN same THEN 'high' ELSE 'medium' END WHEN {_HN} THEN 'medium' ELSE 'high' END AS level,
+ CASE WHEN task_type = 'finding_review' THEN CAST(NOT shown AND NOT same AS VARCHAR) END AS escalates,
+ CASE task_type WHEN 'finding_review' THEN '[' || concat_ws(',', CASE WHEN NOT shown THEN '"EVID-001"' END, CASE WHEN NOT same THEN '"SEV-001"' END, CASE WHEN retest_status IS NULL THEN '"RETEST-001"' END) || ']' WHEN 'evidence_check' THEN CASE WHEN shown THEN '[]' ELSE '["EVID-001"]' END END AS comments,
+ CASE task_type WHEN 'finding_review' THEN 'wrong_classification_label,missed_severity_cvss_mismatch,hallucinated_evidence,missing_review_comment' WHEN 'severity_review' THEN 'wrong_severity_suggestion,missed_cvss_severity_mismatch,invalid_cvss_vector_validation' WHEN 'evidence_check' THEN 'wrong_evidence_sufficiency,hallucinated_evidence,missed_unsupported_claim'
+ WHEN 'remediation_review' THEN 'wrong_root_cause_assessment,missed_generic_recommendation,hallucinated_cwe_relevance' WHEN 'client_qa' THEN 'hallucinated_severity,wrong_cvss_score,refused_in_scope_question' ELSE 'wrong_classification_label_confirmed,missed_no_exploit_marker,hallucinated_exploitation' END AS modes"""
+
+
 def _examples(s, d):
     f = flat_findings(s, d)
     return f.select(c("doc_id").alias("line"), F.expr("'FND-' || lpad(cast(doc_id % 500 as string), 6, '0')").alias("finding_id"), c("engagement_id"), F.lit("qa").alias("task_type"), F.expr("left(sha2(coalesce(observation, ''), 256), 16)").alias("content_hash"))
@@ -97,7 +124,8 @@ QUERIES = {
     "task_expansion": lambda s, d: _cases(s, d).select("finding_id", "task_type", "difficulty", "is_hard_negative", "content_hash"),
     "case_ids": lambda s, d: D.case_ids(_cases(s, d)).select("finding_id", "task_type", "case_id"),
     "benchmark_manifest": lambda s, d: D.manifest(_cases(s, d)),
-    "gold_labels": lambda s, d: _cases(s, d).select("task_type", F.get_json_object("gold_output", "$.classification.label").alias("label"), F.get_json_object("gold_output", "$.severity_review.suggested_severity").alias("band")).groupBy("task_type", "label", "band").agg(F.count("*").alias("n")),
+    "task_golds": lambda s, d: _cases(s, d).select("finding_id", "task_type", *[F.get_json_object("gold_output", f"$.{path}").alias(name) for name, path in GOLD_FIELDS.items()], F.array_join("expected_failure_modes", ",").alias("modes")),
+    "all_cases": lambda s, d: D.all_cases(_cases(s, d), _crafted(s, d)).select("finding_id", "task_type", "case_id"),
     "scanner_negatives": lambda s, d: D.scanner_negatives(findings(s, d)).select("finding_id", c("evidence")[0]["evidence_type"].alias("evidence_type"), F.size("evidence").cast("long").alias("items")),
     "evidence_swap": lambda s, d: D.swapped_evidence(findings(s, d), flat_findings(s, d).where("doc_id % 10 = 0").select("finding_id", F.expr("'FND-' || lpad(cast(doc_id + 1 as string), 6, '0')").alias("donor_id"))).select("finding_id", "donor_id", F.array_join(F.transform("evidence", lambda e: e.content), "|").alias("contents")),
     "wrong_severity": lambda s, d: D.wrong_severities(findings(s, d)),
@@ -128,7 +156,8 @@ ORACLE_SQL = {
     "task_expansion": f"{MARKED} SELECT finding_id, task_type, difficulty, is_hard_negative, content_hash FROM cases",
     "case_ids": f"{MARKED} SELECT finding_id, task_type, 'BMC-' || task_type || '-' || lpad(CAST(row_number() OVER (PARTITION BY task_type ORDER BY finding_id) AS VARCHAR), 4, '0') AS case_id FROM cases",
     "benchmark_manifest": f"{MARKED} SELECT task_type, difficulty, count(*) AS n, count_if(is_hard_negative)::BIGINT AS hard_negatives FROM cases GROUP BY GROUPING SETS ((task_type), (difficulty), ())",
-    "gold_labels": f"{MARKED} SELECT task_type, CASE WHEN positive AND NOT negative THEN 'confirmed_vulnerability' ELSE 'potential_issue' END AS label, band, count(*) AS n FROM cases JOIN flagged USING (finding_id) GROUP BY 1, 2, 3",
+    "task_golds": f"{MARKED}, g AS (SELECT c.finding_id, c.task_type, f.doc_id, f.title, f.severity, f.score, f.vector, f.band, f.n_evidence, f.recommendation_text, f.retest_status, f.observation, positive AND NOT negative AS shown, coalesce(severity = band, false) AS same FROM cases c JOIN flagged f USING (finding_id)) {_GOLD_SQL} FROM g",
+    "all_cases": f"{MARKED}, numbered AS (SELECT finding_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY finding_id) AS n FROM cases), sizes AS (SELECT task_type, count(*) AS k FROM cases GROUP BY 1), extra AS (SELECT finding_id, CASE doc_id % 2 WHEN 0 THEN 'client_qa' ELSE 'unsupported_refusal' END AS task_type FROM findings WHERE doc_id % 25 = 0), more AS (SELECT finding_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY finding_id) + coalesce(k, 0) AS n FROM extra LEFT JOIN sizes USING (task_type)), every AS (SELECT * FROM numbered UNION ALL SELECT * FROM more) SELECT finding_id, task_type, 'BMC-' || task_type || '-' || lpad(CAST(n AS VARCHAR), 4, '0') AS case_id FROM every",
     "scanner_negatives": f"{WITH} SELECT finding_id, 'scanner_output' AS evidence_type, 1::BIGINT AS items FROM findings",
     "evidence_swap": f"{WITH}, t AS (SELECT finding_id, string_agg(content, '|' ORDER BY i) AS contents FROM evidence GROUP BY 1) SELECT f.finding_id, d.finding_id AS donor_id, coalesce(contents, '') AS contents FROM findings f JOIN findings d ON d.doc_id = f.doc_id + 1 LEFT JOIN t ON t.finding_id = d.finding_id WHERE f.doc_id % 10 = 0",
     "wrong_severity": f"{WITH} SELECT finding_id, {B_OPEN} AS band, CASE {B_OPEN} WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'low' WHEN 'medium' THEN 'informational' WHEN 'low' THEN 'critical' ELSE 'high' END AS severity FROM findings WHERE score IS NOT NULL",
