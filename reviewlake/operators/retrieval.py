@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,6 +202,28 @@ def chunk_text() -> Column:
     return rule_text(indent="", description="")
 
 
+def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], id_col: str, text_col: str, batch: int = 32) -> DataFrame:
+    """(id, embedding): texts in batches through a model loaded once per task."""
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator):
+        import pandas as pd
+
+        model = load()
+        for frame in batches:
+            texts, out = frame[text_col].fillna("").tolist(), []
+            for start in range(0, len(texts), batch):
+                out += model(texts[start : start + batch])
+            yield pd.DataFrame({"id": frame[id_col], "embedding": out})
+
+    return rows.select(id_col, text_col).mapInPandas(run, f"id {kind}, embedding array<double>")
+
+
+def stub_embedder() -> Callable[[list[str]], list[list[float]]]:
+    """Deterministic stand-in for an embedding model: a text's length and its spaces."""
+    return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
 def rules_text(retrieved: DataFrame, kb: DataFrame) -> DataFrame:
     """(query_id, text): the retrieved rules of each query in order, for a prompt; a query's hits are bounded by the catalogue or a limit."""
     lines = retrieved.select("query_id", "kb_id", "rank").join(kb.select("kb_id", rule_text().alias("text")), "kb_id")

@@ -16,6 +16,7 @@ from ..operators import quality, validation
 from ..operators import retrieval as N
 from ..operators.dataset import POSITIVE, SCANNERS
 from ..operators.review import output_record, review
+from ..sources import files
 from .dataset_queries import EXAMPLES, MARKED, _cases, _eval_cases, _examples
 from .finding_queries import DOCS, _raw
 from .review_queries import _COMMENTS, ESCALATED, ISSUES, STATUS, _like, _sql_codes
@@ -100,6 +101,16 @@ def _methods(s, d):
     return N.method_summary(every.unionByName(first), "method")
 
 
+def _typed_entries(s, d):
+    """Entries as JSON with absent, null and given fields."""
+    raw = F.concat(
+        F.lit('{"kb_id": "KB-'), c("doc_id").cast("string"), F.lit('", "category": "sop"'), F.expr(case("doc_id % 3", ["", ', "title": "T"', ', "title": null'])), F.expr(case("doc_id % 2", ["", ', "severity": "critical"'])),
+        F.when(c("doc_id") % 5 == 0, ', "applicable_to": ["api", "x"]').otherwise(""), F.lit("}"),
+    )
+    typed = table(s, d, "documents").select(F.try_parse_json(raw).alias("entry")).select(*files.entry_fields("entry"))
+    return typed.select("kb_id", "title", "severity", F.array_join("applicable_to", ",").alias("targets"), F.array_join("conditions", ",").alias("conditions"), "version", "vulnerability_type", F.lit(len(typed.columns)).cast("long").alias("fields"))
+
+
 # ---------------------------------------------------------------- dataset and evaluation
 
 
@@ -193,6 +204,8 @@ QUERIES = {
     "kb_rules_text": lambda s, d: N.rules_text(_hits(s, d), _kb_entries(s, d)),
     "kb_rules_summary": lambda s, d: N.rules_summary(_hits(s, d), _kb_entries(s, d)).select("query_id", c("rank").cast("long").alias("rank"), "kb_id", "title", "action", "severity"),
     "kb_chunks": lambda s, d: _kb_entries(s, d).select("kb_id", N.chunk_text().alias("text")),
+    "embedded_chunks": lambda s, d: N.embedded(_kb_entries(s, d).select("kb_id", N.chunk_text().alias("text")), N.stub_embedder, "kb_id", "text").select("id", c("embedding")[0].alias("length"), c("embedding")[1].alias("spaces")),
+    "entry_defaults": _typed_entries,
     "unit_vectors": lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(N.inner_product(N.normalized(c("embedding")), N.normalized(c("embedding")))), 6).alias("norm"), F.round(N.normalized(c("embedding"))[0], 6).alias("first")),
     "retrieval_methods": _methods,
     "eligible_tasks": lambda s, d: D.eligible_tasks(findings(s, d)),
@@ -249,6 +262,8 @@ ORACLE_SQL = {
         SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS text FROM t GROUP BY 1""",
     "kb_rules_summary": f"{HITS} SELECT query_id, rank, kb_id, title, coalesce(action, '') AS action, severity FROM hits",
     "kb_chunks": f"WITH {KB_ROWS} SELECT kb_id, '[' || kb_id || '] ' || title || coalesce(chr(10) || description, '') || coalesce(chr(10) || 'Conditions: ' || conditions, '') || coalesce(chr(10) || 'Action: ' || action, '') AS text FROM kb",
+    "embedded_chunks": f"WITH {KB_ROWS}, t AS (SELECT kb_id, '[' || kb_id || '] ' || title || coalesce(chr(10) || description, '') || coalesce(chr(10) || 'Conditions: ' || conditions, '') || coalesce(chr(10) || 'Action: ' || action, '') AS text FROM kb) SELECT kb_id AS id, length(text)::DOUBLE AS length, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM t",
+    "entry_defaults": """SELECT 'KB-' || doc_id AS kb_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 2 THEN NULL ELSE 'T' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'info' ELSE 'critical' END AS severity, CASE WHEN doc_id % 5 = 0 THEN 'api,x' ELSE 'all' END AS targets, '' AS conditions, '1.0' AS version, 'general' AS vulnerability_type, 19 AS fields FROM documents""",
     "unit_vectors": "SELECT vec_id, 1.0::DOUBLE AS norm, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
     "retrieval_methods": f"""{KB_SQL}, m AS (SELECT 'metadata' AS method, query_id, count_if(list_contains(expected, kb_id)) / length(any_value(expected))::DOUBLE AS recall, count_if(rank <= 5 AND list_contains(relevant, kb_id)) / least(5, count(*))::DOUBLE AS precision FROM hits GROUP BY query_id
         UNION ALL SELECT 'first_three', query_id, count_if(list_contains(expected, kb_id)) / length(any_value(expected))::DOUBLE, count_if(list_contains(relevant, kb_id)) / least(3, count(*))::DOUBLE FROM hits WHERE rank <= 3 GROUP BY query_id)

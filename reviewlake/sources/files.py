@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,6 +59,11 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, f"document_id string, {BLOCKS}, error string")
 
 
+def styled(blocks: DataFrame, prefix: str) -> DataFrame:
+    """Paragraphs whose style begins with a prefix, case aside."""
+    return blocks.where(F.lower("style").startswith(prefix.lower()))
+
+
 def headings(blocks: DataFrame, n: int = 10) -> DataFrame:
     """The first n headings of each document, by style."""
     return blocks.where("lower(style) like 'heading%'").withColumn("h", F.expr("row_number() over (partition by document_id order by block_number)")).where(f"h <= {n}").drop("h")
@@ -129,14 +134,30 @@ def read_schema(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+# Fields of a catalogue entry beside kb_id and category, with what an absent one becomes.
+ENTRY_DEFAULTS = {
+    "subcategory": "", "title": "", "description": "", "conditions": [], "action": "", "references": [], "severity": "info", "applicable_to": ["all"], "version": "1.0", "source": "", "tags": [],
+    "document_type": "evvo_rule", "section": "", "vulnerability_type": "general", "effective_date": "2026-08-15", "access_scope": "internal", "source_id": "",
+}
+
+
+def entry_fields(entry: str) -> list[Column]:
+    """The 19 typed fields of a VARIANT column, absent ones by their defaults; a JSON null stays null."""
+    out = [F.try_variant_get(entry, f"$.{name}", "string").alias(name) for name in ("kb_id", "category")]
+    keys = F.json_object_keys(F.to_json(entry))
+    for name, default in ENTRY_DEFAULTS.items():
+        kind, value = ("array<string>", F.array(*[F.lit(x) for x in default]).cast("array<string>")) if isinstance(default, list) else ("string", F.lit(default))
+        out.append(F.when(F.array_contains(keys, name), F.try_variant_get(entry, f"$.{name}", kind)).otherwise(value).alias(name))
+    return out
+
+
 def read_catalogue(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Entries and errors of JSON files that hold a list, an object with ``entries``, or one entry. Nothing found is an error."""
     files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     parsed = files.withColumn("v", F.try_parse_json("value")).withColumn("kind", F.schema_of_variant("v"))
     listed = F.when(F.col("kind").startswith("ARRAY"), F.col("v").cast("array<variant>")).when(F.col("kind").contains("entries:"), F.try_variant_get("v", "$.entries", "array<variant>")).when(F.col("kind").contains("kb_id:"), F.array("v"))
     rows = parsed.select("file", "v", F.posexplode_outer(listed).alias("entry_index", "entry"))
-    field = lambda name: F.try_variant_get("entry", f"$.{name}", "string").alias(name)
-    typed = rows.select("file", "entry_index", "v", field("kb_id"), field("category"), F.coalesce(field("severity"), F.lit("info")).alias("severity"), field("title"))
+    typed = rows.select("file", "entry_index", "v", *entry_fields("entry"))
     good = F.col("kb_id").isNotNull() & F.col("category").isNotNull()
     reason = F.when(F.col("v").isNull(), "not JSON").when(F.col("entry_index").isNull(), "no entries").otherwise("kb_id or category missing")
     return typed.where(good).drop("v"), typed.where(~good).select("file", "entry_index", reason.alias("error"))
@@ -156,6 +177,14 @@ def append_jsonl(df: DataFrame, existing: DataFrame, key: str, path: str) -> Non
     write_jsonl(existing.unionByName(df.join(existing.select(key), key, "left_anti")), path)
 
 
+def write_both(df: DataFrame, path: str, single: bool = True) -> None:
+    """One result as JSON lines and, if it is small (``single``), as one indented document beside them; computed once."""
+    write_jsonl(df, f"{path}/jsonl")
+    if single:
+        written = df.sparkSession.read.schema(df.schema).json(f"{path}/jsonl")
+        df.sparkSession.createDataFrame([(pretty_json(written),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/json")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

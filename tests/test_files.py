@@ -43,6 +43,10 @@ def test_sinks(spark, tmp_path):
     assert json.loads(files.pretty_json(df.orderBy("a")))[1] == {"a": 2, "b": "x"} and "| 2 | x |" in files.markdown_table(df, "t")
     with pytest.raises(ValueError, match="more than 1"):
         files.pretty_json(df, 1)
+    files.write_both(df, str(tmp_path / "both"))
+    assert spark.read.json(str(tmp_path / "both/jsonl")).count() == 2 and len(json.loads(spark.read.text(str(tmp_path / "both/json"), wholetext=True).first()[0])) == 2
+    blocks = spark.createDataFrame([("Heading 1",), ("heading 2",), ("Body",), (None,)], "style string")
+    assert files.styled(blocks, "HEADING").count() == 2
 
 
 def test_schema_checks_itself():
