@@ -159,7 +159,8 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
     item_weights = of_items.groupBy("item_id", "version", "n_words", "shingle").agg(F.count("*").alias("weight"))
     item_prints = item_weights.groupBy("item_id", "version", "n_words").agg(*_simhash(), F.sum("weight").alias("item_total"))
     item_prints = item_prints.select("item_id", "version", "n_words", "item_total", _fingerprint().alias("fingerprint"))
-    near = prints.join(near_items(prints, item_prints, radius), ["n_words", "fingerprint"]).drop("fingerprint")
+    # Both sides grow with the documents: no broadcast, however well they pack.
+    near = prints.hint("merge").join(near_items(prints, item_prints, radius), ["n_words", "fingerprint"]).drop("fingerprint")
 
     # Exact weighted Jaccard: sum of minima over sum of maxima, the latter from the totals.
     doc_side = of_windows.select(*[F.col(c).alias(f"w_{c}") for c in window], "shingle", F.col("weight").alias("w"))
@@ -168,7 +169,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, similarity: floa
         on = on & (F.col(c) == F.col(f"w_{c}"))
     ours = item_weights.select(F.col("item_id").alias("j_item"), F.col("version").alias("j_version"), F.col("shingle").alias("j_shingle"), F.col("weight").alias("v"))
     same_item = (F.col("shingle") == F.col("j_shingle")) & F.col("item_id").eqNullSafe(F.col("j_item")) & (F.col("version") == F.col("j_version"))
-    common = near.join(doc_side, on).join(ours, same_item).groupBy(*window, "item_id", "version", "total", "item_total", "hamming").agg(F.sum(F.least("w", "v")).alias("common"))
+    common = near.hint("merge").join(doc_side, on).join(ours, same_item).groupBy(*window, "item_id", "version", "total", "item_total", "hamming").agg(F.sum(F.least("w", "v")).alias("common"))
     score = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))
     verified = common.withColumn("similarity", score).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct(F.col("start").alias("start_word"), "n_words", "hamming"), F.struct("similarity", -F.col("start"))).alias("at")
