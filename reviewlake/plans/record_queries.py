@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import dataset as D
 from ..operators import evaluation as E
 from ..operators import migration as M
@@ -175,6 +176,22 @@ def _catalogue_entries(s, d):
     )
 
 
+MALFORMED = [
+    # severity, weakness, address: as written, then as they must be read
+    ("INFO", "cwe-79", "see <a href='https://a.example.test/x?y=1&amp;z=2'>this</a>", "informational", "CWE-79", None, "https://a.example.test/x?y=1&z=2"),
+    ("weird", "CWE79: label", "HTTPS://B.example.test/path).", None, None, None, "HTTPS://B.example.test/path"),
+    ("  High  ", "two: CWE-12 - and CWE-13", "http:///nohost,", "high", "CWE-12", "and CWE-13", "http:///nohost"),
+    ("", "", "ftp://c.example.test", None, None, None, None),
+    ("Critical!", "XCWE-5", "no address", None, None, None, None),
+    (None, None, None, None, None, None, None),
+]
+
+
+def _malformed(s, d):
+    rows = table(s, d, "documents").select("doc_id", *[F.expr(case("doc_id % 6", [x[i] for x in MALFORMED])).alias(n) for i, n in enumerate(("severity", "weakness", "address"))])
+    return rows.select("doc_id", T.severity(c("severity")).alias("severity"), T.cwe_id(c("weakness")).alias("cwe"), T.cwe_description(c("weakness")).alias("description"), T.first_url(c("address")).alias("url"))
+
+
 def _told(s, d):
     """Findings with placeholders and blank fields."""
     f = findings(s, d)
@@ -186,6 +203,9 @@ def _told(s, d):
 
 
 QUERIES = {
+    "parse_malformed": _malformed,
+    "prompts": lambda s, d: flat_findings(s, d).select("finding_id", F.sha2(D.prompt("Review the finding.", c("title")), 256).alias("digest")),
+    "leakage_single": lambda s, d: D.leakage_risks(_examples(s, d).withColumn("engagement_id", F.lit("only"))).where("risk_id in ('LEAK-001', 'LEAK-004', 'LEAK-005')"),
     "schema_errors_full": lambda s, d: validation.errors(_faulty_records(s, d), "key", "raw", validation.NORMALIZED_SCHEMA),
     "structural_issues": lambda s, d: validation.structural_issues(findings(s, d)),
     "gated_reviews": lambda s, d: validation.gated_reviews(flat_findings(s, d), quality.governance_gate(flat_findings(s, d)), review(findings(s, d), only=["review_status"])),
@@ -226,6 +246,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "parse_malformed": f"SELECT doc_id, {case('doc_id % 6', [x[3] for x in MALFORMED])} AS severity, {case('doc_id % 6', [x[4] for x in MALFORMED])} AS cwe, {case('doc_id % 6', [x[5] for x in MALFORMED])} AS description, {case('doc_id % 6', [x[6] for x in MALFORMED])} AS url FROM documents",
+    "prompts": f"{WITH} SELECT finding_id, sha256('<|im_start|>system' || chr(10) || 'Review the finding.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || title || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS digest FROM findings",
+    "leakage_single": "SELECT 'LEAK-001' AS risk_id, 'critical' AS severity, 'engagement' AS subject, count(*) AS n FROM documents UNION ALL SELECT 'LEAK-004', 'medium', 'template', count(*) FROM documents UNION ALL SELECT 'LEAK-005', 'high', 'small set', greatest(1, count(*) // 10) FROM documents",
     "schema_errors_full": f"""{DOCS}, kept AS (SELECT document_id || '/' || finding_id AS key, doc_id, CASE WHEN doc_id % 5 = 2 THEN true ELSE false END AS fixed FROM m SEMI JOIN s USING (document_id, finding_id))
         SELECT key, '<root>' AS path, 'has additional properties' AS message FROM kept WHERE doc_id % 6 = 0 UNION ALL SELECT key, 'schema_version', 'is not the constant' FROM kept WHERE doc_id % 6 = 0
         UNION ALL SELECT key, 'governance.usage_scope', 'is not one of the listed values' FROM kept WHERE doc_id % 6 = 1 UNION ALL SELECT key, 'source.location.page_start', 'is under the minimum' FROM kept WHERE doc_id % 6 = 2
