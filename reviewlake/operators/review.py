@@ -284,9 +284,9 @@ def status(df: DataFrame) -> DataFrame:
     return df.withColumn("review_status", out)
 
 
-def numbered_comments(df: DataFrame) -> DataFrame:
-    """All comments in rule order with dense ids and categories."""
-    every = _all([c(f"_c{i}") for i in range(1, 11)])
+def numbered_comments(df: DataFrame, notes: list[str]) -> DataFrame:
+    """The comments in these columns, in rule order, with dense ids and categories."""
+    every = _all([c(name) for name in notes])
     numbered = F.transform(every, lambda x, i: F.struct(
         F.format_string("RC-%03d", i + 1).alias("comment_id"), x.code.alias("taxonomy_code"), category_of(x.code).alias("category"),
         x.severity.alias("severity"), x.field.alias("field"), x.message.alias("message"), x.evidence_reference.alias("evidence_reference")))
@@ -318,9 +318,9 @@ CHEAP = {"_band", "_title", "_observation", "_impact", "_evidence", "_recommenda
 INPUT = ["finding_id", "title", "severity", "cvss", "cwe_id", "impact", "observation", "evidence", "recommendation", "retest"]
 
 
-def needed(only: list[str]) -> set[str]:
+def needed(only: list[str], comments_of: list[str]) -> set[str]:
     """The outputs asked for and all that they rest on."""
-    reads = {name: outputs for name, _, outputs, _ in STEPS} | {"review_comments": NOTES}
+    reads = {name: outputs for name, _, outputs, _ in STEPS} | {"review_comments": comments_of}
     found: set[str] = set()
     waiting = list(only)
     while waiting:
@@ -331,13 +331,15 @@ def needed(only: list[str]) -> set[str]:
     return found
 
 
-def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False, only: list[str] | None = None) -> DataFrame:
+def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False, only: list[str] | None = None, comments_of: list[str] | None = None) -> DataFrame:
     """Checks of every finding; working columns are dropped.
 
     ``only`` names the outputs wanted: then just the rules that they rest on are built, beside the
-    ``INPUT`` columns. Without it all outputs stand beside all columns of ``findings``.
+    ``INPUT`` columns. Without it all outputs stand beside all columns of ``findings``. ``comments_of`` names the rules whose comments
+    are wanted, all by default; ids are dense over those.
     """
-    wanted = needed(OUTPUTS if only is None else only)
+    spoken = [name for name in NOTES if comments_of is None or name in comments_of]
+    wanted = needed(OUTPUTS if only is None else only, spoken)
     base = findings.columns if only is None else INPUT
     steps = {name: (step, reads, work) for name, step, reads, work in STEPS if name in wanted}
     made: list[str] = []
@@ -345,7 +347,7 @@ def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = Fa
     def rested(df: DataFrame, later: list[str]) -> DataFrame:
         """Settled, with the columns that are still needed."""
         work = {x for name in later for x in steps[name][2]}
-        notes = [f"_c{NOTES.index(name) + 1}" for name in made if name in NOTES and "review_comments" in wanted]
+        notes = [f"_c{NOTES.index(name) + 1}" for name in made if name in spoken and "review_comments" in wanted]
         kept = [*base, *made, *(["factors"] if "confidence" in made else []), *notes, *sorted(work)]
         return settled(df.select(*[F.col(f"`{x}`") for x in kept]))
 
@@ -362,7 +364,7 @@ def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = Fa
         if now and (any(x in now for name in todo for x in steps[name][1]) or (not todo and "review_comments" in wanted)):
             df = rested(df, todo)
     if "review_comments" in wanted:
-        df = settled(numbered_comments(df))
+        df = settled(numbered_comments(df, [f"_c{NOTES.index(name) + 1}" for name in spoken]))
     review_id = F.format_string("REV-%06d", F.pmod(F.xxhash64("finding_id", F.lit(ruleset)), F.lit(1000000)))
     asked = [name for name in OUTPUTS if name in (wanted if only is None else only)]
     extra = ["factors"] if "confidence" in asked else []

@@ -70,14 +70,15 @@ ESCALATED = f"{SCORED}, escalated AS (SELECT *, concat_ws(',', {', '.join(f'CASE
 STATUS = "CASE WHEN reasons <> '' THEN 'human_review' WHEN severity IS NULL OR observation = '' OR n = 0 OR sufficient = false THEN 'needs_revision' ELSE 'pass' END"
 
 
-def _reviewed(spark, sf_dir, only=None):
-    return R.review(findings(spark, sf_dir), only=only)
+def _reviewed(spark, sf_dir, only=None, comments_of=None):
+    return R.review(findings(spark, sf_dir), only=only, comments_of=comments_of)
 
 
 def _pick(**columns):
-    """Expressions over outputs of the review; only the rules that they name are built."""
+    """Expressions over outputs of the review; only the rules that they name are built, and the comments of no other rule."""
     only = [x for x in R.OUTPUTS if any(re.search(rf"\b{x}\b", v) for v in columns.values())]
-    return lambda spark, sf_dir: _reviewed(spark, sf_dir, only).select("finding_id", *[F.expr(v).alias(k) for k, v in columns.items()])
+    rules = [x for x in only if x in R.NOTES]
+    return lambda spark, sf_dir: _reviewed(spark, sf_dir, only, rules).select("finding_id", *[F.expr(v).alias(k) for k, v in columns.items()])
 
 
 def _codes(prefix: str) -> str:
