@@ -130,7 +130,10 @@ def metadata_faults(raw: DataFrame, required: list[str] | None = None) -> DataFr
 
 def metadata(raw: DataFrame) -> DataFrame:
     """One row per sound finding: each field's reported value beside what it parses to. Labels and row numbers are kept in ``source_fields``."""
-    sound = metadata_rows(raw).join(metadata_faults(raw).select(*KEYS).distinct(), KEYS, "left_anti")
+    rows = metadata_rows(raw)
+    # Without any of the faults: every row has two cells and a known label, and the labels are the required ones, once each.
+    facts = rows.groupBy(*KEYS).agg(F.count_if((c("cells") < 2) | c("field").isNull()).alias("bad"), F.count("*").alias("n"), F.count_distinct("field").alias("fields"))
+    sound = rows.join(facts.where(f"bad = 0 and n = fields and fields = {len(FIELD_ALIASES)}"), KEYS, "left_semi")
     fields = sound.groupBy(*KEYS, "table_number").pivot("field", sorted(FIELD_ALIASES)).agg(F.min_by(F.struct("label", "value", "row_number"), "row_number"))
     value = lambda name: F.coalesce(c(f"{name}.value"), F.lit(""))
     status, role = T.normalize_whitespace(value("retest_status")), T.normalize_whitespace(value("affected_user_roles"))
@@ -171,7 +174,10 @@ def section_faults(raw: DataFrame) -> DataFrame:
 
 def section_records(raw: DataFrame) -> DataFrame:
     """The four fixed sections of each sound finding: label, its block, non-empty paragraphs in order, their text, whether there is any."""
-    paragraphs = _labelled(raw).join(section_faults(raw).select(*KEYS).distinct(), KEYS, "left_anti")
+    paragraphs = _labelled(raw)
+    # Without any of the faults: the first paragraph with text is the title, and no label stands twice.
+    facts = paragraphs.groupBy(*KEYS).agg(F.count("label").alias("n"), F.count_distinct("label").alias("labels"), F.first("title").alias("title"), F.min(F.when(c("text") != "", F.struct("block_number", "text"))).alias("first"))
+    paragraphs = paragraphs.join(facts.where("n = labels and first.text = title"), KEYS, "left_semi")
     content = F.when(c("label").isNull() & (c("text") != ""), F.struct("block_number", "text"))
     found = paragraphs.where("mark is not null").groupBy(*KEYS, "mark.section_name").agg(
         F.min("mark.source_label").alias("source_label"), F.min("mark.source_label_block").alias("source_label_block"), F.sort_array(F.collect_list(content)).alias("content")
