@@ -12,8 +12,11 @@ from .licenses import license_paragraphs
 from .line_dedup import line_dedup_digest
 from .lm_scoring import scored_documents
 from .mixing import mixing_digest
+from .periodic_runs import runs_digest
+from .sharding import sharding_digest
 from .substring_dedup import substring_digest
 from .token_counts import token_counts
+from .whitening import whitening_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
