@@ -97,7 +97,7 @@ def _settled(place: float, bytes_before: int, rows_before: int, cell) -> Splitte
 
 
 def find_splitters(scratch: Scratch, rows: DataFrame, parts: int, tolerance: float) -> list[Splitter]:
-    """The ``parts - 1`` splitters of ``rows`` (a, b, size) at the byte positions j / parts, within ``tolerance`` bytes or one key.
+    """The ``parts - 1`` splitters of ``rows`` (parent = 0, a, b, size) at the byte positions j / parts, within ``tolerance`` bytes or one key.
 
     The driver holds one cell for each splitter at most.
     """
@@ -107,7 +107,7 @@ def find_splitters(scratch: Scratch, rows: DataFrame, parts: int, tolerance: flo
     share = whole["bytes"] / parts
     found: dict[int, Splitter] = {}
     cells = [(0, 0, 0, range(1, parts), whole)]  # id, bytes and rows before it, splitters in it, its sums
-    rows, turn = rows.withColumn("parent", F.lit(0).cast("long")), 0
+    turn = 0
     while True:
         open_ = []
         for parent, bytes_before, rows_before, sought, cell in cells:
@@ -181,7 +181,7 @@ def sharded(docs: DataFrame, shards: int = 16, text_col: str = "text", bucket: i
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (0, 1, .. in each shard); columns of these names are replaced."""
     keyed = _keyed(docs, text_col)
     scratch = Scratch(docs.sparkSession, "sharding")
-    slim = scratch.keep(keyed.select("a", "b", "size"), "cells0")
+    slim = scratch.keep(keyed.select(F.lit(0).cast("long").alias("parent"), "a", "b", "size"), "cells0")
     total = slim.agg(F.sum("size")).first()[0] or 0
     each = max(1, min(MOST_BUCKETS // shards, -(-total // (shards * bucket))))
     found = find_splitters(scratch, slim, shards * each, tolerance * total / shards)

@@ -81,7 +81,7 @@ def test_splitters_are_exact_counts(spark, tmp_path):
 
     rng = random.Random(5)
     rows = [(rng.choice([rng.randrange(50), rng.randrange(1 << 62), (1 << 63) - 1 - rng.randrange(9)]), rng.randrange(3), rng.randint(1, 99)) for _ in range(3000)]
-    found = sharding.find_splitters(Scratch(spark, "test"), spark.createDataFrame(rows, "a long, b long, size long"), 40, 200.0)
+    found = sharding.find_splitters(Scratch(spark, "test"), spark.createDataFrame([(0, *r) for r in rows], "parent long, a long, b long, size long"), 40, 200.0)
     assert len(found) == 39
     total = sum(r[2] for r in rows)
     for j, s in enumerate(found, 1):
