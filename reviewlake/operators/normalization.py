@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import dictionary
 from .segmentation import FIELD_ALIASES, SECTION_ALIASES, field_of, marker_order_faults, section_of
 
 c = F.col
@@ -95,12 +96,9 @@ def region(blocks: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def tables_with(blocks: DataFrame, words: DataFrame, compact: Column) -> DataFrame:
-    """(document_id, table_number, word) of tables whose text holds a word, case aside; ``words(word)`` is a short list."""
-    listed = [r["word"] for r in words.select("word").distinct().orderBy("word").limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("at most 1,000 words; send them in parts")
-    found = F.filter(T.strings(listed), lambda w: F.contains(F.lower(compact), F.lower(w)))
-    return blocks.where("block_type = 'table'").select("document_id", "table_number", F.explode(found).alias("word"))
+    """(document_id, table_number, word) of tables whose text holds a word, case aside, inside other words too; ``words(word)`` of any number."""
+    tables = blocks.where("block_type = 'table'").select(F.struct("document_id", "table_number").alias("place"), compact.alias("text"))
+    return dictionary.matches(tables, "place", "text", words, "word", whole_words=False).select("place.*", c("name").alias("word"))
 
 
 # ---------------------------------------------------------------- metadata

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cvss as cvss_scores
 from ..functions import values as V
 from ..functions.bands import review_band
 from ..functions.text import any_of, category_of, hits, keywords, lookup, strings
@@ -21,16 +22,19 @@ from ..functions.text import any_of, category_of, hits, keywords, lookup, string
 c = F.col
 
 
-def comment(when: Column, code: str, field: str, severity: str, message: Column | str, reference: Column | None = None) -> Column:
-    return F.when(
-        when,
-        F.struct(
-            F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(field).alias("field"),
-            (message if isinstance(message, Column) else F.lit(message)).alias("message"), (reference if reference is not None else F.lit(None).cast("string")).alias("evidence_reference"),
-        ),
+def _comment_of(code: str, message: Column | str, field: str | None = None, reference: Column | None = None) -> Column:
+    """The comment of a code, with the severity, field and action that the catalogue has for it."""
+    kind, place, action = V.COMMENTS[code]
+    return F.struct(
+        F.lit(code).alias("code"), F.lit(kind).alias("severity"), F.lit(field or place).alias("field"), (message if isinstance(message, Column) else F.lit(message)).alias("message"),
+        (reference if reference is not None else F.lit(None).cast("string")).alias("evidence_reference"), F.lit(action).alias("suggested_action"),
     )
 
 
+def comment(when: Column, code: str, message: Column | str, field: str | None = None) -> Column:
+    return F.when(when, _comment_of(code, message, field))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The same rows behind a one-row generator. Without it the optimizer merges the steps' projections and copies
     each expression into all its later uses, which makes plans grow without bound; this stays in the JVM."""
@@ -41,6 +45,11 @@ def _blank(name: str) -> Column:
     return F.coalesce(c(name), F.lit("")) == ""
 
 
+def _unsaid(name: str) -> Column:
+    """Null, empty or nothing but white space."""
+    return ~F.coalesce(c(name).rlike(r"[^\s\p{Z}\x1c-\x1f\x85]"), F.lit(False))
+
+
 def _present(pairs: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, name) for cond, name in pairs]))
 
@@ -64,7 +73,7 @@ def prepared(findings: DataFrame) -> DataFrame:
         "_evidence": F.coalesce(c("evidence"), F.expr("array()").cast(findings.schema["evidence"].dataType)),
         "_recommendation": F.coalesce(c("recommendation"), F.expr("array()").cast("array<string>")),
     })
-    out = out.withColumn("_items", F.transform("_evidence", lambda e: F.struct(e.evidence_id.alias("id"), e.evidence_type.alias("type"), item_text(e).alias("text"))))
+    out = out.withColumn("_items", F.transform("_evidence", lambda e: F.struct(F.coalesce(e.evidence_id, F.lit("unknown")).alias("id"), e.evidence_type.alias("type"), item_text(e).alias("text"))))
     return out.withColumns({
         "_evidence_text": F.array_join(F.transform("_items", lambda e: e.text), " "),
         "_rec_text": F.lower(F.array_join("_recommendation", " ")),
@@ -74,15 +83,15 @@ def prepared(findings: DataFrame) -> DataFrame:
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    required = _present([(_blank(n), n) for n in ("finding_id", "title", "severity", "observation")] + [(F.size("_evidence") == 0, "evidence")])
+    required = _present([(_unsaid(n), n) for n in ("finding_id", "title", "severity", "observation")] + [(F.size("_evidence") == 0, "evidence")])
     conditional = _present([(F.size("_recommendation") == 0, "recommendation"), (c("cvss.score").isNull(), "cvss.score"), (_blank("cwe_id"), "cwe_id"), (_blank("impact"), "impact")])
-    notes = [comment(_blank(n), "COMP-001", n, "error", f"Required field '{n}' is missing or empty") for n in ("finding_id", "title", "severity", "observation")]
+    notes = [comment(_unsaid(n), "COMP-001", f"Required field '{n}' is missing or empty", field=n) for n in ("finding_id", "title", "severity", "observation")]
     notes += [
-        comment(F.size("_evidence") == 0, "COMP-002", "evidence", "error", "No evidence items provided"),
-        comment(F.size("_recommendation") == 0, "COMP-003", "recommendation", "warning", "No recommendation provided"),
-        comment(c("cvss.score").isNull(), "COMP-004", "cvss.score", "warning", "CVSS score is missing"),
-        comment(_blank("cwe_id"), "COMP-005", "cwe_id", "suggestion", "CWE ID is missing"),
-        comment(_blank("impact"), "COMP-006", "impact", "warning", "Impact is missing"),
+        comment(F.size("_evidence") == 0, "COMP-002", "No evidence items provided"),
+        comment(F.size("_recommendation") == 0, "COMP-003", "No recommendation provided"),
+        comment(c("cvss.score").isNull(), "COMP-004", "CVSS score is missing"),
+        comment(_blank("cwe_id"), "COMP-005", "CWE ID is missing"),
+        comment(_blank("impact"), "COMP-006", "Impact is missing"),
     ]
     return df.withColumn("completeness", F.struct((F.size(required) == 0).alias("is_complete"), required.alias("missing_required"), conditional.alias("missing_conditional"))).withColumn("_c1", F.array_compact(F.array(*notes)))
 
@@ -94,16 +103,18 @@ def evidence(df: DataFrame) -> DataFrame:
     refuted = F.filter("_items", lambda e: any_of(e.text, V.NO_EXPLOIT_SIGNALS))
     none = F.size("_items") == 0
     sufficient = F.when(none, None).when(success & manual, True).otherwise(False)
-    per_item = F.transform(refuted, lambda e: F.struct(
-        F.lit("EVID-002").alias("code"), F.lit("warning").alias("severity"), F.lit("evidence").alias("field"),
-        F.concat(F.lit("Evidence item "), e.id, F.lit(" indicates exploitation was NOT demonstrated")).alias("message"), e.id.alias("evidence_reference")))
+    per_item = F.transform(refuted, lambda e: _comment_of("EVID-002", F.concat(F.lit("Evidence item "), e.id, F.lit(" indicates exploitation was NOT demonstrated")), reference=e.id))
     rest = F.array_compact(F.array(
-        comment(none, "EVID-003", "evidence", "error", "No evidence to review"),
-        comment(~none & manual & ~success, "EVID-004", "evidence", "warning", "Manual evidence without a sign of success"),
-        comment(~none & ~manual, "EVID-005", "evidence", "warning", "Only scanner or unverified evidence"),
+        comment(none, "EVID-003", "No evidence to review"),
+        comment(~none & manual & ~success, "EVID-004", "Manual evidence without a sign of success"),
+        comment(~none & ~manual, "EVID-005", "Only scanner or unverified evidence"),
     ))
     missing = _present([(none, "No exploitation evidence provided at all"), (~none & manual & ~success, "exploitation confirmation"), (~none & ~manual, "manual verification (scanner output only)")])
-    out = F.struct(sufficient.alias("is_sufficient"), F.transform(refuted, lambda e: e.id).alias("unsupported"), missing.alias("missing"), F.exists("_items", lambda e: F.coalesce(e.type == "scanner_output", F.lit(False))).alias("has_scanner"))
+    shown = F.transform(F.filter("_items", lambda e: any_of(e.text, V.EXPLOIT_SIGNALS)), lambda e: e.id)
+    out = F.struct(
+        sufficient.alias("is_sufficient"), F.transform(refuted, lambda e: e.id).alias("unsupported"), missing.alias("missing"), F.exists("_items", lambda e: F.coalesce(e.type == "scanner_output", F.lit(False))).alias("has_scanner"),
+        F.transform("_items", lambda e: e.id).alias("reviewed"), shown.alias("shown"), (success & manual).alias("shown_by_hand"),
+    )
     return df.withColumn("evidence_review", out).withColumn("_c2", F.concat(per_item, rest))
 
 
@@ -111,10 +122,10 @@ def classification(df: DataFrame) -> DataFrame:
     ok, unsupported = c("evidence_review.is_sufficient"), F.size("evidence_review.unsupported") > 0
     label = F.when(ok.eqNullSafe(True) & ~unsupported, "confirmed_vulnerability").otherwise("potential_issue")
     refused = ok.eqNullSafe(False) | unsupported
-    supported = F.when(ok.eqNullSafe(True) & ~unsupported, True).when(refused, False)
+    supported = ok.eqNullSafe(True) & ~unsupported
     notes = F.array_compact(F.array(
-        comment(refused, "CLASS-001", "classification", "warning", "Evidence does not support a confirmed vulnerability"),
-        comment(ok.isNull() & ~unsupported, "CLASS-002", "classification", "warning", "No evidence, so the finding stays a potential issue"),
+        comment(refused, "CLASS-001", "Evidence does not support a confirmed vulnerability"),
+        comment(ok.isNull() & ~unsupported, "CLASS-002", "No evidence, so the finding stays a potential issue"),
     ))
     return df.withColumn("classification", F.struct(label.alias("label"), supported.alias("supported_by_evidence"))).withColumn("_c3", notes)
 
@@ -124,8 +135,8 @@ def severity(df: DataFrame) -> DataFrame:
     consistent = given == band
     change = F.coalesce(~consistent, F.lit(False))
     notes = F.array_compact(F.array(
-        comment(change, "SEV-001", "severity", "warning", F.concat(F.lit("Severity '"), given, F.lit("' differs from the score's band '"), band, F.lit("'"))),
-        comment(given.isNull(), "SEV-002", "severity", "error", "Severity is missing"),
+        comment(change, "SEV-001", F.concat(F.lit("Severity '"), given, F.lit("' differs from the score's band '"), band, F.lit("'"))),
+        comment(given.isNull(), "SEV-002", "Severity is missing"),
     ))
     out = F.struct(given.alias("reported"), band.alias("implied"), consistent.alias("is_consistent"), change.alias("change_recommended"), F.when(change, band).alias("suggested"))
     return df.withColumn("severity_review", out).withColumn("_c4", notes)
@@ -136,8 +147,8 @@ def cvss(df: DataFrame) -> DataFrame:
     valid = (vector != "") & vector.rlike(V.CVSS_VECTOR)
     mismatch = F.coalesce(F.nullif(c("severity"), F.lit("")) != c("_band"), F.lit(False))
     notes = F.array_compact(F.array(
-        comment((vector != "") & ~valid, "CVSS-001", "cvss.vector", "error", "CVSS vector is malformed"),
-        comment(mismatch, "CVSS-002", "cvss.score", "warning", "Score and severity disagree"),
+        comment((vector != "") & ~valid, "CVSS-001", "CVSS vector is malformed"),
+        comment(mismatch, "CVSS-002", "Score and severity disagree"),
     ))
     out = F.struct(valid.alias("vector_valid"), F.lit(None).cast("boolean").alias("score_matches_vector"), (vector == "").alias("manual_recalculation"))
     return df.withColumn("cvss_review", out).withColumn("_c5", notes)
@@ -149,9 +160,9 @@ def cwe(df: DataFrame) -> DataFrame:
     words = _word_map(given, V.CWE_TITLE_WORDS)
     relevant = F.when(valid & words.isNotNull(), F.exists(words, lambda w: F.contains(c("_title"), w)))
     notes = F.array_compact(F.array(
-        comment(~valid, "CWE-001", "cwe_id", "error", "CWE ID is malformed"),
-        comment(relevant.eqNullSafe(False), "CWE-002", "cwe_id", "suggestion", "CWE may not fit the title"),
-        comment(given.isNull(), "CWE-003", "cwe_id", "warning", "No CWE ID assigned"),
+        comment(~valid, "CWE-001", "CWE ID is malformed"),
+        comment(relevant.eqNullSafe(False), "CWE-002", "CWE may not fit the title"),
+        comment(given.isNull(), "CWE-003", "No CWE ID assigned"),
     ))
     return df.withColumn("cwe_review", F.struct(given.alias("reported"), valid.alias("format_valid"), relevant.alias("is_relevant"))).withColumn("_c6", notes)
 
@@ -161,8 +172,8 @@ def impact(df: DataFrame) -> DataFrame:
     unsupported = F.filter(strings(V.IMPACT_CLAIMS), lambda w: F.contains(c("_impact"), w) & ~F.contains(c("_evidence_text"), w))
     mild = F.coalesce(c("severity").isin("critical", "high"), F.lit(False)) & ~any_of(c("_impact"), V.STRONG_WORDS)
     notes = F.array_compact(F.array(
-        comment(given & mild, "IMP-001", "impact", "suggestion", "Impact reads mild for the severity"),
-        comment(~given, "IMP-002", "impact", "warning", "Impact is missing"),
+        comment(given & mild, "IMP-001", "Impact reads mild for the severity"),
+        comment(~given, "IMP-002", "Impact is missing"),
     ))
     out = F.struct(F.when(given, F.size(unsupported) == 0).alias("is_supported"), F.when(given, ~mild).alias("is_proportionate"), F.when(given, unsupported).alias("unsupported"))
     return df.withColumn("impact_review", out).withColumn("_c7", notes)
@@ -174,9 +185,9 @@ def recommendation(df: DataFrame) -> DataFrame:
     words = _word_map(c("cwe_id"), V.CWE_ROOT_CAUSES)
     root = F.when(given & words.isNotNull(), F.exists(words, lambda w: F.contains(c("_rec_text"), w)))
     notes = F.array_compact(F.array(
-        comment(given & ~actionable, "REC-001", "recommendation", "warning", "Recommendation has no actionable step"),
-        comment(root.eqNullSafe(False), "REC-002", "recommendation", "warning", "Recommendation may miss the root cause"),
-        comment(~given, "REC-003", "recommendation", "error", "No recommendation provided"),
+        comment(given & ~actionable, "REC-001", "Recommendation has no actionable step"),
+        comment(root.eqNullSafe(False), "REC-002", "Recommendation may miss the root cause"),
+        comment(~given, "REC-003", "No recommendation provided"),
     ))
     out = F.struct(F.when(given, actionable).alias("is_actionable"), root.alias("addresses_root_cause"), F.when(given, True).alias("is_relevant"))
     return df.withColumn("recommendation_review", out).withColumn("_c8", notes)
@@ -189,9 +200,9 @@ def retest(df: DataFrame) -> DataFrame:
     # In this order: not applicable, not retested, known status, any other.
     case = F.when(applicable.eqNullSafe(False), "none").when(untested, "untested").when(known & shown, "shown").when(known, "unshown").when(status != "", "other").otherwise("none")
     notes = F.array_compact(F.array(
-        comment(case == "untested", "RET-001", "retest", "suggestion", "Finding has not been retested"),
-        comment(case == "unshown", "RET-002", "retest", "warning", "Retest status has no evidence"),
-        comment(case == "other", "RET-003", "retest", "warning", "Retest status is not a known one"),
+        comment(case == "untested", "RET-001", "Finding has not been retested"),
+        comment(case == "unshown", "RET-002", "Retest status has no evidence"),
+        comment(case == "other", "RET-003", "Retest status is not a known one"),
     ))
     out = F.struct(applicable.alias("applicable"), status.alias("status"), F.when(case == "shown", True).when(case == "unshown", False).alias("supported"))
     return df.withColumn("retest_review", out).withColumn("_c9", notes)
@@ -228,7 +239,7 @@ def consistency(df: DataFrame) -> DataFrame:
     bad = reduce(lambda a, b: a | b, [cond for _, cond, breaks in rules if breaks])
     count = F.size(issues)
     summary = F.when(count == 0, "All consistency checks passed").when(count <= 2, "Minor consistency issues found").otherwise("Significant consistency issues found")
-    notes = F.array(*[comment(cond, code, "consistency", "warning", f"Consistency rule {code} is not met") for code, cond, _ in rules], comment(F.lit(True), "CONS-008", "consistency", "info", summary))
+    notes = F.array(*[comment(cond, code, f"Consistency rule {code} is not met") for code, cond, _ in rules], comment(F.lit(True), "CONS-008", summary))
     out = F.struct((~bad).alias("is_consistent"), issues.alias("issues"), in_observation.alias("title_in_observation"), in_evidence.alias("title_in_evidence"))
     return df.withColumn("consistency", out).withColumn("_c10", F.array_compact(notes))
 
@@ -250,11 +261,19 @@ def confidence(df: DataFrame) -> DataFrame:
     weight = reduce(lambda a, b: a + b, [F.when(c(f"factors.{k}").isNotNull(), w).otherwise(0.0) for k, w in V.CONFIDENCE_WEIGHTS.items()])
     score = F.round(F.try_divide(weighted, weight), 3)
     level = F.when(score.isNull(), "not_calculated").when(score >= 0.8, "high").when(score >= 0.5, "medium").otherwise("low")
-    basis = _present([(c(f"factors.{k}") >= 0.8, k) for k in V.CONFIDENCE_WEIGHTS])
-    limits = _present([(c(f"factors.{k}") < 0.5, k) for k in V.CONFIDENCE_WEIGHTS])
+    basis, limits = (F.array_compact(F.array(*[_told(c(f"factors.{k}"), k, place) for k in V.CONFIDENCE_TEXTS])) for place in (0, 1))
     return df.withColumn("confidence", F.struct(score.alias("score"), level.alias("level"), basis.alias("basis"), limits.alias("limitations")))
 
 
+def _told(score: Column, factor: str, place: int) -> Column:
+    """What the first text of the factor that its score reaches says: its basis (0) or its limitation (1)."""
+    ladder = None
+    for least, *said in V.CONFIDENCE_TEXTS[factor]:
+        text = F.lit(said[place]).cast("string")
+        ladder = F.when(score >= least, text) if ladder is None else ladder.when(score >= least, text)
+    return ladder
+
+
 def escalation(df: DataFrame, strict_conflict: bool = False) -> DataFrame:
     """Reasons in order; the first kind of reviewer in order of seniority. ``strict_conflict`` also
     escalates evidence that both shows and denies success."""
@@ -289,7 +308,7 @@ def numbered_comments(df: DataFrame, notes: list[str]) -> DataFrame:
     every = _all([c(name) for name in notes])
     numbered = F.transform(every, lambda x, i: F.struct(
         F.format_string("RC-%03d", i + 1).alias("comment_id"), x.code.alias("taxonomy_code"), category_of(x.code).alias("category"),
-        x.severity.alias("severity"), x.field.alias("field"), x.message.alias("message"), x.evidence_reference.alias("evidence_reference")))
+        x.severity.alias("severity"), x.field.alias("field"), x.message.alias("message"), x.evidence_reference.alias("evidence_reference"), x.suggested_action.alias("suggested_action")))
     return df.withColumn("review_comments", numbered)
 
 
@@ -381,29 +400,38 @@ def exported_comments(comments: Column) -> Column:
 
 
 def output_record(reviews: DataFrame, reviewed_at: Column, versions: dict[str, str]) -> DataFrame:
-    """The 18-field record of each review, as the output schema names and spells its parts.
+    """The 18-field record of each review, as the output schema (``validation.REVIEW_SCHEMA``) names and spells its parts.
 
-    ``reviews`` has all outputs beside ``document_id``, and ``location`` if the source's place is known. ``versions`` tells
-    knowledge_base_version and ruleset_version; the time is given, so that a record can be made again.
+    ``reviews`` has all outputs beside ``document_id``, and ``location`` (a struct) if the source's place is known; ``cvss.version`` is
+    reported if it is there. ``versions`` tells knowledge_base_version and ruleset_version; the time is given, so that a record can be
+    made again. What the schema cannot spell is written as it can: a retest status of no known kind as ``unknown``, an info comment as a suggestion.
     """
     messages = lambda prefix: F.transform(F.filter("review_comments", lambda x: x.taxonomy_code.startswith(prefix)), lambda x: x.message)
     said = lambda prefix: F.array_join(messages(prefix), " ")
     given = lambda **columns: F.struct(*[value.alias(name) for name, value in columns.items()])
+    sentences = lambda items, before, after: F.transform(items, lambda x: F.concat(F.lit(before), x, F.lit(after)))
     completeness_, evidence_, severity_, cvss_, cwe_ = (c(x) for x in ("completeness", "evidence_review", "severity_review", "cvss_review", "cwe_review"))
     impact_, recommendation_, retest_, none = c("impact_review"), c("recommendation_review"), c("retest_review"), F.lit(None).cast("string")
     location = c("location") if "location" in reviews.columns else none
+    version = c("cvss.version") if "version" in reviews.schema["cvss"].dataType.names else none
+    claims = F.concat(sentences(evidence_["shown"], "Evidence ", ": exploitation demonstrated"), _present([(evidence_["shown_by_hand"], "Manual exploitation with successful outcome confirmed")]))
+    impact_claims = F.concat(sentences(F.coalesce(impact_["unsupported"], F.array().cast("array<string>")), "Impact mentions '", "' but evidence does not confirm"), _present([(impact_["is_supported"].isNull(), "No impact description provided")]))
+    advice = F.array_compact(F.array(F.when(recommendation_["is_relevant"].isNull(), F.lit("No recommendation provided")), F.when(recommendation_["addresses_root_cause"].eqNullSafe(False), F.concat(F.lit("Recommendation may not address root cause for "), c("cwe_id")))))
+    raised = lambda code: F.exists("review_comments", lambda x: x.taxonomy_code == code)
+    unproven = F.array_compact(F.array(F.when(raised("RET-001"), F.lit("No retest performed")), F.when(raised("RET-002"), F.concat(F.lit("Retest status is '"), retest_["status"], F.lit("' but no retest evidence provided")))))
+    status = F.when(retest_["status"].isNull() | retest_["status"].isin(*V.RETEST_STATUSES, "not_retested", "not_applicable"), retest_["status"]).otherwise("unknown")
     return reviews.select(
         F.lit("0.1").alias("schema_version"), "review_id", "finding_id", "review_status",
         given(label=c("classification.label"), rationale=said("CLASS-"), supported_by_evidence=c("classification.supported_by_evidence")).alias("classification"),
         given(is_complete=completeness_["is_complete"], missing_required_fields=completeness_["missing_required"], missing_conditional_fields=completeness_["missing_conditional"], comments=messages("COMP-")).alias("completeness_review"),
-        given(is_sufficient=evidence_["is_sufficient"], unsupported_claims=evidence_["unsupported"], missing_evidence=evidence_["missing"], comments=messages("EVID-")).alias("evidence_review"),
+        given(is_sufficient=evidence_["is_sufficient"], evidence_items_reviewed=evidence_["reviewed"], supported_claims=claims, unsupported_claims=sentences(evidence_["unsupported"], "Evidence ", ": no successful exploitation demonstrated"), missing_evidence=evidence_["missing"], comments=messages("EVID-")).alias("evidence_review"),
         given(reported_severity=severity_["reported"], suggested_severity=F.coalesce(severity_["suggested"], severity_["reported"]), is_consistent=severity_["is_consistent"], change_recommended=severity_["change_recommended"], rationale=said("SEV-")).alias("severity_review"),
-        given(reported_score=c("cvss.score"), reported_vector=c("cvss.vector"), vector_is_valid=cvss_["vector_valid"], score_matches_vector=cvss_["score_matches_vector"], severity_matches_score=severity_["is_consistent"], requires_manual_recalculation=cvss_["manual_recalculation"], comments=messages("CVSS-")).alias("cvss_review"),
+        given(reported_version=version, reported_score=c("cvss.score"), reported_vector=F.coalesce(c("cvss.vector"), F.lit("")), vector_is_valid=cvss_["vector_valid"], score_matches_vector=cvss_["score_matches_vector"], severity_matches_score=severity_["is_consistent"], requires_manual_recalculation=~cvss_["vector_valid"], comments=messages("CVSS-")).alias("cvss_review"),
         given(reported_cwe=cwe_["reported"], is_relevant=cwe_["is_relevant"], suggested_cwe=none, rationale=said("CWE-")).alias("cwe_review"),
-        given(is_supported_by_evidence=impact_["is_supported"], is_proportionate=impact_["is_proportionate"], unsupported_impact_claims=impact_["unsupported"], comments=messages("IMP-")).alias("impact_review"),
-        given(addresses_root_cause=recommendation_["addresses_root_cause"], is_actionable=recommendation_["is_actionable"], is_technically_relevant=recommendation_["is_relevant"], comments=messages("REC-")).alias("recommendation_review"),
+        given(is_supported_by_evidence=impact_["is_supported"], is_proportionate=impact_["is_proportionate"], unsupported_impact_claims=impact_claims, comments=messages("IMP-")).alias("impact_review"),
+        given(addresses_root_cause=recommendation_["addresses_root_cause"], is_actionable=recommendation_["is_actionable"], is_technically_relevant=recommendation_["is_relevant"], missing_recommendations=advice, comments=messages("REC-")).alias("recommendation_review"),
         given(is_consistent=c("consistency.is_consistent"), issues=c("consistency.issues")).alias("consistency_review"),
-        given(applicable=retest_["applicable"], reported_status=retest_["status"], status_supported_by_evidence=retest_["supported"], comments=messages("RET-")).alias("retest_review"),
+        given(applicable=retest_["applicable"], reported_status=status, status_supported_by_evidence=retest_["supported"], missing_retest_evidence=unproven, comments=messages("RET-")).alias("retest_review"),
         exported_comments(c("review_comments")).alias("review_comments"),
         given(overall_score=c("confidence.score"), level=c("confidence.level"), basis=c("confidence.basis"), limitations=c("confidence.limitations")).alias("confidence"),
         given(required=c("escalation.required"), reasons=c("escalation.reasons"), recommended_reviewer=c("escalation.reviewer")).alias("human_escalation"),
@@ -411,5 +439,22 @@ def output_record(reviews: DataFrame, reviewed_at: Column, versions: dict[str, s
     )
 
 
+def record_json(records: DataFrame) -> Column:
+    """A record as JSON text in which null fields are told."""
+    return F.to_json(F.struct(*[F.col(f"`{name}`") for name in records.columns]), {"ignoreNullFields": "false"})
+
+
+def recomputed(findings: DataFrame) -> DataFrame:
+    """What the score of each finding's vector is by the published equations, beside what is reported.
+
+    (finding_id, reported, base, temporal, environmental, matches, band, severity_matches): matches tells whether the reported score is the base
+    score, null where either is missing. Nothing is corrected, and ``score_matches_vector`` of the review stays unknown.
+    """
+    own = cvss_scores.scores(cvss_scores.decoded(c("cvss.vector")))
+    scored = settled(findings.select("finding_id", "severity", c("cvss.score").alias("reported"), own.alias("own")))
+    band = review_band(c("own.base"))
+    return scored.select("finding_id", "reported", "own.base", "own.temporal", "own.environmental", (F.abs(c("reported") - c("own.base")) < 0.0001).alias("matches"), band.alias("band"), (F.nullif(c("severity"), F.lit("")) == band).alias("severity_matches"))
+
+
 def review_stats(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("review_status").agg(F.count("*").alias("n"))

@@ -16,11 +16,11 @@ from ..operators import normalization as N_
 from ..operators import quality, validation
 from ..operators import retrieval as N
 from ..operators.dataset import POSITIVE, SCANNERS
-from ..operators.review import output_record, review
+from ..operators.review import output_record, record_json, review
 from ..sources import files
 from .dataset_queries import EXAMPLES, MARKED, _cases, _eval_cases, _examples
 from .finding_queries import DOCS, _raw
-from .review_queries import _COMMENTS, ESCALATED, ISSUES, STATUS, _like, _sql_codes
+from .review_queries import _COMMENTS, _LONG, _RETEST, _ROOT, ESCALATED, ISSUES, STATUS, _like, _sql_codes
 from .synthetic import WITH, case, findings, flat_findings, quoted, table
 from .table_queries import KB_SQL, QC_SQL, WS, _kb
 
@@ -29,21 +29,37 @@ c = F.col
 # ---------------------------------------------------------------- output record
 
 
+def _records(s, d):
+    return output_record(review(findings(s, d)), F.lit("2024-01-01T00:00:00+00:00"), {"knowledge_base_version": "1.1", "ruleset_version": "1.0"})
+
+
 def _record(s, d):
-    out = output_record(review(findings(s, d)), F.lit("2024-01-01T00:00:00+00:00"), {"knowledge_base_version": "1.1", "ruleset_version": "1.0"})
+    out = _records(s, d)
     return out.select(
         "schema_version", "finding_id", "review_status", "severity_review.suggested_severity", "severity_review.reported_severity", "cvss_review.severity_matches_score", F.size("completeness_review.comments").cast("long").alias("n_completeness"),
         F.array_join("review_comments.taxonomy_code", ",").alias("codes"), F.array_join(F.array_sort(F.array_distinct("review_comments.severity")), ",").alias("kinds"), "confidence.overall_score", "human_escalation.recommended_reviewer",
         F.array_join("consistency_review.issues", ",").alias("issues"), "traceability.source_document_id", "traceability.ruleset_version", "traceability.reviewed_at", F.lit(len(out.columns)).cast("long").alias("n_fields"),
+        F.array_join("evidence_review.evidence_items_reviewed", ",").alias("reviewed"), F.size("evidence_review.supported_claims").cast("long").alias("n_supported"), F.array_join("recommendation_review.missing_recommendations", "; ").alias("advice"),
+        F.array_join("retest_review.missing_retest_evidence", "; ").alias("unproven"), F.size("impact_review.unsupported_impact_claims").cast("long").alias("n_impact_claims"), "retest_review.reported_status",
     )
 
 
+def _record_faults(s, d):
+    """Records against the whole output schema; beside ours, which have no fault, the same records spoiled in one place by their id."""
+    out = _records(s, d).withColumn("raw", record_json(_records(s, d)))
+    n = F.substring("finding_id", 5, 6).cast("long")
+    spoilt = F.when(n % 5 == 1, F.replace("raw", F.lit('"reviewed_at":"2024-01-01T00'), F.lit('"reviewed_at":"2024-02-30T00'))).when(n % 5 == 2, F.replace("raw", F.lit('"suggested_action":"review_all_consistency_flags"'), F.lit('"suggested_action":""')))
+    spoilt = spoilt.when(n % 5 == 3, F.replace("raw", F.lit('"change_recommended":'), F.lit('"changed":'))).when(n % 5 == 4, F.replace("raw", F.lit('"level":"'), F.lit('"level":"very ')))
+    ours = out.select("finding_id", "raw").unionByName(out.select(F.concat("finding_id", F.lit("-spoilt")).alias("finding_id"), spoilt.alias("raw")).where("raw is not null"))
+    return validation.errors(ours, "finding_id", "raw", validation.REVIEW_SCHEMA)
+
+
 def _spelled(code: str) -> str:
     group, number = code.split("-")
     return {"IMP": "IMPACT", "REC": "REMD", "RET": "RETEST"}.get(group, group) + "-" + number
 
 
-_LISTED = [(cond.replace("judged.finding_id", "escalated.finding_id"), _spelled(code), "suggestion" if sev == "info" else sev) for cond, code, sev in _COMMENTS]
+_LISTED = [(cond.replace("judged.finding_id", "escalated.finding_id"), _spelled(code), "suggestion" if sev == "info" else sev) for cond, code, sev, *_ in _COMMENTS]
 _COMPLETE = "(" + " + ".join(f"CASE WHEN {cond} THEN 1 ELSE 0 END" for cond, code, _ in _LISTED if code.startswith("COMP-")) + ")"
 
 # ---------------------------------------------------------------- migration
@@ -216,6 +232,7 @@ QUERIES = {
     "repeated_lines": lambda s, d: D.repeated_lines(_examples(s, d)),
     "engagement_report": lambda s, d: D.engagement_report(flat_findings(s, d)),
     "output_record": _record,
+    "record_faults": _record_faults,
     "source_class": lambda s, d: _entries(s, d).select("doc_id", M.source_class(c("source"), c("category"), c("subcategory")).alias("x")).select("doc_id", "x.*"),
     "vulnerability_type": lambda s, d: _entries(s, d).select("doc_id", M.vulnerability_type(c("title"), c("tags")).alias("kind")),
     "kb_filters": lambda s, d: _hits(s, d).select("query_id", "kb_id", "severity", c("rank").cast("long").alias("rank")),
@@ -269,7 +286,15 @@ ORACLE_SQL = {
     "output_record": f"""{ESCALATED} SELECT '0.1' AS schema_version, finding_id, {STATUS} AS review_status, CASE WHEN severity <> band THEN band ELSE severity END AS suggested_severity, severity AS reported_severity, severity = band AS severity_matches_score, {_COMPLETE}::BIGINT AS n_completeness,
         {_sql_codes([(cond, code) for cond, code, _ in _LISTED])} AS codes, array_to_string(list_filter([{', '.join(f"CASE WHEN {' OR '.join(f'coalesce({cond}, false)' for cond, _, sev in _LISTED if sev == kind)} THEN {quoted(kind)} END" for kind in ("error", "suggestion", "warning"))}], lambda x: x IS NOT NULL), ',') AS kinds,
         confidence_score AS overall_score, CASE WHEN severity IN ('critical', 'high') THEN 'senior_pentester' WHEN coalesce(severity <> band, false) THEN 'report_reviewer' END AS recommended_reviewer, {_sql_codes([(v.replace("judged.finding_id", "escalated.finding_id"), k) for k, v in ISSUES.items()])} AS issues,
-        document_id AS source_document_id, '1.0' AS ruleset_version, '2024-01-01T00:00:00+00:00' AS reviewed_at, 18 AS n_fields FROM escalated""",
+        document_id AS source_document_id, '1.0' AS ruleset_version, '2024-01-01T00:00:00+00:00' AS reviewed_at, 18 AS n_fields,
+        coalesce((SELECT string_agg(evidence_id, ',' ORDER BY i) FROM evidence e WHERE e.finding_id = escalated.finding_id), '') AS reviewed, success + CASE WHEN coalesce(sufficient, false) THEN 1 ELSE 0 END AS n_supported,
+        CASE WHEN rec = '' THEN 'No recommendation provided' WHEN NOT ({_ROOT}) THEN 'Recommendation may not address root cause for ' || cwe_id ELSE '' END AS advice,
+        CASE {_RETEST} WHEN 'untested' THEN 'No retest performed' WHEN 'unshown' THEN 'Retest status is ' || chr(39) || retest_status || chr(39) || ' but no retest evidence provided' ELSE '' END AS unproven,
+        CASE WHEN imp = '' THEN 1 ELSE {' + '.join(f"CASE WHEN contains(imp, '{w}') AND NOT contains(ev, '{w}') THEN 1 ELSE 0 END" for w in ("unauthorized", "data", "access", "exposure", "bypass", "compromise"))} END::BIGINT AS n_impact_claims,
+        CASE WHEN retest_status = 'someday' THEN 'unknown' ELSE retest_status END AS reported_status FROM escalated""",
+    "record_faults": """SELECT 'FND-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '-spoilt' AS finding_id, e.path, e.message FROM documents JOIN (VALUES (1, 'traceability.reviewed_at', 'is not a date-time'), (3, 'severity_review', 'lacks required property change_recommended'),
+        (3, 'severity_review', 'has additional properties'), (4, 'confidence.level', 'is not one of the listed values')) AS e(kind, path, message) ON doc_id % 5 = kind
+        UNION ALL SELECT finding_id || '-spoilt', 'review_comments[' || (count(*) - 1) || '].suggested_action', 'is too short' FROM (""" + f"{_LONG} SELECT finding_id FROM long WHERE CAST(substr(finding_id, 5, 6) AS BIGINT) % 5 = 2" + """) GROUP BY finding_id""",
     "source_class": """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'POLICY-review_taxonomy' WHEN 1 THEN 'DOC-problem_definition' WHEN 2 THEN 'EVVO-SOP-internal' WHEN 3 THEN 'REF-MITRE-CWE' WHEN 6 THEN 'SCHEMA-output_schema' WHEN 7 THEN 'REF-CVSS-3.1'
         ELSE CASE doc_id % 3 WHEN 0 THEN 'DOC-problem_definition' WHEN 1 THEN 'SCHEMA-registry' ELSE 'EVVO-internal' END END AS source_id,
         CASE doc_id % 8 WHEN 0 THEN 'policy_document' WHEN 1 THEN 'internal_guideline' WHEN 2 THEN 'evvo_sop' WHEN 3 THEN 'internal_guideline' WHEN 6 THEN 'schema_definition' WHEN 7 THEN 'internal_guideline'

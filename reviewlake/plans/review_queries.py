@@ -45,7 +45,7 @@ BASE = BASE.replace("list_distinct_ordered(", "list_distinct(")
 LABEL = "CASE WHEN sufficient AND refuted = 0 THEN 'confirmed_vulnerability' ELSE 'potential_issue' END"
 MISMATCH = "coalesce(severity <> band, false)"
 HITS = "length(list_filter(%s, lambda w: contains(%s, w)))"
-SUPPORTED = "CASE WHEN sufficient AND refuted = 0 THEN true WHEN NOT sufficient OR refuted > 0 THEN false END"
+SUPPORTED = "coalesce(sufficient AND refuted = 0, false)"
 ISSUES = {
     "CONS-001": MISMATCH,
     "CONS-003": f"coalesce(length(tk) > 0 AND obs <> '' AND {HITS % ('tk', 'obs')} / length(tk)::DOUBLE < 0.2, false)",
@@ -100,11 +100,11 @@ QUERIES = {
     "review_recommendation": _pick(is_actionable="recommendation_review.is_actionable", addresses_root_cause="recommendation_review.addresses_root_cause", codes=_codes("REC")),
     "review_retest": _pick(supported="retest_review.supported", codes=_codes("RET")),
     "review_consistency": _pick(is_consistent="consistency.is_consistent", issues="array_join(consistency.issues, ',')"),
-    "review_confidence": _pick(score="confidence.score", level="confidence.level"),
+    "review_confidence": _pick(score="confidence.score", level="confidence.level", basis="array_join(confidence.basis, '; ')", limitations="array_join(confidence.limitations, '; ')"),
     "review_escalation": _pick(required="escalation.required", reasons="array_join(escalation.reasons, ',')", reviewer="escalation.reviewer"),
     "review_status": _pick(review_status="review_status"),
     "review_stats": lambda spark, sf_dir: R.review_stats(_reviewed(spark, sf_dir, ["review_status"])),
-    "review_comments": lambda spark, sf_dir: _reviewed(spark, sf_dir, ["review_comments"]).select("finding_id", F.explode("review_comments").alias("x")).select("finding_id", "x.comment_id", "x.taxonomy_code", "x.category", "x.severity"),
+    "review_comments": lambda spark, sf_dir: _reviewed(spark, sf_dir, ["review_comments"]).select("finding_id", F.explode("review_comments").alias("x")).select("finding_id", "x.comment_id", "x.taxonomy_code", "x.category", "x.severity", "x.field", "x.suggested_action", "x.evidence_reference"),
     "review_comment_counts": lambda spark, sf_dir: _reviewed(spark, sf_dir, ["review_comments"]).select(F.explode("review_comments").alias("x")).groupBy("x.taxonomy_code", "x.category").agg(F.count("*").alias("n")),
 }
 
@@ -117,25 +117,50 @@ _VALID = f"(coalesce(vector, '') <> '' AND regexp_matches(coalesce(vector, ''),
 _CWE_HIT = _words("cwe_id", V.CWE_TITLE_WORDS, "ttl")
 _ROOT = f"CASE WHEN rec <> '' THEN {_words('cwe_id', V.CWE_ROOT_CAUSES, 'rec')} END"
 _CWE_OK = f"regexp_matches(cwe_id, '{V.CWE_ID}')"
+#: Every comment in rule order: when, code, severity, field, action. Written from the rules' text; nothing here is shared with the operator.
 _COMMENTS = [
-    ("severity IS NULL", "COMP-001", "error"), ("observation = ''", "COMP-001", "error"), ("n = 0", "COMP-002", "error"), ("rec = ''", "COMP-003", "warning"), ("score IS NULL", "COMP-004", "warning"),
-    ("cwe_id IS NULL", "COMP-005", "suggestion"), ("impact IS NULL", "COMP-006", "warning"),
-    ("refuted >= 1", "EVID-002", "warning"), ("refuted >= 2", "EVID-002", "warning"), ("refuted >= 3", "EVID-002", "warning"),
-    ("n = 0", "EVID-003", "error"), ("n > 0 AND manual > 0 AND success = 0", "EVID-004", "warning"), ("n > 0 AND manual = 0", "EVID-005", "warning"),
-    ("sufficient = false OR refuted > 0", "CLASS-001", "warning"), ("sufficient IS NULL AND refuted = 0", "CLASS-002", "warning"),
-    (MISMATCH, "SEV-001", "warning"), ("severity IS NULL", "SEV-002", "error"), (f"coalesce(vector, '') <> '' AND NOT {_VALID}", "CVSS-001", "error"), (MISMATCH, "CVSS-002", "warning"),
-    (f"NOT {_CWE_OK}", "CWE-001", "error"), (f"{_CWE_OK} AND NOT {_CWE_HIT}", "CWE-002", "suggestion"), ("cwe_id IS NULL", "CWE-003", "warning"),
-    (f"imp <> '' AND {_MILD}", "IMP-001", "suggestion"), ("imp = ''", "IMP-002", "warning"),
-    (f"rec <> '' AND NOT {_like('rec', V.ACTION_WORDS)}", "REC-001", "warning"), (f"NOT ({_ROOT})", "REC-002", "warning"), ("rec = ''", "REC-003", "error"),
-    (f"{_RETEST} = 'untested'", "RET-001", "suggestion"), (f"{_RETEST} = 'unshown'", "RET-002", "warning"), (f"{_RETEST} = 'other'", "RET-003", "warning"),
-    *[(cond, code, "warning") for code, cond in ISSUES.items()], ("true", "CONS-008", "info"),
+    ("severity IS NULL", "COMP-001", "error", "severity", "provide_missing_content"),
+    ("trim(observation) = ''", "COMP-001", "error", "observation", "provide_missing_content"),
+    ("n = 0", "COMP-002", "error", "evidence", "provide_exploitation_evidence"),
+    ("rec = ''", "COMP-003", "warning", "recommendation", "add_recommendation"),
+    ("score IS NULL", "COMP-004", "warning", "cvss.score", "provide_cvss_score"),
+    ("cwe_id IS NULL", "COMP-005", "warning", "cwe_id", "assign_cwe_id"),
+    ("impact IS NULL", "COMP-006", "warning", "impact", "describe_impact"),
+    *[(f"refuted >= {i}", "EVID-002", "warning", "evidence", "confirm_classification_as_potential_issue") for i in (1, 2, 3)],
+    ("n = 0", "EVID-003", "error", "evidence", "provide_exploitation_evidence_or_downgrade"),
+    ("n > 0 AND manual > 0 AND success = 0", "EVID-004", "warning", "evidence", "evaluate_evidence_strength_for_classification"),
+    ("n > 0 AND manual = 0", "EVID-005", "warning", "evidence", "perform_manual_verification"),
+    ("sufficient = false OR refuted > 0", "CLASS-001", "warning", "classification", "provide_additional_evidence_to_confirm"),
+    ("sufficient IS NULL AND refuted = 0", "CLASS-002", "error", "classification", "provide_evidence_or_mark_as_informational"),
+    (MISMATCH, "SEV-001", "warning", "severity", "review_with_human"),
+    ("severity IS NULL", "SEV-002", "warning", "severity", "assign_severity"),
+    (f"coalesce(vector, '') <> '' AND NOT {_VALID}", "CVSS-001", "warning", "cvss.vector", "verify_cvss_vector"),
+    (MISMATCH, "CVSS-002", "warning", "cvss.score", "review_with_human"),
+    (f"NOT {_CWE_OK}", "CWE-001", "warning", "cwe_id", "correct_cwe_id_format"),
+    (f"{_CWE_OK} AND NOT {_CWE_HIT}", "CWE-002", "suggestion", "cwe_id", "verify_cwe_relevance"),
+    ("cwe_id IS NULL", "CWE-003", "warning", "cwe_id", "assign_cwe_id"),
+    (f"imp <> '' AND {_MILD}", "IMP-001", "suggestion", "impact", "review_impact_description"),
+    ("imp = ''", "IMP-002", "warning", "impact", "describe_impact"),
+    (f"rec <> '' AND NOT {_like('rec', V.ACTION_WORDS)}", "REC-001", "warning", "recommendation", "add_specific_actionable_steps"),
+    (f"NOT ({_ROOT})", "REC-002", "warning", "recommendation", "add_root_cause_remediation"),
+    ("rec = ''", "REC-003", "error", "recommendation", "add_recommendation"),
+    (f"{_RETEST} = 'untested'", "RET-001", "suggestion", "retest", "schedule_retest"),
+    (f"{_RETEST} = 'unshown'", "RET-002", "warning", "retest", "provide_retest_evidence"),
+    (f"{_RETEST} = 'other'", "RET-003", "warning", "retest", "verify_retest_status"),
+    (ISSUES["CONS-001"], "CONS-001", "warning", "severity", "review_with_human"),
+    (ISSUES["CONS-003"], "CONS-003", "suggestion", "title", "review_title_accuracy"),
+    (ISSUES["CONS-004"], "CONS-004", "suggestion", "recommendation", "strengthen_recommendation"),
+    (ISSUES["CONS-005"], "CONS-005", "warning", "title", "verify_title_matches_evidence"),
+    (ISSUES["CONS-006"], "CONS-006", "warning", "evidence", "verify_evidence_relevance"),
+    (ISSUES["CONS-007"], "CONS-007", "warning", "impact", "align_impact_with_severity"),
+    ("true", "CONS-008", "info", "consistency", "review_all_consistency_flags"),
 ]
 _CATEGORY = "CASE split_part(taxonomy_code, '-', 1) " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in V.CODE_CATEGORIES.items()) + " ELSE 'completeness' END"
-_LONG = f"{BASE}, long AS (" + " UNION ALL ".join(f"SELECT finding_id, {i} AS o, {quoted(code)} AS taxonomy_code, {quoted(sev)} AS severity FROM judged WHERE {cond}" for i, (cond, code, sev) in enumerate(_COMMENTS)) + ")"
+_LONG = f"{BASE}, long AS (" + " UNION ALL ".join(f"SELECT finding_id, {i} AS o, {quoted(code)} AS taxonomy_code, {quoted(sev)} AS severity, {quoted(field)} AS field, {quoted(action)} AS suggested_action FROM judged WHERE {cond}" for i, (cond, code, sev, field, action) in enumerate(_COMMENTS)) + ")"
 
 
 def _only(prefix: str):
-    return [(cond, code) for cond, code, _ in _COMMENTS if code.startswith(prefix + "-")]
+    return [(cond, code) for cond, code, *_ in _COMMENTS if code.startswith(prefix + "-")]
 
 
 ORACLE_SQL = {
@@ -149,10 +174,16 @@ ORACLE_SQL = {
     "review_recommendation": f"{BASE} SELECT finding_id, CASE WHEN rec <> '' THEN {_like('rec', V.ACTION_WORDS)} END AS is_actionable, {_ROOT} AS addresses_root_cause, {_sql_codes(_only('REC'))} AS codes FROM judged",
     "review_retest": f"{BASE} SELECT finding_id, CASE {_RETEST} WHEN 'shown' THEN true WHEN 'unshown' THEN false END AS supported, {_sql_codes(_only('RET'))} AS codes FROM judged",
     "review_consistency": f"{BASE}, issues AS (SELECT finding_id, {_sql_codes([(v, k) for k, v in ISSUES.items()])} AS issues FROM judged) SELECT finding_id, NOT (contains(issues, 'CONS-001') OR contains(issues, 'CONS-005') OR contains(issues, 'CONS-006') OR contains(issues, 'CONS-007')) AS is_consistent, issues FROM issues",
-    "review_confidence": f"{SCORED} SELECT finding_id, confidence_score AS score, CASE WHEN confidence_score >= 0.8 THEN 'high' WHEN confidence_score >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM scored",
+    "review_confidence": f"""{SCORED} SELECT finding_id, confidence_score AS score, CASE WHEN confidence_score >= 0.8 THEN 'high' WHEN confidence_score >= 0.5 THEN 'medium' ELSE 'low' END AS level,
+        concat_ws('; ', CASE WHEN f_evidence >= 0.8 THEN 'Evidence is sufficient and supports the vulnerability claim' WHEN f_evidence >= 0.5 THEN 'Evidence is partial — some gaps exist' ELSE 'Evidence is insufficient to support the claim' END,
+            CASE WHEN f_class >= 0.8 THEN 'Classification is well-supported by evidence' WHEN f_class >= 0.5 THEN 'Classification has moderate support' END, CASE WHEN f_cvss >= 0.8 THEN 'CVSS score and reported severity are consistent' END,
+            CASE WHEN f_sections >= 0.8 THEN 'All required sections are present and complete' END, CASE WHEN f_retest >= 0.8 THEN 'Retest has been performed' END) AS basis,
+        concat_ws('; ', CASE WHEN f_evidence < 0.5 THEN 'Evidence is insufficient or absent' END, CASE WHEN f_class < 0.5 THEN 'Classification is uncertain or contradicted by evidence' END, CASE WHEN f_cvss < 0.8 THEN 'CVSS score and reported severity are inconsistent' END,
+            CASE WHEN f_sections < 0.8 THEN 'Some required sections are missing or incomplete' END, CASE WHEN f_retest < 0.8 THEN 'No retest has been performed' END) AS limitations FROM scored""",
     "review_escalation": f"{ESCALATED} SELECT finding_id, reasons <> '' AS required, reasons, CASE WHEN severity IN ('critical', 'high') THEN 'senior_pentester' WHEN {MISMATCH} THEN 'report_reviewer' END AS reviewer FROM escalated",
     "review_status": f"{ESCALATED} SELECT finding_id, {STATUS} AS review_status FROM escalated",
     "review_stats": f"{ESCALATED} SELECT {STATUS} AS review_status, count(*) AS n FROM escalated GROUP BY 1",
-    "review_comments": f"{_LONG} SELECT finding_id, 'RC-' || lpad(CAST(row_number() OVER (PARTITION BY finding_id ORDER BY o) AS VARCHAR), 3, '0') AS comment_id, taxonomy_code, {_CATEGORY} AS category, severity FROM long",
+    "review_comments": f"""{_LONG} SELECT finding_id, 'RC-' || lpad(CAST(row_number() OVER (PARTITION BY finding_id ORDER BY o) AS VARCHAR), 3, '0') AS comment_id, taxonomy_code, {_CATEGORY} AS category, severity, field, suggested_action, CASE WHEN taxonomy_code = 'EVID-002' THEN
+        (SELECT e.evidence_id FROM (SELECT *, row_number() OVER (PARTITION BY finding_id ORDER BY i) AS k FROM evidence WHERE {_like("lower(content)", V.NO_EXPLOIT_SIGNALS)}) e WHERE e.finding_id = long.finding_id AND e.k = long.o - 6) END AS evidence_reference FROM long""",
     "review_comment_counts": f"{_LONG} SELECT taxonomy_code, {_CATEGORY} AS category, count(*) AS n FROM long GROUP BY 1, 2",
 }

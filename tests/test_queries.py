@@ -80,7 +80,7 @@ def test_review_branches(spark):
     one, two, three, four, five = (got[f"FND-00000{i}"] for i in range(1, 6))
     assert (one["evidence_review"]["is_sufficient"], one["classification"]["label"], one["review_status"]) == (True, "confirmed_vulnerability", "human_review")
     assert one["confidence"]["score"] == 1.0 and one["escalation"]["reasons"] == ["high_severity"]
-    assert two["evidence_review"]["is_sufficient"] is None and two["classification"]["supported_by_evidence"] is None
+    assert two["evidence_review"]["is_sufficient"] is None and two["classification"]["supported_by_evidence"] is False
     assert three["evidence_review"]["is_sufficient"] is False and three["severity_review"]["suggested"] == "medium"
     assert four["evidence_review"]["is_sufficient"] is True and four["evidence_review"]["unsupported"] == ["E1"] and four["review_status"] == "pass"
     assert five["completeness"]["missing_required"] == ["title", "severity", "observation", "evidence"] and five["severity_review"]["is_consistent"] is None
