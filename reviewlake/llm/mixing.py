@@ -1,12 +1,13 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 A source's words are laid end to end (documents in a fixed order) and packed into blocks of one
-fixed length per source; a source whose target asks for N block slots sends each slot to a
-pseudorandom output shard, so the shard counts of a source are one multinomial draw that sums to
-N exactly. A shard's slots of a source are numbered after those of the shards before it; slot j maps to block
-perm(j) of its epoch by a keyed swap-or-not permutation of the block indexes, and slots meet the blocks in a join
-on (source, block): ``mixed_shards`` is the mix itself, with its words; the documents' figures count the
-words of each block by the same join, without texts.
+fixed length per source. Every output shard has the same number of slots and draws how many of them each source fills: of its
+expected share the whole part is sure, and the slots that remain are one multinomial draw by the parts left over, which keeps
+the mean of the plain multinomial and most of its spread away. What is drawn decides what is taken: the shard's slots of a source
+follow those drawn by the shards before it; slot j maps to block perm(j) of its epoch by a keyed swap-or-not permutation of the block
+indexes, and slots meet the blocks in a join on (source, block). A slot that would be a third pass over its source stays
+empty. ``mixed_shards`` is the mix itself, with its words; the documents' figures count the words of each block by the same
+slots and the same join, without texts.
 
 Running sums are taken in two levels (within a hashed chunk of a source, then over the chunk
 sums), so a source that holds a third of all rows is spread over many tasks.
@@ -30,6 +31,9 @@ BLOCKS_AT_LEAST = 512
 CHUNKS = 1024
 ROUNDS = 16
 WORDS_PER_SHARD = 1 << 20
+#: Shards whose draws are made in one task; equal shares of all places that a draw can fall on.
+GROUP = 1 << 14
+CELLS = 1 << 12
 
 
 def word_count(text: Column) -> Column:
@@ -70,29 +74,43 @@ def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
 
 
 def _plan(sizes: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
-    """Targets with each source's block length, number of blocks and number of block slots."""
+    """Targets with each source's block length, number of blocks and how many block slots the target asks for."""
     targets = source_targets(sizes, weights, share)
     targets = targets.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"source_size div {BLOCKS_AT_LEAST}"))).cast("long"))
     targets = targets.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
-    return targets.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
+    return targets.withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
 
 
-def shard_draws(plan: DataFrame, seed: int) -> DataFrame:
-    """(source_key, blocks, shard, drawn, first_slot): how many of a source's slots each output shard draws, and its first.
+def shard_draws(plan: DataFrame, seed: int, most: float = 2.0) -> DataFrame:
+    """(source_key, blocks, shard, drawn, first_slot): how many slots of each output shard a source fills, and the first of them.
 
-    Each slot of a source falls in one of the shards at random; the counts are one multinomial draw with the
-    source's slots as its sum. Draws are made in groups and counted before they travel.
+    A shard draws its open slots one by one: a draw is a place between 0 and their number, and falls in the piece of the source whose
+    part left over lies there. Pieces and draws meet by cell, an equal share of all places. Shards are dealt out in groups, so that a few
+    rows become many in many tasks.
     """
-    group = 1 << 14
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("target").over(every) / WORDS_PER_SHARD)).cast("long")
-    draws = plan.withColumn("shards", shards).where("slots > 0")
-    draws = draws.select("source_key", "blocks", "slots", "shards", F.explode(F.expr(f"sequence(0L, (slots - 1) div {group}L)")).alias("g"))
-    draws = draws.repartition(_tasks(plan), "source_key", "g").select("source_key", "blocks", "shards", F.explode(F.expr(f"sequence(g * {group}L, least(slots, (g + 1) * {group}L) - 1)")).alias("draw"))
-    draws = draws.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "source_key", "draw"), "shards"))
-    counts = draws.groupBy("source_key", "blocks", "shard").agg(F.count("*").alias("drawn"))
+    by_name = Window.orderBy("source_key")  # sums of doubles depend on their order
+    every, so_far = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_name.rowsBetween(Window.unboundedPreceding, -1)
+    shares = plan.where("slots > 0").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(every) / WORDS_PER_SHARD)).cast("long"))
+    shares = shares.withColumn("all_slots", F.sum("slots").over(every)).withColumn("per_shard", F.greatest(F.lit(1.0), F.floor(F.col("all_slots") / F.col("shards"))))
+    shares = shares.withColumn("expected", F.col("per_shard") * F.col("slots") / F.col("all_slots")).withColumn("sure", F.floor("expected")).withColumn("rest", F.col("expected") - F.col("sure"))
+    shares = shares.withColumn("open", F.round(F.sum("rest").over(every)).cast("long")).withColumn("low", F.coalesce(F.sum("rest").over(so_far), F.lit(0.0)))
+    shares = shares.withColumn("high", F.coalesce(F.lead("low").over(by_name), F.col("open").cast("double")))
+
+    def over_shards(rows: DataFrame, *keys: str) -> DataFrame:
+        groups = rows.select(*keys, "shards", F.explode(F.expr(f"sequence(0L, (shards - 1) div {GROUP}L)")).alias("g")).repartition(_tasks(plan), *keys, "g")
+        return groups.select(*keys, F.explode(F.expr(f"sequence(g * {GROUP}L, least(shards, (g + 1) * {GROUP}L) - 1)")).alias("shard"))
+
+    certain = over_shards(shares.where("sure > 0"), "source_key", "blocks", "sure").withColumnRenamed("sure", "drawn")
+    draws = over_shards(shares.groupBy("open").agg(F.max("shards").alias("shards")).where("open > 0"), "open").select("open", "shard", F.explode(F.expr("sequence(1L, open)")).alias("draw"))
+    draws = draws.withColumn("place", F.col("open") * (F.pmod(F.xxhash64(F.lit(seed + 1), "shard", "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52))))
+    cell = lambda place: F.least(F.lit(CELLS - 1), F.floor(place / F.col("open") * CELLS)).cast("int")
+    pieces = shares.where("high > low").select("source_key", "blocks", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    picked = draws.withColumn("cell", cell(F.col("place"))).join(pieces, "cell").where("place >= low and place < high").select("source_key", "blocks", F.lit(1).cast("long").alias("drawn"), "shard")
+    counts = certain.unionByName(picked).groupBy("source_key", "blocks", "shard").agg(F.sum("drawn").alias("drawn"))
     before = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first_slot", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+    counts = counts.withColumn("first_slot", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
+    passes = F.floor(F.lit(most) * F.col("blocks"))
+    return counts.withColumn("drawn", F.least(F.col("drawn"), passes - F.col("first_slot"))).where("drawn > 0")
 
 
 def _tasks(df: DataFrame) -> int:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.llm import periodic_runs, queries, sharding, whitening
+from reviewlake.llm import mixing, periodic_runs, queries, sharding, whitening
 
 DOCS = "doc_id long, text string, source string"
 
@@ -230,3 +230,46 @@ def test_runs_digest(spark, tmp_path):
 
     assert Counter(tuple(r) for r in out.collect()) == Counter(expected(i, t) for i, t, _ in rows)
     assert sum(r[1] > 0 for r in map(tuple, out.collect())) > 10
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def mixed_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 400))), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)]
+    return spark.createDataFrame(rows, DOCS).repartition(4)
+
+
+def test_the_draw_decides_what_is_taken(spark, monkeypatch):
+    docs = mixed_rows(spark)
+    monkeypatch.setattr(mixing, "WORDS_PER_SHARD", 20_000)
+    key = lambda r: (r["doc_id"], r["taken"])
+    first = sorted(map(key, mixing.mixed_documents(docs).collect()))
+    assert first == sorted(map(key, mixing.mixed_documents(docs.repartition(7)).collect()))
+    draws = mixing.shard_draws
+    monkeypatch.setattr(mixing, "shard_draws", lambda plan, seed: draws(plan, seed + 1))  # another draw, the same permutations
+    second = sorted(map(key, mixing.mixed_documents(docs).collect()))
+    assert first != second
+    words = Counter(str(r["source"]) for r in mixing.mixed_shards(docs).collect() for _ in range(r["n_words"]))
+    taken = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        taken[str(r["source"])] += r["taken"]
+    assert words == taken
+
+
+def test_draws_keep_to_targets_and_caps(spark, monkeypatch):
+    docs = mixed_rows(spark)
+    for per_shard in (5_000, 1 << 20):
+        monkeypatch.setattr(mixing, "WORDS_PER_SHARD", per_shard)
+        out = mixing.mixed_documents(docs).collect()
+        assert all(r["taken"] <= 2 * r["size"] for r in out)
+        by = defaultdict(int)
+        for r in out:
+            by[str(r["source"]), r["target"]] += r["taken"]
+        assert all(abs(n - target) <= 0.02 * target + 300 for (_, target), n in by.items()), dict(by)
+    monkeypatch.setattr(mixing, "WORDS_PER_SHARD", 5_000)
+    totals = Counter()
+    for r in mixing.shard_counts(docs).collect():
+        totals[r["shard"]] += r["slots"]
+    assert len(totals) > 10 and max(totals.values()) - min(totals.values()) <= 4  # a capped source may leave slots empty
