@@ -2,8 +2,8 @@
 
 A source's words are laid end to end (documents in a fixed order) and packed into blocks of one
 fixed length per source. Every output shard has the same number of slots and draws how many of them each source fills: of its
-expected share the whole part is sure, and the slots that remain are one multinomial draw by the parts left over, which keeps
-the mean of the plain multinomial and most of its spread away. What is drawn decides what is taken: the shard's slots of a source
+expected share e, e less ``SPREAD`` * sqrt(e) is sure, and the slots that remain are one multinomial draw by the shares left over, which has
+the mean of a plain multinomial and keeps a source's total near its target even where shards are few. What is drawn decides what is taken: the shard's slots of a source
 follow those drawn by the shards before it; slot j maps to block perm(j) of its epoch by a keyed swap-or-not permutation of the block
 indexes, and slots meet the blocks in a join on (source, block). A slot that would be a third pass over its source stays
 empty. ``mixed_shards`` is the mix itself, with its words; the documents' figures count the words of each block by the same
@@ -27,13 +27,15 @@ from .common import ASCII_SPACE_CLASS, Scratch
 
 WEIGHTS = (3, 1, 2)
 BLOCK = 256
-BLOCKS_AT_LEAST = 512
+BLOCKS_AT_LEAST = 2048
 CHUNKS = 1024
 ROUNDS = 16
 WORDS_PER_SHARD = 1 << 20
 #: Shards whose draws are made in one task; equal shares of all places that a draw can fall on.
 GROUP = 1 << 14
 CELLS = 1 << 12
+#: Part of a source's share of a shard that is drawn, in standard deviations of a plain draw.
+SPREAD = 1.0
 
 
 def word_count(text: Column) -> Column:
@@ -92,7 +94,7 @@ def shard_draws(plan: DataFrame, seed: int, most: float = 2.0) -> DataFrame:
     every, so_far = by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_name.rowsBetween(Window.unboundedPreceding, -1)
     shares = plan.where("slots > 0").withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(every) / WORDS_PER_SHARD)).cast("long"))
     shares = shares.withColumn("all_slots", F.sum("slots").over(every)).withColumn("per_shard", F.greatest(F.lit(1.0), F.floor(F.col("all_slots") / F.col("shards"))))
-    shares = shares.withColumn("expected", F.col("per_shard") * F.col("slots") / F.col("all_slots")).withColumn("sure", F.floor("expected")).withColumn("rest", F.col("expected") - F.col("sure"))
+    shares = shares.withColumn("expected", F.col("per_shard") * F.col("slots") / F.col("all_slots")).withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("expected") - SPREAD * F.sqrt("expected"))).cast("long")).withColumn("rest", F.col("expected") - F.col("sure"))
     shares = shares.withColumn("open", F.round(F.sum("rest").over(every)).cast("long")).withColumn("low", F.coalesce(F.sum("rest").over(so_far), F.lit(0.0)))
     shares = shares.withColumn("high", F.coalesce(F.lead("low").over(by_name), F.col("open").cast("double")))
 
