@@ -7,11 +7,16 @@ itself (``SAMPLE`` rows with the smallest id hashes; lines that share a fifth of
 out). The probability a family must reach is calibrated on held-out prose of both kinds, of which at most
 ``FALSE_ALARMS`` may pass.
 
-Lines are scored first. A line that a family claims is a seed: the notice may be wrapped, so up to ``AROUND`` neighbouring
-lines of the same block of non-blank lines are joined, the family's closest template is sought in the joined
-text, and the lines that hold its word pairs are the paragraph. The paragraph as a whole is classified again. The
-template decides: with enough of its pairs found the family is confirmed; else the paragraph is ``unknown``, and
-``nearest`` tells the family that the classifier named. Words outside the trained features weigh nothing.
+Lines are scored first, and where lines are short, the ``WINDOW`` words or so from each line on, across the line ends of a block
+of non-blank lines: a notice may be wrapped at any width. What a family claims is a seed. Around it, as many lines of its block are
+joined as hold twice the words of the longest template, and each template is sought there: the stretch
+of at most twice its words that holds most of its word pairs. The lines of the family's best stretch are the paragraph, which is
+classified again as a whole; where another family's template is closer and the classifier says so of its paragraph, it is that
+family's. The template decides: with enough of its pairs found the family is confirmed; else a claimed line is ``unknown``, and ``nearest`` tells the family that the classifier named (a claimed window alone, without a line or a template, is
+nothing). Words outside the trained features weigh nothing.
+
+Texts are read in pieces of about 1 MiB for their features alone, each piece from the last word of the one before on, so that no
+word, pair or line is lost at a cut; lines and notices are those of the whole text, wherever pieces end.
 
 Defined results: null and empty texts have no paragraphs; one row per identified paragraph, its lines counted from 0;
 repeated rows give their rows each; equal probabilities go to the family that sorts first, equal similarities to
@@ -27,14 +32,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, batch_of, column_of, mix, segments, text_bytes
+from .common import Rolling, arrow_map, batch_of, column_of, mix, text_bytes
 
 UNKNOWN = "unknown"
 BITS = 18
 FALSE_ALARMS = 0.001
 CONFIRMED_AT = 0.6
 VARIANTS = 24
-AROUND = 12
+#: Words from a line on that are scored together where the line is shorter.
+WINDOW = 14
 #: Rows of the corpus whose lines serve as prose, and lines taken of them at most.
 SAMPLE = 400
 SAMPLE_LINES = 4000
@@ -76,24 +82,84 @@ PROSE = [
 ]
 
 _WORD = np.array([chr(b).isalnum() if b < 0x80 else True for b in range(256)])
+_SPACE_BYTES = re.compile(rb"[\x20\x09-\x0d]")
 _PAIRS = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
-def line_features(piece: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """(line, feature) of the word 1- and 2-grams of a text; pairs do not cross lines."""
+def words_of(piece: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of the words of a text."""
     data = np.frombuffer(piece, dtype=np.uint8)
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = _WORD[data]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    h = rolling.ranges(rolling.prefix(data), starts, ends)
-    line = np.searchsorted(np.flatnonzero(data == 10), starts)
-    pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return rolling.ranges(rolling.prefix(data), starts, ends), np.searchsorted(np.flatnonzero(data == 10), starts)
+
+
+def _feature(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
+def line_features(piece: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+    """(line, feature) of the word 1- and 2-grams of a text; pairs do not cross lines."""
+    h, line = words_of(piece, rolling)
     same = line[1:] == line[:-1]
-    features = np.concatenate([h, pair[same]]) >> np.uint64(64 - BITS)
-    return np.concatenate([line, line[:-1][same]]), features.astype(np.int64)
+    return np.concatenate([line, line[:-1][same]]), _feature(np.concatenate([h, _pair(h[:-1], h[1:])[same]]))
+
+
+def overlapping(raw: bytes, size: int = Rolling.SEGMENT):
+    """(start, end) of pieces of about ``size`` bytes; each begins with the last word of the one before."""
+    start, n = 0, len(raw)
+    while n - start > size:
+        cut = _SPACE_BYTES.search(raw, start + size)
+        end = cut.start() if cut else n
+        yield start, end
+        back = end
+        while back > start + 1 and not _WORD[raw[back - 1]]:
+            back -= 1
+        while back > start + 1 and _WORD[raw[back - 1]]:
+            back -= 1
+        start = back
+        if end == n:
+            return
+    yield start, n
+
+
+@dataclass
+class Features:
+    """Trained features of a whole text: places of words are counted through, a pair stands at its first word."""
+
+    place: np.ndarray  # sorted
+    feature: np.ndarray
+    in_line: np.ndarray  # a word, or a pair within one line
+    line: np.ndarray
+    first_word: np.ndarray  # of each line, and the number of words at last
+
+
+def text_features(raw: bytes, model: Model, rolling: Rolling) -> Features:
+    parts, words, lines, counts = [], 0, 0, []
+    for i, (start, end) in enumerate(overlapping(raw)):
+        h, line = words_of(raw[start:end], rolling)
+        line = line + lines
+        again = 1 if i and len(h) else 0  # the word that the piece before ended with
+        place = words - again + np.arange(len(h))
+        singles, pairs = model.place[_feature(h)], model.place[_feature(_pair(h[:-1], h[1:]))] if len(h) > 1 else np.empty(0, dtype=np.int64)
+        singles = singles[again:]
+        keep, both = singles >= 0, pairs >= 0
+        parts.append((np.concatenate([place[again:][keep], place[:-1][both]]), np.concatenate([singles[keep], pairs[both]]), np.concatenate([np.ones(keep.sum(), dtype=bool), (line[1:] == line[:-1])[both]]), np.concatenate([line[again:][keep], line[:-1][both]])))
+        counts.append(line[again:])
+        words += len(h) - again
+        lines += raw.count(b"\n", start, end)
+    place, feature, in_line, line = (np.concatenate([p[j] for p in parts]) for j in range(4))
+    order = np.argsort(place, kind="stable")
+    every = np.concatenate(counts)
+    return Features(place[order], feature[order], in_line[order], line[order], np.searchsorted(every, np.arange(raw.count(b"\n") + 2)))
 
 
 def _rolling() -> Rolling:
@@ -117,7 +183,11 @@ class Model:
         """(line, class probabilities) of lines that hold a trained feature."""
         at = self.place[features]
         known = at >= 0
-        both = np.unique(lines[known] * np.int64(1 << 20) + at[known])
+        return self.of_trained(lines[known], at[known])
+
+    def of_trained(self, lines: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of features by their trained number."""
+        both = np.unique(lines * np.int64(1 << 20) + at)
         line, at = both >> 20, both & ((1 << 20) - 1)
         if not len(line):
             return line, np.empty((0, len(self.bias)))
@@ -153,6 +223,8 @@ def _examples(rng, variants: int) -> list[tuple[str, str]]:
 
 
 _TEMPLATE_PAIRS = {family: [word_pairs(t) for t in notices] for family, notices in TEMPLATES.items()}
+_TEMPLATE_WORDS = {family: [len(_PAIRS.findall(t.lower())) for t in notices] for family, notices in TEMPLATES.items()}
+LONGEST = max(n for sizes in _TEMPLATE_WORDS.values() for n in sizes)
 
 
 def corpus_prose(docs: DataFrame, rows: int = SAMPLE, lines: int = SAMPLE_LINES) -> list[str]:
@@ -203,49 +275,99 @@ def train_model(prose: list[str] = (), seed: int = 5, variants: int = VARIANTS,
     return Model(families, place, w.astype(np.float64), b.astype(np.float64), max(0.5, least))
 
 
-def _notice(lines: list[bytes], seed: int, family: str) -> tuple[float, int, int]:
-    """(similarity, first line, last line) of the family's closest template around the seed line."""
-    low = high = seed
-    while low > 0 and seed - low < AROUND and lines[low - 1].strip():
-        low -= 1
-    while high + 1 < len(lines) and high - seed < AROUND and lines[high + 1].strip():
-        high += 1
-    words = [_PAIRS.findall(line.decode("utf-8", "replace").lower()) for line in lines[low : high + 1]]
-    flat = [(w, i + low) for i, line in enumerate(words) for w in line]
-    pairs = [((a, b), i, j) for (a, i), (b, j) in zip(flat, flat[1:])]
-    best = (0.0, seed, seed)
-    for t in _TEMPLATE_PAIRS[family]:
-        hits = [(p, i, j) for p, i, j in pairs if p in t]
-        similarity = len({p for p, _, _ in hits}) / len(t)
-        if similarity > best[0]:
-            best = (similarity, min(seed, *(i for _, i, _ in hits)), max(seed, *(j for _, _, j in hits)))
-    if best[0] < CONFIRMED_AT:
-        return best[0], seed, seed
-    return best
+def _closest(words: list[tuple[str, int]], claimed: str) -> list[tuple[float, int, int, str]]:
+    """(similarity, first line, last line, family): for the claimed family, then the one that is closest of all if that is another, the stretch
+    of ``words`` (word, line) that holds most of the pairs of one of its templates; the earliest of the best."""
+    found = []
+    for family in sorted(TEMPLATES, key=lambda f: (f != claimed, f)):
+        best = (0.0, -1, -1, family)
+        for pairs, size in zip(_TEMPLATE_PAIRS[family], _TEMPLATE_WORDS[family]):
+            hits = [(i, (a, b)) for i, ((a, _), (b, _)) in enumerate(zip(words, words[1:])) if (a, b) in pairs]
+            held: dict[tuple[str, str], int] = {}
+            left = 0
+            for right, (place, pair) in enumerate(hits):
+                held[pair] = held.get(pair, 0) + 1
+                while place - hits[left][0] > 2 * size:
+                    held[hits[left][1]] -= 1
+                    if not held[hits[left][1]]:
+                        del held[hits[left][1]]
+                    left += 1
+                if len(held) / len(pairs) > best[0]:
+                    best = (len(held) / len(pairs), words[hits[left][0]][1], words[place + 1][1], family)
+        found.append(best)
+    closest = max(found, key=lambda x: x[0])
+    return found[:1] + [closest] * (closest[0] > found[0][0])
+
+
+def _notice(lines: list[bytes], first: int, last: int, family: str) -> list[tuple[float, int, int, str]]:
+    """What ``_closest`` finds around the lines ``first`` to ``last``."""
+    read = lambda i: [(w, i) for w in _PAIRS.findall(lines[i].decode("utf-8", "replace").lower())]
+    around: list[tuple[str, int]] = []
+    i = first - 1
+    while i >= 0 and len(around) < 2 * LONGEST and lines[i].strip():
+        around = read(i) + around
+        i -= 1
+    inner = [w for i in range(first, last + 1) for w in read(i)]
+    after: list[tuple[str, int]] = []
+    i = last + 1
+    while i < len(lines) and len(after) < 2 * LONGEST and lines[i].strip():
+        after += read(i)
+        i += 1
+    return _closest(around + inner + after, family)
+
+
+def _seeds(lines: list[bytes], found: Features, model: Model) -> list[tuple[int, int, int, float]]:
+    """(first line, last line, class, probability) of what a family claims: lines, and windows of short lines."""
+    unknown = model.families.index(UNKNOWN)
+
+    def claimed(numbers: np.ndarray, features: np.ndarray) -> list[tuple[int, int, float]]:
+        number, p = model.of_trained(numbers, features)
+        if not len(number):
+            return []
+        best = p.argmax(axis=1)
+        top = p[np.arange(len(p)), best]
+        return [(int(number[i]), int(best[i]), float(top[i])) for i in np.flatnonzero((best != unknown) & (top >= model.least))]
+
+    seeds = [(i, i, c, p) for i, c, p in claimed(found.line[found.in_line], found.feature[found.in_line])]
+    starts, ends = found.first_word[:-1], found.first_word[1:]
+    blank = np.flatnonzero([not line.strip() for line in lines])
+    block_end = np.append(blank, len(lines))[np.searchsorted(blank, np.arange(len(lines)))]  # the blank line behind each line
+    last = np.minimum(np.searchsorted(ends, starts + WINDOW), block_end - 1)
+    short = np.flatnonzero((last > np.arange(len(lines))) & (ends > starts))
+    if not len(short):
+        return seeds
+    word_end = np.minimum(ends[last[short]], starts[short] + 2 * WINDOW)
+    low, high = np.searchsorted(found.place, starts[short]), np.searchsorted(found.place, word_end)
+    many = high - low
+    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    windows = claimed(np.repeat(np.arange(len(short)), many), found.feature[at])
+    return seeds + [(int(short[w]), int(last[short[w]]), c, p) for w, c, p in windows]
 
 
 def classify(raw: bytes, model: Model, rolling: Rolling):
     """(first line, last line, family, nearest family, probability, similarity to its closest template) of identified paragraphs."""
-    lines_done = 0
-    unknown = model.families.index(UNKNOWN)
-    for piece in segments(raw):
-        text_lines, taken = None, -1
-        line, p = model.probabilities(*line_features(piece, rolling))
-        best = p.argmax(axis=1) if len(p) else np.empty(0, dtype=np.int64)
-        for i in np.flatnonzero((best != unknown) & (p.max(axis=1, initial=0) >= model.least)):
-            if line[i] <= taken:
-                continue  # inside the paragraph before
-            if text_lines is None:
-                text_lines = piece.split(b"\n")
-            family = model.families[best[i]]
-            similarity, first, last = _notice(text_lines, int(line[i]), family)
-            first, probability = max(first, taken + 1), float(p[i, best[i]])
-            if last > first:
-                _, whole = model.probabilities(*(x for x in _joined(text_lines[first : last + 1], rolling)))
-                probability = max(probability, float(whole[0, best[i]]))
-            taken = last
-            yield lines_done + first, lines_done + last, family if similarity >= CONFIRMED_AT else UNKNOWN, family, probability, similarity
-        lines_done += piece.count(b"\n")
+    lines, taken = raw.split(b"\n"), -1
+    for start, end, best, probability in sorted(_seeds(lines, text_features(raw, model, rolling), model), key=lambda s: (s[0], s[1], s[2])):
+        if start <= taken:
+            continue  # inside the paragraph before
+        family, own = model.families[best], probability
+        choices = _notice(lines, start, end, family)
+        similarity = choices[0][0]
+        first, last = start, end
+        # The whole paragraph is classified again: what it says of the claimed family and of a closer template's decides.
+        for near, low, high, other in choices:
+            if near < CONFIRMED_AT or high <= taken:
+                continue
+            low = max(low, taken + 1)
+            _, whole = model.probabilities(*_joined(lines[low : high + 1], rolling))
+            said = float(whole[0, model.families.index(other)]) if len(whole) else 0.0
+            if other == model.families[best] or said >= model.least:
+                family, similarity, first, last, probability = other, near, low, high, max(said, own if other == model.families[best] else 0.0)
+        confirmed = similarity >= CONFIRMED_AT
+        if (end > start and not confirmed) or last <= taken:
+            continue
+        taken = last
+        yield first, last, family if confirmed else UNKNOWN, family, probability, similarity
 
 
 def _joined(lines: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.llm import mixing, periodic_runs, queries, sharding, whitening
+from reviewlake.llm import licenses, mixing, periodic_runs, queries, sharding, whitening
 
 DOCS = "doc_id long, text string, source string"
 
@@ -273,3 +273,82 @@ def test_draws_keep_to_targets_and_caps(spark, monkeypatch):
     for r in mixing.shard_counts(docs).collect():
         totals[r["shard"]] += r["slots"]
     assert len(totals) > 10 and max(totals.values()) - min(totals.values()) <= 4  # a capped source may leave slots empty
+
+
+# ---------------------------------------------------------------- licences
+
+
+@pytest.fixture(scope="module")
+def scan():
+    model, rolling = licenses.train_model([]), licenses._rolling()
+    return lambda text: list(licenses.classify(text.encode(), model, rolling))
+
+
+def wrapped(notice, width):
+    words = notice.split()
+    return [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+
+
+def test_notices_are_found_wherever_pieces_end(scan):
+    """A notice on one line, or a word a line, at every place around the end of a piece of 1 MiB; and in one line longer than a piece."""
+    notice = licenses.TEMPLATES["mit"][1]
+    for shift in range(0, 260, 7):
+        before = ("word " * 210_000)[: (1 << 20) - shift]
+        for lines in ([notice], wrapped(notice, 1)):
+            assert [(r[0], r[1], r[2], r[5]) for r in scan("\n".join([before, *lines, "end"]))] == [(1, len(lines), "mit", 1.0)]
+        assert [(r[0], r[1], r[3]) for r in scan(f"{before} {notice} and on") if r[2] == "mit"] in ([(0, 0, "mit")], [])
+    pieces = list(licenses.overlapping(b"one two three four five", 6))
+    assert pieces[0] == (0, 7) and pieces[-1][1] == 23 and all(b[0] < a[1] <= b[1] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_notices_are_found_at_any_width(scan):
+    rng, filler = random.Random(1), [w for s in licenses.PROSE for w in s.split()]
+    missed = []
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for width in range(1, 8):
+                lines = wrapped(notice, width)
+                text = [" ".join(rng.choice(filler) for _ in range(10)), *lines, " ".join(rng.choice(filler) for _ in range(10))]
+                if not any(r[2] == family and r[0] <= len(lines) and r[1] >= 1 for r in scan("\n".join(text))):
+                    missed.append((family, width, notice))
+    assert len(missed) <= 2 and all(len(n.split()) < 6 for *_, n in missed), missed
+
+
+def test_licences_by_brute_force(scan):
+    """Every run of lines that as one line is a confirmed notice is met by a confirmed paragraph of the scan."""
+    rng, filler = random.Random(3), [w for s in licenses.PROSE for w in s.split()]
+    model, rolling = licenses.train_model([]), licenses._rolling()
+    met = []
+    for _ in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.random()
+            if kind < 0.5:
+                notice = rng.choice(rng.choice(list(licenses.TEMPLATES.values())))
+                lines += wrapped(" ".join(w for w in notice.split() if rng.random() > 0.05), rng.randint(1, 9))
+            elif kind < 0.6:
+                lines.append("")
+            else:
+                lines += wrapped(" ".join(rng.choice(filler) for _ in range(rng.randint(1, 30))), rng.randint(1, 9))
+        found = [r for r in scan("\n".join(lines)) if r[2] != "unknown"]
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                if not all(x.strip() for x in lines[i : j + 1]):
+                    break
+                joined = " ".join(lines[i : j + 1])
+                _, p = model.probabilities(*licenses.line_features(joined.encode(), rolling))
+                if not len(p) or p.max() < model.least or (family := model.families[int(p.argmax())]) == "unknown":
+                    continue
+                pairs = licenses.word_pairs(joined)
+                if max(len(pairs & t) / len(t) for t in licenses._TEMPLATE_PAIRS[family]) >= licenses.CONFIRMED_AT:
+                    met.append(any(r[0] <= j and r[1] >= i for r in found))
+    assert len(met) > 300 and np.mean(met) > 0.98, (len(met), np.mean(met))
+
+
+def test_license_rows_of_awkward_tables(spark):
+    text = "Released under the MIT License."
+    rows = [(1, text, "x"), (1, text, "x"), (None, text, None), (2, None, None), (3, "", None), (4, "\n\n  \n", None), (5, "---\n" + text + "\n---", None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("family", "paragraph", "probability")})
+    got = Counter((r["doc_id"], r["paragraph"], r["last_line"], r["family"]) for r in licenses.license_paragraphs(docs).collect())
+    assert got == Counter({(1, 0, 0, "mit"): 2, (None, 0, 0, "mit"): 1, (5, 1, 1, "mit"): 1})
+    assert licenses.license_paragraphs(docs.limit(0)).collect() == []
