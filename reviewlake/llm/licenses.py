@@ -7,7 +7,7 @@ itself (``SAMPLE`` rows with the smallest id hashes; lines that share a fifth of
 out). The probability a family must reach is calibrated on held-out prose of both kinds, of which at most
 ``FALSE_ALARMS`` may pass.
 
-Lines are scored first, and where lines are short, the ``WINDOW`` words or so from each line on, across the line ends of a block
+Lines are scored first, and where lines are short, a few windows of words from each line on (``WINDOWS``), across the line ends of a block
 of non-blank lines: a notice may be wrapped at any width. What a family claims is a seed. Around it, as many lines of its block are
 joined as hold twice the words of the longest template, and each template is sought there: the stretch
 of at most twice its words that holds most of its word pairs. The lines of the family's best stretch are the paragraph, which is
@@ -39,8 +39,8 @@ BITS = 18
 FALSE_ALARMS = 0.001
 CONFIRMED_AT = 0.6
 VARIANTS = 24
-#: Words from a line on that are scored together where the line is shorter.
-WINDOW = 14
+#: Words from a line on that are scored together where the line is shorter: the fewest lines that hold so many.
+WINDOWS = (5, 9, 14, 24)
 #: Rows of the corpus whose lines serve as prose, and lines taken of them at most.
 SAMPLE = 400
 SAMPLE_LINES = 4000
@@ -275,9 +275,9 @@ def train_model(prose: list[str] = (), seed: int = 5, variants: int = VARIANTS,
     return Model(families, place, w.astype(np.float64), b.astype(np.float64), max(0.5, least))
 
 
-def _closest(words: list[tuple[str, int]], claimed: str) -> list[tuple[float, int, int, str]]:
+def _closest(words: list[tuple[str, int]], claimed: str, seed: tuple[int, int]) -> list[tuple[float, int, int, str]]:
     """(similarity, first line, last line, family): for the claimed family, then the one that is closest of all if that is another, the stretch
-    of ``words`` (word, line) that holds most of the pairs of one of its templates; the earliest of the best."""
+    of ``words`` (word, line) that meets the lines of the seed and holds most of the pairs of one of its templates; the earliest of the best."""
     found = []
     for family in sorted(TEMPLATES, key=lambda f: (f != claimed, f)):
         best = (0.0, -1, -1, family)
@@ -292,8 +292,9 @@ def _closest(words: list[tuple[str, int]], claimed: str) -> list[tuple[float, in
                     if not held[hits[left][1]]:
                         del held[hits[left][1]]
                     left += 1
-                if len(held) / len(pairs) > best[0]:
-                    best = (len(held) / len(pairs), words[hits[left][0]][1], words[place + 1][1], family)
+                lines = words[hits[left][0]][1], words[place + 1][1]
+                if len(held) / len(pairs) > best[0] and lines[0] <= seed[1] and lines[1] >= seed[0]:
+                    best = (len(held) / len(pairs), *lines, family)
         found.append(best)
     closest = max(found, key=lambda x: x[0])
     return found[:1] + [closest] * (closest[0] > found[0][0])
@@ -313,7 +314,7 @@ def _notice(lines: list[bytes], first: int, last: int, family: str) -> list[tupl
     while i < len(lines) and len(after) < 2 * LONGEST and lines[i].strip():
         after += read(i)
         i += 1
-    return _closest(around + inner + after, family)
+    return _closest(around + inner + after, family, (first, last))
 
 
 def _seeds(lines: list[bytes], found: Features, model: Model) -> list[tuple[int, int, int, float]]:
@@ -332,16 +333,17 @@ def _seeds(lines: list[bytes], found: Features, model: Model) -> list[tuple[int,
     starts, ends = found.first_word[:-1], found.first_word[1:]
     blank = np.flatnonzero([not line.strip() for line in lines])
     block_end = np.append(blank, len(lines))[np.searchsorted(blank, np.arange(len(lines)))]  # the blank line behind each line
-    last = np.minimum(np.searchsorted(ends, starts + WINDOW), block_end - 1)
-    short = np.flatnonzero((last > np.arange(len(lines))) & (ends > starts))
-    if not len(short):
-        return seeds
-    word_end = np.minimum(ends[last[short]], starts[short] + 2 * WINDOW)
-    low, high = np.searchsorted(found.place, starts[short]), np.searchsorted(found.place, word_end)
-    many = high - low
-    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    windows = claimed(np.repeat(np.arange(len(short)), many), found.feature[at])
-    return seeds + [(int(short[w]), int(last[short[w]]), c, p) for w, c, p in windows]
+    done = np.arange(len(lines))  # the last line of the window before
+    for size in WINDOWS:
+        last = np.minimum(np.searchsorted(ends, starts + size), block_end - 1)
+        wider = np.flatnonzero((last > done) & (ends > starts))
+        done = np.maximum(done, last)
+        # A long last line counts with its first words.
+        low, high = np.searchsorted(found.place, starts[wider]), np.searchsorted(found.place, np.minimum(ends[last[wider]], starts[wider] + 2 * size))
+        many = high - low
+        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        seeds += [(int(wider[w]), int(last[wider[w]]), c, p) for w, c, p in claimed(np.repeat(np.arange(len(wider)), many), found.feature[at])]
+    return seeds
 
 
 def classify(raw: bytes, model: Model, rolling: Rolling):
