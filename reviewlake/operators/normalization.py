@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import dictionary
+from .review import settled
 from .segmentation import FIELD_ALIASES, SECTION_ALIASES, field_of, marker_order_faults, section_of
 
 c = F.col
@@ -44,7 +45,7 @@ def title_matches(blocks: DataFrame, registry: DataFrame) -> DataFrame:
 def segmentation_faults(blocks: DataFrame, registry: DataFrame, end_marker: str = END_MARKER) -> DataFrame:
     """(document_id, fault, detail): titles not found exactly once, titles out of order, no end marker after the last title."""
     found = title_matches(blocks, registry)
-    counts = found.groupBy("document_id", "title").agg(F.count("block_number").alias("n"))
+    counts = found.groupBy("document_id", F.lower("title")).agg(F.min("title").alias("title"), F.count("block_number").alias("n"))
     wrong = counts.where("n <> 1").select("document_id", F.lit("title_count").alias("fault"), F.concat_ws(": ", "title", c("n").cast("string")).alias("detail"))
     order = marker_order_faults(found.where("block_number is not null"), "document_id", "ordinal", "block_number")
     order = order.join(wrong.select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.lit("title_order").alias("fault"), c("title").alias("detail"))
@@ -55,18 +56,30 @@ def segmentation_faults(blocks: DataFrame, registry: DataFrame, end_marker: str
 
 
 def raw_findings(blocks: DataFrame, registry: DataFrame, end_marker: str = END_MARKER) -> DataFrame:
-    """Blocks of sound documents with the finding that owns them: from its title to the next one's, or to the end marker."""
-    sound = registry.join(segmentation_faults(blocks, registry, end_marker).select("document_id").distinct(), "document_id", "left_anti")
-    last = Window.partitionBy("document_id")
-    marks = title_matches(blocks, sound).withColumn("is_last", c("ordinal") == F.max("ordinal").over(last))
-    mark = F.struct(F.format_string("FND-%06d", "ordinal").alias("finding_id"), c("title"), c("block_number").alias("start"), c("paragraph_number").alias("title_paragraph"), c("style").alias("title_style"), c("is_last"))
-    marks = marks.select(c("document_id").alias("m_document"), c("block_number").alias("m_block"), mark.alias("mark"))
-    so_far = Window.partitionBy("document_id").orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
-    held = blocks.join(marks, (c("document_id") == c("m_document")) & (c("block_number") == c("m_block")), "left").drop("m_document", "m_block")
-    held = held.withColumn("owner", F.last("mark", ignorenulls=True).over(so_far))
-    is_end = (c("block_type") == "paragraph") & (F.lower("text") == end_marker) & c("owner.is_last") & c("mark").isNull()
-    held = held.withColumn("ended", F.max(F.coalesce(is_end, F.lit(False)).cast("int")).over(so_far)).where("owner is not null and ended = 0")
-    return held.select("*", "owner.finding_id", "owner.title", "owner.start", "owner.title_paragraph", "owner.title_style").drop("mark", "owner", "ended")
+    """Blocks of sound documents with the finding that owns them: from its title to the next one's, or to the end marker.
+
+    One pass over each document in block order: its registered titles come as one array, and it is sound (as ``segmentation_faults`` says,
+    which tells what is wrong) if the paragraphs that are titles are exactly these in their order and an end marker follows them.
+    """
+    entry = F.struct("ordinal", "title", F.lower("title").alias("folded"))
+    titles = registry.groupBy(c("document_id").alias("t_document")).agg(F.sort_array(F.collect_list(entry)).alias("titles"))
+    document = Window.partitionBy("document_id")
+    in_order = document.orderBy("block_number")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    paragraph = c("block_type") == "paragraph"
+    held = blocks.join(titles, c("document_id") == c("t_document")).drop("t_document")
+    hits = F.filter(F.transform("titles", lambda t, i: F.when(t.folded == F.lower("text"), F.struct((i + 1).alias("rank"), t.ordinal.alias("ordinal"), t.title.alias("title")))), lambda x: x.isNotNull())
+    held = held.withColumn("hits", F.when(paragraph, hits).otherwise(F.array().cast("array<struct<rank:int,ordinal:int,title:string>>")))
+    mark = F.struct(F.format_string("FND-%06d", c("hits")[0]["ordinal"]).alias("finding_id"), c("hits")[0]["title"].alias("title"), c("block_number").alias("start"), c("paragraph_number").alias("title_paragraph"), c("style").alias("title_style"))
+    held = held.withColumns({"n_hits": F.sum(F.size("hits")).over(so_far), "mark": F.when(F.size("hits") > 0, mark), "last_title": F.max(F.when(F.size("hits") > 0, c("block_number"))).over(document)})
+    is_end = F.coalesce(paragraph & (F.lower("text") == end_marker) & (c("block_number") > c("last_title")), F.lit(False))
+    out_of_turn = (F.size("hits") > 1) | ((F.size("hits") == 1) & (F.get("hits", F.lit(0))["rank"] != c("n_hits")))
+    held = held.withColumns({
+        "sound": F.min(F.coalesce(~out_of_turn, F.lit(True))).over(document) & (F.max("n_hits").over(document) == F.size("titles")) & F.max(is_end).over(document),
+        "owner": F.last("mark", ignorenulls=True).over(so_far), "ended": F.max(is_end).over(so_far),
+    })
+    owned = held.where("sound and owner is not null and not ended")
+    return owned.select("*", "owner.finding_id", "owner.title", "owner.start", "owner.title_paragraph", "owner.title_style").drop("titles", "hits", "n_hits", "mark", "last_title", "sound", "owner", "ended")
 
 
 def extraction_stats(raw: DataFrame) -> DataFrame:
@@ -101,42 +114,77 @@ def tables_with(blocks: DataFrame, words: DataFrame, compact: Column) -> DataFra
     return dictionary.matches(tables, "place", "text", words, "word", whole_words=False).select("place.*", c("name").alias("word"))
 
 
-# ---------------------------------------------------------------- metadata
+# ---------------------------------------------------------------- one row a finding
+
+
+def gathered(raw: DataFrame) -> DataFrame:
+    """One row per finding, in one aggregate: title, its places, number of tables and the first one, paragraphs in order with their section label.
+
+    ``fields`` are the rows of the metadata table (row_number, label, value, cells, field) if there is one table, else null; ``labels`` are the
+    paragraphs that label a section; ``first`` is the first paragraph with a text. A finding's blocks are held in one row, as its record holds its texts.
+    """
+    table, label = c("block_type") == "table", F.when(c("text") != "", section_of(c("text")))
+    df = raw.groupBy(*KEYS).agg(
+        F.first("title").alias("title"), F.min("block_number").alias("start_block_number"), F.max("block_number").alias("end_block_number"), F.first("title_paragraph").alias("title_paragraph"),
+        F.count_if(table).alias("tables"), F.min_by(F.struct("table_number", "rows"), F.when(table, c("block_number"))).alias("table"),
+        F.sort_array(F.collect_list(F.when(c("block_type") == "paragraph", F.struct("block_number", "text", label.alias("label"))))).alias("paragraphs"),
+    )
+    cell = lambda r, i: F.get(r.cells, F.lit(i))
+    rows = F.transform("table.rows", lambda r: F.struct(r.row_number.alias("row_number"), cell(r, 0).alias("label"), cell(r, 1).alias("value"), F.size(r.cells).alias("cells"), F.when(F.size(r.cells) >= 2, field_of(cell(r, 0))).alias("field")))
+    return settled(df.withColumns({
+        "fields": F.when(c("tables") == 1, rows), "labels": F.filter("paragraphs", lambda p: p.label.isNotNull()), "first": F.get(F.filter("paragraphs", lambda p: p.text != ""), F.lit(0)),
+    }))
+
 
+def _explained(df: DataFrame, faults: Column) -> DataFrame:
+    return df.select(*KEYS, F.explode(faults).alias("x")).select(*KEYS, "x.fault", "x.detail")
 
-def metadata_rows(raw: DataFrame) -> DataFrame:
-    """Rows of the one metadata table of a finding: row_number, label, value, field, cells; findings with no or more tables have none."""
-    tables = raw.where("block_type = 'table'").groupBy(*KEYS).agg(F.count("*").alias("n"), F.min_by(F.struct("table_number", "rows"), "block_number").alias("t"))
-    rows = tables.where("n = 1").select(*KEYS, "t.table_number", F.explode("t.rows").alias("r"))
-    label = F.get("r.cells", F.lit(0))
-    return rows.select(*KEYS, "table_number", "r.row_number", label.alias("label"), F.get("r.cells", F.lit(1)).alias("value"), F.when(F.size("r.cells") >= 2, field_of(label)).alias("field"), F.size("r.cells").alias("cells"))
+
+def _fault(name: str, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("fault"), detail.alias("detail"))
+
+
+def _repeated(values: Column) -> Column:
+    """The values that stand more than once, each once."""
+    return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (F.size(F.filter(values, lambda y: y == x)) > 1)))
+
+
+# ---------------------------------------------------------------- metadata
 
 
 def metadata_faults(raw: DataFrame, required: list[str] | None = None) -> DataFrame:
     """(document_id, finding_id, fault, detail): number of tables, short rows, unknown labels, repeated and missing fields."""
-    required = sorted(required or FIELD_ALIASES)
-    rows = metadata_rows(raw)
-    tables = raw.groupBy(*KEYS).agg(F.count_if(c("block_type") == "table").alias("n"))
-    count = tables.where("n <> 1").select(*KEYS, F.lit("table_count").alias("fault"), c("n").cast("string").alias("detail"))
-    short = rows.where("cells < 2").select(*KEYS, F.lit("short_row").alias("fault"), c("row_number").cast("string").alias("detail"))
-    unknown = rows.where("cells >= 2 and field is null").select(*KEYS, F.lit("unknown_label").alias("fault"), c("label").alias("detail"))
-    twice = rows.where("field is not null").groupBy(*KEYS, "field").count().where("count > 1").select(*KEYS, F.lit("duplicate_field").alias("fault"), c("field").alias("detail"))
-    lacking = F.array_join(F.array_sort(F.array_except(T.strings(required), F.collect_set("field"))), ",")
-    missing = rows.groupBy(*KEYS).agg(lacking.alias("detail")).where("detail <> ''").select(*KEYS, F.lit("missing_fields").alias("fault"), "detail")
-    return _union([count, short, unknown, twice, missing])
+    fields = F.coalesce("fields", F.array().cast("array<struct<row_number:int,label:string,value:string,cells:int,field:string>>"))
+    names = F.transform(fields, lambda r: r.field)
+    lacking = F.array_join(F.array_sort(F.array_except(T.strings(sorted(required or FIELD_ALIASES)), names)), ",")
+    return _explained(gathered(raw), F.concat(
+        F.array_compact(F.array(F.when(c("tables") != 1, _fault("table_count", c("tables").cast("string"))))),
+        F.transform(F.filter(fields, lambda r: r.cells < 2), lambda r: _fault("short_row", r.row_number.cast("string"))),
+        F.transform(F.filter(fields, lambda r: (r.cells >= 2) & r.field.isNull()), lambda r: _fault("unknown_label", r.label)),
+        F.transform(_repeated(names), lambda x: _fault("duplicate_field", x)),
+        F.array_compact(F.array(F.when((F.size(fields) > 0) & (lacking != ""), _fault("missing_fields", lacking)))),
+    ))
+
+
+def _sound_metadata() -> Column:
+    """Without any of the faults: every row has two cells and a known label, and the labels are the required ones, once each."""
+    named = F.transform("fields", lambda r: r.field)
+    return F.coalesce(F.forall("fields", lambda r: (r.cells >= 2) & r.field.isNotNull()) & (F.size("fields") == len(FIELD_ALIASES)) & (F.size(F.array_distinct(named)) == len(FIELD_ALIASES)), F.lit(False))
 
 
 def metadata(raw: DataFrame) -> DataFrame:
     """One row per sound finding: each field's reported value beside what it parses to. Labels and row numbers are kept in ``source_fields``."""
-    rows = metadata_rows(raw)
-    # Without any of the faults: every row has two cells and a known label, and the labels are the required ones, once each.
-    facts = rows.groupBy(*KEYS).agg(F.count_if((c("cells") < 2) | c("field").isNull()).alias("bad"), F.count("*").alias("n"), F.count_distinct("field").alias("fields"))
-    sound = rows.join(facts.where(f"bad = 0 and n = fields and fields = {len(FIELD_ALIASES)}"), KEYS, "left_semi")
-    fields = sound.groupBy(*KEYS, "table_number").pivot("field", sorted(FIELD_ALIASES)).agg(F.min_by(F.struct("label", "value", "row_number"), "row_number"))
+    return parsed_metadata(gathered(raw).where(_sound_metadata()))
+
+
+def parsed_metadata(findings: DataFrame, *keep: str) -> DataFrame:
+    """The same of ``gathered`` rows with sound metadata, beside the columns ``keep``."""
+    field = lambda name: F.get(F.transform(F.filter("fields", lambda r: r.field == name), lambda r: F.struct(r.label.alias("label"), r.value.alias("value"), r.row_number.alias("row_number"))), F.lit(0))
+    fields = settled(findings.select(*KEYS, c("table.table_number"), *keep, *[field(name).alias(name) for name in sorted(FIELD_ALIASES)]))
     value = lambda name: F.coalesce(c(f"{name}.value"), F.lit(""))
     status, role = T.normalize_whitespace(value("retest_status")), T.normalize_whitespace(value("affected_user_roles"))
     return fields.select(
-        *KEYS, c("table_number").alias("source_table_number"),
+        *KEYS, *keep, c("table_number").alias("source_table_number"),
         F.struct(value("severity").alias("reported_value"), T.severity(value("severity")).alias("normalized_value")).alias("severity"),
         F.array(T.affected_target(value("affected_targets"))).alias("affected_targets"),
         F.struct(value("cwe").alias("reported_value"), T.cwe_id(value("cwe")).alias("cwe_id"), T.cwe_description(value("cwe")).alias("description")).alias("cwe"),
@@ -151,60 +199,65 @@ def metadata(raw: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sections
 
 
-def _labelled(raw: DataFrame) -> DataFrame:
-    """Paragraphs of findings with the newest section label at or before them."""
-    paragraphs = raw.where("block_type = 'paragraph'").withColumn("label", F.when(c("text") != "", section_of(c("text"))))
-    so_far = Window.partitionBy(*KEYS).orderBy("block_number").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(c("label").isNotNull(), F.struct(c("label").alias("section_name"), c("text").alias("source_label"), c("block_number").alias("source_label_block")))
-    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("block_number"))
-    return paragraphs.withColumns({"mark": F.last(mark, ignorenulls=True).over(so_far), "place": place})
-
-
 def section_faults(raw: DataFrame) -> DataFrame:
     """(document_id, finding_id, fault, detail): no text, a first paragraph that is not the title, sections labelled twice."""
-    paragraphs = _labelled(raw)
-    firsts = raw.groupBy(*KEYS).agg(F.first("title").alias("title"), F.min(F.when((c("block_type") == "paragraph") & (c("text") != ""), F.struct("block_number", "text"))).alias("first"))
-    empty = firsts.where("first is null").select(*KEYS, F.lit("no_paragraphs").alias("fault"), F.lit("").alias("detail"))
-    wrong = firsts.where("first.text <> title").select(*KEYS, F.lit("first_paragraph").alias("fault"), c("first.text").alias("detail"))
-    twice = paragraphs.where("label is not null").groupBy(*KEYS, "label").count().where("count > 1").select(*KEYS, F.lit("duplicate_section").alias("fault"), c("label").alias("detail"))
-    return _union([empty, wrong, twice])
+    return _explained(gathered(raw), F.concat(
+        F.array_compact(F.array(F.when(c("first").isNull(), _fault("no_paragraphs", F.lit(""))), F.when(c("first.text") != c("title"), _fault("first_paragraph", c("first.text"))))),
+        F.transform(_repeated(F.transform("labels", lambda p: p.label)), lambda x: _fault("duplicate_section", x)),
+    ))
+
+
+def _sound_sections() -> Column:
+    """Without any of the faults: the first paragraph with text is the title, and no label stands twice."""
+    return F.coalesce((c("first.text") == c("title")) & (F.size("labels") == F.size(F.array_distinct(F.transform("labels", lambda p: p.label)))), F.lit(False))
+
+
+def _section(name: str) -> Column:
+    """A section of a sound finding: its label, and the paragraphs with text up to the next label."""
+    own = F.get(F.filter("labels", lambda p: p.label == name), F.lit(0))
+
+    def told(label: Column) -> Column:
+        following = F.array_min(F.transform(F.filter("labels", lambda p: p.block_number > label.block_number), lambda p: p.block_number))
+        content = T.let(following, lambda end: F.filter("paragraphs", lambda p: (p.block_number > label.block_number) & (end.isNull() | (p.block_number < end)) & (p.text != "")))
+        return T.let(F.coalesce(content, F.array().cast("array<struct<block_number:int,text:string,label:string>>")), lambda found: _section_record(name, label, found))
+
+    return T.let(own, told)
+
+
+def _section_record(name: str, label: Column, content: Column) -> Column:
+    texts = F.transform(content, lambda p: p.text)
+    return F.struct(
+        F.lit(name).alias("section_name"), label.text.alias("source_label"), label.block_number.alias("source_label_block"), F.transform(content, lambda p: p.block_number).alias("content_block_numbers"),
+        texts.alias("paragraphs"), F.nullif(F.array_join(texts, "\n\n"), F.lit("")).alias("combined_text"), (F.size(content) > 0).alias("content_present"),
+    )
 
 
 def section_records(raw: DataFrame) -> DataFrame:
     """The four fixed sections of each sound finding: label, its block, non-empty paragraphs in order, their text, whether there is any."""
-    paragraphs = _labelled(raw)
-    # Without any of the faults: the first paragraph with text is the title, and no label stands twice.
-    facts = paragraphs.groupBy(*KEYS).agg(F.count("label").alias("n"), F.count_distinct("label").alias("labels"), F.first("title").alias("title"), F.min(F.when(c("text") != "", F.struct("block_number", "text"))).alias("first"))
-    paragraphs = paragraphs.join(facts.where("n = labels and first.text = title"), KEYS, "left_semi")
-    content = F.when(c("label").isNull() & (c("text") != ""), F.struct("block_number", "text"))
-    found = paragraphs.where("mark is not null").groupBy(*KEYS, "mark.section_name").agg(
-        F.min("mark.source_label").alias("source_label"), F.min("mark.source_label_block").alias("source_label_block"), F.sort_array(F.collect_list(content)).alias("content")
-    )
-    names = T.strings(list(SECTION_ALIASES))
-    every = paragraphs.select(*KEYS).distinct().select(*KEYS, F.explode(names).alias("section_name"))
-    texts = F.coalesce(c("content.text"), T.strings([]))
-    return every.join(found, [*KEYS, "section_name"], "left").select(
-        *KEYS, "section_name", "source_label", "source_label_block", F.coalesce(c("content.block_number"), F.array().cast("array<int>")).alias("content_block_numbers"),
-        texts.alias("paragraphs"), F.nullif(F.array_join(texts, "\n\n"), F.lit("")).alias("combined_text"), (F.size(texts) > 0).alias("content_present"),
-    )
+    every = gathered(raw).where(_sound_sections()).select(*KEYS, F.explode(F.array(*[_section(name) for name in SECTION_ALIASES])).alias("x"))
+    return every.select(*KEYS, "x.*")
+
+
+def _unclassified() -> Column:
+    """Paragraphs with text between a finding's first paragraph and its first section label."""
+    start = F.get("labels", F.lit(0))["block_number"]
+    return F.filter(F.slice("paragraphs", 2, F.greatest(F.size("paragraphs"), F.lit(1))), lambda p: (p.text != "") & (start.isNull() | (p.block_number < start)))
 
 
 def unclassified_paragraphs(raw: DataFrame) -> DataFrame:
     """(document_id, finding_id, block_number, text) between a finding's first paragraph and its first section label."""
-    return _labelled(raw).where("mark is null and place > 1 and text <> ''").select(*KEYS, "block_number", "text")
+    return gathered(raw).select(*KEYS, F.explode(_unclassified()).alias("x")).select(*KEYS, "x.block_number", "x.text")
 
 
 def section_summary(raw: DataFrame) -> DataFrame:
     """Per sound finding: labels found in order, sections without a label, labelled ones without text, unclassified paragraphs."""
-    records = section_records(raw)
-    order = F.array_position(T.strings(list(SECTION_ALIASES)), c("section_name"))
-    listed = lambda when, by: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct(by.alias("o"), c("section_name"))))), lambda x: x.section_name), ",")
-    summary = records.groupBy(*KEYS).agg(
-        listed(c("source_label").isNotNull(), c("source_label_block")).alias("labels_found"), listed(c("source_label").isNull(), order).alias("missing_labels"),
-        listed(c("source_label").isNotNull() & ~c("content_present"), order).alias("empty_sections"),
+    df = settled(gathered(raw).where(_sound_sections()).select(*KEYS, F.array(*[_section(name) for name in SECTION_ALIASES]).alias("sections"), F.size(_unclassified()).cast("long").alias("unclassified_paragraphs")))
+    listed = lambda sections: F.array_join(F.transform(sections, lambda x: x.section_name), ",")
+    by_block = F.array_sort(F.filter("sections", lambda x: x.source_label.isNotNull()), lambda a, b: a.source_label_block - b.source_label_block)
+    return df.select(
+        *KEYS, listed(by_block).alias("labels_found"), listed(F.filter("sections", lambda x: x.source_label.isNull())).alias("missing_labels"),
+        listed(F.filter("sections", lambda x: x.source_label.isNotNull() & ~x.content_present)).alias("empty_sections"), "unclassified_paragraphs",
     )
-    loose = unclassified_paragraphs(raw).groupBy(*KEYS).agg(F.count("*").alias("n"))
-    return summary.join(loose, KEYS, "left").withColumn("unclassified_paragraphs", F.coalesce("n", F.lit(0))).drop("n")
 
 
 # ---------------------------------------------------------------- records
@@ -247,10 +300,10 @@ def normalized_findings(raw: DataFrame, governance: DataFrame | None = None) ->
 
     ``governance(document_id, governance)`` gives documents their own governance struct; the rest get ``GOVERNANCE``.
     """
-    sections = section_records(raw)
-    part = F.struct("combined_text", "content_present", "paragraphs")
-    sections = sections.groupBy(*KEYS).pivot("section_name", list(SECTION_ALIASES)).agg(F.first(part))
-    joined = extraction_stats(raw).withColumn("reference", F.lit(None)).drop("reference").join(metadata(raw), KEYS).join(sections, KEYS)
+    stats = ["title", "start_block_number", "end_block_number", "title_paragraph"]
+    sound = gathered(raw).where(_sound_metadata() & _sound_sections())
+    sections = settled(sound.select(*KEYS, *stats, "table", "fields", *[_section(name).alias(name) for name in SECTION_ALIASES]))
+    joined = settled(parsed_metadata(sections, *stats, *SECTION_ALIASES))
     default = F.struct(*[F.lit(v).alias(k) for k, v in GOVERNANCE.items()])
     if governance is not None:
         joined = joined.join(governance.select("document_id", c("governance").alias("own_governance")), "document_id", "left")

@@ -350,16 +350,16 @@ def needed(only: list[str], comments_of: list[str]) -> set[str]:
     return found
 
 
-def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False, only: list[str] | None = None, comments_of: list[str] | None = None) -> DataFrame:
+def review(findings: DataFrame, ruleset: str = "1.0", strict_conflict: bool = False, only: list[str] | None = None, comments_of: list[str] | None = None, keep: list[str] = ()) -> DataFrame:
     """Checks of every finding; working columns are dropped.
 
     ``only`` names the outputs wanted: then just the rules that they rest on are built, beside the
-    ``INPUT`` columns. Without it all outputs stand beside all columns of ``findings``. ``comments_of`` names the rules whose comments
+    ``INPUT`` columns and those of ``keep``. Without it all outputs stand beside all columns of ``findings``. ``comments_of`` names the rules whose comments
     are wanted, all by default; ids are dense over those.
     """
     spoken = [name for name in NOTES if comments_of is None or name in comments_of]
     wanted = needed(OUTPUTS if only is None else only, spoken)
-    base = findings.columns if only is None else INPUT
+    base = findings.columns if only is None else [*INPUT, *keep]
     steps = {name: (step, reads, work) for name, step, reads, work in STEPS if name in wanted}
     made: list[str] = []
 

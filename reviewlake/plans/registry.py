@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import check_queries, dataset_queries, finding_queries, record_queries, review_queries, table_queries, text_queries
+from . import check_queries, checklist_queries, dataset_queries, finding_queries, record_queries, review_queries, table_queries, text_queries
 
-MODULES = [review_queries, table_queries, finding_queries, dataset_queries, record_queries, check_queries, text_queries]
+MODULES = [review_queries, table_queries, finding_queries, dataset_queries, record_queries, check_queries, checklist_queries, text_queries]
 
 
 def queries() -> dict:
