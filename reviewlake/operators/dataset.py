@@ -188,10 +188,29 @@ def count_deltas(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return sides[0].join(sides[1], key, "full").fillna(0, ["n_old", "n_new"]).withColumn("delta", c("n_new") - c("n_old"))
 
 
+def in_order(rows: DataFrame, order: list[str], amount: str) -> DataFrame:
+    """Adds ``at`` (place, from 1), ``before`` (amounts of the rows before), ``rows`` (their number), ``total`` and ``least`` (of all amounts).
+
+    ``order`` names columns, smallest first, that tell rows apart. Rows are range-partitioned and numbered within partitions; what lies in the
+    partitions before comes from one row a partition, so that no task orders all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A stated number of partitions, which adaptive execution leaves as they are: both branches see the same ones.
+    placed = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    sums = placed.groupBy("part").agg(F.count("*").alias("part_rows"), F.sum(amount).alias("part_amount"), F.min(amount).alias("part_least"))
+    by_part = Window.orderBy("part")
+    earlier, every = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = sums.select("part", F.coalesce(F.sum("part_rows").over(earlier), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("part_amount").over(earlier), F.lit(0)).alias("amount_before"), F.sum("part_rows").over(every).alias("rows"), F.sum("part_amount").over(every).alias("total"), F.min("part_least").over(every).alias("least"))
+    own = Window.partitionBy("part").orderBy(*order)
+    inner = F.coalesce(F.sum(amount).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumns({"at": F.row_number().over(own), "before": inner}).join(F.broadcast(sums), "part")  # a row for each partition
+    return numbered.withColumns({"at": c("at") + c("rows_before"), "before": c("before") + c("amount_before")}).drop("part", "rows_before", "amount_before")
+
+
 def count_ranks(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, rank): values by how often they occur, ties by value. Ranks one row a value."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(c("n").desc(), key)))
+    """(key, n, rank): values by how often they occur, ties by value."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("less", -c("n"))
+    return in_order(counts, ["less", key], "n").select(key, "n", c("at").alias("rank"))
 
 
 def freeze_manifest(buckets: DataFrame, examples: DataFrame, group: str) -> DataFrame:
@@ -295,12 +314,11 @@ def engagement_report(findings: DataFrame, engagement: str = "engagement_id") ->
 def group_split(examples: DataFrame, group: str, train_share: float = 0.8) -> DataFrame:
     """(group, n, bucket): whole groups only. The smallest group is the test set; of the rest, in order of size, groups
     train until their share is reached, then validate. A single group is held back."""
-    sizes = examples.groupBy(F.coalesce(group, F.lit("UNKNOWN")).alias(group)).agg(F.count("*").alias("n"))
-    order = Window.orderBy(c("n").desc(), group)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = sizes.withColumns({"at": F.row_number().over(order), "groups": F.count("*").over(every), "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    rest = F.sum(F.when(c("at") < c("groups"), c("n")).otherwise(0)).over(every)
-    bucket = F.when(c("groups") < 2, "hold").when(c("at") == c("groups"), "test").when(c("before") < train_share * rest, "train").otherwise("validation")
+    sizes = examples.groupBy(F.coalesce(group, F.lit("UNKNOWN")).alias(group)).agg(F.count("*").alias("n")).withColumn("less", -c("n"))
+    ranked = in_order(sizes, ["less", group], "n")
+    is_last = c("at") == c("rows")
+    # The groups before the last hold all but the smallest size.
+    bucket = F.when(c("rows") < 2, "hold").when(is_last, "test").when(c("before") < train_share * (c("total") - c("least")), "train").otherwise("validation")
     return ranked.select(group, "n", bucket.alias("bucket"))
 
 

@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import redaction as X
 from .review_queries import _like
 from .synthetic import WITH, case, findings, flat_findings, quoted, table
+from .text_queries import NAMES_SQL, PAIRS_SQL, _names
 
 c = F.col
 B_CLOSED = "CASE WHEN score BETWEEN 9.0 AND 10.0 THEN 'critical' WHEN score BETWEEN 7.0 AND 8.9 THEN 'high' WHEN score BETWEEN 4.0 AND 6.9 THEN 'medium' WHEN score BETWEEN 0.1 AND 3.9 THEN 'low' WHEN score = 0.0 THEN 'informational' END"
@@ -119,6 +120,13 @@ scores AS (SELECT case_id, base.task AS task_type, coalesce(string_agg(code, ','
 _STUB = [f'{{"refuses": false, "answer": "{len(o)}"}}' for o in OUTPUTS]
 _LOG = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, length(regexp_extract_all(text, {quoted(p)}))::BIGINT AS matches FROM documents" for n, p, _ in REDACTIONS)
 
+def _post_redaction(s, d):
+    """Failed checks over redacted documents, some of them spoilt afterwards; names are the first words of documents."""
+    spoilt = F.when(c("doc_id") % 31 == 0, " [REDACTED_x] [REDACTED").when(c("doc_id") % 31 == 1, " pwd=hunter22").when(c("doc_id") % 31 == 2, " https://client.io/a").otherwise("")
+    rows = table(s, d, "documents").select(F.when(c("doc_id") % 29 != 3, c("doc_id").cast("string")).alias("document_id"), F.format_string("FND-%06d", "doc_id").alias("finding_id"), F.concat(X.redacted(c("text")), spoilt).alias("text"))
+    return X.post_checks(rows, "text", _names(s, d)).groupBy("check").agg(F.count("*").alias("failed"))
+
+
 QUERIES = {
     "markers": lambda s, d: D.markers(findings(s, d)).select("finding_id", "positive", "negative", "scanner_only"),
     "task_expansion": lambda s, d: _cases(s, d).select("finding_id", "task_type", "difficulty", "is_hard_negative", "content_hash"),
@@ -129,7 +137,7 @@ QUERIES = {
     "scanner_negatives": lambda s, d: D.scanner_negatives(findings(s, d)).select("finding_id", c("evidence")[0]["evidence_type"].alias("evidence_type"), F.size("evidence").cast("long").alias("items")),
     "evidence_swap": lambda s, d: D.swapped_evidence(findings(s, d), flat_findings(s, d).where("doc_id % 10 = 0").select("finding_id", F.expr("'FND-' || lpad(cast(doc_id + 1 as string), 6, '0')").alias("donor_id"))).select("finding_id", "donor_id", F.array_join(F.transform("evidence", lambda e: e.content), "|").alias("contents")),
     "wrong_severity": lambda s, d: D.wrong_severities(findings(s, d)),
-    "merge_union": lambda s, d: D.merge(_cases(s, d).where("task_type = 'client_qa'"), _cases(s, d).where("task_type = 'evidence_check'")).groupBy("task_type", "difficulty").agg(F.count("*").alias("n")),
+    "merge_union": lambda s, d: D.merge(_cases(s, d).where("is_hard_negative"), _cases(s, d).where("not is_hard_negative")).groupBy("task_type", "difficulty").agg(F.count("*").alias("n")),
     "id_intersection": lambda s, d: D.shared_keys(table(s, d, "orders").select(c("o_custkey").alias("k")), table(s, d, "customer").select(c("c_custkey").alias("k")), "k"),
     "dup_pairs": lambda s, d: D.duplicate_pairs(table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h", "doc_id"),
     "failure_mode_topk": lambda s, d: D.failure_modes(_scores(s, d), "errors", 10),
@@ -148,9 +156,36 @@ QUERIES = {
     "model_outputs": lambda s, d: E.generate(_eval_cases(s, d), E.stub_model, "case_id", "raw_output").select("id", "output", "error"),
     "redaction_log": lambda s, d: X.redaction_log(table(s, d, "documents"), "doc_id", "text"),
     "redact_text": lambda s, d: table(s, d, "documents").select("doc_id", X.redacted(c("text")).alias("text")),
-    "redaction_verify": lambda s, d: X.remaining(table(s, d, "documents"), "text"),
+    "redaction_verify": lambda s, d: X.remaining(table(s, d, "documents"), "text").withColumn("stage", F.lit("redacted")).unionByName(X.remaining(table(s, d, "documents"), "text", redact=False).withColumn("stage", F.lit("raw"))),
+    "redaction_entries": lambda s, d: X.log_entries(flat_findings(s, d), ["title", "observation", "impact"], F.lit("2024-01-01T00:00:00Z")),
+    "post_redaction": _post_redaction,
 }
 
+_EXCEPT = {"email_address": r"(?i)@example\.(com|org|net)$", "client_url": r"(?i)^https?://([a-z0-9.-]*\.)?(owasp\.org|portswigger\.net)"}
+
+
+def _left(name: str, pattern: str, text: str) -> str:
+    """SQL of the number of matches that are no exceptions."""
+    every = f"regexp_extract_all(coalesce({text}, ''), {quoted(pattern)})"
+    return f"length(list_filter({every}, lambda m: NOT regexp_matches(m, {quoted(_EXCEPT[name])})))" if name in _EXCEPT else f"length({every})"
+
+
+def _steps(source: str) -> str:
+    """CTEs s1, s2, .. that add t1, t2, ..: the text after each pattern."""
+    out, before = [], source
+    for i, (name, pattern, replacement) in enumerate(REDACTIONS):
+        if name in _EXCEPT:
+            kept = f"list_sort(list_distinct(list_filter(regexp_extract_all(t{i}, {quoted(pattern)}), lambda m: NOT regexp_matches(m, {quoted(_EXCEPT[name])}))))"
+            after = f"list_reduce(list_concat([t{i}], list_transform(list_sort(list_transform({kept}, lambda m: {{'k': -length(m), 'm': m}})), lambda x: x.m)), lambda a, b: replace(a, b, {quoted(replacement)}))"
+        else:
+            after = f"regexp_replace(t{i}, {quoted(pattern)}, {quoted(replacement)}, 'g')"
+        out.append(f"s{i + 1} AS (SELECT *, {after} AS t{i + 1} FROM {before})")
+        before = f"s{i + 1}"
+    return ", ".join(out) + " "
+
+
+_REDACTED = f"WITH texts AS (SELECT doc_id, text AS t0 FROM documents), {_steps('texts')}, redacted AS (SELECT doc_id, t{len(REDACTIONS)} AS out FROM s{len(REDACTIONS)})"
+
 ORACLE_SQL = {
     "markers": f"{MARKED} SELECT finding_id, positive, negative, {_like('ev', D.SCANNERS)} AND NOT positive AS scanner_only FROM flagged",
     "task_expansion": f"{MARKED} SELECT finding_id, task_type, difficulty, is_hard_negative, content_hash FROM cases",
@@ -161,7 +196,7 @@ ORACLE_SQL = {
     "scanner_negatives": f"{WITH} SELECT finding_id, 'scanner_output' AS evidence_type, 1::BIGINT AS items FROM findings",
     "evidence_swap": f"{WITH}, t AS (SELECT finding_id, string_agg(content, '|' ORDER BY i) AS contents FROM evidence GROUP BY 1) SELECT f.finding_id, d.finding_id AS donor_id, coalesce(contents, '') AS contents FROM findings f JOIN findings d ON d.doc_id = f.doc_id + 1 LEFT JOIN t ON t.finding_id = d.finding_id WHERE f.doc_id % 10 = 0",
     "wrong_severity": f"{WITH} SELECT finding_id, {B_OPEN} AS band, CASE {B_OPEN} WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'low' WHEN 'medium' THEN 'informational' WHEN 'low' THEN 'critical' ELSE 'high' END AS severity FROM findings WHERE score IS NOT NULL",
-    "merge_union": f"{MARKED} SELECT task_type, difficulty, count(*) AS n FROM cases WHERE task_type IN ('client_qa', 'evidence_check') GROUP BY 1, 2",
+    "merge_union": f"{MARKED} SELECT task_type, difficulty, count(*) AS n FROM cases GROUP BY 1, 2",
     "id_intersection": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",
     "dup_pairs": "SELECT first, doc_id AS later FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first",
     "failure_mode_topk": f"{SCORES} SELECT code AS mode, count(*) AS n FROM errors GROUP BY 1 ORDER BY n DESC, mode LIMIT 10",
@@ -175,7 +210,15 @@ ORACLE_SQL = {
     "per_task_passes": f"{SCORES} SELECT task_type, count(*) AS cases, count_if(n = 0)::BIGINT AS passed FROM scores GROUP BY 1",
     "structure_match": "SELECT 'CASE-' || CAST(doc_id AS VARCHAR) AS case_id, CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 4 THEN 0.25 ELSE 0.0 END::DOUBLE AS structure FROM documents",
     "last_case_index": f"{EXAMPLES} SELECT finding_id, arg_max(content_hash, line) AS content_hash FROM examples GROUP BY 1",
-    "redaction_verify": "SELECT '' AS pattern, 0 AS documents WHERE false",
+    "redaction_verify": f"{_REDACTED}, told AS (SELECT 'raw' AS stage, text AS t FROM documents UNION ALL SELECT 'redacted', out FROM redacted) " + " UNION ALL ".join(f"SELECT stage, {quoted(n)} AS pattern, count(*) AS documents FROM told WHERE {_left(n, p, 't')} > 0 GROUP BY 1" for n, p, _ in REDACTIONS),
+    "redact_text": f"{_REDACTED} SELECT doc_id, out AS text FROM redacted",
+    "redaction_entries": f"{WITH}, texts AS (SELECT document_id, finding_id, unnest(['title', 'observation', 'impact']) AS field, unnest([title, observation, impact]) AS t0 FROM findings), {_steps('texts')}"
+    + " UNION ALL ".join(f"SELECT document_id, finding_id, field, {quoted(n)} AS original_pattern, {quoted(r)} AS replacement, {_left(n, p, f't{i}')}::BIGINT AS matches, '2024-01-01T00:00:00Z' AS timestamp FROM s{len(REDACTIONS)} WHERE {_left(n, p, f't{i}')} > 0" for i, (n, p, r) in enumerate(REDACTIONS)),
+    "post_redaction": f"""{NAMES_SQL}, {_REDACTED.removeprefix('WITH ')},
+        rows AS (SELECT doc_id, out || CASE WHEN doc_id % 31 = 0 THEN ' [REDACTED_x] [REDACTED' WHEN doc_id % 31 = 1 THEN ' pwd=hunter22' WHEN doc_id % 31 = 2 THEN ' https://client.io/a' ELSE '' END AS t FROM redacted), {PAIRS_SQL.format('SELECT doc_id, t FROM rows')}
+        SELECT 'redaction_tag_consistency' AS "check", count(*) AS failed FROM rows WHERE doc_id % 31 = 0 UNION ALL SELECT 'no_credentials_remaining', count(*) FROM rows WHERE {_left(*REDACTIONS[0][:2], 't')} + {_left(*REDACTIONS[1][:2], 't')} > 0 HAVING count(*) > 0
+        UNION ALL SELECT 'no_urls_remaining', count(*) FROM rows WHERE {_left(*REDACTIONS[5][:2], 't')} > 0 HAVING count(*) > 0 UNION ALL SELECT 'traceability_preserved', count(*) FROM rows WHERE doc_id % 29 = 3
+        UNION ALL SELECT 'no_names_remaining', count(DISTINCT doc_id) FROM pairs JOIN names ON pair = lower(name)""",
     "model_outputs": f"SELECT 'CASE-' || doc_id AS id, {case('doc_id % 5', _STUB)} AS output, NULL::VARCHAR AS error FROM documents",
     "redaction_log": f"SELECT * FROM ({_LOG}) WHERE matches > 0",
 }

@@ -221,7 +221,7 @@ def _told(s, d):
 QUERIES = {
     "parse_malformed": _malformed,
     "prompts": lambda s, d: flat_findings(s, d).select("finding_id", F.sha2(D.prompt("Review the finding.", c("title")), 256).alias("digest")),
-    "leakage_single": lambda s, d: D.leakage_risks(_examples(s, d).withColumn("engagement_id", F.lit("only"))).where("risk_id in ('LEAK-001', 'LEAK-004', 'LEAK-005')"),
+    "leakage_single": lambda s, d: D.leakage_risks(_examples(s, d).withColumn("engagement_id", F.lit("only"))),
     "schema_errors_full": lambda s, d: validation.errors(_faulty_records(s, d), "key", "raw", validation.NORMALIZED_SCHEMA),
     "structural_issues": lambda s, d: validation.structural_issues(findings(s, d)),
     "gated_reviews": lambda s, d: validation.gated_reviews(flat_findings(s, d), quality.governance_gate(flat_findings(s, d)), review(findings(s, d), only=["review_status"])),
@@ -265,7 +265,7 @@ QUERIES = {
 ORACLE_SQL = {
     "parse_malformed": f"SELECT doc_id, {case('doc_id % 6', [x[3] for x in MALFORMED])} AS severity, {case('doc_id % 6', [x[4] for x in MALFORMED])} AS cwe, {case('doc_id % 6', [x[5] for x in MALFORMED])} AS description, {case('doc_id % 6', [x[6] for x in MALFORMED])} AS url FROM documents",
     "prompts": f"{WITH} SELECT finding_id, sha256('<|im_start|>system' || chr(10) || 'Review the finding.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || title || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS digest FROM findings",
-    "leakage_single": "SELECT 'LEAK-001' AS risk_id, 'critical' AS severity, 'engagement' AS subject, count(*) AS n FROM documents UNION ALL SELECT 'LEAK-004', 'medium', 'template', count(*) FROM documents UNION ALL SELECT 'LEAK-005', 'high', 'small set', greatest(1, count(*) // 10) FROM documents",
+    "leakage_single": f"{EXAMPLES} SELECT 'LEAK-002' AS risk_id, 'high' AS severity, finding_id AS subject, count(*) AS n FROM examples GROUP BY finding_id HAVING count(*) > 1 UNION ALL SELECT 'LEAK-003', 'critical', content_hash, count(*) FROM examples GROUP BY content_hash HAVING count(*) > 1 UNION ALL SELECT 'LEAK-001', 'critical', 'engagement', count(*) FROM documents UNION ALL SELECT 'LEAK-004', 'medium', 'template', count(*) FROM documents UNION ALL SELECT 'LEAK-005', 'high', 'small set', greatest(1, count(*) // 10) FROM documents",
     "schema_errors_full": f"""{DOCS}, kept AS (SELECT document_id || '/' || finding_id AS key, doc_id, CASE WHEN doc_id % 5 = 2 THEN true ELSE false END AS fixed FROM m SEMI JOIN s USING (document_id, finding_id))
         SELECT key, '<root>' AS path, 'has additional properties' AS message FROM kept WHERE doc_id % 6 = 0 UNION ALL SELECT key, 'schema_version', 'is not the constant' FROM kept WHERE doc_id % 6 = 0
         UNION ALL SELECT key, 'governance.usage_scope', 'is not one of the listed values' FROM kept WHERE doc_id % 6 = 1 UNION ALL SELECT key, 'source.location.page_start', 'is under the minimum' FROM kept WHERE doc_id % 6 = 2

@@ -121,6 +121,9 @@ def _known_names(s, d):
     return dictionary.matches(table(s, d, "documents"), "doc_id", "text", _names(s, d)).select("doc_id", "name", "n")
 
 
+NAMES_SQL = r"""WITH heads AS (SELECT regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 1) AS a, regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 2) AS b FROM documents), names AS (SELECT DISTINCT a || ' ' || b AS name FROM heads WHERE length(a || ' ' || b) >= 8 AND lower(a) <> lower(b))"""
+PAIRS_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS w FROM ({})), pairs AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, length(w) - 1)), lambda i: CASE WHEN w[i + 1] = ' ' THEN w[i] || ' ' || w[i + 2] END)) AS pair FROM words)"""
+
 QUERIES = {
     "cvss_vectors": _scored,
     "cvss_recomputed": lambda s, d: recomputed(findings(s, d)),
@@ -137,7 +140,6 @@ ORACLE_SQL = {
         joined AS (SELECT f.finding_id, f.severity, f.score, s.base, s.temporal, s.environmental, CASE WHEN base >= 9.0 THEN 'critical' WHEN base >= 7.0 THEN 'high' WHEN base >= 4.0 THEN 'medium' WHEN base >= 0.1 THEN 'low' WHEN base IS NOT NULL THEN 'informational' END AS band FROM findings f LEFT JOIN scored s ON f.doc_id = s.doc_id)
         SELECT finding_id, score AS reported, base, temporal, environmental, abs(score - base) < 0.0001 AS matches, band, severity = band AS severity_matches FROM joined""",
     "canonical_hashes": f"""{WITH} SELECT 'BMC-' || finding_id AS case_id, {_H.format(_UTF8['whole'])} AS case_hash, {_H.format(_UTF8['example'])} AS example_hash, {_H.format(_ASCII['input'])} AS input_hash, {_H.format(_ASCII['record'])} AS record_hash FROM findings f""",
-    "known_names": r"""WITH heads AS (SELECT regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 1) AS a, regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 2) AS b FROM documents), names AS (SELECT DISTINCT a || ' ' || b AS name FROM heads WHERE length(a || ' ' || b) >= 8 AND lower(a) <> lower(b)),
-        spread AS (SELECT doc_id, lower(text) AS t, regexp_replace(lower(text), '([^\p{L}\p{N}_])', '\1\1', 'g') AS wide FROM documents)
-        SELECT doc_id, name, n FROM (SELECT doc_id, name, length(regexp_extract_all(wide, '(^|[^\p{L}\p{N}_])' || replace(lower(name), ' ', '  ') || '($|[^\p{L}\p{N}_])'))::BIGINT AS n FROM spread JOIN names ON contains(t, lower(name))) WHERE n > 0""",
+    # Words and what lies between them alternate: a name is two words with one space between.
+    "known_names": f"{NAMES_SQL}, {PAIRS_SQL.format('SELECT doc_id, text AS t FROM documents')} SELECT doc_id, name, count(*) AS n FROM pairs JOIN names ON pair = lower(name) GROUP BY 1, 2",
 }
