@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import benchmark_band, hard_negative_band
 from ..functions.text import any_of, content_hash, message, truncated
+from .shared import kept
 
 c = F.col
 TASKS = ["finding_review", "severity_review", "evidence_check", "remediation_review", "client_qa", "hard_negative_potential_issue"]
@@ -120,10 +121,10 @@ def all_cases(derived: DataFrame, hand_crafted: DataFrame) -> DataFrame:
 def case_ids(cases: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
     """``BMC-<task>-%04d`` per task in order of finding_id, after a task's offset if given as (task_type, offset).
 
-    Rows are range-partitioned by task and finding, numbered within partitions, and shifted by how many rows of the
+    Rows are range-partitioned by task and finding and kept so, numbered within partitions, and shifted by how many rows of the
     task lie in earlier partitions: no task orders a whole task type.
     """
-    placed = cases.repartitionByRange("task_type", "finding_id").withColumn("part", F.spark_partition_id())
+    placed = kept(cases.repartitionByRange("task_type", "finding_id").withColumn("part", F.spark_partition_id()))
     before = Window.partitionBy("task_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("task_type", "part").agg(F.count("*").alias("rows")).select(c("task_type").alias("s_task"), c("part").alias("s_part"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     w = Window.partitionBy("task_type", "part").orderBy("finding_id")
@@ -195,8 +196,8 @@ def in_order(rows: DataFrame, order: list[str], amount: str) -> DataFrame:
     partitions before comes from one row a partition, so that no task orders all rows.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A stated number of partitions, which adaptive execution leaves as they are: both branches see the same ones.
-    placed = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    # Kept, since ranges are sampled anew each time a plan is run: both branches must see the same ones.
+    placed = kept(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     sums = placed.groupBy("part").agg(F.count("*").alias("part_rows"), F.sum(amount).alias("part_amount"), F.min(amount).alias("part_least"))
     by_part = Window.orderBy("part")
     earlier, every = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import settings
+
 BLOCKS = "block_number int, block_type string, paragraph_number int, table_number int, style string, text string, rows array<struct<row_number:int,cells:array<string>>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -90,11 +92,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, missing
 def read_jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, raw): the lines of each file with their numbers from 1, blank ones counted but left out.
 
-    Rows of a file stay in order within a task, and tasks in order of their offset; numbering takes one task a file.
+    A file is read in splits, however large it is: lines are counted by split, and numbered within their split behind those of the splits before.
     """
-    w = Window.partitionBy("file").orderBy("offset", "at")
     lines = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("at"))
-    return lines.withColumn("line", F.row_number().over(w)).where("trim(raw) <> ''").select("file", "line", "raw")
+    before = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("file", "offset").agg(F.count("*").alias("n"))
+    starts = counts.select("file", "offset", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("file", "offset").orderBy("at")
+    numbered = lines.withColumn("line", F.row_number().over(own)).join(starts, ["file", "offset"])
+    return numbered.select("file", (F.col("line") + F.col("start")).cast("long").alias("line"), "raw").where("trim(raw) <> ''")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
@@ -108,25 +114,17 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 
 def read_config(spark: SparkSession, path: str, defaults: dict) -> dict:
-    """Settings over their defaults, from a JSON object or from flat ``key: value`` lines; unknown keys are an error."""
+    """Settings over their (nested) defaults, from a JSON object or the YAML of ``sources.settings``; unknown keys are an error."""
     if not _exists(spark, path):
         return dict(defaults)
     content = spark.read.text(path, wholetext=True).first()[0]
     try:
         found = json.loads(content)
     except ValueError:
-        pairs = [line.split("#")[0].split(":", 1) for line in content.splitlines() if line.split("#")[0].strip()]
-        if any(len(x) != 2 for x in pairs):
-            raise ValueError(f"{path} is neither a JSON object nor lines of key: value") from None
-        found = {}
-        for key, value in pairs:
-            try:
-                found[key.strip()] = json.loads(value.strip())
-            except ValueError:
-                found[key.strip()] = value.strip().strip("'")
-    if unknown := set(found) - set(defaults):
-        raise ValueError(f"unknown settings: {sorted(unknown)}")
-    return defaults | found
+        found = settings.parse(content)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no map of settings")
+    return settings.merged(defaults, found)
 
 
 def read_schema(spark: SparkSession, path: str) -> dict:
@@ -198,7 +196,9 @@ def pretty_json(df: DataFrame, limit: int = 1000) -> str:
 
 
 def markdown_table(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small result (aggregates) as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A small result (aggregates) as a Markdown table; one of more than ``limit`` rows is an error, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write the table to files")
     head = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
