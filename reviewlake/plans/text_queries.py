@@ -108,20 +108,20 @@ def _case_sql(ascii: bool) -> dict[str, str]:
 
 # ---------------------------------------------------------------- names
 
-#: Names are the first two words of documents, if they are letters and differ; documents are searched for all of them.
+#: Names are the first two words of benchmark passages, if they are letters and differ; all documents are searched for them.
 _HEAD = r"^(\p{L}+) (\p{L}+)[ .,;]"
 
 
 def _names(s, d):
     first, second = (F.regexp_extract("text", _HEAD, i) for i in (1, 2))
-    return table(s, d, "documents").select(F.concat(first, F.lit(" "), second).alias("name")).where((F.length("name") >= 8) & (F.lower(F.split_part("name", F.lit(" "), F.lit(1))) != F.lower(F.split_part("name", F.lit(" "), F.lit(2)))))
+    return table(s, d, "benchmark").select(F.concat(first, F.lit(" "), second).alias("name")).where((F.length("name") >= 8) & (F.lower(F.split_part("name", F.lit(" "), F.lit(1))) != F.lower(F.split_part("name", F.lit(" "), F.lit(2)))))
 
 
 def _known_names(s, d):
     return dictionary.matches(table(s, d, "documents"), "doc_id", "text", _names(s, d)).select("doc_id", "name", "n")
 
 
-NAMES_SQL = r"""WITH heads AS (SELECT regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 1) AS a, regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 2) AS b FROM documents), names AS (SELECT DISTINCT a || ' ' || b AS name FROM heads WHERE length(a || ' ' || b) >= 8 AND lower(a) <> lower(b))"""
+NAMES_SQL = r"""WITH heads AS (SELECT regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 1) AS a, regexp_extract(text, '^(\p{L}+) (\p{L}+)[ .,;]', 2) AS b FROM benchmark), names AS (SELECT DISTINCT a || ' ' || b AS name FROM heads WHERE length(a || ' ' || b) >= 8 AND lower(a) <> lower(b))"""
 PAIRS_SQL = r"""words AS (SELECT doc_id, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS w FROM ({})), pairs AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, length(w) - 1)), lambda i: CASE WHEN w[i + 1] = ' ' THEN w[i] || ' ' || w[i + 2] END)) AS pair FROM words)"""
 
 QUERIES = {
