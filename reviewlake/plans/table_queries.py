@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, text
 from ..functions.values import CODE_TO_KB as text_map
-from ..operators import quality, retrieval, segmentation
+from ..operators import migration, quality, retrieval, segmentation
 from .review_queries import KW
 from .synthetic import WITH, findings, flat_findings, quoted, table
 
@@ -67,8 +67,19 @@ def _by_label(s, d):
     return queries.join(first, "label").select("query_id", "id", "rank")
 
 
+#: Entries made of ``part``, beside the catalogue's own: (id, category, severity, targets), the same text for both engines but for arrays.
+PART_ENTRIES = """SELECT 'KB-' || p_partkey AS kb_id, CASE p_partkey % 4 WHEN 0 THEN 'severity_guidance' WHEN 1 THEN 'evidence_standards' WHEN 2 THEN 'escalation_rules' ELSE 'consistency_rules' END AS category,
+ CASE p_partkey % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, CASE p_partkey % 5 WHEN 0 THEN {all} WHEN 1 THEN {api} ELSE {android} END AS applicable_to FROM {part}"""
+
+
+def _catalogue(spark, sf_dir):
+    """The catalogue and an entry for each part."""
+    made = spark.sql(PART_ENTRIES.format(all="array('all')", api="array('api')", android="array('android_application')", part="{part}"), part=table(spark, sf_dir, "part"))
+    return retrieval.catalogue(spark).select("kb_id", "category", "severity", "applicable_to").unionByName(made)
+
+
 def _kb(spark, sf_dir):
-    return retrieval.retrieve(retrieval.catalogue(spark), retrieval.gold_queries(spark))
+    return retrieval.retrieve(_catalogue(spark, sf_dir), retrieval.gold_queries(spark))
 
 
 def _kb_values() -> str:
@@ -84,7 +95,7 @@ def _gold_values() -> str:
     return ", ".join(rows)
 
 
-KB_SQL = f"""WITH kb(kb_id, category, severity, applicable_to) AS (VALUES {_kb_values()}), gold(query_id, wanted, domain, cats, expected, relevant) AS (VALUES {_gold_values()}),
+KB_SQL = f"""WITH fixed(kb_id, category, severity, applicable_to) AS (VALUES {_kb_values()}), kb AS (SELECT * FROM fixed UNION ALL {PART_ENTRIES.format(all="['all']", api="['api']", android="['android_application']", part="part")}), gold(query_id, wanted, domain, cats, expected, relevant) AS (VALUES {_gold_values()}),
 hits AS (SELECT query_id, kb_id, category, severity, expected, relevant, row_number() OVER (PARTITION BY query_id ORDER BY CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END DESC, kb_id) AS rank
  FROM gold, kb WHERE (wanted IS NULL OR list_contains(wanted, category)) AND (domain = 'all' OR list_contains(applicable_to, 'all') OR list_contains(applicable_to, domain)) AND (cats IS NULL OR list_contains(cats, category)))"""
 TOPK_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -136,7 +147,7 @@ QUERIES = {
     "missing_fields": lambda s, d: segmentation.missing_fields(_field_rows(s, d), "finding_id", "label", ["severity", "cwe", "impact"]).select("finding_id", F.array_join("missing", ",").alias("missing")),
     "three_way_join": lambda s, d: segmentation.assembled(table(s, d, "orders").select(c("o_orderkey").alias("k"), "o_custkey", "o_totalprice"), table(s, d, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(F.count("*").alias("lines")), table(s, d, "lineitem").where("l_linenumber = 1").select(c("l_orderkey").alias("k"), "l_returnflag"), "k").groupBy("l_returnflag").agg(F.count("*").alias("orders"), F.sum("lines").alias("lines"), F.round(F.sum("o_totalprice"), 2).alias("price")),
     "kb_retrieve": lambda s, d: _kb(s, d).select("query_id", "kb_id", "category", "severity", c("rank").cast("long").alias("rank")),
-    "kb_counts": lambda s, d: retrieval.catalogue(s).rollup("category").agg(F.count("*").alias("n")),
+    "kb_counts": lambda s, d: migration.category_counts(_catalogue(s, d)),
     "recall_precision": lambda s, d: retrieval.retrieval_metrics(_kb(s, d), retrieval.gold_queries(s)),
     "vector_topk": lambda s, d: _topk(s, d).select("query_id", "id", F.round("score", 6).alias("score"), c("rank").cast("long").alias("rank")),
     "hybrid_merge": lambda s, d: retrieval.hybrid(_topk(s, d).select("query_id", "id", "rank"), _by_label(s, d)).select("query_id", "id", c("source").cast("long").alias("source"), c("rank").cast("long").alias("rank")),
