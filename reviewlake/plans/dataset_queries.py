@@ -135,7 +135,7 @@ QUERIES = {
     "task_golds": lambda s, d: _cases(s, d).select("finding_id", "task_type", *[F.get_json_object("gold_output", f"$.{path}").alias(name) for name, path in GOLD_FIELDS.items()], F.array_join("expected_failure_modes", ",").alias("modes")),
     "all_cases": lambda s, d: D.all_cases(_cases(s, d), _crafted(s, d)).select("finding_id", "task_type", "case_id"),
     "scanner_negatives": lambda s, d: D.scanner_negatives(findings(s, d)).select("finding_id", c("evidence")[0]["evidence_type"].alias("evidence_type"), F.size("evidence").cast("long").alias("items")),
-    "evidence_swap": lambda s, d: D.swapped_evidence(findings(s, d), flat_findings(s, d).where("doc_id % 10 = 0").select("finding_id", F.expr("'FND-' || lpad(cast(doc_id + 1 as string), 6, '0')").alias("donor_id"))).select("finding_id", "donor_id", F.array_join(F.transform("evidence", lambda e: e.content), "|").alias("contents")),
+    "evidence_swap": lambda s, d: D.swapped_evidence(findings(s, d), flat_findings(s, d).select("finding_id", F.expr("'FND-' || lpad(cast(doc_id + 1 as string), 6, '0')").alias("donor_id"))).select("finding_id", "donor_id", F.array_join(F.transform("evidence", lambda e: e.content), "|").alias("contents")),
     "wrong_severity": lambda s, d: D.wrong_severities(findings(s, d)),
     "merge_union": lambda s, d: D.merge(_cases(s, d).where("is_hard_negative"), _cases(s, d).where("not is_hard_negative")).groupBy("task_type", "difficulty").agg(F.count("*").alias("n")),
     "id_intersection": lambda s, d: D.shared_keys(table(s, d, "orders").select(c("o_custkey").alias("k")), table(s, d, "customer").select(c("c_custkey").alias("k")), "k"),
@@ -194,7 +194,7 @@ ORACLE_SQL = {
     "task_golds": f"{MARKED}, g AS (SELECT c.finding_id, c.task_type, f.doc_id, f.title, f.severity, f.score, f.vector, f.band, f.n_evidence, f.recommendation_text, f.retest_status, f.observation, positive AND NOT negative AS shown, coalesce(severity = band, false) AS same FROM cases c JOIN flagged f USING (finding_id)) {_GOLD_SQL} FROM g",
     "all_cases": f"{MARKED}, numbered AS (SELECT finding_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY finding_id) AS n FROM cases), sizes AS (SELECT task_type, count(*) AS k FROM cases GROUP BY 1), extra AS (SELECT finding_id, CASE doc_id % 2 WHEN 0 THEN 'client_qa' ELSE 'unsupported_refusal' END AS task_type FROM findings WHERE doc_id % 25 = 0), more AS (SELECT finding_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY finding_id) + coalesce(k, 0) AS n FROM extra LEFT JOIN sizes USING (task_type)), every AS (SELECT * FROM numbered UNION ALL SELECT * FROM more) SELECT finding_id, task_type, 'BMC-' || task_type || '-' || lpad(CAST(n AS VARCHAR), 4, '0') AS case_id FROM every",
     "scanner_negatives": f"{WITH} SELECT finding_id, 'scanner_output' AS evidence_type, 1::BIGINT AS items FROM findings",
-    "evidence_swap": f"{WITH}, t AS (SELECT finding_id, string_agg(content, '|' ORDER BY i) AS contents FROM evidence GROUP BY 1) SELECT f.finding_id, d.finding_id AS donor_id, coalesce(contents, '') AS contents FROM findings f JOIN findings d ON d.doc_id = f.doc_id + 1 LEFT JOIN t ON t.finding_id = d.finding_id WHERE f.doc_id % 10 = 0",
+    "evidence_swap": f"{WITH}, t AS (SELECT finding_id, string_agg(content, '|' ORDER BY i) AS contents FROM evidence GROUP BY 1) SELECT f.finding_id, d.finding_id AS donor_id, coalesce(contents, '') AS contents FROM findings f JOIN findings d ON d.doc_id = f.doc_id + 1 LEFT JOIN t ON t.finding_id = d.finding_id",
     "wrong_severity": f"{WITH} SELECT finding_id, {B_OPEN} AS band, CASE {B_OPEN} WHEN 'critical' THEN 'medium' WHEN 'high' THEN 'low' WHEN 'medium' THEN 'informational' WHEN 'low' THEN 'critical' ELSE 'high' END AS severity FROM findings WHERE score IS NOT NULL",
     "merge_union": f"{MARKED} SELECT task_type, difficulty, count(*) AS n FROM cases GROUP BY 1, 2",
     "id_intersection": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer",

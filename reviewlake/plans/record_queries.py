@@ -153,7 +153,7 @@ def _modes(s, d):
 
 
 def _questions(s, d):
-    return flat_findings(s, d).where("doc_id % 20 = 3").select("finding_id", F.lit("Which version was used?").alias("question"), F.lit("no version is told").alias("refusal_reason"))
+    return flat_findings(s, d).select("finding_id", F.lit("Which version was used?").alias("question"), F.lit("no version is told").alias("refusal_reason"))
 
 
 def _hard(s, d):
@@ -226,7 +226,7 @@ QUERIES = {
     "structural_issues": lambda s, d: validation.structural_issues(findings(s, d)),
     "gated_reviews": lambda s, d: validation.gated_reviews(flat_findings(s, d), quality.governance_gate(flat_findings(s, d)), review(findings(s, d), only=["review_status"])),
     "entry_faults": lambda s, d: validation.entry_faults(_catalogue_entries(s, d)),
-    "qc_placeholders": lambda s, d: quality.issues(_told(s, d)).where("check_id in ('QC-CONTENT-002', 'QC-SOURCE-002')"),
+    "qc_placeholders": lambda s, d: quality.issues(_told(s, d)),
     "marker_order": lambda s, d: D.markers(_told(s, d)).select("finding_id", "positive", "negative", "scanner_only"),
     "qc_report": lambda s, d: quality.run_report(quality.status_of(findings(s, d), quality.issues(findings(s, d))), quality.duplicate_groups(table(s, d, "documents"), "doc_id", F.lit(""), c("text"))),
     "repeated_lines": lambda s, d: D.repeated_lines(_examples(s, d)),
@@ -275,7 +275,8 @@ ORACLE_SQL = {
         UNION ALL SELECT finding_id, 'observation', 'warning' FROM findings WHERE length(trim(coalesce(observation, ''), ' ')) < 10 UNION ALL SELECT finding_id, 'finding_id', 'error' FROM findings WHERE length(finding_id) <> 10""",
     "gated_reviews": f"{ESCALATED} SELECT finding_id, CASE WHEN usage_approved IS TRUE AND usage_scope <> 'public' AND length(finding_id) = 10 THEN {STATUS} ELSE 'human_review' END AS review_status, coalesce(usage_approved IS TRUE AND usage_scope <> 'public' AND length(finding_id) = 10, false) AS reviewed FROM escalated",
     "entry_faults": "SELECT 'KB-' || p_partkey AS kb_id, 'category' AS field, 'taxonomy' AS value FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'KB-' || p_partkey, 'severity', 'high' FROM part WHERE p_partkey % 4 = 3 UNION ALL SELECT 'KB-' || p_partkey, 'applicable_to', 'mars' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT 'KB-' || p_partkey, 'access_scope', 'secret' FROM part WHERE p_partkey % 7 = 6 UNION ALL SELECT 'KB-' || p_partkey, 'vulnerability_type', 'voodoo' FROM part WHERE p_partkey % 8 = 7",
-    "qc_placeholders": f"""{WITH} SELECT finding_id, 'QC-CONTENT-002' AS check_id, 'warning' AS severity, 'title' AS field FROM findings WHERE doc_id % 10 = 1 UNION ALL SELECT finding_id, 'QC-CONTENT-002', 'warning', 'impact' FROM findings WHERE doc_id % 10 = 2
+    "qc_placeholders": f"""{QC_SQL} SELECT * FROM issues WHERE NOT (field = 'impact' AND CAST(substr(finding_id, 5) AS BIGINT) % 10 = 2) AND NOT (field = 'recommendation' AND CAST(substr(finding_id, 5) AS BIGINT) % 10 = 3)
+        UNION ALL SELECT finding_id, 'QC-CONTENT-002' AS check_id, 'warning' AS severity, 'title' AS field FROM findings WHERE doc_id % 10 = 1 UNION ALL SELECT finding_id, 'QC-CONTENT-002', 'warning', 'impact' FROM findings WHERE doc_id % 10 = 2
         UNION ALL SELECT finding_id, 'QC-CONTENT-002', 'warning', 'recommendation[' || i || ']' FROM findings, (SELECT unnest([1, 2]) AS i) WHERE doc_id % 10 = 3 UNION ALL SELECT finding_id, 'QC-SOURCE-002', 'error', 'source.source_reference' FROM findings WHERE doc_id % 10 = 4""",
     "marker_order": f"{MARKED} SELECT finding_id, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN {_like(chr(39) + 'was not verified, automated scan ' + chr(39) + ' || lower(coalesce(observation, ' + chr(39) * 2 + '))', POSITIVE)} ELSE positive END AS positive, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN true WHEN doc_id % 10 = 5 THEN negative ELSE negative END AS negative, CASE WHEN doc_id % 10 = 5 AND n_evidence > 0 THEN NOT {_like('lower(coalesce(observation, ' + chr(39) * 2 + '))', POSITIVE)} ELSE {_like('ev', SCANNERS)} AND NOT positive END AS scanner_only FROM flagged",
     "qc_report": f"""{QC_SQL}, dups AS (SELECT count(*) AS n FROM (SELECT regexp_replace(lower(chr(10) || coalesce(text, '')), '{WS}', ' ', 'g') AS t FROM documents) GROUP BY trim(t) HAVING count(*) > 1)
@@ -320,7 +321,7 @@ ORACLE_SQL = {
         UNION ALL SELECT finding_id, 'evidence_check' FROM flagged WHERE n_evidence > 0 UNION ALL SELECT finding_id, 'remediation_review' FROM flagged WHERE recommendation_text <> '' UNION ALL SELECT finding_id, 'hard_negative_potential_issue' FROM flagged WHERE negative""",
     "dataset_envelope": f"{MARKED} SELECT task_type, 'Answer.' AS instruction, finding_id AS input, sha256(task_type || chr(31) || finding_id)[1:16] AS content_hash FROM cases",
     "repeated_hashes": "SELECT sha256(coalesce(text, '')) AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "unsupported_questions": f"{WITH} SELECT finding_id, 'Which version was used?' AS question, 'no version is told' AS refusal_reason, 'unsupported_question' AS hard_negative_type, 'true' AS refuses FROM findings WHERE doc_id % 20 = 3",
+    "unsupported_questions": f"{WITH} SELECT finding_id, 'Which version was used?' AS question, 'no version is told' AS refusal_reason, 'unsupported_question' AS hard_negative_type, 'true' AS refuses FROM findings",
     "hard_negative_faults": "SELECT 'number' AS fault, subject, n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'scanner_only' WHEN 1 THEN 'wrong_severity' ELSE 'unrelated_evidence' END AS subject, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'absent', 0) WHERE NOT (subject = 'scanner_only' AND n = 1) UNION ALL SELECT 'duplicate_id', 'H-4', 2 UNION ALL SELECT 'not_flagged', 'H-7', 1",
     "count_deltas": f"{WITH} SELECT coalesce(severity, 'unknown') AS severity, count_if(doc_id % 2 = 0)::BIGINT AS n_old, count(*) AS n_new, count(*) - count_if(doc_id % 2 = 0)::BIGINT AS delta FROM findings GROUP BY 1",
     "count_ranks": "SELECT role, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, role) AS rank FROM conversations GROUP BY 1",
