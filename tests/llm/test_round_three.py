@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.llm import licenses, mixing, periodic_runs, queries, sharding, whitening
+from reviewlake.llm import decontamination, embedding_dedup, jaccard_join, language_id, licenses, line_dedup, lm_scoring, mixing, periodic_runs, queries, sharding, substring_dedup, token_counts, whitening
 
 DOCS = "doc_id long, text string, source string"
 
@@ -352,3 +352,42 @@ def test_license_rows_of_awkward_tables(spark):
     got = Counter((r["doc_id"], r["paragraph"], r["last_line"], r["family"]) for r in licenses.license_paragraphs(docs).collect())
     assert got == Counter({(1, 0, 0, "mit"): 2, (None, 0, 0, "mit"): 1, (5, 1, 1, "mit"): 1})
     assert licenses.license_paragraphs(docs.limit(0)).collect() == []
+
+
+# ---------------------------------------------------------------- columns and rows of any kind
+
+
+def same_rows(a, b):
+    return Counter(map(str, a.collect())) == Counter(map(str, b.collect()))
+
+
+def test_digests_ignore_columns_of_any_name(spark):
+    rows = [(i, t, "xx" if i % 2 else "yy", f"s{i % 3}") for i, t in enumerate(["some words in a row of a text"] * 3 + ["other words stand here, and more of them", "", "ab", "k " * 40] * 4)] + [(None, None, None, None), (2, "some words in a row of a text", "xx", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    clash = docs.withColumns({name: F.lit(f"own {name}") for name in ("doc", "size", "words", "n_tokens", "score", "shard", "slot", "row", "label", "h", "n", "key", "place", "start", "runs", "token", "count", "task")})
+    path = __import__("public_tokenizers").path("word_bpe_49k.json")
+    for digest in (lambda d: token_counts.token_counts(d, path), language_id.language_digest, lm_scoring.scored_documents, mixing.mixing_digest, sharding.sharding_digest, periodic_runs.runs_digest, substring_dedup.substring_digest, jaccard_join.jaccard_digest, line_dedup.line_dedup_digest):
+        assert same_rows(digest(docs), digest(clash)), digest
+
+
+def test_vectors_of_awkward_rows(spark):
+    kind = "vec_id long, embedding array<float>, label int"
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, v, 1), (3, v, 1), (3, v, 1), (5, w, 1), (6, v, 2), (7, None, 1), (8, [0.0] * 3, 1), (9, v, None), (10, [math.nan, 0.0, 0.0], 1), (11, v[:2], 1)]
+    table = spark.createDataFrame(rows, kind)
+    out = embedding_dedup.near_duplicates(table)
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out.collect())
+    assert sum(got.values()) == len(rows)
+    assert got[3, 2, 3, True] == 2 and got[5, 0, 5, True] == 1 and got[6, 0, 6, True] == 1
+    assert all(got[i, 0, i, True] == 1 for i in (7, 8, 9, 10, 11))
+    assert [(k[1], k[2]) for k in got if k[0] is None] == [(2, 3)]
+    clash = table.withColumns({name: F.lit("own") for name in ("unit", "size", "p0", "times", "set_id", "component", "tile", "root")})
+    assert same_rows(embedding_dedup.near_duplicates(clash), out)
+
+
+def test_contamination_of_rows_without_an_id(spark):
+    text = "a passage of the benchmark that stands in some of the documents word for word"
+    docs = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "nothing of it at all is here"), (None, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, text), (4, text), (4, text), (5, None)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.contaminated_windows(docs, bench).collect())
+    assert got == Counter({(None, None): 1, (None, 4): 1, (1, None): 1, (1, 4): 1})
