@@ -1,11 +1,13 @@
-"""Queries of score vectors, canonical JSON and names, with SQL twins that write equations and texts out."""
+"""Queries of score vectors, canonical JSON, names and keyed tables, with SQL twins that write equations and texts out."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import canonical, cvss
-from ..operators import dictionary
+from ..operators import dictionary, lookup
 from ..operators.review import recomputed, settled
 from .synthetic import WITH, case, findings, flat_findings, table
 
@@ -143,3 +145,20 @@ ORACLE_SQL = {
     # Words and what lies between them alternate: a name is two words with one space between.
     "known_names": f"{NAMES_SQL}, {PAIRS_SQL.format('SELECT doc_id, text AS t FROM documents')} SELECT doc_id, name, count(*) AS n FROM pairs JOIN names ON pair = lower(name) GROUP BY 1, 2",
 }
+
+
+# ---------------------------------------------------------------- look-ups
+
+
+def _looked_up(s, d):
+    """Orders of the customers of one nation, from a keyed table of all orders."""
+    root = s.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    path = f"{root.rstrip('/')}/keyed-{uuid.uuid4().hex}"
+    lookup.write_keyed(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), path, "o_custkey")
+    return lookup.look_up(s, path, "o_custkey", table(s, d, "customer").where("c_nationkey = 7").select(c("c_custkey").alias("o_custkey")))
+
+
+QUERIES["keyed_lookup"] = _looked_up
+ORACLE_SQL["keyed_lookup"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)"

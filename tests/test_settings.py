@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from reviewlake.operators import lookup
 from reviewlake.operators.dataset import count_ranks, group_split
 from reviewlake.operators.review import review
 from reviewlake.sources import files, settings
@@ -128,3 +129,31 @@ def test_counts_on_a_stream_count_each_finding_once(spark, tmp_path):
     status = {r["finding_id"]: r["review_status"] for r in review(once, only=["review_status"]).collect()}
     want = Counter([(0, status["FND-000001"]), (0, "error"), (1, status["FND-000003"]), (1, "error"), (1, status["FND-000005"])])
     assert got == dict(want)
+
+
+def scanned(df):
+    """Rows that the scans of a finished plan gave out."""
+    df.collect()
+    found, waiting = 0, [df._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_look_ups_read_few_row_groups(spark, tmp_path):
+    rows = spark.range(200_000).select(F.when(F.col("id") % 1000 != 0, F.col("id") * 3).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    lookup.write_keyed(rows.unionAll(rows.where("k = 30")), f"{tmp_path}/t", "k", row_group=1 << 16)
+    keys = spark.createDataFrame([("30",), ("30",), ("299997",), ("31",), (None,), ("x",)], "k string")
+    got = lookup.look_up(spark, f"{tmp_path}/t", "k", keys)
+    assert sorted(r["k"] for r in got.collect()) == [30, 30, 299997]
+    assert scanned(got) < 20_000  # of 200,001
+    absent = lookup.look_up(spark, f"{tmp_path}/t", "k", spark.createDataFrame([(100_000,)], "k long"))
+    assert absent.collect() == [] and scanned(absent) == 0  # the Bloom filter knows that it is not there
+    many = spark.range(1000).select((F.col("id") * 3).alias("k"))
+    assert lookup.look_up(spark, f"{tmp_path}/t", "k", many).count() == 1000  # one of them null in the table, one there twice
+    assert lookup.look_up(spark, f"{tmp_path}/t", "k", keys.limit(0)).collect() == []
