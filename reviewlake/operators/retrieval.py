@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from .validation import ENTRY_DOMAINS
 
 c = F.col
 
@@ -180,10 +181,17 @@ def by_id(kb: DataFrame, kb_id: str) -> DataFrame:
 
 
 def of_category(kb: DataFrame, category: str) -> DataFrame:
-    """Entries of one category, such as escalation_rules or consistency_rules, by severity and id."""
+    """Entries of one category, such as escalation_rules or consistency_rules, by severity and id. A category that no entry can have is an error."""
+    if category not in ENTRY_DOMAINS["category"]:
+        raise ValueError(f"no such category as {category!r}; there are {', '.join(ENTRY_DOMAINS['category'])}")
     return kb.where(c("category") == category).orderBy(severity_rank(c("severity")).desc(), "kb_id")
 
 
+def result_summary(retrieved: DataFrame) -> DataFrame:
+    """(query_id, total, categories): how many entries each query found, and their distinct categories in order."""
+    return retrieved.groupBy("query_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_set("category")).alias("categories"))
+
+
 def _labelled(label: str, text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(label), text))
 

@@ -439,6 +439,57 @@ def output_record(reviews: DataFrame, reviewed_at: Column, versions: dict[str, s
     )
 
 
+def stub_record(findings: DataFrame, issues: Column, reviewed_at: Column, versions: dict[str, str]) -> DataFrame:
+    """The record of findings that may not be reviewed: nothing is judged, a human has to correct them. ``issues`` is the text of what is wrong.
+
+    The columns are those of ``output_record``, so that both can stand in one table.
+    """
+    failed, none, unknown = "Input validation failed", F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    texts = lambda *said: F.array(*[F.lit(x) for x in said]).cast("array<string>")
+    given = lambda **columns: F.struct(*[value.alias(name) for name, value in columns.items()])
+    severity_, cwe_ = F.nullif(c("severity"), F.lit("")), F.nullif(c("cwe_id"), F.lit(""))
+    note = given(
+        comment_id=F.lit("RC-001"), taxonomy_code=F.lit("COMP-000"), category=F.lit("completeness"), severity=F.lit("error"), field=none,
+        message=F.concat(F.lit(f"{failed}: "), F.coalesce(issues, F.lit("unknown"))), evidence_reference=none, suggested_action=F.lit("fix_input_and_resubmit"),
+    )
+    location = c("location") if "location" in findings.columns else none
+    return findings.select(
+        F.lit("0.1").alias("schema_version"), F.lit("REV-000000").alias("review_id"), F.coalesce("finding_id", F.lit("FND-000000")).alias("finding_id"), F.lit("human_review").alias("review_status"),
+        given(label=F.lit("undetermined"), rationale=F.lit(f"{failed}, nothing was reviewed"), supported_by_evidence=unknown).alias("classification"),
+        given(is_complete=F.lit(False), missing_required_fields=texts(), missing_conditional_fields=texts(), comments=texts(failed)).alias("completeness_review"),
+        given(is_sufficient=unknown, evidence_items_reviewed=texts(), supported_claims=texts(), unsupported_claims=texts(), missing_evidence=texts(), comments=texts(failed)).alias("evidence_review"),
+        given(reported_severity=severity_, suggested_severity=severity_, is_consistent=unknown, change_recommended=F.lit(False), rationale=F.lit(failed)).alias("severity_review"),
+        given(reported_version=none, reported_score=F.lit(None).cast("double"), reported_vector=none, vector_is_valid=unknown, score_matches_vector=unknown, severity_matches_score=unknown, requires_manual_recalculation=F.lit(True), comments=texts(failed)).alias("cvss_review"),
+        given(reported_cwe=cwe_, is_relevant=unknown, suggested_cwe=none, rationale=F.lit(failed)).alias("cwe_review"),
+        given(is_supported_by_evidence=unknown, is_proportionate=unknown, unsupported_impact_claims=texts(), comments=texts(failed)).alias("impact_review"),
+        given(addresses_root_cause=unknown, is_actionable=unknown, is_technically_relevant=unknown, missing_recommendations=texts(), comments=texts(failed)).alias("recommendation_review"),
+        given(is_consistent=unknown, issues=texts(failed)).alias("consistency_review"),
+        given(applicable=unknown, reported_status=none, status_supported_by_evidence=unknown, missing_retest_evidence=texts(), comments=texts(failed)).alias("retest_review"),
+        F.array(note).alias("review_comments"),
+        given(overall_score=F.lit(None).cast("double"), level=F.lit("not_calculated"), basis=texts(), limitations=texts(f"{failed}, so there is no confidence")).alias("confidence"),
+        given(required=F.lit(True), reasons=texts(f"{failed}, a human must correct it"), recommended_reviewer=F.lit("technical_reviewer")).alias("human_escalation"),
+        given(source_document_id=F.coalesce("document_id", F.lit("DOC-000000")), source_location=location, input_schema_version=F.lit("0.2"), output_schema_version=F.lit("0.1"), model_version=none, knowledge_base_version=F.lit(versions["knowledge_base_version"]), ruleset_version=F.lit(versions["ruleset_version"]), reviewed_at=reviewed_at).alias("traceability"),
+    )
+
+
+def gated_records(findings: DataFrame, gate: DataFrame, reviewed_at: Column, versions: dict[str, str]) -> DataFrame:
+    """Records of all findings: of those that ``gate(finding_id, is_valid, issues)`` lets pass their review, of the others stubs that tell the issues.
+
+    A finding that the gate does not know is not let pass.
+    """
+    verdict = gate.select(c("finding_id").alias("g_id"), c("is_valid").alias("g_valid"), c("issues").alias("g_issues"))
+    judged = findings.join(verdict, c("finding_id") == c("g_id"), "left")
+    valid = F.coalesce(c("g_valid"), F.lit(False))
+    passed = output_record(review(judged.where(valid)), reviewed_at, versions)
+    return passed.unionByName(stub_record(judged.where(~valid), c("g_issues"), reviewed_at, versions))
+
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """(outcome, n): records by status, and as ``error`` those of findings that could not be reviewed."""
+    outcome = F.when(c("confidence.level") == "not_calculated", "error").otherwise(c("review_status"))
+    return records.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
 def record_json(records: DataFrame) -> Column:
     """A record as JSON text in which null fields are told."""
     return F.to_json(F.struct(*[F.col(f"`{name}`") for name in records.columns]), {"ignoreNullFields": "false"})

@@ -16,11 +16,11 @@ from ..operators import normalization as N_
 from ..operators import quality, validation
 from ..operators import retrieval as N
 from ..operators.dataset import POSITIVE, SCANNERS
-from ..operators.review import output_record, record_json, review
+from ..operators.review import gated_records, output_record, record_counts, record_json, review
 from ..sources import files
 from .dataset_queries import EXAMPLES, MARKED, _cases, _eval_cases, _examples
 from .finding_queries import DOCS, _raw
-from .review_queries import _COMMENTS, _LONG, _RETEST, _ROOT, ESCALATED, ISSUES, STATUS, _like, _sql_codes
+from .review_queries import _COMMENTS, _LONG, _RETEST, _ROOT, ESCALATED, ISSUES, LABEL, STATUS, _like, _sql_codes
 from .synthetic import WITH, case, findings, flat_findings, quoted, table
 from .table_queries import KB_SQL, QC_SQL, WS, _kb
 
@@ -54,12 +54,28 @@ def _record_faults(s, d):
     return validation.errors(ours, "finding_id", "raw", validation.REVIEW_SCHEMA)
 
 
+def _gated(s, d):
+    """Every fifth finding is held back by its gate, every seventh is not known to it."""
+    f = findings(s, d)
+    n = c("doc_id")
+    gate = f.where(n % 7 != 6).select("finding_id", (n % 5 != 4).alias("is_valid"), F.when(n % 5 == 4, F.concat(F.lit("severity "), F.coalesce("severity", F.lit("missing")))).alias("issues"))
+    return gated_records(f, gate, F.lit("2024-01-01T00:00:00+00:00"), {"knowledge_base_version": "1.1", "ruleset_version": "1.0"})
+
+
+def _gated_faults(s, d):
+    """(kind, value, n): outcomes of the records, and whatever breaks the output schema."""
+    records = _gated(s, d)
+    faults = validation.errors(records.select("finding_id", record_json(records).alias("raw")), "finding_id", "raw", validation.REVIEW_SCHEMA)
+    return record_counts(records).select(F.lit("outcome").alias("kind"), c("outcome").alias("value"), "n").unionByName(faults.groupBy(c("message").alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("fault")))
+
+
 def _spelled(code: str) -> str:
     group, number = code.split("-")
     return {"IMP": "IMPACT", "REC": "REMD", "RET": "RETEST"}.get(group, group) + "-" + number
 
 
 _LISTED = [(cond.replace("judged.finding_id", "escalated.finding_id"), _spelled(code), "suggestion" if sev == "info" else sev) for cond, code, sev, *_ in _COMMENTS]
+_PASSES = "(doc_id % 7 <> 6 AND doc_id % 5 <> 4)"
 _COMPLETE = "(" + " + ".join(f"CASE WHEN {cond} THEN 1 ELSE 0 END" for cond, code, _ in _LISTED if code.startswith("COMP-")) + ")"
 
 # ---------------------------------------------------------------- migration
@@ -233,6 +249,9 @@ QUERIES = {
     "engagement_report": lambda s, d: D.engagement_report(flat_findings(s, d)),
     "output_record": _record,
     "record_faults": _record_faults,
+    "gated_records": lambda s, d: _gated(s, d).select("finding_id", "review_status", "classification.label", "confidence.level", F.get("review_comments", F.lit(0))["taxonomy_code"].alias("first_code"), F.when(c("classification.label") == "undetermined", F.get("review_comments", F.lit(0))["message"]).alias("message"), "human_escalation.recommended_reviewer", "traceability.source_document_id"),
+    "gated_counts": _gated_faults,
+    "kb_result_summary": lambda s, d: N.result_summary(N.retrieve(_kb_entries(s, d), _kb_queries(s, d))).select("query_id", "total", F.array_join("categories", ",").alias("categories")),
     "source_class": lambda s, d: _entries(s, d).select("doc_id", M.source_class(c("source"), c("category"), c("subcategory")).alias("x")).select("doc_id", "x.*"),
     "vulnerability_type": lambda s, d: _entries(s, d).select("doc_id", M.vulnerability_type(c("title"), c("tags")).alias("kind")),
     "kb_filters": lambda s, d: _hits(s, d).select("query_id", "kb_id", "severity", c("rank").cast("long").alias("rank")),
@@ -293,6 +312,12 @@ ORACLE_SQL = {
         CASE {_RETEST} WHEN 'untested' THEN 'No retest performed' WHEN 'unshown' THEN 'Retest status is ' || chr(39) || retest_status || chr(39) || ' but no retest evidence provided' ELSE '' END AS unproven,
         CASE WHEN imp = '' THEN 1 ELSE {' + '.join(f"CASE WHEN contains(imp, '{w}') AND NOT contains(ev, '{w}') THEN 1 ELSE 0 END" for w in ("unauthorized", "data", "access", "exposure", "bypass", "compromise"))} END::BIGINT AS n_impact_claims,
         CASE WHEN retest_status = 'someday' THEN 'unknown' ELSE retest_status END AS reported_status FROM escalated""",
+    "gated_records": f"""{ESCALATED}, firsts AS (SELECT *, {_sql_codes([(cond, code) for cond, code, _ in _LISTED])} AS codes FROM escalated)
+        SELECT finding_id, CASE WHEN {_PASSES} THEN {STATUS} ELSE 'human_review' END AS review_status, CASE WHEN {_PASSES} THEN {LABEL} ELSE 'undetermined' END AS label, CASE WHEN NOT ({_PASSES}) THEN 'not_calculated' WHEN confidence_score >= 0.8 THEN 'high' WHEN confidence_score >= 0.5 THEN 'medium' ELSE 'low' END AS level,
+        CASE WHEN {_PASSES} THEN split_part(codes, ',', 1) ELSE 'COMP-000' END AS first_code, CASE WHEN NOT ({_PASSES}) THEN 'Input validation failed: ' || CASE WHEN doc_id % 7 = 6 THEN 'unknown' ELSE 'severity ' || coalesce(severity, 'missing') END END AS message,
+        CASE WHEN NOT ({_PASSES}) THEN 'technical_reviewer' WHEN severity IN ('critical', 'high') THEN 'senior_pentester' WHEN coalesce(severity <> band, false) THEN 'report_reviewer' END AS recommended_reviewer, document_id AS source_document_id FROM firsts""",
+    "gated_counts": f"{ESCALATED} SELECT 'outcome' AS kind, CASE WHEN {_PASSES} THEN {STATUS} ELSE 'error' END AS value, count(*) AS n FROM escalated GROUP BY 2",
+    "kb_result_summary": f"{HITS.replace(' QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY weight DESC, kb_id) <= 10', '')} SELECT query_id, count(*) AS total, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM hits GROUP BY 1",
     "record_faults": """SELECT 'FND-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '-spoilt' AS finding_id, e.path, e.message FROM documents JOIN (VALUES (1, 'traceability.reviewed_at', 'is not a date-time'), (3, 'severity_review', 'lacks required property change_recommended'),
         (3, 'severity_review', 'has additional properties'), (4, 'confidence.level', 'is not one of the listed values')) AS e(kind, path, message) ON doc_id % 5 = kind
         UNION ALL SELECT finding_id || '-spoilt', 'review_comments[' || (count(*) - 1) || '].suggested_action', 'is too short' FROM (""" + f"{_LONG} SELECT finding_id FROM long WHERE CAST(substr(finding_id, 5, 6) AS BIGINT) % 5 = 2" + """) GROUP BY finding_id""",
