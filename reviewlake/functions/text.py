@@ -75,10 +75,31 @@ def cvss(value: Column) -> Column:
     )
 
 
+# Named characters of HTML that texts of reports hold.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "deg": "°", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "sect": "§", "para": "¶", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "times": "×", "sol": "/", "colon": ":", "period": ".", "amp": "&",
+}
+
+
 def unescape_html(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named (``ENTITIES``), decimal and hexadecimal character references as their characters, once: what they give is not read again.
+
+    A reference to no character, or to a name that is not listed, stays as it is.
+    """
+
+    def char(reference: Column) -> Column:
+        body = F.regexp_extract(reference, "^&(.*);$", 1)
+        number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 6), 16, 10)).otherwise(F.substring(body, 2, 7)).try_cast("int")
+        sound = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        coded = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(body.startswith("#"), coded).otherwise(F.try_element_at(lookup(ENTITIES), body)), reference)
+
+    # Between references the text stays: pieces and references alternate.
+    pattern = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});"
+    pieces, references = F.split(text, pattern), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    joined = let(F.transform(references, char), lambda chars: F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(chars, i), F.lit("")))), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def first_url(text: Column) -> Column:

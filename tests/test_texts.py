@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlake.functions import canonical, cvss
+from reviewlake.functions import canonical, cvss, text
 from reviewlake.operators import dictionary, normalization, validation
 from reviewlake.operators.review import output_record, record_json, recomputed, review
 from tests.test_queries import SCHEMA, finding, reviewed
@@ -194,3 +194,13 @@ def test_date_times(spark):
     got = [r[0] for r in spark.createDataFrame([(x,) for x in good + bad], "t string").select(validation.is_date_time(F.col("t"))).collect()]
     assert got == [True] * len(good) + [False] * len(bad)
     assert validation.schema_faults({"type": "string", "format": "uuid"}) == ["#: format uuid is not understood"]
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["https:&#x2F;&#47;a.io&sol;x?a=1&amp;b=2", "&amp;lt; stays &lt;", "a&nbsp;b &#x1F600; &eacute; &#0; &#55296; &#x110000; & &; &#;", "no reference", "", None, "&lt;&gt;", "&#38;amp;", "x&ndash;y&euro;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.unescape_html(F.col("t"))).collect()]
+    kept = "a\u00a0b \U0001f600 &eacute; &#0; &#55296; &#x110000; & &; &#;"
+    assert got == [kept if t and "eacute" in t else t and html.unescape(t) for t in texts]
+    assert spark.createDataFrame([("see https:&#x2F;&#x2F;host.example&sol;a).",)], "t string").select(text.first_url(F.col("t"))).first()[0] == "https://host.example/a"
