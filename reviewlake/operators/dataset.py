@@ -147,10 +147,15 @@ def eligible_tasks(findings: DataFrame) -> DataFrame:
 
 
 def task_inventory(findings: DataFrame) -> DataFrame:
-    """Findings by severity and by eligible task: (kind, value, n)."""
-    severities = findings.groupBy(F.coalesce("severity", F.lit("missing")).alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("severity"))
+    """(kind, value, n): findings by severity, redaction status (if there is one), what their evidence says of exploitation, and eligible task."""
+    shown = F.when(c("negative"), "denied").when(c("positive"), "shown").when(c("scanner_only"), "scanner_only").otherwise("unclear")
+    kinds = {"severity": F.coalesce("severity", F.lit("missing")), "exploitation": shown}
+    if "redaction_status" in findings.columns:
+        kinds["redaction"] = F.coalesce("redaction_status", F.lit("missing"))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items()])
+    counted = markers(findings).select(F.explode(each).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
     tasks = eligible_tasks(findings).groupBy(c("task_type").alias("value")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("task"))
-    return severities.unionByName(tasks)
+    return counted.unionByName(tasks)
 
 
 def envelope(cases: DataFrame) -> DataFrame:
@@ -240,13 +245,17 @@ def swapped_evidence(findings: DataFrame, swaps: DataFrame) -> DataFrame:
     return findings.join(swaps, "finding_id").join(donors, "donor_id").withColumn("evidence", c("donor_evidence")).drop("donor_evidence")
 
 
-def wrong_severities(findings: DataFrame) -> DataFrame:
-    """Findings whose severity is set two bands from the score's (wrapping around)."""
+def wrong_severities(findings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """Findings whose severity is set two bands from the score's (wrapping around), or to that of ``overrides(finding_id, severity)`` where it has one."""
     names = ["critical", "high", "medium", "low", "informational"]
     band = hard_negative_band(c("cvss.score"))
     at = F.array_position(F.array(*[F.lit(x) for x in names]), band)
     wrong = F.element_at(F.array(*[F.lit(x) for x in names]), ((at + 1) % 5 + 1).cast("int"))
-    return findings.where(band.isNotNull()).select("finding_id", band.alias("band"), wrong.alias("severity"))
+    by_rule = findings.where(band.isNotNull()).select("finding_id", band.alias("band"), wrong.alias("severity"))
+    if overrides is None:
+        return by_rule
+    given = overrides.select("finding_id", c("severity").alias("given"))
+    return by_rule.join(given, "finding_id", "left").select("finding_id", "band", F.coalesce("given", "severity").alias("severity"))
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -359,4 +359,4 @@ ORACLE_SQL = {
     "tag_faults": "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END::BIGINT AS faults FROM documents",
 }
 _TASKS = ORACLE_SQL["eligible_tasks"]
-ORACLE_SQL["task_inventory"] = f"{_TASKS[: _TASKS.index(' SELECT finding_id, ' + quoted('client_qa'))]}, tasks AS ({_TASKS[_TASKS.index('SELECT finding_id, ' + quoted('client_qa')) :]}) SELECT 'task' AS kind, task_type AS value, count(*) AS n FROM tasks GROUP BY 2 UNION ALL SELECT 'severity', coalesce(severity, 'missing'), count(*) FROM findings GROUP BY 2"
+ORACLE_SQL["task_inventory"] = f"{_TASKS[: _TASKS.index(' SELECT finding_id, ' + quoted('client_qa'))]}, tasks AS ({_TASKS[_TASKS.index('SELECT finding_id, ' + quoted('client_qa')) :]}) SELECT 'task' AS kind, task_type AS value, count(*) AS n FROM tasks GROUP BY 2 UNION ALL SELECT 'severity', coalesce(severity, 'missing'), count(*) FROM findings GROUP BY 2 UNION ALL SELECT 'redaction', redaction_status, count(*) FROM findings GROUP BY 2 UNION ALL SELECT 'exploitation', CASE WHEN negative THEN 'denied' WHEN positive THEN 'shown' WHEN {_like('ev', SCANNERS)} THEN 'scanner_only' ELSE 'unclear' END, count(*) FROM flagged GROUP BY 2"

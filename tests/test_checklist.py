@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import normalization
+from reviewlake.operators import dataset, normalization
 from reviewlake.operators.review import review
 from reviewlake.operators.spec_checklist import spec_checklist
 from reviewlake.streaming import pending_stream
@@ -149,3 +149,10 @@ def test_segmentation_of_little(spark, rows):
     raw = normalization.raw_findings(spark.createDataFrame(rows, BLOCKS), registry)
     for table in (raw, normalization.normalized_findings(raw), normalization.section_summary(raw), normalization.metadata_faults(raw), normalization.section_faults(raw), normalization.unclassified_paragraphs(raw)):
         assert table.collect() == []
+
+
+def test_wrong_severities_can_be_given(spark):
+    findings = spark.createDataFrame([("A", (9.8,)), ("B", (5.0,)), ("C", (None,))], "finding_id string, cvss struct<score:double>")
+    given = spark.createDataFrame([("A", "low"), ("C", "high"), ("X", "high")], "finding_id string, severity string")
+    assert sorted(map(tuple, dataset.wrong_severities(findings, given).collect())) == [("A", "critical", "low"), ("B", "medium", "informational")]
+    assert sorted(map(tuple, dataset.wrong_severities(findings).collect())) == [("A", "critical", "medium"), ("B", "medium", "informational")]
