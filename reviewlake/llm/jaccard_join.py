@@ -321,7 +321,8 @@ def _tiles(names: tuple[str, ...], work):
 
 def _near(i, rest, sizes, s1, s2, percent, most):
     low, high = np.minimum(sizes[i], sizes[rest]), np.maximum(sizes[i], sizes[rest])
-    apart = np.bitwise_count(s1[rest] ^ s1[i]).astype(np.int64) + np.bitwise_count(s2[rest] ^ s2[i])
+    # Unsigned: of a negative number numpy counts the bits of its absolute value.
+    apart = sum(np.bitwise_count((s[rest] ^ s[i]).view(np.uint64)).astype(np.int64) for s in (s1, s2))
     return rest[(apart <= most) & (100 * low >= percent * high)]
 
 

@@ -90,6 +90,39 @@ def test_pipeline_stages_on_empty_and_awkward_tables(spark, tmp_path):
                 assert docs.columns == pipeline.COLUMNS
 
 
+# ---------------------------------------------------------------- sketches
+
+
+def test_sketches_that_differ_in_a_sign_bit_are_close():
+    """Of small sets, one element more may set any bit of the sketch, the sign bits of its two halves too."""
+    rng, far = np.random.default_rng(4), 0
+    for _ in range(400):
+        more = np.unique(rng.integers(0, 1 << 64, 40, dtype=np.uint64))
+        pair = [more, np.delete(more, rng.integers(0, 40, 4))]
+        s1, s2 = (np.array(x, dtype=np.int64) for x in zip(*map(jaccard_join.sketch, pair)))
+        far += not len(jaccard_join._near(0, np.array([1]), np.array([len(x) for x in pair]), s1, s2, 85, jaccard_join.allowed_mismatches(85)))
+    assert not far
+
+
+# ---------------------------------------------------------------- long words
+
+
+def test_long_words_that_share_a_rolling_hash_are_told_apart(spark):
+    """Thue-Morse words: any sum of bytes times powers modulo 2**64 is equal for both."""
+    first = "ab"
+    while len(first) < 2048:
+        first += first.translate(str.maketrans("ab", "ba"))
+    second = first.translate(str.maketrans("ab", "ba"))
+    rolling = common.Rolling(5)
+    sizes = [1, 7, 8, 9, 63, 64, 65, 200]
+    words = [w for n in sizes for w in ("x" * n, "x" * (n - 1) + "y", "x" * (n - 1) + "\0")] + [first, second]
+    assert len(set(common.word_hashes(" ".join(words).encode(), rolling).tolist())) == len(words)
+    assert (common.word_hashes("ÀB cD".encode(), common.Rolling(5, fold_case=True)) == common.word_hashes("Àb cd".encode(), rolling)).all()
+    docs = spark.createDataFrame([(1, f"{first} a b c"), (2, f"{second} a b c"), (3, f"{first} A b c"), (4, f"{first} a b c {second} a b c")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_digest(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (5, 4)}
+
+
 # ---------------------------------------------------------------- long texts
 
 
