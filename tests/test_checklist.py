@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import dataset, normalization
+from reviewlake.operators import dataset, normalization, validation
 from reviewlake.operators.review import review
 from reviewlake.operators.spec_checklist import spec_checklist
 from reviewlake.streaming import pending_stream
@@ -156,3 +156,15 @@ def test_wrong_severities_can_be_given(spark):
     given = spark.createDataFrame([("A", "low"), ("C", "high"), ("X", "high")], "finding_id string, severity string")
     assert sorted(map(tuple, dataset.wrong_severities(findings, given).collect())) == [("A", "critical", "low"), ("B", "medium", "informational")]
     assert sorted(map(tuple, dataset.wrong_severities(findings).collect())) == [("A", "critical", "medium"), ("B", "medium", "informational")]
+
+
+def test_schema_checks_read_each_value_once(spark):
+    """Types are worked out once for each place of the schema, and nothing of it is planned again beside the explode."""
+    schema = {"type": "object", "additionalProperties": False, "required": ["a", "b"], "properties": {"a": {"type": "object", "required": ["c"], "properties": {"c": {"type": "string", "minLength": 1}}}, "b": {"enum": ["x", None]}}}
+    rows = spark.createDataFrame([(1, '{"a": {"c": ""}, "b": null}'), (2, '{"a": {}, "z": 1}'), (3, "{"), (4, '{"a": 5, "b": "x"}'), (5, None)], "k long, raw string")
+    found = validation.errors(rows, "k", "raw", schema)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(") == 4
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "a.c", "is too short"), (2, "<root>", "has additional properties"), (2, "<root>", "lacks required property b"), (2, "a", "lacks required property c"), (3, "<root>", "is not JSON"), (4, "a", "is not of type object"), (5, "<root>", "is not JSON"),
+    ]
