@@ -10,9 +10,9 @@ of the log-probabilities of all its words.
 
 Texts are read twice: to count words, and to turn them into places in the vocabulary, a table that training and
 scoring read. Training covers every word of the corpus: each task runs one pass of mini-batch gradient steps over
-its rows from one common start. A row of weights is averaged over about ``REPLICAS`` tasks: a task sends it with a
-probability that follows its share of all steps on the row, so what travels grows with the vocabulary and not
-with vocabulary times tasks. The mean depends on how rows are dealt to tasks; with one task it is the plain network.
+its rows from one common start. A task sends every row of weights that it took steps on, and a row's mean over all these
+tasks is weighted by the steps: none is left out. What travels is at most the vocabulary times the tasks.
+The mean depends on how rows are dealt to tasks; with one task it is the plain network.
 
 Words are told apart by 64-bit hashes, A-Z equal to a-z. Defined results: null or empty texts have
 no words, score 0 and a null mean; repeated rows are scored each; null ids are kept; other columns
@@ -25,7 +25,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +35,6 @@ WIDTH = 16
 REACH = 2
 STEP = 1.0
 BATCH = 4096
-REPLICAS = 32
 #: Tree nodes with the most words below them, computed for all words of a batch at once.
 HEAVY = 32
 SCORED = 4096
@@ -66,7 +64,7 @@ def words_of(raw: bytes, rolling: Rolling):
         data = np.frombuffer(piece, dtype=np.uint8)
         starts, ends = word_spans(data)
         if len(starts):
-            yield data, starts, ends, rolling.ranges(rolling.prefix(data), starts, ends)
+            yield data, starts, ends, rolling.words(data, starts, ends)
 
 
 def spellings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -168,7 +166,6 @@ class Tree:
     bias: np.ndarray  # of each node: the log odds of right by the counts
     heavy: np.ndarray  # numbers of the heaviest nodes
     turn: np.ndarray  # leaves x heavy nodes: 1 right, -1 left, 0 not on the path
-    steps: np.ndarray  # steps that training takes on each row of weights: words, rare words, then nodes
 
 
 def slot_classes(counts: Counts) -> Tree:
@@ -206,8 +203,7 @@ def slot_classes(counts: Counts) -> Tree:
     who, node, turn = who[~top], node[~top], turn[~top]
     by_leaf = np.argsort(who, kind="stable")
     start = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=leaves))])
-    steps = np.concatenate([2 * REACH * weight, nodes])
-    return Tree(counts.words, start, node[by_leaf].astype(np.int32), turn[by_leaf].astype(bool), bias.astype(np.float32), heavy, turns, steps)
+    return Tree(counts.words, start, node[by_leaf].astype(np.int32), turn[by_leaf].astype(bool), bias.astype(np.float32), heavy, turns)
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
@@ -384,19 +380,11 @@ def _trained(batches, tree: Tree):
                 held_c, held_t, held = [c[len(t) - rest :].copy()], [t[len(t) - rest :].copy()], rest
     if held:
         net.learn(np.concatenate(held_c), np.concatenate(held_t), STEP * held / BATCH)
-    # A row goes with the probability REPLICAS * (own steps / all steps); its weight makes up for that.
-    steps = np.ones(len(net.weights))
-    inputs = len(tree.words) + 1
-    steps[:inputs], steps[inputs + 1 : inputs + 1 + len(tree.bias)] = tree.steps[:inputs], tree.steps[inputs:]
-    chance = np.minimum(1.0, REPLICAS * net.times / steps)
-    task = TaskContext.get()
-    draw = np.random.Generator(np.random.PCG64(task.partitionId() if task else 0)).random(len(chance))
-    sent = np.flatnonzero((net.times > 0) & (draw < chance))
-    times = np.ceil(net.times[sent] / chance[sent]).astype(np.int64)
+    sent = np.flatnonzero(net.times)
     for part in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(sent // BLOCK)) + 1):
         if len(part):
             rows = sent[part]
-            yield batch_of(PARAMETERS, [[int(rows[0]) // BLOCK], [rows.astype(np.int32).tobytes()], [times[part].tobytes()], [net.weights[rows].tobytes()]])
+            yield batch_of(PARAMETERS, [[int(rows[0]) // BLOCK], [rows.astype(np.int32).tobytes()], [net.times[rows].tobytes()], [net.weights[rows].tobytes()]])
 
 
 def _averaged(batches):

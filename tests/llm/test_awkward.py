@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,19 @@ def test_other_tokenizer_files_are_refused(tmp_path):
 
 def test_all_queries_are_registered():
     assert [int(name[2:].split("_")[0]) for name in queries.QUERIES] == list(range(1, 14))
+
+
+def test_every_task_sends_all_weights_it_trained(spark):
+    """Of 60 equal tasks each sends the tree's root with all its steps on it, and the embedding of every word that it read."""
+    words = [f"word{i}" for i in range(30)]
+    text = " ".join(words * 4)
+    docs = spark.createDataFrame([(i, text) for i in range(60)], "doc_id long, text string")
+    tree = lm_scoring.slot_classes(lm_scoring.slot_counts(docs))
+    root = len(tree.words) + 2 + len(tree.bias) - 1
+    batch = pa.RecordBatch.from_pydict({"text": [text]})
+    sent = {}
+    for block in lm_scoring._trained(iter([batch]), tree):
+        for rows, n in zip(block.column(1).to_pylist(), block.column(2).to_pylist()):
+            sent.update(zip(np.frombuffer(rows, dtype=np.int32).tolist(), np.frombuffer(n, dtype=np.int64).tolist()))
+    assert len(tree.words) == 30 and sent[root] == 120
+    assert all(sent[i] for i in range(30)) and sum(sent[i] for i in range(30)) == 2 * lm_scoring.REACH * 120 - 6
