@@ -22,6 +22,8 @@ from .segmentation import FIELD_ALIASES, SECTION_ALIASES, field_of, marker_order
 c = F.col
 KEYS = ["document_id", "finding_id"]
 END_MARKER = "conclusion & recommendations"
+#: Registered titles that one task of segmentation holds the documents of.
+TITLES_A_TASK = 10_000
 #: What a source without its own governance record gets.
 GOVERNANCE = {
     "source_type": "company_provided", "data_classification": "confidential", "redaction_status": "provider_preprocessed", "usage_approved": True,
@@ -60,26 +62,29 @@ def raw_findings(blocks: DataFrame, registry: DataFrame, end_marker: str = END_M
 
     One pass over each document in block order: its registered titles come as one array, and it is sound (as ``segmentation_faults`` says,
     which tells what is wrong) if the paragraphs that are titles are exactly these in their order and an end marker follows them.
+    Documents are dealt to as many tasks as the registry's titles need (``TITLES_A_TASK``), so that no task grows with the input; titles are
+    looked up in a hash table before the one sort of blocks, which all windows share.
     """
+    parts = max(registry.sparkSession.sparkContext.defaultParallelism, -(-registry.count() // TITLES_A_TASK))
     entry = F.struct("ordinal", "title", F.lower("title").alias("folded"))
-    titles = registry.groupBy(c("document_id").alias("t_document")).agg(F.sort_array(F.collect_list(entry)).alias("titles"))
-    document = Window.partitionBy("document_id")
-    in_order = document.orderBy("block_number")
+    titles = registry.repartition(parts, "document_id").groupBy(c("document_id").alias("t_document")).agg(F.sort_array(F.collect_list(entry)).alias("titles"))
+    in_order = Window.partitionBy("document_id").orderBy("block_number")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    document = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     paragraph = c("block_type") == "paragraph"
-    held = blocks.join(titles, c("document_id") == c("t_document")).drop("t_document")
+    held = blocks.repartition(parts, "document_id").join(titles.hint("shuffle_hash"), c("document_id") == c("t_document")).drop("t_document")
     hits = F.filter(F.transform("titles", lambda t, i: F.when(t.folded == F.lower("text"), F.struct((i + 1).alias("rank"), t.ordinal.alias("ordinal"), t.title.alias("title")))), lambda x: x.isNotNull())
-    held = held.withColumn("hits", F.when(paragraph, hits).otherwise(F.array().cast("array<struct<rank:int,ordinal:int,title:string>>")))
+    held = held.withColumns({"hits": F.when(paragraph, hits).otherwise(F.array().cast("array<struct<rank:int,ordinal:int,title:string>>")), "n_titles": F.size("titles")}).drop("titles")
     mark = F.struct(F.format_string("FND-%06d", c("hits")[0]["ordinal"]).alias("finding_id"), c("hits")[0]["title"].alias("title"), c("block_number").alias("start"), c("paragraph_number").alias("title_paragraph"), c("style").alias("title_style"))
     held = held.withColumns({"n_hits": F.sum(F.size("hits")).over(so_far), "mark": F.when(F.size("hits") > 0, mark), "last_title": F.max(F.when(F.size("hits") > 0, c("block_number"))).over(document)})
     is_end = F.coalesce(paragraph & (F.lower("text") == end_marker) & (c("block_number") > c("last_title")), F.lit(False))
     out_of_turn = (F.size("hits") > 1) | ((F.size("hits") == 1) & (F.get("hits", F.lit(0))["rank"] != c("n_hits")))
     held = held.withColumns({
-        "sound": F.min(F.coalesce(~out_of_turn, F.lit(True))).over(document) & (F.max("n_hits").over(document) == F.size("titles")) & F.max(is_end).over(document),
+        "sound": F.min(F.coalesce(~out_of_turn, F.lit(True))).over(document) & (F.max("n_hits").over(document) == c("n_titles")) & F.max(is_end).over(document),
         "owner": F.last("mark", ignorenulls=True).over(so_far), "ended": F.max(is_end).over(so_far),
     })
     owned = held.where("sound and owner is not null and not ended")
-    return owned.select("*", "owner.finding_id", "owner.title", "owner.start", "owner.title_paragraph", "owner.title_style").drop("titles", "hits", "n_hits", "mark", "last_title", "sound", "owner", "ended")
+    return owned.select("*", "owner.finding_id", "owner.title", "owner.start", "owner.title_paragraph", "owner.title_style").drop("n_titles", "hits", "n_hits", "mark", "last_title", "sound", "owner", "ended")
 
 
 def extraction_stats(raw: DataFrame) -> DataFrame:
