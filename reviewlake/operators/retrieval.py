@@ -148,6 +148,48 @@ def met(rows: DataFrame, queries: DataFrame, match: Column) -> DataFrame:
     return v.join(q, (c("q_block") == c("r_block")) & (c("q_part") == c("r_part"))).where(match).drop("q_block", "q_part", "r_block", "r_part")
 
 
+#: Rows that a task gathers before it cuts them, and rows beyond which it lets go of what it has kept.
+GATHERED, KEPT = 50_000, 500_000
+
+
+def first_within_tasks(rows: DataFrame, limit: int, group: str, falling: str, rising: str) -> DataFrame:
+    """``rows`` less those that ``limit`` others of their ``group`` precede within a task: ``falling`` downwards, nulls last, then ``rising`` upwards, nulls first.
+
+    A cut ahead of ranking: the first ``limit`` of every group are all still there, and what a task holds and passes on to be sorted is bounded by
+    groups and limit, not by its rows. Where that is more than ``KEPT`` rows the task passes them on and begins anew.
+    """
+
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def first(held: pa.Table) -> pa.Table:
+            codes = pc.dictionary_encode(held[group], null_encoding="encode").combine_chunks()
+            keys = pa.table({"g": (codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes).indices, "f": held[falling], "n": pc.is_valid(held[rising]).cast("int8"), "r": held[rising]})
+            at = pc.sort_indices(keys, sort_keys=[("g", "ascending"), ("f", "descending"), ("n", "ascending"), ("r", "ascending")]).to_numpy()
+            groups = keys["g"].to_numpy()[at]
+            begins = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+            place = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+            return held.take(pa.array(at[place < limit])).combine_chunks()
+
+        kept, waiting, n = None, [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= max(GATHERED, kept.num_rows if kept is not None else 0):
+                kept = first(pa.concat_tables([*([kept] if kept is not None else []), pa.Table.from_batches(waiting)]))
+                waiting, n = [], 0
+                if kept.num_rows > KEPT:
+                    yield from kept.to_batches(max_chunksize=10_000)
+                    kept = None
+        if n or kept is not None:
+            last = [*([kept] if kept is not None else []), *([pa.Table.from_batches(waiting)] if n else [])]
+            yield from first(pa.concat_tables(last)).to_batches(max_chunksize=10_000)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 #: Columns of an entry that a query may ask to be equal.
 ATTRIBUTES = ["document_type", "section", "vulnerability_type", "source_id"]
 
@@ -170,8 +212,11 @@ def retrieve(kb: DataFrame, queries: DataFrame, limit: int | None = None) -> Dat
     )
     for name in optional:
         match = match & (c(f"q_{name}").isNull() | (F.arrays_overlap("tags", "q_tags") if name == "tags" else c(name) == c(f"q_{name}")))
-    w = Window.partitionBy("query_id").orderBy(severity_rank(c("severity")).desc(), "kb_id")
-    out = met(kb, q, match).select("query_id", "kb_id", "category", "severity", F.row_number().over(w).alias("rank"))
+    hits = met(kb, q, match).select("query_id", "kb_id", "category", "severity", severity_rank(c("severity")).alias("weight"))
+    if limit:
+        hits = first_within_tasks(hits, limit, "query_id", "weight", "kb_id")
+    w = Window.partitionBy("query_id").orderBy(c("weight").desc(), "kb_id")
+    out = hits.select("query_id", "kb_id", "category", "severity", F.row_number().over(w).alias("rank"))
     return out.where(c("rank") <= limit) if limit else out
 
 
@@ -279,16 +324,87 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+#: Queries and rows of one cell of ``top_k``, and queries whose scores are held at a time.
+CELL, TILE = 10_000, 32
+
+
+def _by_length(vectors) -> dict:
+    """Length to (places, matrix of doubles) of an Arrow column of vectors; null ones and those that hold a null are left out."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pa.concat_arrays(vectors.chunks)
+    lengths = np.array(pc.fill_null(pc.list_value_length(column), -1))
+    flat = column.flatten()
+    if flat.null_count:
+        lengths[pc.list_parent_indices(column).filter(flat.is_null()).to_numpy()] = -1
+    places = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths[lengths >= 0]).tolist()}
+    return {n: (at, pc.cast(column.take(pa.array(at)).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(len(at), n)) for n, at in places.items()}
+
+
+def _cell_top(k: int) -> Callable:
+    """Of one cell of rows and queries, each query's first k rows by score, then id, as Spark orders them: NaN first, no score last.
+
+    A score adds products in the order of the components, as ``inner_product`` does, so both are the same double.
+    """
+
+    def run(rows, queries):
+        import numpy as np
+        import pyarrow as pa
+
+        n, found, scores, known = rows.num_rows, [], [], []
+        if n and queries.num_rows:
+            order = np.unique(np.concatenate([rows["id"].to_numpy(), queries["query_id"].to_numpy()]), return_inverse=True)[1]
+            ids, own = order[:n], order[n:]
+            told = {size: (at, np.ascontiguousarray(x.T)) for size, (at, x) in _by_length(rows["r_vector"]).items()}
+            asked = _by_length(queries["q_vector"])
+            for start in range(0, queries.num_rows, TILE):
+                m = min(TILE, queries.num_rows - start)
+                score, is_known = np.zeros((m, n)), np.zeros((m, n), dtype=bool)
+                for size in told.keys() & asked.keys():
+                    (at, x), (q_at, q) = told[size], asked[size]
+                    inside = (q_at >= start) & (q_at < start + m)
+                    total = np.zeros((int(inside.sum()), len(at)))
+                    product = np.empty_like(total)
+                    with np.errstate(all="ignore"):
+                        for d in range(size):
+                            total += np.multiply(q[inside, d, None], x[d], out=product)
+                    cell = np.ix_(q_at[inside] - start, at)
+                    score[cell], is_known[cell] = total, True
+                height = np.where(is_known, np.where(np.isnan(score), np.inf, score), -np.inf)
+                for i in range(m):
+                    others = np.flatnonzero(ids != own[start + i])
+                    if len(others) > k:
+                        h = height[i, others]
+                        others = others[h >= np.partition(h, len(h) - k)[len(h) - k]]
+                    s, has = score[i, others], is_known[i, others]
+                    best = others[np.lexsort((ids[others], -np.where(has & ~np.isnan(s), s, 0.0), ~np.isnan(s), ~has))[:k]]
+                    found.append(np.column_stack([np.full(len(best), start + i), best]))
+                    scores.append(score[i, best])
+                    known.append(is_known[i, best])
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        values = pa.array(np.concatenate(scores), mask=~np.concatenate(known)) if found else pa.array([], pa.float64())
+        return pa.table({"query_id": queries["query_id"].take(pa.array(pairs[:, 0])), "id": rows["id"].take(pa.array(pairs[:, 1])), "score": values})
+
+    return run
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): exact inner-product top-k of a query set of any size against all rows.
 
-    Ranks are cut within tasks before the shuffle.
+    Rows and queries are dealt into parts of about ``CELL``, and every part of the one meets every part of the other in a task of its own, which holds
+    the scores of ``TILE`` queries and passes on k rows of each query; these alone are ranked.
     """
-    q = queries.select(c(id_col).alias("query_id"), c(vector_col).alias("q_vector"))
-    v = vectors.select(c(id_col).alias("id"), c(vector_col).alias("r_vector"))
-    scored = met(v, q, c("id") != c("query_id")).select("query_id", "id", inner_product(c("r_vector"), c("q_vector")).alias("score"))
+    q = queries.select(c(id_col).alias("query_id"), c(vector_col).alias("q_vector")).where("query_id is not null")
+    v = vectors.select(c(id_col).alias("id"), c(vector_col).alias("r_vector")).where("id is not null")
+    blocks, parts = (max(1, -(-x.count() // CELL)) for x in (q, v))
+    dealt = lambda x, key, own, n, other, m: x.withColumns({own: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+    left, right = dealt(v, "id", "part", parts, "block", blocks), dealt(q, "query_id", "block", blocks, "part", parts)
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double"
+    best = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_cell_top(k), kinds)
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
 
 
 def hybrid(semantic: DataFrame, metadata: DataFrame, limit: int = 20) -> DataFrame:

@@ -1,8 +1,12 @@
 """What one task holds must not grow with the input: partitions follow the rows, and ranks are cut before rows are sorted."""
 
+import random
 import re
 
-from reviewlake.operators import normalization
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from reviewlake.operators import normalization, retrieval
 
 BLOCKS = "document_id string, block_number int, block_type string, paragraph_number int, table_number int, style string, text string, rows array<struct<row_number:int,cells:array<string>>>"
 
@@ -16,3 +20,42 @@ def test_segmentation_deals_documents_by_titles_and_sorts_blocks_once(spark, mon
     assert sorted((r.document_id, r.block_number, r.finding_id) for r in raw.collect()) == sorted((f"D{d}", b, f) for d in range(30) for b, f in ((2, "FND-000001"), (3, "FND-000001"), (4, "FND-000002"), (5, "FND-000002")))
     plan = normalization.section_records(raw)._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"Exchange hashpartitioning\(\w+#\d+, (\d+)\)", plan)) == {"20"} and plan.count("Sort [") == 1
+
+
+def test_top_k_ranks_only_what_cells_pass_on(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELL", 40)
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    rng, nan = random.Random(3), float("nan")
+    kinds = [lambda: [float(rng.randint(-2, 2)) for _ in range(3)], lambda: [rng.random() for _ in range(3)], lambda: [1.0, 2.0], lambda: None, lambda: [1.0, None, 2.0], lambda: [nan, 1.0, 1.0], lambda: [], lambda: [float("inf"), -1.0, 0.0]]
+    for one_kind in (False, True):
+        rows = [(f"v{i}", kinds[i % 2]() if one_kind or rng.random() < 0.7 else rng.choice(kinds)()) for i in range(150)]
+        rows += rows[:5] + [(None, [1.0, 1.0, 1.0])]
+        v = spark.createDataFrame(rows, "vec_id string, embedding array<float>").repartition(3)
+        q = v.where("cast(substring(vec_id, 2) as int) % 2 = 0").distinct()
+        pairs = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e")).join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("f")), F.col("id") != F.col("query_id"))
+        scored = pairs.select("query_id", "id", retrieval.inner_product(F.col("e"), F.col("f")).alias("score"))
+        want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where("rank <= 6")
+        got = retrieval.top_k(v, q, 6)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 400
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert retrieval.top_k(v.limit(0), q, 2).count() == 0 and retrieval.top_k(v, q.limit(0), 2).count() == 0
+
+
+def test_a_limit_is_cut_within_tasks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "GATHERED", 50)
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([1, 2, 3, None]), rng.choice([None, f"k{rng.randint(0, 400)}"]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, f int, r string, n int").repartition(3)
+    w = Window.partitionBy("g").orderBy(F.col("f").desc(), "r")
+    first = lambda x: sorted((r.g or "", r.rank, r.f or 0, r.r or "") for r in x.withColumn("rank", F.row_number().over(w)).where("rank <= 5").collect())
+    for kept in (retrieval.KEPT, 3):
+        monkeypatch.setattr(retrieval, "KEPT", kept)
+        cut = retrieval.first_within_tasks(df, 5, "g", "f", "r")
+        assert first(cut) == first(df) and (cut.count() <= 3 * 4 * 5 or kept == 3)
+    assert retrieval.first_within_tasks(df.limit(0), 5, "g", "f", "r").count() == 0
+    entries = spark.createDataFrame([(f"K{i}", "sop", "critical", ["all"]) for i in range(90)], "kb_id string, category string, severity string, applicable_to array<string>")
+    queries = spark.createDataFrame([("Q", None, None, None, None)], "query_id string, taxonomy_codes array<string>, domain string, categories array<string>, min_severity string")
+    found = retrieval.retrieve(entries, queries, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.kb_id for r in found.collect()) == ["K0", "K1", "K10"]
+    assert plan.index("Sort [") < plan.index("MapInArrow") < plan.index("NestedLoopJoin") and "Sort [" not in plan[plan.index("MapInArrow") :]
