@@ -277,15 +277,25 @@ def stub_embedder() -> Callable[[list[str]], list[list[float]]]:
     return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
 
 
+#: Entries that one task of a look-up holds.
+ENTRIES_A_TASK = 50_000
+
+
+def _with_entries(retrieved: DataFrame, entries: DataFrame) -> DataFrame:
+    """Hits with what their entries tell. Both are dealt by id into as many parts as the entries need, and the catalogue, which grows, is never broadcast."""
+    parts = max(1, -(-entries.count() // ENTRIES_A_TASK))
+    return retrieved.select("query_id", "kb_id", "rank").repartition(parts, "kb_id").join(entries.repartition(parts, "kb_id").hint("merge"), "kb_id")
+
+
 def rules_text(retrieved: DataFrame, kb: DataFrame) -> DataFrame:
     """(query_id, text): the retrieved rules of each query in order, for a prompt; a query's hits are bounded by the catalogue or a limit."""
-    lines = retrieved.select("query_id", "kb_id", "rank").join(kb.select("kb_id", rule_text().alias("text")), "kb_id")
+    lines = _with_entries(retrieved, kb.select("kb_id", rule_text().alias("text")))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(x.text, F.lit("\n")))
     return lines.groupBy("query_id").agg(F.array_join(ordered, "\n").alias("text"))
 
 
 def rules_summary(retrieved: DataFrame, kb: DataFrame) -> DataFrame:
-    return retrieved.select("query_id", "kb_id", "rank").join(kb.select("kb_id", "title", "action", "severity"), "kb_id")
+    return _with_entries(retrieved, kb.select("kb_id", "title", "action", "severity"))
 
 
 def write_index(kb: DataFrame, embeddings: DataFrame, path: str) -> None:
