@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, batch_of, column_of, packed, text_bytes
+from .common import Scratch, arrow_map, batch_of, column_of, packed, released, text_bytes
 
 LAST = (1 << 63) - 1
 _LINES = "h1 long, h2 long, doc long, text_hash long, pos int, decided boolean"
@@ -152,12 +154,18 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with repeated lines removed from the text; a null text stays null. Same columns."""
     marked = with_bitmaps(docs, id_col, text_col, least_length)
 
+    def shortened(pairs):
+        for text, bitmap in pairs:
+            yield text.combine(bitmap, lambda t, b: t if t is None or b is None else kept_text(t.encode(), b).decode())
+
     @F.pandas_udf("string")
-    def apply(text, bitmap):
-        return text.combine(bitmap, lambda t, b: t if t is None or b is None else kept_text(t.encode(), b).decode())
+    def apply(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from released(shortened)(pairs)
 
-    text = F.col("row")[text_col]
-    kept = F.when(F.col("bitmap").isNotNull(), apply(text, F.col("bitmap"))).otherwise(text)
+    # called non-deterministic, or each later condition on the text would run it once more; only texts that lose a line travel
+    apply, text = apply.asNondeterministic(), F.col("row")[text_col]
+    losing = F.when(F.col("bitmap").isNotNull(), text)
+    kept = F.when(F.col("bitmap").isNotNull(), apply(losing, F.col("bitmap"))).otherwise(text)
     return marked.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
