@@ -33,17 +33,22 @@ from .common import Rolling, Scratch, arrow_map, batch_of, column_of, mix, segme
 LEAST = 50
 WIDTH = 16
 REACH = 2
+SIDES = [j for j in range(2 * REACH + 1) if j != REACH]
 STEP = 1.0
 BATCH = 4096
-#: Tree nodes with the most words below them, computed for all words of a batch at once.
+#: Tree nodes with the most words below them, computed for all words of a batch at once; below them, as many of each subtree.
 HEAVY = 32
 SCORED = 4096
+#: Words of texts that are held before they are scored.
+SETTLED = 1 << 16
 #: A row seen less often in a batch takes a step of its share of this many.
 GENTLE = 4
 #: Keys held before they are counted, and rows of weights in one message.
 HELD = 1 << 20
 #: Words of a task that are counted at once.
 COUNTED = 1 << 22
+#: Bytes of short texts that are split and hashed at once.
+JOINED = 1 << 17
 BLOCK = 64
 EDGE = 256
 PRIOR = 5.0
@@ -58,28 +63,48 @@ def _rolling() -> Rolling:
     return Rolling(515, fold_case=True)
 
 
-def words_of(raw: bytes, rolling: Rolling):
-    """(bytes, starts, ends, hashes) of the words of each segment of a text."""
-    for piece in segments(raw):
+def words_of(texts: list[bytes], rolling: Rolling):
+    """(bytes, starts, ends, hashes, number of the text) of the words of each segment of these texts, which a line end parts."""
+    begin, offset = np.cumsum([0, *(len(x) + 1 for x in texts[:-1])]), 0
+    for piece in segments(b"\n".join(texts)):
         data = np.frombuffer(piece, dtype=np.uint8)
         starts, ends = word_spans(data)
         if len(starts):
-            yield data, starts, ends, rolling.words(data, starts, ends)
+            yield data, starts, ends, rolling.words(data, starts, ends), np.searchsorted(begin, starts + offset, side="right") - 1
+        offset += len(piece)
 
 
-def spellings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Byte trigrams of the words at these spans, with their ends, A-Z as a-z."""
+def joined(texts):
+    """Runs of texts of at most ``JOINED`` bytes, or of one longer text; null is an empty text."""
+    held, size = [], 0
+    for raw in texts:
+        raw = raw or b""
+        if held and size + len(raw) > JOINED:
+            yield held
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield held
+
+
+def spellings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbol: np.ndarray | None = None, size: int = EDGE + 1) -> np.ndarray:
+    """Byte trigrams of the words at these spans, with their ends, A-Z as a-z; of the bytes' symbols, ``size`` in all, if these are given."""
     sizes = ends - starts + 1
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(sizes.sum()) - first
-    low = data.astype(np.int64)
-    low[(low >= 65) & (low <= 90)] += 32
-    low = np.append(low, EDGE)
-    at = np.repeat(starts, sizes) + place
-    c = np.where(place == np.repeat(sizes, sizes) - 1, EDGE, low[at])
-    b = np.where(place >= 1, low[at - 1], EDGE)
-    a = np.where(place >= 2, low[at - 2], EDGE)
-    return (a * (EDGE + 1) + b) * (EDGE + 1) + c
+    first = np.cumsum(sizes) - sizes
+    spelt = np.arange(EDGE + 1) if symbol is None else symbol
+    low = np.arange(EDGE)
+    low[65:91] += 32
+    at = np.arange(sizes.sum()) + np.repeat(starts - first, sizes)
+    c = spelt[low][np.append(data, np.uint8(0))[at]]
+    c[first + sizes - 1] = spelt[EDGE]
+    # Before a word's first byte stands the end of the word before it, and once more an end.
+    b = np.empty_like(c)
+    b[:1], b[1:] = spelt[EDGE], c[:-1]
+    a = np.empty_like(c)
+    a[1:] = b[:-1]
+    a[first] = spelt[EDGE]
+    return (a * size + b) * size + c
 
 
 def least_count(total: int) -> int:
@@ -101,8 +126,8 @@ def _count_words(batches):
         return batch_of(WORDS, [signed(key), n, [whole[a:z].lower() for a, z in zip(starts, ends)]])
 
     for batch in batches:
-        for raw in text_bytes(column_of(batch, "text")):
-            for found in words_of(raw or b"", rolling):
+        for texts in joined(text_bytes(column_of(batch, "text"))):
+            for *found, _ in words_of(texts, rolling):
                 held.append(found)
                 size += len(found[3])
                 if size >= COUNTED:
@@ -161,11 +186,15 @@ class Tree:
 
     words: np.ndarray
     start: np.ndarray  # of each leaf's path in node and right, heavy nodes left out
+    deep: np.ndarray  # where in it the nodes begin that are in no crown
     node: np.ndarray
     right: np.ndarray  # whether the path goes right there
     bias: np.ndarray  # of each node: the log odds of right by the counts
     heavy: np.ndarray  # numbers of the heaviest nodes
     turn: np.ndarray  # leaves x heavy nodes: 1 right, -1 left, 0 not on the path
+    crowns: np.ndarray  # subtrees below the heavy nodes x numbers of the heaviest nodes of each, -1 where there are fewer
+    subtree: np.ndarray  # of each leaf; their number where a heavy node is right above it
+    crown_turn: np.ndarray  # leaves x nodes of its subtree's crown, as turn
 
 
 def slot_classes(counts: Counts) -> Tree:
@@ -201,9 +230,30 @@ def slot_classes(counts: Counts) -> Tree:
     turns, top = np.zeros((leaves, len(heavy)), dtype=np.int8), place[node] >= 0
     turns[who[top], place[node[top]]] = np.where(turn[top], 1, -1)
     who, node, turn = who[~top], node[~top], turn[~top]
-    by_leaf = np.argsort(who, kind="stable")
+    # A parent has a higher number than its children, and more words, so heavy nodes and crowns hold all nodes above their own.
+    above = parent[leaves:] - leaves
+    root_of = np.full(len(nodes), -1)
+    for v in range(len(nodes) - 2, -1, -1):
+        if place[v] < 0:
+            root_of[v] = v if place[above[v]] >= 0 else root_of[above[v]]
+    roots = np.unique(root_of[place < 0])
+    crowns, within = np.full((len(roots), HEAVY), -1), np.full(len(nodes), -1)
+    by_weight = np.lexsort((-nodes, root_of))
+    first = np.searchsorted(root_of[by_weight], np.append(roots, len(nodes)))
+    for i, (a, z) in enumerate(zip(first, first[1:])):
+        inside = by_weight[a : min(z, a + HEAVY)]
+        crowns[i, : len(inside)] = inside
+        within[inside] = np.arange(len(inside))
+    subtree = np.full(leaves, len(roots), dtype=np.uint16)
+    if len(nodes):
+        over = parent[:leaves] - leaves
+        subtree[order] = np.where(place[over] < 0, np.searchsorted(roots, root_of[over]), len(roots))
+    crown_turn, crowned = np.zeros((leaves, HEAVY), dtype=np.int8), within[node] >= 0
+    crown_turn[who[crowned], within[node[crowned]]] = np.where(turn[crowned], 1, -1)
+    by_leaf = np.lexsort((~crowned, who))
     start = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=leaves))])
-    return Tree(counts.words, start, node[by_leaf].astype(np.int32), turn[by_leaf].astype(bool), bias.astype(np.float32), heavy, turns)
+    deep = start[:-1] + np.bincount(who[crowned], minlength=leaves)
+    return Tree(counts.words, start, deep, node[by_leaf].astype(np.int32), turn[by_leaf].astype(bool), bias.astype(np.float32), heavy, turns, crowns, subtree, crown_turn)
 
 
 def _order(rows: np.ndarray) -> np.ndarray:
@@ -213,12 +263,36 @@ def _order(rows: np.ndarray) -> np.ndarray:
     return order if not high.any() else order[np.argsort(high[order].astype(np.uint16), kind="stable")]
 
 
-def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of their values, and how many there are of each."""
+def _added(which: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the values of each of n groups; a row's group is ``which``."""
+    width = values.shape[1]
+    return np.bincount((which[:, None] * width + np.arange(width)).ravel(), weights=values.ravel(), minlength=n * width).reshape(n, width)
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, uses: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of their values, and how many there are of each, or the sum of their uses."""
     order = _order(rows)
     ordered = rows[order]
-    first = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[first], np.add.reduceat(values.take(order, axis=0), first, axis=0), np.diff(first, append=len(rows))
+    new = np.diff(ordered, prepend=-1) != 0
+    which = np.empty(len(rows), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    found = ordered[new]
+    return found, _added(which, values, len(found)), np.bincount(which, weights=uses).astype(np.int64)
+
+
+def _errors(z: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p(right) less whether the path goes right at each node on it, 0 off it; and which those on it are."""
+    on = np.flatnonzero(turn != 0)
+    g = np.zeros(z.shape, dtype=np.float32)
+    g.reshape(-1)[on] = 1 / (1 + np.exp(-np.clip(z.reshape(-1)[on], -30, 30))) - (turn.reshape(-1)[on] > 0)
+    return g, on
+
+
+def _losses(z: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """-log p of each row's turns at the nodes on its path."""
+    on = np.flatnonzero(turn != 0)
+    lost = np.log(1 + np.exp(np.minimum(z.reshape(-1)[on] * -turn.reshape(-1)[on], 80)))
+    return np.bincount(on // z.shape[1], weights=lost, minlength=len(z))
 
 
 class Network:
@@ -246,50 +320,82 @@ class Network:
         self.bias = weights[-1, :WIDTH]
         self.first_node = inputs
 
-    def hidden(self, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Embeddings around each word, and the tanh layer with a constant 1 beside it."""
-        around = [self.embedding.take(context[:, j], axis=0)[:, :WIDTH] for j in range(2 * REACH)]
-        h = np.ones((len(context), WIDTH + 1), dtype=np.float32)
-        z = self.bias + around[0] @ self.matrices[0]
-        for j in range(1, 2 * REACH):
-            z += around[j] @ self.matrices[j]
-        np.tanh(z, out=h[:, :WIDTH])
-        return around, h
+    def hidden(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings of a stream of words, and the tanh layer of the words at these places of it with a constant 1 beside it."""
+        read = self.embedding.take(stream, axis=0)[:, :WIDTH]
+        windows = len(stream) - 2 * REACH
+        z = np.tile(self.bias, (windows, 1))
+        for side, m in zip(SIDES, self.matrices):
+            z += read[side : side + windows] @ m
+        h = np.ones((len(at), WIDTH + 1), dtype=np.float32)
+        np.tanh(z.take(at - REACH, axis=0), out=h[:, :WIDTH])
+        return read, h
 
     def turns(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word number, node, right) of every turn on the paths to the targets at other nodes than the heavy ones."""
-        first = self.tree.start[target]
+        """(word number, node, right) of every turn on the paths to the targets at nodes that are neither heavy nor in a crown."""
+        first = self.tree.deep[target]
         sizes = self.tree.start[target + 1] - first
         word = np.repeat(np.arange(len(target)), sizes)
         at = np.arange(len(word)) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
         return word, self.tree.node[at], self.tree.right[at]
 
-    def log_likelihoods(self, context: np.ndarray, target: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-        """Sum of the words' log-probabilities for each text; ``text`` is the number of each word's text."""
+    def by_subtree(self, stream: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the words at these places by the subtree that their leaf is in, and (subtree, first, end) of those that have any."""
+        subtree = self.tree.subtree[stream[at]]
+        ends = np.cumsum(np.bincount(subtree, minlength=len(self.tree.crowns)))[: len(self.tree.crowns)].tolist()
+        return np.argsort(subtree, kind="stable"), [(i, a, z) for i, (a, z) in enumerate(zip([0, *ends], ends)) if z > a]
+
+    def lost(self, stream: np.ndarray, at: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """Sum of the log-probabilities of the words at these places of a stream for each text; ``text`` is the number of each word's text."""
         if not len(self.nodes):
             return np.zeros(texts)
-        h = self.hidden(context)[1]
-        turn = self.tree.turn.take(target, axis=0).astype(np.float32)
-        z = h @ self.nodes[self.tree.heavy].T
-        lost = np.einsum("ij,ij->i", np.log(1 + np.exp(np.minimum(-turn * z, 80))), np.abs(turn))
-        out = np.bincount(text, weights=lost, minlength=texts)
+        order, groups = self.by_subtree(stream, at)
+        at, text = at[order], text[order]
+        target = stream[at]
+        h = self.hidden(stream, at)[1]
+        out = _losses(h @ self.nodes[self.tree.heavy].T, self.tree.turn.take(target, axis=0))
+        crowned = groups[-1][2] if groups else 0
+        z = np.empty((crowned, HEAVY), dtype=np.float32)
+        for i, first, end in groups:
+            np.matmul(h[first:end], self.nodes[self.tree.crowns[i]].T, out=z[first:end])
+        out[:crowned] += _losses(z, self.tree.crown_turn.take(target[:crowned], axis=0))
         word, node, right = self.turns(target)
         z = np.einsum("ij,ij->i", h.take(word, axis=0), self.nodes.take(node, axis=0))
-        return -out - np.bincount(text.take(word), weights=np.log(1 + np.exp(np.minimum(np.where(right, -z, z), 80))), minlength=texts)
+        deep = np.log(1 + np.exp(np.minimum(np.where(right, -z, z), 80)))
+        return -np.bincount(text, weights=out, minlength=texts) - np.bincount(text.take(word), weights=deep, minlength=texts)
 
-    def learn(self, context: np.ndarray, target: np.ndarray, step: float = STEP) -> None:
+    def log_likelihoods(self, context: np.ndarray, target: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+        """The same for words in these contexts (as ``contexts`` gives them), which need not follow one another."""
+        stream = np.insert(context, REACH, target, axis=1).ravel()
+        return self.lost(stream, np.arange(len(target)) * (2 * REACH + 1) + REACH, text, texts)
+
+    def learn(self, stream: np.ndarray, at: np.ndarray, step: float = STEP) -> None:
+        """One step on the words at these places of a stream, each with what is around it there."""
         if not len(self.nodes):
             return
-        n, heavy = len(target), self.tree.heavy
-        around, h = self.hidden(context)
+        n, heavy, crowns = len(at), self.tree.heavy, self.tree.crowns
+        order, groups = self.by_subtree(stream, at)
+        at = at[order]
+        target = stream[at]
+        read, h = self.hidden(stream, at)
         # Heavy nodes for all words at once; off the path the error is 0.
         top = self.nodes[heavy]
-        turn = self.tree.turn.take(target, axis=0).astype(np.float32)
-        on = np.abs(turn)
-        g = on / (1 + np.exp(np.clip(-(h @ top.T), -30, 30))) - (turn + on) * np.float32(0.5)
+        g, on = _errors(h @ top.T, self.tree.turn.take(target, axis=0))
         back = g @ top[:, :WIDTH]
-        seen = on.sum(axis=0)
-        top_step = g.T @ h / np.maximum(seen, GENTLE)[:, None]
+        steps = [(heavy, g.T @ h, np.bincount(on % len(heavy), minlength=len(heavy)))]
+        # The crown of each subtree for the words in it.
+        if groups:
+            crowned = groups[-1][2]
+            top, total, z = self.nodes[crowns], np.zeros((*crowns.shape, WIDTH + 1), dtype=np.float32), np.empty((crowned, HEAVY), dtype=np.float32)
+            for i, first, end in groups:
+                np.matmul(h[first:end], top[i].T, out=z[first:end])
+            g, on = _errors(z, self.tree.crown_turn.take(target[:crowned], axis=0))
+            for i, first, end in groups:
+                back[first:end] += g[first:end] @ top[i, :, :WIDTH]
+                np.matmul(g[first:end].T, h[first:end], out=total[i])
+            times = np.bincount(self.tree.subtree[target[on // HEAVY]].astype(np.int64) * HEAVY + on % HEAVY, minlength=crowns.size)
+            used = np.flatnonzero(times)
+            steps.append((crowns.ravel()[used], total.reshape(-1, WIDTH + 1)[used], times[used]))
         # The rest of each path, turn by turn.
         word, node, right = self.turns(target)
         if len(word):
@@ -298,29 +404,48 @@ class Network:
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - right).astype(np.float32)[:, None]
             theirs *= g
             ours *= g
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            back[word[first]] += np.add.reduceat(theirs[:, :WIDTH], first, axis=0)
-            rows, total, times = _sums(node, ours)
-            self.nodes[rows] -= np.float32(step) * total / np.maximum(times, GENTLE)[:, None].astype(np.float32)
-            self.times[self.first_node + rows] += times
-        self.nodes[heavy] -= np.float32(step) * top_step
-        self.times[self.first_node + heavy] += seen.astype(np.int64)
+            back += _added(word, theirs[:, :WIDTH], n)
+            steps.append(_sums(node, ours))
+        rows, total, times = (np.concatenate(x) for x in zip(*steps))
+        self.nodes[rows] = self.nodes.take(rows, axis=0) - step * total / np.maximum(times, GENTLE)[:, None]
+        self.times[self.first_node + rows] += times
         back *= 1 - h[:, :WIDTH] ** 2
-        inward = np.concatenate([back @ m.T for m in self.matrices])
-        rows, total, times = _sums(context.T.ravel(), inward)
-        self.embedding[rows, :WIDTH] -= np.float32(step) * total / np.maximum(times, GENTLE)[:, None].astype(np.float32)
+        # Each word of the stream is read once, and takes what comes back from all windows that it is in.
+        windows = len(stream) - 2 * REACH
+        backs, centres = np.zeros((windows, WIDTH), dtype=np.float32), np.zeros(windows, dtype=np.int64)
+        backs[at - REACH], centres[at - REACH] = back, 1
+        inward, uses = np.zeros((len(stream), WIDTH), dtype=np.float32), np.zeros(len(stream), dtype=np.int64)
+        for side, m in zip(SIDES, self.matrices):
+            inward[side : side + windows] += backs @ m.T
+            uses[side : side + windows] += centres
+        rows, total, times = _sums(stream, inward, uses)
+        self.embedding[rows, :WIDTH] = self.embedding.take(rows, axis=0)[:, :WIDTH] - step * total / np.maximum(times, GENTLE)[:, None]
         self.times[rows] += times
-        for j, m in enumerate(self.matrices):
-            m -= np.float32(step / n) * (around[j].T @ back)
+        for side, m in zip(SIDES, self.matrices):
+            m -= np.float32(step / n) * (read[side : side + windows].T @ backs)
         self.bias -= np.float32(step / n) * back.sum(axis=0)
         self.times[self.first_node + len(self.nodes) :] += n
 
 
 def contexts(places: np.ndarray, edge: int) -> np.ndarray:
     """Places of the words around each word; past the text's ends stands a place of its own."""
-    padded = np.full(len(places) + 2 * REACH, edge, dtype=np.int32)
-    padded[REACH : REACH + len(places)] = places
-    return np.stack([padded[j : j + len(places)] for j in range(2 * REACH + 1) if j != REACH], axis=1)
+    stream = padded(places, edge)
+    return np.stack([stream[j : j + len(places)] for j in SIDES], axis=1)
+
+
+def padded(places: np.ndarray, edge: int) -> np.ndarray:
+    """The words of a text with the place that stands past its ends on both sides: one stretch of a stream."""
+    out = np.full(len(places) + 2 * REACH, edge, dtype=np.int32)
+    out[REACH : REACH + len(places)] = places
+    return out
+
+
+def pieces(stream: np.ndarray, at: np.ndarray, size: int):
+    """The words at these places of a stream, ``size`` at a time: (first, end, stretch of the stream, places in it)."""
+    for a in range(0, len(at), size):
+        part = at[a : a + size]
+        lo = part[0] - REACH
+        yield a, a + len(part), stream[lo : part[-1] + REACH + 1], part - lo
 
 
 def _texts(batch, tree: Tree, rolling: Rolling, speller: "Speller | None" = None):
@@ -332,17 +457,20 @@ def _texts(batch, tree: Tree, rolling: Rolling, speller: "Speller | None" = None
         for places, spelt in zip(column_of(batch, "places"), column_of(batch, "spelt").to_pylist()):
             yield np.frombuffer(places.as_py(), dtype=np.int32), spelt
         return
-    size, rare = EDGE + 1, len(tree.words)
+    rare = len(tree.words)
     symbol, log_p = speller.table() if speller else (None, None)
-    for raw in text_bytes(column_of(batch, "text")):
-        found, total = [], 0.0
-        for data, starts, ends, h in words_of(raw or b"", rolling):
+    for texts in joined(text_bytes(column_of(batch, "text"))):
+        found, counts, total = [np.empty(0, dtype=np.int64)], np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        for data, starts, ends, h, text in words_of(texts, rolling):
             found.append(places_of(h, tree.words))
-            if speller:
-                outside = found[-1] == rare
-                spelt = spellings(data, starts[outside], ends[outside])
-                total += log_p[symbol[spelt // size**2], symbol[spelt // size % size], symbol[spelt % size]].sum()
-        yield np.concatenate(found).astype(np.int32) if found else np.empty(0, dtype=np.int32), float(total)
+            counts += np.bincount(text, minlength=len(texts))
+            outside = found[-1] == rare
+            if speller and outside.any():
+                starts, ends, text = starts[outside], ends[outside], text[outside]
+                log_ps = log_p.take(spellings(data, starts, ends, symbol, len(log_p)))
+                first = np.flatnonzero(np.diff(text, prepend=-1))
+                total[text[first]] += np.add.reduceat(log_ps, (np.cumsum(ends - starts + 1) - (ends - starts + 1))[first])
+        yield from zip(np.split(np.concatenate(found).astype(np.int32), np.cumsum(counts)[:-1]), total.tolist())
 
 
 def _place(tree: Tree, speller: "Speller"):
@@ -363,23 +491,28 @@ def _place(tree: Tree, speller: "Speller"):
 
 
 def _trained(batches, tree: Tree):
-    rolling, net = _rolling(), Network(tree)
-    held_c, held_t, held = [], [], 0
+    rolling, net, edge = _rolling(), Network(tree), len(tree.words) + 1
+    held, waiting = [], 0
+
+    def learn_all(least: int):
+        """Steps on the held words, ``BATCH`` at a time; fewer than ``least`` stay, with what is before them."""
+        stream = np.concatenate(held)
+        at = np.flatnonzero(stream[REACH:] != edge) + REACH
+        for a, z, stretch, words in pieces(stream, at, BATCH):
+            if z - a < least:
+                return [stream[at[a] - REACH :].copy()], z - a
+            net.learn(stretch, words, STEP * (z - a) / BATCH)
+        return [], 0
+
     for batch in batches:
         for places, _ in _texts(batch, tree, rolling):
-            if not len(places):
-                continue
-            held_c.append(contexts(places, len(tree.words) + 1))
-            held_t.append(places)
-            held += len(places)
-            if held >= BATCH:
-                c, t = np.concatenate(held_c), np.concatenate(held_t)
-                for a in range(0, len(t) - BATCH + 1, BATCH):
-                    net.learn(c[a : a + BATCH], t[a : a + BATCH])
-                rest = len(t) % BATCH
-                held_c, held_t, held = [c[len(t) - rest :].copy()], [t[len(t) - rest :].copy()], rest
-    if held:
-        net.learn(np.concatenate(held_c), np.concatenate(held_t), STEP * held / BATCH)
+            if len(places):
+                held.append(padded(places, edge))
+                waiting += len(places)
+            if waiting >= BATCH:
+                held, waiting = learn_all(BATCH)
+    if waiting:
+        learn_all(1)
     sent = np.flatnonzero(net.times)
     for part in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(sent // BLOCK)) + 1):
         if len(part):
@@ -462,18 +595,18 @@ def _score(weights: np.ndarray, tree: Tree, speller: Speller):
 
             def settle():
                 if held:
-                    around, target, text = (np.concatenate(x) for x in zip(*held))
-                    for a in range(0, len(target), SCORED):
-                        total[:] += net.log_likelihoods(around[a : a + SCORED], target[a : a + SCORED], text[a : a + SCORED], texts)
+                    stream, text = (np.concatenate(x) for x in zip(*held))
+                    for a, z, stretch, words in pieces(stream, np.flatnonzero(stream != len(tree.words) + 1), SCORED):
+                        total[:] += net.lost(stretch, words, text[a:z], texts)
                     held.clear()
 
             for i, (places, spelt) in enumerate(_texts(batch, tree, rolling, speller)):
                 total[i] += spelt
                 if len(places):
-                    held.append((contexts(places, len(tree.words) + 1), places, np.full(len(places), i)))
+                    held.append((padded(places, len(tree.words) + 1), np.full(len(places), i)))
                     n[i] = len(places)
                     waiting += len(places)
-                if waiting >= SCORED:
+                if waiting >= SETTLED:
                     settle()
                     waiting = 0
             settle()
