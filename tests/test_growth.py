@@ -24,6 +24,16 @@ def test_segmentation_deals_documents_by_titles_and_sorts_blocks_once(spark, mon
     assert set(re.findall(r"Exchange hashpartitioning\(\w+#\d+, (\d+)\)", plan)) == {"20"} and plan.count("Sort [") == 1
 
 
+def test_all_that_rests_on_raw_findings_stays_in_its_tasks(spark, monkeypatch):
+    """No later step deals or sorts the blocks anew: what a task holds is bounded by its titles in each of these results."""
+    monkeypatch.setattr(normalization, "TITLES_A_TASK", 3)
+    blocks = spark.createDataFrame([(f"D{d}", 1, "paragraph", 1, None, None, "Alpha", None) for d in range(60)], BLOCKS)
+    raw = normalization.raw_findings(blocks, spark.createDataFrame([(f"D{d}", 1, "Alpha") for d in range(60)], "document_id string, ordinal int, title string"))
+    for result in (normalization.section_records, normalization.section_summary, normalization.unclassified_paragraphs, normalization.metadata_faults, normalization.metadata, normalization.normalized_findings):
+        plan = result(raw)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Exchange (\w+)\(\w+#\d+, (\d+)\)", plan) == [("hashpartitioning", "20")] * 2 and plan.count("Exchange ") == 2, result.__name__
+
+
 def test_top_k_ranks_only_what_cells_pass_on(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "CELL", 40)
     monkeypatch.setattr(retrieval, "TILE", 7)
