@@ -246,6 +246,48 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
+def shingle_sets(texts, k: int, rolling: Rolling) -> list[np.ndarray]:
+    """``shingle_set`` of the words of each text (None: no words); texts are hashed together, about ``SEGMENT`` bytes at a time."""
+    out, part, held = [], [], 0
+    for raw in texts:
+        raw = raw or b""
+        if part and held + len(raw) > Rolling.SEGMENT:
+            out += _sets_of(part, k, rolling)
+            part, held = [], 0
+        part.append(raw)
+        held += len(raw) + 1
+    return out + _sets_of(part, k, rolling) if part else out
+
+
+def _sets_of(texts: list[bytes], k: int, rolling: Rolling) -> list[np.ndarray]:
+    if len(texts) == 1:
+        return [shingle_set(word_hashes(texts[0], rolling), k)]
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    starts, ends = word_spans(data)
+    words = rolling.words(data, starts, ends) if len(starts) else np.empty(0, dtype=np.uint64)
+    bounds = np.searchsorted(starts, np.cumsum([len(raw) + 1 for raw in texts])).tolist()
+    n = max(0, len(words) - k + 1)
+    h = np.full(n, k, dtype=np.uint64)
+    for j in range(k):
+        h += words[j : n + j] * _STEP[j % 5] * _U(2 * j + 1)
+    h = mix(h)
+    spans = [(a, b - k + 1) if b - a >= k else None for a, b in zip([0, *bounds], bounds)]
+    for span in spans:
+        if span:
+            h[span[0] : span[1]].sort()
+    new = np.ones(n, dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    new[[span[0] for span in spans if span]] = True
+    out = []
+    for a, b, span in zip([0, *bounds], bounds, spans):
+        if span:
+            first = new[span[0] : span[1]]
+            out.append(h[span[0] : span[1]] if first.all() else h[span[0] : span[1]][first])
+        else:
+            out.append(shingle_set(words[a:b], k))
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

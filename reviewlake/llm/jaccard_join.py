@@ -32,16 +32,24 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, arrow_map, batch_of, column_of, connected_components, mix, packed, shingle_set, signed, text_bytes, word_hashes
+from .common import Rolling, Scratch, arrow_map, batch_of, column_of, connected_components, mix, packed, shingle_sets, signed, text_bytes
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
 _BINS = np.arange(128, dtype=np.uint64) << _U(57)
 TILE = 4096
 FAMILY_TILE = 1024
+#: Bytes of text whose sets are made and signed together.
+TOGETHER = 2_000_000
+#: Subparts of all sets that are signed together.
+MOST_PARTS = 1 << 19
+#: Rows of the tiles whose pairs are compared many tiles at a time, and pairs that wait before they are made a forest.
+SMALL_TILE = 64
+MOST_PAIRS = 500_000
 #: Bits of the filter for each set in a family, and the most bits that are sent (16 MB). A fuller filter lets
 #: more sets pass to the join that drops them; results do not change.
 BITS_A_SET = 16
@@ -103,6 +111,60 @@ class PartEnum:
             out.append(self._signed(elements, number + 1, above, top, 0))
         return np.concatenate(out)
 
+    def signatures_of(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """``signatures`` of each set; the sets of a band are signed together."""
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        sizes = sizes[order]
+        elements, ends = np.concatenate([sets[i] for i in order]), np.cumsum(sizes)
+        bands = {}  # number: least size, largest size, sets in order of size
+        for size, at, n in zip(*np.unique(sizes, return_index=True, return_counts=True)):
+            if not size:
+                continue
+            number, low, high = self.band(int(size))
+            bands.setdefault(number, (low, high, []))[2].append((at, at + n))
+            _, above, top = self.band(high + 1)
+            if 100 * size >= self.percent * above:
+                bands.setdefault(number + 1, (above, top, []))[2].append((at, at + n))
+        found: list[list[np.ndarray]] = [[] for _ in sets]
+        for number, (low, high, ranges) in sorted(bands.items()):
+            first, last = min(a for a, _ in ranges), max(b for _, b in ranges)  # without a gap: a band is signed by a range of sizes
+            n1, n2, _ = self.numbers(self.differences(high))
+            step = max(1, MOST_PARTS // (n1 * n2))
+            for start in range(first, last, step):
+                end = min(start + step, last)
+                part = elements[ends[start] - sizes[start] : ends[end - 1]]
+                for i, x in zip(order[start:end], self._signed_together(part, sizes[start:end], number, low, high)):
+                    found[i].append(x)
+        return [np.concatenate(x) if x else np.empty(0, dtype=np.uint64) for x in found]
+
+    def _signed_together(self, elements: np.ndarray, sizes: np.ndarray, band: int, low: int, largest: int):
+        """``_signed`` of each of these sets that lie one after the other; those whose parts are too empty are signed one by one."""
+        k = self.differences(largest)
+        n1, n2, k2 = self.numbers(k)
+        ends, n, parts = np.cumsum(sizes), len(sizes), n1 * n2
+        if n1 == 1:
+            yield from (self._signed(elements[end - size : end], band, low, largest, 0) for size, end in zip(sizes, ends))
+            return
+        h = mix(elements + np.array([0x5851F42D4C957F2D], dtype=np.uint64))
+        part = np.repeat(np.arange(n) * parts, sizes) + ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        sums = np.zeros(n * parts, dtype=np.uint64)
+        np.add.at(sums, part, mix(h))
+        count = np.bincount(part, minlength=n * parts).reshape(n, n1, n2)
+        choices = _choices(n2, k2)
+        content = mix(mix(sums).reshape(n, n1, n2) + np.arange(n2, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+        chosen, filled = sum(content[:, :, at] for at in choices.T), np.logical_or.reduce([count[:, :, at] > 0 for at in choices.T])
+        label = np.arange(n1 * len(choices), dtype=np.uint64).reshape(n1, -1)
+        tag = np.array([8 * band * 0xC2B2AE3D27D4EB4F & _MASK], dtype=np.uint64)
+        found = mix(chosen + label * _U(0x165667B19E3779F9) + tag)
+        signs = np.array([self.prefix(int(size), low, n1) for size in sizes])
+        own = np.minimum(k, sizes * (100 - self.percent) // self.percent)
+        within = np.arange(n1) < signs[:, None]
+        enough = (filled.all(axis=2) & within).sum(axis=1) > own // 2
+        keep = filled & within[:, :, None]
+        for i in range(n):
+            yield found[i][keep[i]] if enough[i] else self._signed(elements[ends[i] - sizes[i] : ends[i]], band, low, largest, 0)
+
     def _signed(self, elements: np.ndarray, band: int, low: int, largest: int, depth: int) -> np.ndarray:
         k = self.differences(largest)
         n1, n2, k2 = self.numbers(k)
@@ -150,6 +212,17 @@ def sketch(elements: np.ndarray) -> tuple[int, int]:
     return int(words[0]), int(words[1])
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """``sketch`` of each set, as rows of two."""
+    elements = np.concatenate(sets)
+    bins = np.repeat(np.arange(len(sets)) * 128, [len(x) for x in sets]) + (elements >> _U(57)).astype(np.int64)
+    first = np.ones(len(bins), dtype=bool)
+    first[1:] = bins[1:] != bins[:-1]
+    bits = np.zeros((len(sets), 128), dtype=np.uint8)
+    bits.ravel()[bins[first]] = (mix(elements[first]) & _U(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def set_fingerprint(elements: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(elements.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -165,22 +238,22 @@ def _document_sets(k: int, percent: int):
         rolling, join = _rolling(), PartEnum(percent)
         for batch in batches:
             seen: set[int] = set()
-            ids, hashes, rows, held = column_of(batch, "doc_id").to_pylist(), column_of(batch, "text_hash").to_pylist(), [], 0
-            for doc, th, raw in zip(ids, hashes, text_bytes(column_of(batch, "text"))):
-                s = shingle_set(word_hashes(raw or b"", rolling), k)
-                found, signs = None, None
-                if len(s):
-                    found = set_fingerprint(s)
-                    if found not in seen:
-                        seen.add(found)
-                        signs = signed(np.unique(join.signatures(s))).tobytes()
-                        held += len(signs)
-                rows.append((doc, th, len(s), found, *sketch(s), signs))
-                if held > 8_000_000:
-                    yield batch_of(SETS, list(zip(*rows)))
-                    rows, held = [], 0
-            if rows:
-                yield batch_of(SETS, list(zip(*rows)))
+            ids, hashes = column_of(batch, "doc_id"), column_of(batch, "text_hash")
+            start, texts, held = 0, [], 0
+            for at, raw in enumerate(text_bytes(column_of(batch, "text")), 1):
+                texts.append(raw)
+                held += len(raw or b"")
+                if held < TOGETHER and at < batch.num_rows:
+                    continue
+                sets = shingle_sets(texts, k, rolling)
+                prints = [set_fingerprint(s) if len(s) else None for s in sets]
+                new = [i for i, x in enumerate(prints) if x is not None and not (x in seen or seen.add(x))]
+                signs: list[bytes | None] = [None] * len(sets)
+                for i, x in zip(new, join.signatures_of([sets[i] for i in new]) if new else []):
+                    signs[i] = signed(x).tobytes()
+                s1, s2 = sketches(sets).T
+                yield batch_of(SETS, [ids.slice(start, len(texts)), hashes.slice(start, len(texts)), [len(s) for s in sets], prints, s1, s2, signs])
+                start, texts, held = at, [], 0
 
     return run
 
@@ -198,15 +271,15 @@ def _unpacked(batches):
             yield batch_of(MEMBER_ROWS, [np.concatenate(part), np.repeat(ids[start : start + 2000], [len(x) for x in part])])
 
 
-def _filter(sets: DataFrame) -> tuple[int, bytes]:
-    """A filter of the hashes of ``set_id``: its number of bits, and the bits.
+def _filter(keys: DataFrame) -> tuple[int, bytes]:
+    """A filter of the hashes ``key``: its number of bits, and the bits.
 
-    It is summed on the executors; at most MOST_BITS / 64 words reach the driver. A set outside may pass by
-    chance and is dropped by the join that follows; none of the sets is held back.
+    It is summed on the executors; at most MOST_BITS / 64 words reach the driver. A hash outside may pass by
+    chance and is dropped by the join that follows; none of the keys is held back.
     """
-    bits = min(MOST_BITS, 1 << max(16, (BITS_A_SET * sets.count()).bit_length()))
-    bit = F.pmod("set_id", F.lit(bits))
-    words = sets.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(set_id, {bits}), 64) as int))").alias("bit"))
+    bits = min(MOST_BITS, 1 << max(16, (BITS_A_SET * keys.count()).bit_length()))
+    bit = F.pmod("key", F.lit(bits))
+    words = keys.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {bits}), 64) as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
     out = np.zeros(bits // 64, dtype=np.int64)
     out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
@@ -214,19 +287,20 @@ def _filter(sets: DataFrame) -> tuple[int, bytes]:
 
 
 def _elements(k: int, bits: int, held: bytes):
+    """Sets of the texts whose hash passes the filter; the others are not cut into words."""
+    words = np.frombuffer(held, dtype=np.uint8)
+
     def run(batches):
         rolling = _rolling()
         for batch in batches:
-            rows: dict[int, bytes] = {}
-            for raw in text_bytes(column_of(batch, "text")):
-                s = shingle_set(word_hashes(raw or b"", rolling), k)
-                if len(s) and held[(bit := (found := set_fingerprint(s)) % bits) >> 3] >> (bit & 7) & 1:
-                    rows.setdefault(found, s.tobytes())
-                if len(rows) >= 2000:
-                    yield batch_of(ELEMENTS, list(zip(*rows.items())))
-                    rows = {}
-            if rows:
-                yield batch_of(ELEMENTS, list(zip(*rows.items())))
+            hashes, first = np.unique(column_of(batch, "text_hash").to_numpy(), return_index=True)
+            bit = hashes % bits
+            rows = np.sort(first[(words[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) > 0])
+            texts = column_of(batch, "text").take(pa.array(rows))
+            for start in range(0, len(rows), 500):
+                sets = [s for s in shingle_sets(text_bytes(texts.slice(start, 500)), k, rolling) if len(s)]
+                if sets:
+                    yield batch_of(ELEMENTS, [[set_fingerprint(s) for s in sets], [s.tobytes() for s in sets]])
 
     return run
 
@@ -337,11 +411,46 @@ def _across(i, side):
     return rest if side[i] == 2 else rest[side[rest] != side[i]]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) that join what the edges (a, b) join."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root != (above := root[root])).any():
+            root = above
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return _roots(nodes, root)
+
+
+def _pairs(ids, sizes, s1, s2, side, behind, percent, most):
+    """Pairs with close sketches of rows in the same tile, each row with the first, then the second behind it and so on.
+
+    ``behind`` tells how many rows of its tile follow a row.
+    """
+    offset, i = 1, np.flatnonzero(behind > 0)
+    while len(i):
+        j = i + offset
+        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        apart = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(np.int64) for s in (s1, s2))
+        near = (apart <= most) & (100 * low >= percent * high) & ((side[i] == 2) | (side[i] != side[j]))
+        yield ids[i[near]], ids[j[near]]
+        offset += 1
+        i = i[behind[i] >= offset]
+
+
 def _families(percent: int):
-    """(set, family root) of sets whose sketches are close, in each tile; nothing is sent twice for a set."""
+    """(set, family root) of sets whose sketches are close, in each tile; pairs of a task's tiles are one forest, so nothing is sent twice for a set.
+
+    Small tiles are compared many at a time, larger ones row by row.
+    """
     most = allowed_mismatches(percent)
+    names = ("group", "tile", "set_id", "n", "s1", "s2", "side")
 
-    def work(ids, sizes, s1, s2, side):
+    def whole(ids, sizes, s1, s2, side):
         root = np.arange(len(ids))
         for i in range(len(ids) - 1):
             rest = _across(i, side)
@@ -350,7 +459,39 @@ def _families(percent: int):
                 _union(root, i, label)
         return _roots(ids, root)
 
-    return _tiles(("set_id", "n", "s1", "s2", "side"), work)
+    def close(cols, starts, ends):
+        rows = ends - starts
+        for start, end in zip(starts[rows > SMALL_TILE], ends[rows > SMALL_TILE]):
+            yield whole(*(x[start:end] for x in cols))
+        small = np.repeat(rows <= SMALL_TILE, rows)
+        behind = (np.repeat(ends, rows) - np.arange(len(small)) - 1)[small]
+        yield from _pairs(*(x[small] for x in cols), behind, percent, most)
+
+    def run(batches):
+        held, found, waiting = [np.empty(0, dtype=np.int64)] * len(names), [], 0
+        for batch in itertools.chain(batches, [None]):
+            cols = held if batch is None else [np.concatenate([h, column_of(batch, x).to_numpy()]) for h, x in zip(held, names)]
+            if not len(cols[0]):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1])
+            ends = np.append(starts[1:], len(cols[0]))
+            if batch is not None:  # the last tile may go on
+                held, starts, ends = [x[starts[-1] :] for x in cols], starts[:-1], ends[:-1]
+            if not len(starts):
+                continue
+            for pair in close([x[: ends[-1]] for x in cols[2:]], starts, ends):
+                found.append(pair)
+                waiting += len(pair[0])
+                if waiting > MOST_PAIRS:
+                    found = [forest(*(np.concatenate(x) for x in zip(*found)))]
+                    waiting = len(found[0][0])
+                    if 2 * waiting > MOST_PAIRS:
+                        yield batch_of(EDGES, list(found[0]))
+                        found, waiting = [], 0
+        if waiting:
+            yield batch_of(EDGES, list(forest(*(np.concatenate(x) for x in zip(*found)))))
+
+    return run
 
 
 def _linked(percent: int):
@@ -405,11 +546,13 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
     scratch.drop("shared", "members")
 
     # The sets themselves, only of families, from a second reading of the texts; others do not travel.
-    elements = arrow_map(docs.select("text"), _elements(k, *_filter(families)), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
+    # Of the texts with one set one is enough.
+    holders = sets.join(families.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text_hash").alias("key"))
+    elements = arrow_map(docs.select("text_hash", "text"), _elements(k, *_filter(scratch.keep(holders, "holders"))), ELEMENTS).join(families.select("set_id"), "set_id", "left_semi")
     elements = scratch.keep(elements.dropDuplicates(["set_id"]), "elements")
     tiles = _tiled(families, FAMILY_TILE).join(elements, "set_id").repartition("group", "tile").sortWithinPartitions("group", "tile", "set_id")
     parts = connected_components(scratch, arrow_map(tiles, _linked(percent), EDGES), "components")
-    scratch.drop("elements")
+    scratch.drop("elements", "holders")
 
     of_set = sets.where("set_id is not null").join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
