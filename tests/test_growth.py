@@ -109,3 +109,12 @@ def test_a_pending_finding_costs_no_frames_of_pandas(monkeypatch):
     assert [tuple(x)[1:4] for x in pd.DataFrame(out[0]).itertuples(index=False)] == [("held", "r", None), ("resumed", "r", "b")] and state.kept is None
     state = State()
     assert list(pending_stream._advance(("F",), iter([pd.DataFrame([row("event", None, None, "b", 1)])]), state)) == [] and state.kept == (False, None, [], ["b"])
+
+
+def test_gated_records_are_reviewed_once(spark):
+    """Outcomes and faults come from one reading of the records: their plan reads the table no oftener than the records alone."""
+    from reviewlake.plans import record_queries
+
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    d = "/root/testdata/sf0.001"
+    assert 0 < scans(record_queries.QUERIES["gated_counts"](spark, d)) == scans(record_queries._gated(spark, d))
